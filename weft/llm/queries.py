@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import decontaminate, html_extract, media, packing, secrets
+from weft.llm import decontaminate, html_extract, jaccard_join, media, packing, secrets, url_filter
 from weft.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,12 +38,81 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_secret_scan": op2_secret_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_media_columns": op4_media_columns,
     "op5_decontamination": op5_decontamination,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op8_url_filter": op8_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP8_SQL = r"""
+with recursive urls as (
+  select url, html, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest
+  from (select coalesce(url, '') as url, html from pages)
+), tags as (
+  select distinct url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) as tag from urls
+), values_ as (
+  select url, tag,
+    regexp_extract(tag, '(?i)\brel\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))', 1) || regexp_extract(tag, '(?i)\brel\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))', 2) || regexp_extract(tag, '(?i)\brel\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))', 3) as rel,
+    regexp_extract(tag, '(?i)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))', 1) || regexp_extract(tag, '(?i)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))', 2) || regexp_extract(tag, '(?i)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))', 3) as href,
+    regexp_extract(tag, '(?i)\bhttp-equiv\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))', 1) || regexp_extract(tag, '(?i)\bhttp-equiv\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))', 2) || regexp_extract(tag, '(?i)\bhttp-equiv\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))', 3) as equiv,
+    regexp_extract(tag, '(?i)\bcontent\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))', 1) || regexp_extract(tag, '(?i)\bcontent\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))', 2) || regexp_extract(tag, '(?i)\bcontent\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))', 3) as content
+  from tags
+), targets as (
+  select url, trim(replace(case when regexp_matches(tag, '(?i)^<link') and regexp_matches(rel, '(?i)(^|\s)canonical(\s|$)') then href
+    when regexp_matches(tag, '(?i)^<meta') and regexp_matches(equiv, '(?i)^\s*refresh\s*$') then regexp_extract(content, '(?i)url\s*=\s*[''"]?([^''"]*)', 1) else '' end, '&amp;', '&')) as t
+  from values_
+), based as (
+  select url, t, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from targets where t <> ''
+), absolute as (
+  select url, case when position('://' in t) > 0 then t when starts_with(t, '//') then 'http:' || t
+    when starts_with(t, '/') then 'http://' || translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || t
+    else 'http://' || translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+      || case when regexp_extract(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '^(.*/)?') = '' then '/' else regexp_extract(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '^(.*/)?') end || t end as target
+  from based
+), keyed as (
+  select distinct u, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    case when starts_with(regexp_extract(r, '^[^/?#]*([^#]*)', 1), '/') then '' else '/' end || regexp_extract(r, '^[^/?#]*([^#]*)', 1) as tail
+  from (select u, case when position('://' in u) > 0 then substr(u, position('://' in u) + 3) else '' end as r from (select url as u from urls union select target from absolute))
+), nodes as (
+  select u, host || tail as node, host, regexp_extract(tail, '^[^?]*') as path from keyed where host <> ''
+), edges as (
+  select x.node as a, y.node as b from absolute join nodes x on x.u = absolute.url join nodes y on y.u = absolute.target where x.node <> y.node
+), ways as (select a, b from edges union select b, a from edges
+), reach as (
+  select a as node, a as other from ways union select r.node, w.b from reach r join ways w on w.a = r.other
+), fits as (
+  select node, host, path, r.* from (select distinct node, host, path from nodes) n join (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) r(verdict, rule_host, rule_path)
+    on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+), own as (
+  select node, arg_max(verdict, length(rule_host) + length(rule_path)) as verdict from fits group by node
+), method as (
+  select reach.node, case when bool_or(own.verdict = 'allow') then 'allow' when bool_or(own.verdict = 'block') then 'block' end as verdict
+  from reach left join own on own.node = reach.other group by reach.node
+), judged as (
+  select page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from (select page_id, coalesce(url, '') as url, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages)
+), ruled as (
+  select *, case when host = 'www.example.com' or ends_with(host, '.www.example.com') then case when starts_with(path, '/en/') then 'www.example.com/en/' end end as r1,
+    case when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/') then 'example.com/en/' end as r2,
+    case when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/' when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/' end as r3,
+    case when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end as r4
+  from judged
+)
+select page_id, ruled.host, ruled.path, coalesce(r1, r2, r3, r4) as rule,
+  case coalesce(r1, r2, r3, r4) when 'www.example.com/en/' then 'allow' when 'com/' then 'allow' when 'example.com/en/' then 'block' when 'net/es/' then 'block' when 'net/fr/' then 'block' else coalesce(method.verdict, 'allow') end as verdict
+from ruled left join nodes on nodes.u = ruled.url left join method on method.node = nodes.node
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": _OP8_SQL}
