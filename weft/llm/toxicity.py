@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm._common import LOWER, NOT_SPACE, byte_set, chunks, hash_spans, strings, utf8
+from weft.llm._common import LOWER, NOT_SPACE, byte_set, chunks, hash_spans, utf8
 
 MOST_LABELLED = 16_000
 #: Longer texts are no training rows (they are scored like all others).
@@ -151,19 +151,29 @@ def features(texts: pa.Array, learned: tuple[np.ndarray, np.ndarray]) -> np.ndar
     ])
 
 
-def learn_lexicon(texts: pa.Array, toxic: np.ndarray, most: int = 500, least_texts: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Words much likelier in toxic texts: hashes and log odds (shrunk), at most `most`."""
-    t = Text(texts)
-    pairs = np.unique(np.column_stack([t.plain, t.owner.astype(np.uint64)]), axis=0) if len(t.plain) else np.empty((0, 2), np.uint64)
-    words, where = np.unique(pairs[:, 0], return_inverse=True)
-    bad = np.bincount(where, weights=toxic[pairs[:, 1].astype(np.int64)], minlength=len(words))
-    all_ = np.bincount(where, minlength=len(words))
-    share = max(float(toxic.mean()), 1e-6)
-    odds = np.log((bad + 4 * share) / (all_ - bad + 4 * (1 - share))) - np.log(share / (1 - share))
-    keep = np.flatnonzero((bad >= least_texts) & (odds > 1.0))
-    keep = keep[np.argsort(-odds[keep], kind="stable")[:most]]
-    keep = np.sort(keep)
-    return words[keep], odds[keep]
+def learn_lexicon(rows: DataFrame, most: int = 500, least_texts: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Words much likelier in toxic texts (__text, __toxic): hashes and log odds (shrunk), at
+    most `most`. Texts are counted by word where they are; only the words chosen come here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches, "__text"):
+            t, toxic = Text(texts), batch.column("__toxic").to_numpy()
+            order = np.lexsort((t.owner, t.plain))
+            word, owner = t.plain[order], t.owner[order]
+            new = np.ones(len(word), bool)
+            new[1:] = (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])
+            words, where = np.unique(word[new], return_inverse=True)
+            bad, all_ = np.bincount(where, weights=toxic[owner[new]], minlength=len(words)), np.bincount(where, minlength=len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(bad), pa.array(all_.astype(float))], names=["word", "bad", "n"])
+
+    size = rows.agg(F.sum("__toxic"), F.count("*")).first()
+    share = min(max((size[0] or 0.0) / max(size[1], 1), 1e-6), 1 - 1e-6)
+    counted = rows.select("__text", "__toxic").mapInArrow(run, "word long, bad double, n double").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(F.col("bad") >= least_texts)
+    odds = F.log((F.col("bad") + 4 * share) / (F.col("n") - F.col("bad") + 4 * (1 - share))) - float(np.log(share / (1 - share)))
+    kept = counted.select("word", odds.alias("odds")).where(F.col("odds") > 1.0).orderBy(F.col("odds").desc(), "word").limit(most).collect()
+    words = np.array([r["word"] for r in kept], np.int64).view(np.uint64)
+    order = np.argsort(words)
+    return words[order], np.array([r["odds"] for r in kept])[order]
 
 
 @dataclass
@@ -253,15 +263,26 @@ class Model:
         return np.clip(0.99 * np.interp(margin, *self.steps) + 0.01 / (1 + np.exp(-margin)), 0, 1)
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, part: np.ndarray) -> Model:
-    """part: 0 to 99 for each row; below 45 the lexicon, below 80 the trees, then the calibration."""
-    empty = (np.empty(0, np.uint64), np.empty(0))
-    deal = [np.flatnonzero((part >= a) & (part < b)) for a, b in ((0, 45), (45, 80), (80, 100))]
-    if any(len(rows) < 20 or len(set(toxic[rows].tolist())) < 2 for rows in deal[1:]) or not len(deal[0]):
-        return Model(empty, None, None)
-    learned = learn_lexicon(texts.take(pa.array(deal[0])), toxic[deal[0]])
-    trees = boost(features(texts.take(pa.array(deal[1])), learned), toxic[deal[1]])
-    return Model(learned, trees, isotonic(trees.margin(features(texts.take(pa.array(deal[2])), learned)), toxic[deal[2]]))
+def fit(rows: DataFrame) -> Model:
+    """rows: __text, __toxic, __part (0 to 99) and __order. Below 45 the lexicon is learned,
+    below 80 the trees, then the calibration. Features are made where the texts are."""
+    learned = learn_lexicon(rows.where(F.col("__part") < 45))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches, "__text"):
+            x = pa.FixedSizeListArray.from_arrays(pa.array(features(texts, learned).ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], x], names=["toxic", "part", "at", "x"])
+
+    made = rows.where(F.col("__part") >= 45).select("__toxic", "__part", "__order", "__text").mapInArrow(run, "toxic double, part long, at long, x array<double>")
+    found = made.toPandas()
+    x = np.array(found["x"].tolist()).reshape(-1, len(FEATURES))
+    order = np.lexsort((*x.T, found["toxic"].to_numpy(), found["at"].to_numpy()))  # the same whatever the partitions
+    x, toxic, part = x[order], found["toxic"].to_numpy(float)[order], found["part"].to_numpy()[order]
+    grow, fix = part < 80, part >= 80
+    if any(k.sum() < 20 or len(set(toxic[k].tolist())) < 2 for k in (grow, fix)):
+        return Model((np.empty(0, np.uint64), np.empty(0)), None, None)
+    trees = boost(x[grow], toxic[grow])
+    return Model(learned, trees, isotonic(trees.margin(x[fix]), toxic[fix]))
 
 
 def remainder(ids: Column, folds: int) -> Column:
@@ -273,8 +294,7 @@ def train(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     sample = usable.groupBy(F.col(id_column).alias("__id")).agg(F.max(label_column).cast("double").alias("__toxic")).orderBy(F.xxhash64("__id"), "__id").limit(most_labelled)
     chosen = documents.where(F.octet_length(text_column) <= MOST_BYTES).select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"))
     rows = chosen.join(F.broadcast(sample), "__id").select("__text", "__toxic", F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(100)).alias("__part"), F.xxhash64("__id").alias("__order"))
-    found = rows.orderBy("__order", "__text").limit(2 * most_labelled).toArrow()
-    return fit(strings(found.column("__text")), found.column("__toxic").to_numpy(), found.column("__part").to_numpy())
+    return fit(rows)
 
 
 def _scored(documents: DataFrame, model: Model, kept: list[str], text_column: str) -> DataFrame:
