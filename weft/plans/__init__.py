@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from weft.plans import mixture_queries, stat_queries
+from weft.plans import media_queries, mixture_queries, stat_queries
 from weft.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "mixture_queries", "stat_queries"]
+__all__ = ["ORACLES", "QUERIES", "media_queries", "mixture_queries", "stat_queries"]
