@@ -174,7 +174,7 @@ def test_pictures_and_sound():
     tone = np.sin(2 * np.pi * 440 * np.arange(32_000) / 16_000).astype(np.float32)
     values = media.log_mel(tone)
     assert values.shape == (80, 200) and 0 <= values.min() and values.max() <= 1
-    assert abs(int(np.argmax(values[:, 100])) - int(np.argmax(media.mel_matrix()[:, 11]))) <= 1
+    assert values[np.argmax(media.mel_matrix()[:, 11]), 100] == values[:, 100].max() > values[60, 100]
     assert [p.shape for p in media.log_mel_pages(tone, 1.5)] == [(80, 150)] * 2
     with pytest.raises(ValueError):
         media.log_mel_pages(tone, 0.5, 2)
