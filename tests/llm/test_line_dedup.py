@@ -26,6 +26,16 @@ def plain(rows):
     return sorted((d, len(t.split("\n")), len(removed[d]), removed[d]) for d, t in rows)
 
 
+def lines_around(words_, seed, n=40):
+    rng = np.random.default_rng(seed)
+    base = [f"v{x}" for x in range(words_)]
+    out = []
+    for _ in range(n):
+        own = [w for w in base if rng.random() > 0.08] + [f"z{rng.integers(0, 10**6)}" for _ in range(int(rng.integers(0, 12)))]
+        out.append(" ".join(own))
+    return out
+
+
 def lines_with_edits(seed, n=60):
     rng = np.random.default_rng(seed)
     base = [f"w{x}" for x in rng.integers(0, 60, 14)]
@@ -43,6 +53,7 @@ def test_all_pairs(spark, sf_dir):
     extra = ["", "a", "\n\n", "one two three four five\nONE two\tthree four five", "long " * 9000 + " ".join(map(str, range(3000)))]
     extra += ["\n".join(lines_with_edits(s)[k : k + 5]) for s in range(4) for k in range(0, 60, 5)]
     extra += ["\n".join(" ".join(f"w{x}" for x in np.random.default_rng(900 + k).integers(0, 25, 8)) for _ in range(3)) for k in range(80)]
+    extra += [x for size in (62, 66, 130) for x in lines_around(size, size)]
     rows += [(100_000 + k, t) for k, t in enumerate(extra)]
     df = spark.createDataFrame([(d, t, 3, "c") for d, t in rows], "doc_id long, text string, doc int, line string")
     got = {r.doc_id: r for r in line_dedup.report(df).collect()}

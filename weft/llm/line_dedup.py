@@ -6,14 +6,15 @@ of fewer than `least_words` distinct words stay.
 
 1. Rarity: words of all texts are counted in SLOTS hashed slots. A word's code has its
    slot's frequency class above its hash, so sorted codes run from rare to common.
-2. Lines with equal sets are one class, stood for by its earliest line; the later lines
-   of a class go.
-3. Each class posts its prefix, the rarest words that a match cannot avoid. Postings of
-   one word, in order, are compared with the first and the three before them: linear in
-   the size of the group. Size, position and a 64-bit parity sketch rule pairs out;
-   Jaccard on the words themselves decides.
-4. Lines that no neighbour removed, in groups too large for step 3 to be complete, are
-   joined with all earlier postings of their words under the same filters.
+2. Lines that are 1/HOT of all lines or more, letter for letter, go but for the earliest.
+3. Each other line posts its prefix, the rarest words that a match cannot avoid, with its
+   size and a parity sketch of its words. The postings of one word are sorted once; each is
+   compared with the first and the three before it (linear in the size of the group), and
+   only postings that find no candidate there with all earlier ones. Size, position and
+   sketch filters rule pairs out; the candidate with the nearest sketch is kept.
+4. Jaccard on the words decides whether that candidate matches.
+5. Lines whose candidate does not match are compared with all earlier postings of their
+   words under the same filters, and Jaccard decides again.
 
 Defined results: null text has no lines and stays null; empty lines stay; rows that
 repeat (same id and text) are one document, and all get its answer; a null id comes
@@ -29,15 +30,20 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm._common import checkpoint
+from weft.llm._common import checkpoint, partitions
 
 SHARE, PER = 80, 100
 LEAST_WORDS = 5
-SLOTS = 32_768
-#: Ids that are sent to all executors at most (16 MB); more are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
+SLOTS = 16_384
+#: Rows (id, line number) that are sent to all executors at most; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
+HOT = 4096
 _HASH_BITS = 56
 _LAGS = 3
+#: Parity sketches of 64 bits: of all words and, for lines of more than LONG words, of the
+#: words in three of four hash classes (the fourth follows from them).
+_SKETCH = ("s0", "s1", "s2", "s3")
+LONG = 64
 
 
 def _words(text: Column) -> Column:
@@ -49,6 +55,11 @@ def _word_set(line: Column) -> Column:
     return F.array_remove(F.array_distinct(_words(line)), "")
 
 
+def _hash_set(line: Column) -> Column:
+    """Hashes of the distinct words."""
+    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
 def lines_of(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """doc, line_no and line of every line, in the order of the text."""
     return documents.select(F.col(id_column).alias("doc"), F.posexplode(F.split(F.col(text_column), "\n")).alias("line_no", "line"))
@@ -62,113 +73,158 @@ def rarity_classes(documents: DataFrame, text_column: str) -> list[int]:
     return [min(127, int(4 * math.log2(counts.get(k, 0) + 1))) for k in range(SLOTS)]
 
 
-def _need(a: Column, b: Column) -> Column:
-    """Words that two sets of these sizes share at least, to match."""
-    return F.ceil((a + b) * SHARE / (SHARE + PER)).cast("int")
+def _far(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Words of only one of two sets, at least: bits in which their sketches differ."""
+    d0, d1, d2, d3 = (a[c].bitwiseXOR(b[c]) for c in _SKETCH)
+    rest = d0.bitwiseXOR(d1).bitwiseXOR(d2).bitwiseXOR(d3)
+    return F.coalesce(F.bit_count(rest) + F.bit_count(d1) + F.bit_count(d2) + F.bit_count(d3), F.bit_count(d0))
 
 
-def _may_match(a: str, b: str) -> Column:
+def _may_match(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Size, position and sketch filters between two postings of one word."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    i, j = F.col(f"{a}.pos"), F.col(f"{b}.pos")
-    need = _need(n, m)
-    most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
-    return (n * PER >= m * SHARE) & (m * PER >= n * SHARE) & (most >= need) & (F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch"))) <= n + m - 2 * need)
+    n, m, i, j = a["n"], b["n"], a["pos"], b["pos"]
+    # sets of n and m that match share (n + m) * SHARE / (SHARE + PER) words or more, and differ in the rest
+    few, enough, both = F.lit(PER - SHARE), F.lit(SHARE), F.lit(SHARE + PER)
+    near = F.bit_count(a["s0"].bitwiseXOR(b["s0"])) * both <= (n + m) * few
+    sizes = (n * PER >= m * SHARE) & (m * PER >= n * SHARE)
+    places = (F.least(i, j) + F.least(n - i, m - j)) * both >= (n + m) * enough
+    return near & sizes & places & (_far(a, b) * both <= (n + m) * few)
+
+
+def _named(prefix: str) -> dict[str, Column]:
+    return {c: F.col(f"{prefix}{c}") for c in ("doc", "line_no", "n", "pos", *_SKETCH)}
+
+
+def _before(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """a stands before b; a null id before all others."""
+    doc, other = a["doc"], b["doc"]
+    first = (doc.isNull() & other.isNotNull()) | F.coalesce(doc < other, F.lit(False))
+    return first | (doc.eqNullSafe(other) & (a["line_no"] < b["line_no"]))
+
+
+def _text_key(line: Column) -> Column:
+    return F.struct(F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2"))
+
+
+def _hot_lines(lines: DataFrame) -> DataFrame:
+    """k1, k2 and the earliest place of lines that make up 1/HOT of all lines or more: HOT rows at most."""
+    counted = lines.where(F.length("line") > 0).select("doc", "line_no", _text_key(F.col("line")).alias("k"))
+    total = counted.count()
+    frequent = counted.groupBy("k").agg(F.count("*").alias("n"))
+    return counted.join(F.broadcast(frequent.where((F.col("n") * HOT >= total) & (F.col("n") > 1)).select("k")), "k").groupBy("k").agg(F.min(F.struct("doc", "line_no")).alias("at"))
 
 
-def _classes(documents: DataFrame, id_column: str, text_column: str, least_words: int) -> DataFrame:
-    """doc, line_no (of the earliest line), n, sketch and prefix of each distinct word set."""
-    rarity = F.from_json(F.lit(json.dumps(rarity_classes(documents, text_column))), "array<int>")
-    hashed = lines_of(documents, id_column, text_column).select("doc", "line_no", F.transform(_word_set(F.col("line")), lambda w: F.xxhash64(w)).alias("h"))
-    hashed = hashed.where(F.size("h") >= least_words)
+def _postings(lines: DataFrame, rarity: list[int], least_words: int) -> DataFrame:
+    """code, doc, line_no, n, pos and sketch of each prefix word of each line."""
+    slots = F.from_json(F.lit(json.dumps(rarity)), "array<int>")
+    hashed = lines.select("doc", "line_no", _hash_set(F.col("line")).alias("h")).where(F.size("h") >= least_words)
 
     def code(h: Column) -> Column:
-        slot = F.coalesce(F.get(rarity, h.bitwiseAND(SLOTS - 1).cast("int")), F.lit(0))
+        slot = F.coalesce(F.get(slots, h.bitwiseAND(SLOTS - 1).cast("int")), F.lit(0))
         return F.shiftleft(slot.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND((1 << _HASH_BITS) - 1))
 
-    def bit(h: Column) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 20).bitwiseAND(63).cast("int"))
+    def parity(hashes: Column | str) -> Column:
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 44).cast("int"))  # noqa: E731  a shift takes 6 bits
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
 
-    sketch = F.aggregate("h", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
     n = F.size("h")
-    coded = hashed.select("doc", "line_no", n.alias("n"), sketch.alias("sketch"), F.sort_array(F.transform("h", code)).alias("codes"))
-    prefix = F.slice("codes", 1, F.col("n") - F.ceil(F.col("n") * SHARE / PER).cast("int") + 1)
-    keyed = coded.select("doc", "line_no", "n", "sketch", prefix.alias("prefix"), F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"))
-    first = F.min(F.struct("doc", "line_no")).alias("first")
-    return keyed.groupBy("k1", "k2").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")).select(
-        F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no"), "n", "sketch", "prefix"
-    )
-
-
-def _matching(pairs: DataFrame, documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """doc, line_no of the later lines of pairs (late, early) whose word sets match."""
-    pairs = checkpoint(pairs.distinct())
-    wanted = pairs.select("late.*").union(pairs.select("early.*")).distinct()
-    ids = wanted.select(F.col("doc").alias("__doc")).distinct()
-    source = documents.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text"))
-    small = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    source = source.join(F.broadcast(ids) if small else ids, F.col("doc").eqNullSafe(F.col("__doc")), "left_semi")
-    lines = lines_of(source, "doc", "text").select(F.struct("doc", "line_no").alias("at"), "line")
-    wanted = wanted.select(F.struct("doc", "line_no").alias("at"))
-    lines = lines.join(wanted, lines["at"].eqNullSafe(wanted["at"]), "left_semi").select("at", _word_set(F.col("line")).alias("words"))
-    late, early = lines.select(F.col("at").alias("late_at"), F.col("words").alias("a")), lines.select(F.col("at").alias("early_at"), F.col("words").alias("b"))
-    both = pairs.join(late, F.col("late").eqNullSafe(F.col("late_at"))).join(early, F.col("early").eqNullSafe(F.col("early_at")))
+    dealt = lambda k: F.filter("h", lambda h: F.shiftrightunsigned(h, 56).bitwiseAND(3) == k)
+    # columns that are never null, so that both sides of the join below keep one plan and share its exchange
+    parts = [F.coalesce(parity("h"), F.lit(0)).alias("s0"), *(F.when(n > LONG, parity(dealt(k))).alias(f"s{k}") for k in (1, 2, 3))]
+    prefix = F.slice(F.sort_array(F.transform("h", code)), F.lit(1), n - F.ceil(n * SHARE / PER).cast("int") + 1)
+    coded = hashed.select("doc", "line_no", F.coalesce(n, F.lit(0)).alias("n"), *parts, prefix.alias("prefix"))
+    return coded.select("doc", "line_no", "n", *_SKETCH, F.posexplode("prefix").alias("pos", "code"))
+
+
+def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
+
+
+def _at_places(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """The lines that stand at the places (doc, line_no); few places are sent to all executors."""
+    small = places.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    wanted = _prefixed(places, "__")
+    same = F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("line_no") == F.col("__line_no"))
+    return lines.join(F.broadcast(wanted) if small else wanted, same, "left_semi")
+
+
+def _matching(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc, line_no of the later lines of the pairs (a..., b...) whose word sets match."""
+    early = pairs.select(F.col("bdoc").alias("doc"), F.col("bline_no").alias("line_no")).distinct()
+    late = pairs.select(F.col("adoc").alias("doc"), F.col("aline_no").alias("line_no")).distinct()
+    x, y = _prefixed(_at_places(lines, late), "x"), _prefixed(_at_places(lines, early), "y")
+    both = pairs.join(y, F.col("bdoc").eqNullSafe(F.col("ydoc")) & (F.col("bline_no") == F.col("yline_no"))).select("adoc", "aline_no", "yline")
+    both = both.join(x, F.col("adoc").eqNullSafe(F.col("xdoc")) & (F.col("aline_no") == F.col("xline_no")))
+    sets = both.select("adoc", "aline_no", _word_set(F.col("xline")).alias("a"), _word_set(F.col("yline")).alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     match = shared * PER >= (F.size("a") + F.size("b") - shared) * SHARE
-    return both.where(match).select("late.*").distinct()
-
-
-def kept_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc, line_no of the lines of `least_words` words or more that stay."""
-    classes = _classes(documents, id_column, text_column, least_words)
-    postings = classes.select("doc", "line_no", "n", "sketch", F.posexplode("prefix").alias("pos", "code"))
-    by_word = Window.partitionBy("code").orderBy("own.doc", "own.line_no")
-    rows = postings.select("code", F.struct("doc", "line_no", "n", "sketch", "pos").alias("own"))
-    rows = rows.withColumn("rank", F.row_number().over(by_word)).withColumn("e0", F.first("own").over(by_word))
-    for k in range(1, _LAGS + 1):
-        rows = rows.withColumn(f"e{k}", F.lag("own", k).over(by_word))
-    rows = rows.withColumn("group", F.count("*").over(Window.partitionBy("code")))
-    place = lambda e: F.struct(F.col(f"{e}.doc"), F.col(f"{e}.line_no"))
-    near = [F.when((F.col("rank") > max(1, k)) & _may_match("own", f"e{k}"), place(f"e{k}")) for k in range(_LAGS + 1)]
-    large = F.col("group") > _LAGS + 2
-    seen = rows.select("code", "own", "rank", large.alias("large"), F.array_distinct(F.array_compact(F.array(*near))).alias("near"))
-    seen = checkpoint(seen.where(F.col("large") | (F.size("near") > 0) | (F.col("own.pos") == 0)))
-
-    firsts = seen.where(F.col("own.pos") == 0).select("own.doc", "own.line_no")
-    pairs = seen.select(place("own").alias("late"), F.explode("near").alias("early"))
-    gone = checkpoint(_matching(pairs, documents, id_column, text_column))
-
-    crowd = seen.where("large").select("code", "own", "rank")
-    open_ = crowd.where(F.col("rank") > _LAGS + 2).join(gone.select(F.struct("doc", "line_no").alias("__gone")), place("own").eqNullSafe(F.col("__gone")), "left_anti")
-    a, b = open_.select("code", F.col("own").alias("x"), F.col("rank").alias("late_rank")), crowd.select(F.col("code").alias("__code"), F.col("own").alias("y"), F.col("rank").alias("early_rank"))
-    joined = a.join(b, (F.col("code") == F.col("__code")) & (F.col("early_rank") > 1) & (F.col("early_rank") < F.col("late_rank") - _LAGS) & _may_match("x", "y"))
-    more = _matching(joined.select(place("x").alias("late"), place("y").alias("early")), documents, id_column, text_column)
-    dropped = gone.union(more).select(F.struct("doc", "line_no").alias("__gone"))
-    return firsts.join(dropped, F.struct("doc", "line_no").eqNullSafe(F.col("__gone")), "left_anti")
-
-
-def _kept_by_document(documents: DataFrame, id_column: str, text_column: str, least_words: int) -> DataFrame:
-    kept = kept_lines(documents, id_column, text_column, least_words)
-    return kept.groupBy(F.col("doc").alias("__doc")).agg(F.sort_array(F.collect_set("line_no")).alias("__kept"))
+    return sets.where(match).select(F.col("adoc").alias("doc"), F.col("aline_no").alias("line_no")).distinct()
+
+
+def removed_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc, line_no of the lines that go."""
+    rarity = rarity_classes(documents, text_column)
+    lines = lines_of(documents, id_column, text_column)
+    long_line = F.size(_word_set(F.col("line"))) >= least_words
+    hot = checkpoint(_hot_lines(lines))
+    keyed = lines.withColumn("k", _text_key(F.col("line"))).join(F.broadcast(hot), "k", "left")
+    first = F.col("at").isNull() | (F.col("at.doc").eqNullSafe(F.col("doc")) & (F.col("at.line_no") == F.col("line_no")))
+    hot_gone = keyed.where(~first & long_line).select("doc", "line_no")
+
+    singles = keyed.where(first).select("doc", "line_no", "line")
+    posted = _postings(singles, rarity, least_words).repartition(partitions(documents.sparkSession), "code")
+    by_word = Window.partitionBy("code").orderBy("doc", "line_no")
+    own = F.struct("doc", "line_no", "n", "pos", *_SKETCH)
+    rows = posted.select("*", F.row_number().over(by_word).alias("rank"), F.first(own).over(by_word).alias("e0"), *(F.lag(own, k).over(by_word).alias(f"e{k}") for k in range(1, _LAGS + 1)))
+    mine = {c: F.col(c) for c in ("doc", "line_no", "n", "pos", *_SKETCH)}
+
+    def candidate(e: str) -> Column:
+        its = {c: F.col(f"{e}.{c}") for c in mine}
+        return F.when(_may_match(mine, its) & _before(its, mine), F.struct(_far(mine, its).alias("far"), its["doc"].alias("doc"), its["line_no"].alias("line_no")))
+
+    rows = rows.withColumn("e", F.array_min(F.array_compact(F.array(*(candidate(f"e{k}") for k in range(_LAGS + 1)))))).drop(*(f"e{k}" for k in range(_LAGS + 1)))
+    near = rows.where(F.col("e").isNotNull()).select(F.col("doc").alias("adoc"), F.col("line_no").alias("aline_no"), "e")
+    a, b = _named("a"), _named("b")
+    earlier = (F.col("acode") == F.col("bcode")) & _may_match(a, b) & _before(b, a)
+    lonely = _prefixed(rows.where(F.col("e").isNull() & (F.col("rank") > _LAGS + 2)).drop("e"), "a")
+    found = lonely.join(_prefixed(posted, "b").hint("merge"), earlier).select("adoc", "aline_no", F.struct(_far(a, b).alias("far"), b["doc"].alias("doc"), b["line_no"].alias("line_no")).alias("e"))
+    best = near.union(found).groupBy("adoc", "aline_no").agg(F.min("e").alias("e"))
+    pairs = checkpoint(best.select("adoc", "aline_no", F.col("e.doc").alias("bdoc"), F.col("e.line_no").alias("bline_no")))
+    gone = checkpoint(_matching(pairs, lines))
+
+    tested = pairs.select(F.col("adoc").alias("doc"), F.col("aline_no").alias("line_no"))
+    gone_places = _prefixed(gone, "__")
+    open_places = tested.join(gone_places, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("line_no") == F.col("__line_no")), "left_anti")
+    open_posted = checkpoint(_postings(_at_places(singles, open_places), rarity, least_words))
+    few = open_posted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    late = _prefixed(open_posted, "a")
+    more = _prefixed(_postings(singles, rarity, least_words), "b").join(F.broadcast(late) if few else late, earlier)
+    pairs = checkpoint(more.select("adoc", "aline_no", "bdoc", "bline_no").distinct())
+    return hot_gone.union(gone).union(_matching(pairs, lines))
+
+
+def _removed_by_document(documents: DataFrame, id_column: str, text_column: str, least_words: int) -> DataFrame:
+    removed = removed_lines(documents, id_column, text_column, least_words)
+    return removed.groupBy(F.col("doc").alias("__doc")).agg(F.sort_array(F.collect_set("line_no")).alias("__removed"))
 
 
 def report(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """id, n_lines, n_removed and removed (line numbers from 0, in order) of each row."""
-    kept = _kept_by_document(documents, id_column, text_column, least_words)
-    long_lines = F.filter(F.transform(F.split(F.col(text_column), "\n"), lambda x, k: F.when(F.size(_word_set(x)) >= least_words, k)), lambda k: k.isNotNull())
-    own = documents.select(F.col(id_column), F.coalesce(F.size(F.split(F.col(text_column), "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(long_lines, F.array().cast("array<int>")).alias("__long"))
-    own = own.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    joined = own.join(kept, F.col(id_column).eqNullSafe(F.col("__doc")), "left")
-    removed = F.array_except("__long", F.coalesce("__kept", F.array().cast("array<int>")))
+    gone = _removed_by_document(documents, id_column, text_column, least_words)
+    n_lines = F.when(F.col(text_column).isNotNull(), F.size(F.split(F.col(text_column), "\n"))).otherwise(0).cast("long")
+    own = documents.select(F.col(id_column), n_lines.alias("n_lines"))
+    removed = F.coalesce("__removed", F.array().cast("array<int>"))
+    joined = own.join(gone, F.col(id_column).eqNullSafe(F.col("__doc")), "left")
     return joined.select(id_column, "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def dedup(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents, all columns, without the lines that go."""
-    kept = _kept_by_document(documents, id_column, text_column, least_words)
+    gone = _removed_by_document(documents, id_column, text_column, least_words)
     names = documents.columns
     renamed = documents.toDF(*(f"__c{k}" for k in range(len(names))))
     key, text = f"__c{names.index(id_column)}", f"__c{names.index(text_column)}"
-    joined = renamed.join(kept, F.col(key).eqNullSafe(F.col("__doc")), "left")
-    numbered = F.transform(F.split(F.col(text), "\n"), lambda x, k: F.when((F.size(_word_set(x)) < least_words) | F.array_contains("__kept", k), x))
-    return joined.withColumn(text, F.array_join(F.filter(numbered, lambda x: x.isNotNull()), "\n")).select(*renamed.columns).toDF(*names)
+    joined = renamed.join(gone, F.col(key).eqNullSafe(F.col("__doc")), "left")
+    numbered = F.transform(F.split(F.col(text), "\n"), lambda x, k: F.when(~F.array_contains("__removed", k), x))
+    rest = F.array_join(F.filter(numbered, lambda x: x.isNotNull()), "\n")
+    return joined.withColumn(text, F.when(F.col("__removed").isNull(), F.col(text)).otherwise(rest)).select(*renamed.columns).toDF(*names)
