@@ -77,3 +77,15 @@ def test_odd_tables(spark):
     assert lm_score.score(df.limit(0)).count() == 0
     only = spark.createDataFrame([(k, "x y") for k in range(200) if zlib.crc32(str(k).encode()) % 5 == 1], "doc_id long, text string")
     assert {(r.held_out, r.n_known, r.base_score, r.score) for r in lm_score.score(only).collect()} == {(True, 0, 0.0, 0.0)}
+
+
+def test_rare_words_are_contexts(spark):
+    """Words below 1/contexts of the tokens have a restaurant of their own, and know what follows them."""
+    ids = [k for k in range(20_000) if zlib.crc32(str(k).encode()) % 5 != 1]
+    probes = [k for k in range(30_000, 40_000) if zlib.crc32(str(k).encode()) % 5 == 1]
+    train = [(ids[40 * k + j], f"rare{k} next{k}") for k in range(30) for j in range(5)] + [(ids[1500 + k], "the of " * 40) for k in range(20)]
+    right = [(probes[k], f"rare{k} next{k}") for k in range(30)]
+    wrong = [(probes[100 + k], f"rare{k} next{(k + 1) % 30}") for k in range(30)]
+    df = spark.createDataFrame([*train, *right, *wrong], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_score.score(df, contexts=8).collect()}
+    assert all(got[a] > got[b] + 1 for (a, _), (b, _) in zip(right, wrong, strict=True))

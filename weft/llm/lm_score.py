@@ -1,9 +1,8 @@
 """Language-model scores by a hierarchical Pitman-Yor model of word pairs.
 
-Every word that makes up at least 1/CONTEXTS of the training tokens, and the start of a
-text, is a context with a restaurant of its own; all of these share one parent, the
-restaurant of single words, which also seats the tokens after rarer words, and whose base
-is uniform over the vocabulary and one unknown word. Customers are seated by Chinese
+Every word of the training tokens, and the start of a text, is a context with a restaurant
+of its own; all of these share one parent, the restaurant of single words, whose base is
+uniform over the vocabulary and one unknown word. Customers are seated by Chinese
 restaurant processes and reseated by blocked Gibbs sweeps: all customers of a dish in a
 restaurant leave and come back one by one, given the tables elsewhere after the last
 sweep. Each sweep is a sample; predictive probabilities are averaged over the samples
@@ -11,14 +10,16 @@ after the first.
 
 Texts are taken in batches of BATCH_ROWS rows. A batch sends its distinct cells (word and
 context) with their training counts, packed, to hash buckets by word, so a dish and its
-cells in all contexts are in one bucket. The few frequent words (CONTEXTS at most) are
-dealt by word and context, or by batch where the context has no restaurant; their place
-in the parent is kept on the driver. What all buckets need (customers and tables by
-context) is at most CONTEXTS numbers. Sweeps are replayed from the stored buckets with
-seeded random numbers, so no state is kept in workers and a lost one costs its bucket's
-work only. In the end each bucket answers each batch with the probabilities of its cells
-(float32) and the counts of its words; batches read their texts again and add up. What is
-sent grows with the number of distinct cells of the batches, not with that of buckets.
+cells in all contexts are in one bucket. Only frequent words (1/CONTEXTS of the training
+tokens or more, so CONTEXTS at most) are dealt by word and context; their place in the
+parent is kept on the driver. After each sweep a bucket sends the tables and customers of
+its contexts to parts by the context's hash, which add them up and answer each bucket for
+its own contexts; so no task and no driver holds all contexts. Sweeps are replayed from
+the stored buckets and totals with seeded random numbers, so no state is kept in workers
+and a lost one costs its bucket's work only. In the end each bucket answers each batch
+with the probabilities of its cells (float32) and the counts of its words; batches read
+their texts again and add up. What is sent grows with the number of distinct cells of the
+batches, and each sweep with the distinct contexts of the buckets.
 Batches are numbered by the order of the scan; if a second scan gave other batches, the
 checksums that travel with the cells would differ and the job would fail.
 
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 from weft.llm._common import NOT_SPACE, Words, checkpoint, chunks, hash_spans, mix, partitions
 
 FOLDS, HELD_OUT = 5, 1
+#: Words of 1/CONTEXTS of the training tokens or more are dealt by word and context.
 CONTEXTS = 16_384
 #: Sweeps after the first seating; each is a sample.
 SWEEPS = 2
@@ -50,12 +52,11 @@ BATCH_ROWS = 1024
 SEED = 11
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_END, _NONE, _START = np.uint64(0x5BD1E995A3C4F0D7), 0, 1
+_END, _START = np.uint64(0x5BD1E995A3C4F0D7), np.uint64(0xB492B66FBE98F273)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
-_PACKED = "bucket int, batch long, check long, words binary, cell_words binary, contexts binary, counts binary"
-_TYPES = (np.uint64, np.uint32, np.uint16, np.uint32)
-#: Rows of sums: contexts have their number, frequent words FREQUENT and theirs.
-FREQUENT = 1 << 20
+_PACKED = "bucket int, batch long, check long, words binary, cell_words binary, contexts binary, cell_contexts binary, counts binary"
+_SUMS = "part int, bucket int, id long, a double, b double, contexts binary, tables binary, customers binary"
+#: Ids of the sums for the driver: frequent words have their number.
 _ROOT, _SIZE, _CHILD_ONES, _ROOT_ONES = -1, -2, -3, -4
 
 
@@ -84,19 +85,22 @@ def _place(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[at] == values, at, -1)
 
 
-def _tokens(words: Words, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hash, context and text of every token, the end tokens last."""
-    context = _place(frequent, words.hashes) + 2
-    context[context == 1] = _NONE
-    before = np.empty(len(context), np.int64)
-    before[1:] = context[:-1]
+def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hash, context (hash of the word before) and text of every token, the end tokens last."""
+    before = np.empty(len(words.hashes), np.uint64)
+    before[1:] = words.hashes[:-1]
     filled = np.flatnonzero(words.counts)
     before[words.first[filled]] = _START
     last = np.full(words.texts, _START)
-    last[filled] = context[words.first[filled + 1] - 1]
+    last[filled] = words.hashes[words.first[filled + 1] - 1]
     return np.append(words.hashes, np.full(words.texts, _END)), np.append(before, last), np.append(words.text_of, np.arange(words.texts))
 
 
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each hash; sorted hashes have sorted parts."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
 def _squeeze(values: np.ndarray) -> bytes:
     """Little integers by planes of bytes, compressed."""
     raw = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes() if values.itemsize > 1 else values.tobytes()
@@ -125,17 +129,16 @@ class Cells:
         return found, np.append(start, len(self.bucket))
 
 
-def _cells(texts: list[pa.Array], batch: int, frequent: np.ndarray, buckets: int) -> Cells:
+def _cells(texts: list[pa.Array], frequent: np.ndarray, buckets: int) -> Cells:
     parts, base = [], 0
     for t in texts:
-        h, context, owner = _tokens(Words(t, NOT_SPACE), frequent)
+        h, context, owner = _tokens(Words(t, NOT_SPACE))
         parts.append((h, context, owner + base))
         base += len(t)
     h, context, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
     often = _place(frequent, h) >= 0
     with np.errstate(over="ignore"):
-        by = np.where(often, np.where(context != _NONE, mix(h + context.astype(np.uint64) * _STEP), mix(np.full(len(h), batch, np.int64).view(np.uint64))), mix(h))
-    bucket = ((by >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        bucket = _part(np.where(often, mix(h + context * _STEP), mix(h)), buckets)
     order = np.lexsort((context, h, bucket))
     h, context, bucket = h[order], context[order], bucket[order]
     new = np.ones(len(h), bool)
@@ -175,26 +178,38 @@ def _checksum(keys: np.ndarray) -> int:
 def _pack(documents: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, texts, columns in _batches(batches, ["__key", "__train"]):
-            cells, check = _cells(texts, number, frequent, buckets), _checksum(columns["__key"])
+            cells, check = _cells(texts, frequent, buckets), _checksum(columns["__key"])
             counts = np.bincount(cells.cell_of, weights=columns["__train"][cells.text_of], minlength=len(cells.word))
             found, edges = cells.edges()
-            blobs: list[list[bytes]] = [[] for _ in _TYPES]
+            blobs: list[list[bytes]] = [[] for _ in range(5)]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 words, index = np.unique(cells.word[a:b], return_inverse=True)
-                for column, v, t in zip(blobs, (words, index, cells.context[a:b], counts[a:b]), _TYPES, strict=True):
-                    column.append(words.tobytes() if v is words else _squeeze(v.astype(t)))
+                contexts, context_index = np.unique(cells.context[a:b], return_inverse=True)
+                own = (words.tobytes(), _squeeze(index.astype(np.uint32)), contexts.tobytes(), _squeeze(context_index.astype(np.uint32)), _squeeze(counts[a:b].astype(np.uint32)))
+                for column, v in zip(blobs, own, strict=True):
+                    column.append(v)
             same = [pa.array(np.full(len(found), x), pa.int64()) for x in (number, check)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *same, *(pa.array(c, pa.binary()) for c in blobs)], names=["bucket", "batch", "check", "words", "cell_words", "contexts", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *same, *(pa.array(c, pa.binary()) for c in blobs)], names=["bucket", "batch", "check", "words", "cell_words", "contexts", "cell_contexts", "counts"])
 
     return documents.mapInArrow(run, _PACKED)
 
 
+def _dealt(packed: DataFrame, buckets: int) -> DataFrame:
+    """A checkpoint by bucket. Only a plan that is not adaptive tells later ones how it is
+    dealt, so that groups by bucket are made without sending it again."""
+    conf, name = packed.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return checkpoint(packed.repartition(buckets, "bucket"))
+    finally:
+        conf.set(name, before)
+
+
 @dataclass
 class Sums:
-    """What all buckets have together after a sweep; arrays by context or frequent word."""
+    """What all buckets have together after a sweep, without contexts; arrays by frequent word."""
 
-    child_tables: np.ndarray
-    child_customers: np.ndarray
     frequent_customers: np.ndarray
     frequent_counts: np.ndarray
     frequent_tables: np.ndarray
@@ -240,14 +255,17 @@ class Bucket:
 
     frequent: np.ndarray
     words: np.ndarray
+    contexts: np.ndarray  # of all its cells, sorted
     cell_key: np.ndarray
     cell_count: np.ndarray
-    direct: np.ndarray  # customers of the parent after rarer words
     counts: np.ndarray
-    base: int
+    #: For each sweep the tables of its contexts in all buckets, and the customers.
+    child_tables: list[np.ndarray]
+    child_customers: np.ndarray | None
     states: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
+        self.base = len(self.contexts)
         self.cell_word, self.cell_context = self.cell_key // self.base, self.cell_key % self.base
         self.often = _place(self.frequent, self.words)
 
@@ -259,9 +277,9 @@ class Bucket:
             last, (_, customers, root_tables) = past[number - 1], self.states[-1]
             rare, at = self.often < 0, np.maximum(self.often, 0)
             p = last.root(np.where(rare, customers, last.frequent_customers[at]), np.where(rare, root_tables, last.frequent_tables[at]))
-            weight = (CHILD_STRENGTH + last.child_discount * last.child_tables[self.cell_context]) * p[self.cell_word]
+            weight = (CHILD_STRENGTH + last.child_discount * self.child_tables[number - 1][self.cell_context]) * p[self.cell_word]
             tables = seat(self.cell_count, weight, last.child_discount, rng)
-        customers = self.direct + np.bincount(self.cell_word, weights=tables, minlength=len(self.words))
+        customers = np.bincount(self.cell_word, weights=tables, minlength=len(self.words))
         if number == 0:
             root_tables = np.minimum(customers, 1)
         else:
@@ -271,45 +289,81 @@ class Bucket:
         self.states.append((tables, customers, root_tables))
 
     def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        tables, customers, root_tables = self.states[-1]
+        """Ids and two numbers each for the driver."""
+        _, customers, root_tables = self.states[-1]
         rare = (self.often < 0) & (self.counts > 0)
         often = np.flatnonzero((self.often >= 0) & (self.counts > 0))
-        by_context = [np.bincount(self.cell_context, weights=w, minlength=self.base) for w in (tables, self.cell_count)]
-        used = np.flatnonzero(by_context[1])
         ones = [[(x == k).sum() for k in (1, 2)] for x in (self.cell_count, customers[rare])]
-        ids = np.concatenate([used, FREQUENT + self.often[often], [_ROOT, _SIZE, _CHILD_ONES, _ROOT_ONES]])
-        first = np.concatenate([by_context[0][used], customers[often], [customers[rare].sum(), self.counts.sum(), ones[0][0], ones[1][0]]])
-        second = np.concatenate([by_context[1][used], self.counts[often], [root_tables[rare].sum(), rare.sum(), ones[0][1], ones[1][1]]])
+        ids = np.concatenate([self.often[often], [_ROOT, _SIZE, _CHILD_ONES, _ROOT_ONES]])
+        first = np.concatenate([customers[often], [customers[rare].sum(), self.counts.sum(), ones[0][0], ones[1][0]]])
+        second = np.concatenate([self.counts[often], [root_tables[rare].sum(), rare.sum(), ones[0][1], ones[1][1]]])
         return ids, first, second
 
-
-def _buckets(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[tuple[int, Bucket, list[tuple]]]:
-    """Each bucket of the partition, and what its batches sent: (batch, check, places of the words, cell keys)."""
-    kept: dict[int, list[tuple]] = {}
-    for part in batches:
-        for bucket, *row in zip(*(part.column(k).to_pylist() for k in range(7)), strict=True):
-            kept.setdefault(bucket, []).append(tuple(row))
-    base = len(frequent) + 2
-    for number in sorted(kept):
-        rows = kept.pop(number)
-        dictionaries = [np.frombuffer(r[2], np.uint64) for r in rows]
-        words, where = np.unique(np.concatenate(dictionaries), return_inverse=True)
-        ends = np.cumsum([len(d) for d in dictionaries])
-        sends, counts = [], []
-        for (batch, check, own, index, context, count), end in zip(rows, ends, strict=True):
-            places = where[end - len(own) // 8 : end]
-            sends.append((batch, check, places, places[_expand(index, np.uint32)] * base + _expand(context, np.uint16)))
-            counts.append(_expand(count, np.uint32))
-        del rows, dictionaries
-        key, count = np.concatenate([x[3] for x in sends]), np.concatenate(counts)
-        key, count = key[count > 0], count[count > 0]
-        cells, index = np.unique(key, return_inverse=True)
-        count = np.bincount(index, weights=count, minlength=len(cells)).astype(np.int64)
-        del key, index, counts
-        seated = cells % base != _NONE
-        total = np.bincount(cells // base, weights=count, minlength=len(words))
-        direct = np.bincount(cells[~seated] // base, weights=count[~seated], minlength=len(words))
-        yield number, Bucket(frequent, words, cells[seated], count[seated], direct, total, base), sends
+    def by_context(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tables and customers of its own cells by context."""
+        return tuple(np.bincount(self.cell_context, weights=w, minlength=self.base).astype(np.uint64) for w in (self.states[-1][0], self.cell_count))
+
+
+def _bucket(stored: pa.Table, totals: pa.Table | None, frequent: np.ndarray) -> tuple[Bucket, list[tuple]]:
+    """One bucket with its totals, and what its batches sent: (batch, check, places of the words, cell keys)."""
+    rows = list(zip(*(stored.column(k).to_pylist() for k in range(1, 8)), strict=True))
+    words, word_at = np.unique(np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows]), return_inverse=True)
+    contexts, context_at = np.unique(np.concatenate([np.frombuffer(r[4], np.uint64) for r in rows]), return_inverse=True)
+    sends, counts, w, c = [], [], 0, 0
+    for batch, check, own, index, own_contexts, context_index, count in rows:
+        places, context_places = word_at[w : w + len(own) // 8], context_at[c : c + len(own_contexts) // 8]
+        w, c = w + len(places), c + len(context_places)
+        sends.append((batch, check, places, places[_expand(index, np.uint32)] * len(contexts) + context_places[_expand(context_index, np.uint32)]))
+        counts.append(_expand(count, np.uint32))
+    del rows
+    key, count = np.concatenate([x[3] for x in sends]), np.concatenate(counts)
+    key, count = key[count > 0], count[count > 0]
+    cells, index = np.unique(key, return_inverse=True)
+    count = np.bincount(index, weights=count, minlength=len(cells)).astype(np.int64)
+    total = np.bincount(cells // len(contexts), weights=count, minlength=len(words))
+    tables, customers = [], None
+    for _, part in sorted(_by(totals, "sweep").items()) if totals is not None else ():
+        part = part.sort_by("part")
+        tables.append(np.concatenate([_expand(x, np.uint64) for x in part.column("tables").to_pylist()]).astype(float))
+        if len(tables) == 1:
+            customers = np.concatenate([_expand(x, np.uint64) for x in part.column("customers").to_pylist()]).astype(float)
+        if len(tables[-1]) != len(contexts):
+            raise RuntimeError("totals of other contexts")
+    return Bucket(frequent, words, contexts, cells, count, total, tables, customers), sends
+
+
+def _by(rows: pa.Table, column: str) -> dict[int, pa.Table]:
+    return {k: rows.filter(pc.equal(rows.column(column), k)) for k in pc.unique(rows.column(column)).to_pylist()}
+
+
+def _add_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a part over all buckets: each id once, and for each bucket the totals of the contexts that it sent."""
+    held = list(batches)
+    for part, own in _by(pa.Table.from_batches(held), "part").items() if held else ():
+        numbers = own.filter(pc.is_valid(own.column("id"))).group_by("id").aggregate([("a", "sum"), ("b", "sum")])
+        sent = own.filter(pc.is_valid(own.column("contexts")))
+        buckets = sent.column("bucket").to_pylist()
+        totals: list[list] = [[], []]
+        if buckets:
+            contexts = [np.frombuffer(x, np.uint64) for x in sent.column("contexts").to_pylist()]
+            found, at = np.unique(np.concatenate(contexts), return_inverse=True)
+            ends = np.cumsum([len(x) for x in contexts])
+            for out, name in zip(totals, ("tables", "customers"), strict=True):
+                values = sent.column(name).to_pylist()
+                if values[0] is None:
+                    out += values
+                    continue
+                total = np.bincount(at, weights=np.concatenate([_expand(x, np.uint64) for x in values]), minlength=len(found)).astype(np.uint64)
+                out += [_squeeze(total[at[e - len(x) : e]]) for x, e in zip(contexts, ends, strict=True)]
+        n, m = len(numbers), len(buckets)
+        columns = [
+            pa.array([part] * (n + m), pa.int32()),
+            pa.array([None] * n + buckets, pa.int32()),
+            *(pa.array(numbers.column(c).to_pylist() + [None] * m, t) for c, t in (("id", pa.int64()), ("a_sum", pa.float64()), ("b_sum", pa.float64()))),
+            pa.nulls(n + m, pa.binary()),
+            *(pa.array([None] * n + x, pa.binary()) for x in totals),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "bucket", "id", "a", "b", "contexts", "tables", "customers"])
 
 
 def _discount(ones: float, twos: float) -> float:
@@ -319,8 +373,7 @@ def _discount(ones: float, twos: float) -> float:
 
 def _sums(rows: list, frequent: np.ndarray, sweep: int, past: list[Sums], seed: int) -> Sums:
     found = {r["id"]: (r["a"], r["b"]) for r in rows}
-    child = np.array([found.get(k, (0.0, 0.0)) for k in range(len(frequent) + 2)])
-    often = np.array([found.get(FREQUENT + k, (0.0, 0.0)) for k in range(len(frequent))])
+    often = np.array([found.get(k, (0.0, 0.0)) for k in range(len(frequent))])
     (rare_customers, rare_tables), (tokens, rare_words) = found.get(_ROOT, (0.0, 0.0)), found.get(_SIZE, (0.0, 0.0))
     customers = often[:, 0]
     words = int(rare_words + (often[:, 1] > 0).sum())
@@ -332,7 +385,7 @@ def _sums(rows: list, frequent: np.ndarray, sweep: int, past: list[Sums], seed:
         discounts = last.child_discount, last.root_discount
         weight = np.full(len(customers), (ROOT_STRENGTH + last.root_discount * last.root_tables) / (last.words + 1))
         tables = seat(customers.astype(np.int64), weight, last.root_discount, np.random.default_rng([seed, sweep]))
-    return Sums(child[:, 0], child[:, 1], customers, often[:, 1], tables, float(rare_customers + customers.sum()), float(rare_tables + tables.sum()), int(tokens), words, *discounts)
+    return Sums(customers, often[:, 1], tables, float(rare_customers + customers.sum()), float(rare_tables + tables.sum()), int(tokens), words, *discounts)
 
 
 def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, contexts: int = CONTEXTS, sweeps: int = SWEEPS, seed: int = SEED) -> DataFrame:
@@ -347,46 +400,74 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
     scanned = chosen.select("__text", "__key", (~F.col("__held_out")).alias("__train"), batch.alias("__batch"))
     size = chosen.agg(F.sum(F.octet_length("__text")), F.count("*")).first()
     buckets = max(partitions(spark), -(-((size[0] or 0) // 6 + size[1]) // BUCKET_TOKENS))
-    stored = checkpoint(_pack(scanned, frequent, buckets).repartitionById(buckets, F.col("bucket")))
+    stored = _dealt(_pack(scanned, frequent, buckets), buckets)
+
+    parts = max(partitions(spark), buckets // 8)
 
     def replay(number: int, bucket: Bucket, upto: int, past: list[Sums]) -> None:
         for s in range(upto + 1):
             bucket.sweep(s, np.random.default_rng([seed, s, number]), past)
 
     past: list[Sums] = []
+    totals: DataFrame | None = None
     for s in range(sweeps + 1):
 
-        def one(batches: Iterator[pa.RecordBatch], s: int = s, past: tuple[Sums, ...] = tuple(past)) -> Iterator[pa.RecordBatch]:
-            for number, bucket, _ in _buckets(batches, frequent):
-                replay(number, bucket, s, list(past))
-                ids, a, b = bucket.sums()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], names=["id", "a", "b"])
-
-        rows = stored.mapInArrow(one, "id long, a double, b double").groupBy("id").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()  # 2 * contexts rows at most
+        def one(rows: pa.Table, known: pa.Table | None, s: int, past: tuple[Sums, ...]) -> pa.Table:
+            number = rows.column("bucket")[0].as_py()
+            bucket, _ = _bucket(rows, known, frequent)
+            replay(number, bucket, s, list(past))
+            ids, a, b = bucket.sums()
+            tables, customers = bucket.by_context()
+            found, start = np.unique(_part(bucket.contexts, parts), return_index=True)
+            cuts = list(zip(start, [*start[1:], bucket.base], strict=True))
+            n, m = len(ids), len(found)
+            columns = [
+                pa.array(np.append(ids % parts, found), pa.int32()),
+                pa.array(np.full(n + m, number), pa.int32()),
+                pa.array([*ids.tolist(), *[None] * m], pa.int64()),
+                *(pa.array([*x.tolist(), *[None] * m], pa.float64()) for x in (a, b)),
+                pa.array([None] * n + [bucket.contexts[i:j].tobytes() for i, j in cuts], pa.binary()),
+                pa.array([None] * n + [_squeeze(tables[i:j]) for i, j in cuts], pa.binary()),
+                pa.array([None] * n + [_squeeze(customers[i:j]) if s == 0 else None for i, j in cuts], pa.binary()),
+            ]
+            return pa.Table.from_arrays(columns, names=["part", "bucket", "id", "a", "b", "contexts", "tables", "customers"])
+
+        grouped, now, then = stored.groupBy("bucket"), s, tuple(past)
+        if totals is None:
+            sent = grouped.applyInArrow(lambda rows: one(rows, None, now, then), _SUMS)
+        else:
+            sent = grouped.cogroup(totals.groupBy("bucket")).applyInArrow(lambda rows, known: one(rows, known, now, then), _SUMS)
+        added = checkpoint(sent.repartitionById(parts, F.col("part")).mapInArrow(_add_sums, _SUMS))
+        rows = added.where(F.col("id").isNotNull()).select("id", "a", "b").collect()  # contexts + 4 rows at most
         past.append(_sums(rows, frequent, s, past, seed))
+        own = added.where(F.col("id").isNull()).select("bucket", F.lit(s).alias("sweep"), "part", "tables", "customers")
+        totals = own if totals is None else totals.union(own)
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answer(rows: pa.Table, known: pa.Table) -> pa.Table:
         """For each batch: probabilities of its cells, and counts of their words."""
-        for number, bucket, sends in _buckets(batches, frequent):
-            replay(number, bucket, sweeps, past)
-            often, at = bucket.often >= 0, np.maximum(bucket.often, 0)
-            counts = np.where(often, past[0].frequent_counts[at], bucket.counts).astype(np.uint64)
-            roots = []
+        number = rows.column("bucket")[0].as_py()
+        bucket, sends = _bucket(rows, known, frequent)
+        replay(number, bucket, sweeps, past)
+        often, at = bucket.often >= 0, np.maximum(bucket.often, 0)
+        counts = np.where(often, past[0].frequent_counts[at], bucket.counts).astype(np.uint64)
+        roots = []
+        for s in range(1, sweeps + 1):
+            _, customers, tables = bucket.states[s]
+            roots.append(past[s].root(np.where(often, past[s].frequent_customers[at], customers), np.where(often, past[s].frequent_tables[at], tables)))
+        replies = []
+        for batch_number, check, places, key in sends:
+            word, context = key // bucket.base, key % bucket.base
+            cell = _place(bucket.cell_key, key)
+            p = np.zeros(len(key))
             for s in range(1, sweeps + 1):
-                _, customers, tables = bucket.states[s]
-                roots.append(past[s].root(np.where(often, past[s].frequent_customers[at], customers), np.where(often, past[s].frequent_tables[at], tables)))
-            for batch_number, check, places, key in sends:
-                word, context = key // bucket.base, key % bucket.base
-                cell = _place(bucket.cell_key, key)
-                p = np.zeros(len(key))
-                for s in range(1, sweeps + 1):
-                    sums, root = past[s], roots[s - 1][word]
-                    own = np.where(cell >= 0, np.maximum(bucket.cell_count[cell] - sums.child_discount * bucket.states[s][0][cell], 0), 0) if len(bucket.cell_key) else np.zeros(len(key))
-                    customers = sums.child_customers[context]
-                    child = (own + (CHILD_STRENGTH + sums.child_discount * sums.child_tables[context]) * root) / (CHILD_STRENGTH + customers)
-                    p += np.where((context != _NONE) & (customers > 0), child, root) / sweeps
-                blobs = (np.log10(p).astype(np.float32).tobytes(), _squeeze(counts[places]))
-                yield pa.RecordBatch.from_arrays([pa.array([batch_number], pa.int64()), pa.array([number], pa.int64()), pa.array([check], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], names=["__batch", "__order", "check", "p", "counts"])
+                sums, root = past[s], roots[s - 1][word]
+                own = np.where(cell >= 0, np.maximum(bucket.cell_count[cell] - sums.child_discount * bucket.states[s][0][cell], 0), 0) if len(bucket.cell_key) else np.zeros(len(key))
+                customers = bucket.child_customers[context]
+                child = (own + (CHILD_STRENGTH + sums.child_discount * bucket.child_tables[s][context]) * root) / (CHILD_STRENGTH + customers)
+                p += np.where(customers > 0, child, root) / sweeps
+            replies.append((batch_number, number, check, np.log10(p).astype(np.float32).tobytes(), _squeeze(counts[places])))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*replies, strict=True), kinds, strict=True)], names=["__batch", "__order", "check", "p", "counts"])
 
     unit = 1 / (past[0].tokens + 0.5 * (past[0].words + 1))
     schema = "__key long, n long, known long, base double, p double"
@@ -404,7 +485,7 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
         for number, texts, columns in _batches(texts_only(), ["__key"]):
             got = answers.pop(number)
-            cells, keys = _cells(texts, number, frequent, buckets), columns["__key"]
+            cells, keys = _cells(texts, frequent, buckets), columns["__key"]
             if any(check != _checksum(keys) for check, _, _ in got) or sum(len(p) for _, p, _ in got) != len(cells.word):
                 raise RuntimeError("a second scan of the documents gave other batches")
             _, edges = cells.edges()
@@ -414,7 +495,7 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
             n = np.bincount(cells.text_of, minlength=len(keys))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(p)], names=["__key", "n", "known", "base", "p"])
 
-    replies = stored.mapInArrow(answer, "__batch long, __order long, check long, p binary, counts binary")
+    replies = stored.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(answer, "__batch long, __order long, check long, p binary, counts binary")
     texts = chosen.select(batch.alias("__batch"), place.alias("__order"), "__key", "__text")
     nothing = lambda kind: F.lit(None).cast(kind)
     replies = replies.select("__batch", nothing("long").alias("__key"), "__order", nothing("string").alias("__text"), "check", "p", "counts")
