@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines like an earlier one go; every document stays."""
-    return line_dedup.dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return line_dedup.dedup(docs, least_words=line_dedup.ALL_LINES).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

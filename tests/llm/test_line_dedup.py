@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from weft.llm import line_dedup
+import corpus_pipeline
+from weft.llm import line_dedup, queries
 from weft.llm._common import table
 
 
@@ -72,3 +73,27 @@ def test_odd_tables(spark):
     assert got == [(0, 1, 0), (1, 0, 0), (2, 1, 0), (3, 2, 1), (3, 2, 1), (4, 1, 1)]
     assert sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup(df).where("text is not null").collect()) == [(0, line), (2, ""), (3, "short"), (3, "short"), (4, "")]
     assert line_dedup.report(df.limit(0)).count() == 0
+
+
+def plain_whole(rows):
+    lines = sorted((d, k, words(x)) for d, t in rows for k, x in enumerate(t.split("\n")) if words(x))
+    removed = {d: [] for d, _ in rows}
+    for k, (d, n, own) in enumerate(lines):
+        if any(100 * len(own & x) >= 80 * len(own | x) for _, _, x in lines[:k]):
+            removed[d].append(n)
+    return sorted((d, len(removed[d]), removed[d]) for d, _ in rows)
+
+
+def test_short_lines_of_the_query_and_the_pipeline(spark, tmp_path):
+    """Lines of one to four distinct words, long ones of few words, and 4 against 5 words."""
+    texts = ["Yes.\nread on\n\n   \nalpha beta gamma delta", "alpha beta gamma delta eps\nread  ON\nyes. no", "go " * 40 + "\nGO\nyes.", *(f"menu\nline {k} of many words here {k * 7}" for k in range(40))]
+    rng = np.random.default_rng(5)
+    texts += ["\n".join(" ".join(f"u{x}" for x in rng.integers(0, 9, int(rng.integers(1, 6)))) for _ in range(4)) for _ in range(60)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = plain_whole(rows)
+    got = queries.QUERIES["op9_line_dedup"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_removed, r.removed) for r in got) == want
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, df, str(tmp_path)).collect()}
+    assert left == {d: "\n".join(x for k, x in enumerate(texts[d].split("\n")) if k not in gone) for d, _, gone in want}

@@ -34,6 +34,8 @@ from weft.llm._common import checkpoint, partitions
 
 SHARE, PER = 80, 100
 LEAST_WORDS = 5
+#: What the registered query and the pipeline take: every line that has a word.
+ALL_LINES = 1
 SLOTS = 16_384
 #: Rows (id, line number) that are sent to all executors at most; more are joined by a shuffle.
 MOST_BROADCAST = 500_000

@@ -51,7 +51,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents"))
+    return line_dedup.report(table(spark, sf_dir, "documents"), least_words=line_dedup.ALL_LINES)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
