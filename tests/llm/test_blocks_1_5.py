@@ -192,6 +192,18 @@ def test_decontamination(spark, sf_dir, odd, block):
     assert not any(r.contaminated for r in decontaminate.report(odd, bench.limit(0)).collect())
 
 
+def test_decontamination_in_several_blocks(spark):
+    """More than the 256 items after which blocks are closed."""
+    texts = [" ".join(f"w{k}x{j}" for j in range(12)) for k in range(600)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"before {texts[k]} after" if k % 3 else "clean text") for k in range(600)], "doc_id long, text string")
+    assert len(decontaminate.window_blocks(bench, "item_id", "text", decontaminate.WIDTH, 50)) == 3
+    items = [(r.item_id, words_of(r.text)) for r in bench.collect()]
+    got = sorted(map(tuple, decontaminate.report(docs, bench, block_windows=50).collect()), key=str)
+    assert got == sorted(((r.doc_id, *plain_hits(r.text, items)) for r in docs.collect()), key=str)
+    assert sum(r[5] for r in got) == 400
+
+
 def test_decontaminated_documents(spark, sf_dir):
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     bad = {r.doc_id for r in decontaminate.report(docs, bench).collect() if r.contaminated}

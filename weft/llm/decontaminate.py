@@ -120,7 +120,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, *, keep: list[str] | None =
                     hit[first : first + w] = True
                     items[int(words.text_of[first])].update(own)
                 if len(blocks) > 1:
-                    block.unpersist()
+                    block.__dict__.pop("_value", None)  # the worker's copy; only the driver can unpersist
             n_hit = np.bincount(words.text_of[hit], minlength=words.texts)
             spans: list[list] = [[] for _ in range(words.texts)]
             for k in np.flatnonzero(hit).tolist():
