@@ -44,3 +44,13 @@ def test_same_rows_as_sql(spark, sf_dir, db, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_queries_without_sql_give_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_verified_pairs_of_whole_documents(spark, tmp_path):
+    texts = ["x" * 70, "x" * 70 + "y", "same text", "same text", "other " * 20 + "a", "other " * 20 + "b", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    ordered = sorted(texts)
+    same = sum(b.startswith(a) or a.startswith(b) for a, b in zip(ordered, ordered[1:], strict=False))
+    got = QUERIES["verified_pairs_whole"](spark, str(tmp_path)).first()
+    assert (got.pairs, got.same) == (6, same) and 0 < same < 6

@@ -196,6 +196,16 @@ def verified_pairs(spark, sf_dir):
     return P.verified_pairs(a, b, "ordinal", "text", prefix=True).agg(F.count("*").alias("pairs"), F.count_if("same").alias("same"))
 
 
+@query(None)
+def verified_pairs_whole(spark, sf_dir):
+    """Every document, whole, with the next in the order of texts, so that copies and prefixes meet."""
+    from weft.functions.determinism import with_ordinal
+
+    a = with_ordinal(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
+    b = a.withColumn("ordinal", F.col("ordinal") - 1)
+    return P.verified_pairs(a, b, "ordinal", "text", prefix=True).agg(F.count("*").alias("pairs"), F.count_if("same").alias("same"))
+
+
 _SPANS = """w as (select doc_id, unnest(string_split(text, ' ')) as word, generate_subscripts(string_split(text, ' '), 1) - 1 as word_idx from documents),
 spans as (select doc_id, word_idx, word, coalesce(sum(length(word) + 1) over (partition by doc_id order by word_idx rows between unbounded preceding and 1 preceding), 0) as lo from w)"""
 
