@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import duckdb
@@ -54,3 +55,18 @@ def test_verified_pairs_of_whole_documents(spark, tmp_path):
     same = sum(b.startswith(a) or a.startswith(b) for a, b in zip(ordered, ordered[1:], strict=False))
     got = QUERIES["verified_pairs_whole"](spark, str(tmp_path)).first()
     assert (got.pairs, got.same) == (6, same) and 0 < same < 6
+
+
+def test_poison_of_whole_documents(spark, tmp_path):
+    texts = ["Grüße, 日本 \U0001f600 \U00020000 x1. " * 12, "short", "", "a\nb\t" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    uniform = lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
+
+    def plain_poison(doc, text):
+        hit = [c.isalpha() and uniform(9, doc, k) < 0.3 for k, c in enumerate(text, 1)]
+        return "".join(chr(97 + int(uniform(9, doc, "letter", k) * 26)) if h else c for k, (h, c) in enumerate(zip(hit, text, strict=True), 1)), sum(hit)
+
+    got = {r.doc_id: (r.poisoned, r.n_hit) for r in QUERIES["poison_text_whole"](spark, str(tmp_path)).collect()}
+    assert got == {d: plain_poison(d, t) for d, t in enumerate(texts)}
+    assert got[0][0][80:] != texts[0][80:]

@@ -206,7 +206,7 @@ def poisoned(text: Column, rate: float, *key: Column) -> tuple[Column, Column]:
     """The text with each letter replaced at this rate by a keyed letter a to z, and the places of those."""
     from weft.functions.determinism import uniform
 
-    chars = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda k: F.struct(F.substring(text, k, F.lit(1)).alias("c"), k.alias("k")))
+    chars = F.transform(F.split(F.coalesce(text, F.lit("")), ""), lambda c, k: F.struct(c.alias("c"), (k + 1).alias("k")))  # in linear time
     hit = lambda x: x["c"].rlike(r"^\p{L}$") & (uniform(*key, x["k"]) < rate)
     letter = lambda x: F.chr((F.lit(97) + F.floor(uniform(*key, F.lit("letter"), x["k"]) * 26)).cast("long"))
     out = F.array_join(F.transform(chars, lambda x: F.when(hit(x), letter(x)).otherwise(x["c"])), "")

@@ -94,6 +94,14 @@ def poison_text(spark, sf_dir):
     return docs.select("doc_id", out.alias("poisoned"), F.size(places).cast("long").alias("n_hit"))
 
 
+@query(None)
+def poison_text_whole(spark, sf_dir):
+    """Every document, and all of its letters."""
+    docs = table(spark, sf_dir, "documents")
+    out, places = X.poisoned(F.col("text"), 0.3, F.lit(9), F.col("doc_id"))
+    return docs.select("doc_id", out.alias("poisoned"), F.size(places).cast("long").alias("n_hit"))
+
+
 def _masked(spark, sf_dir):
     return L.masked(table(spark, sf_dir, "documents"), "doc_id", "text", 5)
 
