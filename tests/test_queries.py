@@ -70,3 +70,13 @@ def test_poison_of_whole_documents(spark, tmp_path):
     got = {r.doc_id: (r.poisoned, r.n_hit) for r in QUERIES["poison_text_whole"](spark, str(tmp_path)).collect()}
     assert got == {d: plain_poison(d, t) for d, t in enumerate(texts)}
     assert got[0][0][80:] != texts[0][80:]
+
+
+@pytest.mark.parametrize("name", ["bootstrap_rate", "bootstrap_collapse"])
+def test_bootstraps_take_the_replicates_of_their_operators(spark, sf_dir, monkeypatch, name):
+    from weft.operators import stats
+
+    asked, operator = [], getattr(stats, name)
+    monkeypatch.setattr(stats, name, lambda *args, **options: asked.append(options) or operator(*args, **options))
+    assert QUERIES[name](spark, sf_dir).count() > 0
+    assert "n_boot" not in asked[0]

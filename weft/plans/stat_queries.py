@@ -145,13 +145,13 @@ def spearman_untied(spark, sf_dir):
 @query(None)
 def bootstrap_rate(spark, sf_dir):
     rows = scores(spark, sf_dir).groupBy("lane", "row").agg(F.sum("a_c").alias("hits"), F.count("*").alias("tokens"))
-    return S.bootstrap_rate(rows, "hits", "tokens", ["lane"], n_boot=50)
+    return S.bootstrap_rate(rows, "hits", "tokens", ["lane"])
 
 
 @query(None)
 def bootstrap_collapse(spark, sf_dir):
     each = scores(spark, sf_dir).groupBy("lane", "row", F.least(F.floor(F.col("char_off") / 7), F.lit(11)).cast("int").alias("bucket")).agg(F.sum(F.col("a_c") - F.col("b_c")).alias("sum_d"), F.count("*").alias("cnt"))
-    return S.bootstrap_collapse(each, ["lane"], 7, 14, 5, n_boot=20)
+    return S.bootstrap_collapse(each, ["lane"], 7, 14, 5)
 
 
 @query(
