@@ -6,60 +6,63 @@ of fewer than `least_words` distinct words stay.
 
 1. Rarity: words of all texts are counted in SLOTS hashed slots. A word's code has its
    slot's frequency class above its hash, so sorted codes run from rare to common.
-2. Lines that are 1/HOT of all lines or more, letter for letter, go but for the earliest.
-3. Each other line posts its prefix, the rarest words that a match cannot avoid, with its
-   size and a parity sketch of its words. The postings of one word are sorted once; each is
-   compared with the first and the three before it (linear in the size of the group), and
-   only postings that find no candidate there with all earlier ones. Size, position and
-   sketch filters rule pairs out; the candidate with the nearest sketch is kept.
-4. Jaccard on the words decides whether that candidate matches.
-5. Lines whose candidate does not match are compared with all earlier postings of their
-   words under the same filters, and Jaccard decides again.
+2. Lines are reduced to sets: one row for each different set of words, at its earliest
+   place, with the rarest codes, the size and a parity sketch. All later lines of a set go.
+   Partial aggregates keep a line that makes up a third of the corpus out of any one task.
+3. Near copies at once: sets that share the first two or the next two of their rarest codes
+   are compared with the earliest of them. This is linear in the size of a group, and settles most lines that
+   have a match, so that no group of near copies meets in all its pairs below.
+4. Prefix filter: each set posts the rarest words that a match of no more words cannot avoid,
+   and the rarest that one of no fewer cannot avoid, which are half as many. The join of both
+   is by word and band of sizes, so that a set meets only sets that are four fifths of it or
+   more; position and sketch filters, and that the later one is still open, are conditions of
+   the join itself.
+5. Jaccard on the words decides in both cases.
+
+Codes may collide, which only adds candidates: prefix, position and size filters hold for
+multisets of codes as well. Sets are told apart by 128 bits of hash.
 
 Defined results: null text has no lines and stays null; empty lines stay; rows that
-repeat (same id and text) are one document, and all get its answer; a null id comes
-before all others; an empty table gives an empty result; other columns are kept by
-`dedup` and ignored elsewhere.
+repeat (same id and text) are one document, and all get its answer; where rows of one id
+differ in text, a line number that stays in one stays in all; a null id comes before all
+others; an empty table gives an empty result; other columns are kept by `dedup` and
+ignored elsewhere.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._common import checkpoint, partitions
+from weft.llm._common import checkpoint, stored
 
 SHARE, PER = 80, 100
 LEAST_WORDS = 5
 #: What the registered query and the pipeline take: every line that has a word.
 ALL_LINES = 1
-SLOTS = 16_384
+SLOTS = 131_072
 #: Rows (id, line number) that are sent to all executors at most; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
-HOT = 4096
 _HASH_BITS = 56
-_LAGS = 3
 #: Parity sketches of 64 bits: of all words and, for lines of more than LONG words, of the
 #: words in three of four hash classes (the fourth follows from them).
 _SKETCH = ("s0", "s1", "s2", "s3")
-LONG = 64
+LONG = 112
+#: Rarest codes of which two that follow each other have to agree for the quick comparison.
+_RAREST = 3
 
 
-def _words(text: Column) -> Column:
-    blank = F.when(text.rlike(r"[\x09-\x0D]"), F.translate(text, "\t\n\x0b\x0c\r", "     ")).otherwise(text)
-    return F.split(F.lower(blank), " ")
+def _plain(text: Column) -> Column:
+    """Lower case, with spaces as the only white space inside lines."""
+    return F.lower(F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text))
 
 
 def _word_set(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(_words(line)), "")
-
-
-def _hash_set(line: Column) -> Column:
-    """Hashes of the distinct words."""
-    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.array_remove(F.array_distinct(F.split(_plain(line), " ")), "")
 
 
 def lines_of(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -67,11 +70,15 @@ def lines_of(documents: DataFrame, id_column: str, text_column: str) -> DataFram
     return documents.select(F.col(id_column).alias("doc"), F.posexplode(F.split(F.col(text_column), "\n")).alias("line_no", "line"))
 
 
+def _slot(hashed: Column) -> Column:
+    return hashed.bitwiseAND(SLOTS - 1).cast("int")
+
+
 def rarity_classes(documents: DataFrame, text_column: str) -> list[int]:
     """A class for each slot: four times the binary logarithm of its word count."""
-    words = documents.select(F.explode(_words(F.col(text_column))).alias("w"))
-    counted = words.groupBy(F.xxhash64("w").bitwiseAND(SLOTS - 1).alias("slot")).count()
-    counts = {r["slot"]: r["count"] for r in counted.collect()}  # at most SLOTS rows
+    words = documents.select(F.explode(F.split(F.replace(_plain(F.col(text_column)), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counted = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).count()
+    counts = dict(counted.toPandas().to_numpy().tolist())  # at most SLOTS rows
     return [min(127, int(4 * math.log2(counts.get(k, 0) + 1))) for k in range(SLOTS)]
 
 
@@ -79,18 +86,16 @@ def _far(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Words of only one of two sets, at least: bits in which their sketches differ."""
     d0, d1, d2, d3 = (a[c].bitwiseXOR(b[c]) for c in _SKETCH)
     rest = d0.bitwiseXOR(d1).bitwiseXOR(d2).bitwiseXOR(d3)
-    return F.coalesce(F.bit_count(rest) + F.bit_count(d1) + F.bit_count(d2) + F.bit_count(d3), F.bit_count(d0))
+    return F.when((a["n"] > LONG) & (b["n"] > LONG), F.bit_count(rest) + F.bit_count(d1) + F.bit_count(d2) + F.bit_count(d3)).otherwise(F.bit_count(d0))
 
 
-def _may_match(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Size, position and sketch filters between two postings of one word."""
-    n, m, i, j = a["n"], b["n"], a["pos"], b["pos"]
-    # sets of n and m that match share (n + m) * SHARE / (SHARE + PER) words or more, and differ in the rest
-    few, enough, both = F.lit(PER - SHARE), F.lit(SHARE), F.lit(SHARE + PER)
-    near = F.bit_count(a["s0"].bitwiseXOR(b["s0"])) * both <= (n + m) * few
+def _near(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Size and sketch filters. Sets of n and m that match share (n + m) * SHARE / (SHARE + PER)
+    words or more, and differ in the rest."""
+    n, m = a["n"], b["n"]
+    few, both = F.lit(PER - SHARE), F.lit(SHARE + PER)
     sizes = (n * PER >= m * SHARE) & (m * PER >= n * SHARE)
-    places = (F.least(i, j) + F.least(n - i, m - j)) * both >= (n + m) * enough
-    return near & sizes & places & (_far(a, b) * both <= (n + m) * few)
+    return sizes & (F.bit_count(a["s0"].bitwiseXOR(b["s0"])) * both <= (n + m) * few) & (_far(a, b) * both <= (n + m) * few)
 
 
 def _named(prefix: str) -> dict[str, Column]:
@@ -104,129 +109,155 @@ def _before(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return first | (doc.eqNullSafe(other) & (a["line_no"] < b["line_no"]))
 
 
-def _text_key(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2"))
+def _prefix_length(n: Column) -> Column:
+    """Of a set of n words, so many of the rarest that a match of n words or fewer has one of them."""
+    return n - F.ceil(n * SHARE / PER).cast("int") + 1
 
 
-def _hot_lines(lines: DataFrame) -> DataFrame:
-    """k1, k2 and the earliest place of lines that make up 1/HOT of all lines or more: HOT rows at most."""
-    counted = lines.where(F.length("line") > 0).select("doc", "line_no", _text_key(F.col("line")).alias("k"))
-    total = counted.count()
-    frequent = counted.groupBy("k").agg(F.count("*").alias("n"))
-    return counted.join(F.broadcast(frequent.where((F.col("n") * HOT >= total) & (F.col("n") > 1)).select("k")), "k").groupBy("k").agg(F.min(F.struct("doc", "line_no")).alias("at"))
+def _short_prefix_length(n: Column) -> Column:
+    """The same for matches of n words or more."""
+    return n - F.ceil(n * (2 * SHARE) / (SHARE + PER)).cast("int") + 1
 
 
-def _postings(lines: DataFrame, rarity: list[int], least_words: int) -> DataFrame:
-    """code, doc, line_no, n, pos and sketch of each prefix word of each line."""
-    slots = F.from_json(F.lit(json.dumps(rarity)), "array<int>")
-    hashed = lines.select("doc", "line_no", _hash_set(F.col("line")).alias("h")).where(F.size("h") >= least_words)
+def _band(n: Column) -> Column:
+    """Sets of one band and the next differ by PER / SHARE in size at least at their far ends."""
+    return F.floor(F.log(n) / math.log(PER / SHARE)).cast("int")
+
+
+def _sets(documents: DataFrame, id_column: str, text_column: str, rarity: list[int], least_words: int) -> DataFrame:
+    """doc, line_no, n, sketch and rarest codes of every different set of words, at its earliest place."""
+    classes = F.from_json(F.lit(json.dumps([c << _HASH_BITS for c in rarity])), "array<bigint>")
+    lines = documents.select(F.col(id_column).alias("doc"), F.posexplode(F.split(_plain(F.col(text_column)), "\n")).alias("line_no", "line"))
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    hashed = lines.select("doc", "line_no", hashes.alias("h")).where(F.size("h") >= least_words)
 
     def code(h: Column) -> Column:
-        slot = F.coalesce(F.get(slots, h.bitwiseAND(SLOTS - 1).cast("int")), F.lit(0))
-        return F.shiftleft(slot.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND((1 << _HASH_BITS) - 1))
+        return F.coalesce(F.get(classes, _slot(h)), F.lit(0)).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
 
-    def parity(hashes: Column | str) -> Column:
-        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 44).cast("int"))  # noqa: E731  a shift takes 6 bits
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
+    def parity(values: Column | str) -> Column:
+        return F.aggregate(values, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))))
 
     n = F.size("h")
-    dealt = lambda k: F.filter("h", lambda h: F.shiftrightunsigned(h, 56).bitwiseAND(3) == k)
-    # columns that are never null, so that both sides of the join below keep one plan and share its exchange
-    parts = [F.coalesce(parity("h"), F.lit(0)).alias("s0"), *(F.when(n > LONG, parity(dealt(k))).alias(f"s{k}") for k in (1, 2, 3))]
-    prefix = F.slice(F.sort_array(F.transform("h", code)), F.lit(1), n - F.ceil(n * SHARE / PER).cast("int") + 1)
-    coded = hashed.select("doc", "line_no", F.coalesce(n, F.lit(0)).alias("n"), *parts, prefix.alias("prefix"))
-    return coded.select("doc", "line_no", "n", *_SKETCH, F.posexplode("prefix").alias("pos", "code"))
+    dealt = lambda k: F.filter("h", lambda h: F.shiftrightunsigned(h, 62) == k)
+    parts = [parity("h").alias("s0"), *(F.when(n > LONG, parity(dealt(k))).otherwise(0).alias(f"s{k}") for k in (1, 2, 3))]
+    coded = hashed.select("doc", "line_no", n.alias("n"), *parts, F.sort_array(F.transform("h", code)).alias("codes"))
+    kept = F.slice("codes", F.lit(1), F.greatest(_prefix_length(F.col("n")), F.lit(_RAREST)))
+    keyed = coded.select("doc", "line_no", "n", *_SKETCH, kept.alias("codes"), F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"))
+    first = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line_no", "n", *_SKETCH, "codes")).alias("e"))
+    return first.select("e.*")
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
 
 
-def _at_places(lines: DataFrame, places: DataFrame) -> DataFrame:
-    """The lines that stand at the places (doc, line_no); few places are sent to all executors."""
-    small = places.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    wanted = _prefixed(places, "__")
-    same = F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("line_no") == F.col("__line_no"))
-    return lines.join(F.broadcast(wanted) if small else wanted, same, "left_semi")
+def _same_place(a: str, b: str) -> Column:
+    return F.col(f"{a}doc").eqNullSafe(F.col(f"{b}doc")) & (F.col(f"{a}line_no") == F.col(f"{b}line_no"))
+
+
+def _small(places: DataFrame) -> DataFrame:
+    """Few places are sent to all executors."""
+    return F.broadcast(places) if places.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else places
 
 
 def _matching(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """doc, line_no of the later lines of the pairs (a..., b...) whose word sets match."""
-    early = pairs.select(F.col("bdoc").alias("doc"), F.col("bline_no").alias("line_no")).distinct()
-    late = pairs.select(F.col("adoc").alias("doc"), F.col("aline_no").alias("line_no")).distinct()
-    x, y = _prefixed(_at_places(lines, late), "x"), _prefixed(_at_places(lines, early), "y")
-    both = pairs.join(y, F.col("bdoc").eqNullSafe(F.col("ydoc")) & (F.col("bline_no") == F.col("yline_no"))).select("adoc", "aline_no", "yline")
-    both = both.join(x, F.col("adoc").eqNullSafe(F.col("xdoc")) & (F.col("aline_no") == F.col("xline_no")))
-    sets = both.select("adoc", "aline_no", _word_set(F.col("xline")).alias("a"), _word_set(F.col("yline")).alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    match = shared * PER >= (F.size("a") + F.size("b") - shared) * SHARE
-    return sets.where(match).select(F.col("adoc").alias("doc"), F.col("aline_no").alias("line_no")).distinct()
-
-
-def removed_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc, line_no of the lines that go."""
-    rarity = rarity_classes(documents, text_column)
-    lines = lines_of(documents, id_column, text_column)
-    long_line = F.size(_word_set(F.col("line"))) >= least_words
-    hot = checkpoint(_hot_lines(lines))
-    keyed = lines.withColumn("k", _text_key(F.col("line"))).join(F.broadcast(hot), "k", "left")
-    first = F.col("at").isNull() | (F.col("at.doc").eqNullSafe(F.col("doc")) & (F.col("at.line_no") == F.col("line_no")))
-    hot_gone = keyed.where(~first & long_line).select("doc", "line_no")
-
-    singles = keyed.where(first).select("doc", "line_no", "line")
-    posted = _postings(singles, rarity, least_words).repartition(partitions(documents.sparkSession), "code")
-    by_word = Window.partitionBy("code").orderBy("doc", "line_no")
-    own = F.struct("doc", "line_no", "n", "pos", *_SKETCH)
-    rows = posted.select("*", F.row_number().over(by_word).alias("rank"), F.first(own).over(by_word).alias("e0"), *(F.lag(own, k).over(by_word).alias(f"e{k}") for k in range(1, _LAGS + 1)))
-    mine = {c: F.col(c) for c in ("doc", "line_no", "n", "pos", *_SKETCH)}
-
-    def candidate(e: str) -> Column:
-        its = {c: F.col(f"{e}.{c}") for c in mine}
-        return F.when(_may_match(mine, its) & _before(its, mine), F.struct(_far(mine, its).alias("far"), its["doc"].alias("doc"), its["line_no"].alias("line_no")))
-
-    rows = rows.withColumn("e", F.array_min(F.array_compact(F.array(*(candidate(f"e{k}") for k in range(_LAGS + 1)))))).drop(*(f"e{k}" for k in range(_LAGS + 1)))
-    near = rows.where(F.col("e").isNotNull()).select(F.col("doc").alias("adoc"), F.col("line_no").alias("aline_no"), "e")
+    a, b = (pairs.select(F.col(f"{x}doc").alias("doc"), F.col(f"{x}line_no").alias("line_no")) for x in "ab")
+    places = _prefixed(_small(checkpoint(a.union(b).distinct())), "__")
+    found = lines.join(places, _same_place("", "__"), "left_semi").select("doc", "line_no", _word_set(F.col("line")).alias("words"))
+    found = checkpoint(found)
+    both = pairs.join(_prefixed(found, "y"), _same_place("b", "y")).select("adoc", "aline_no", "ywords").join(_prefixed(found, "x"), _same_place("a", "x"))
+    shared = F.size(F.array_intersect("xwords", "ywords"))
+    match = shared * PER >= (F.size("xwords") + F.size("ywords") - shared) * SHARE
+    return both.where(match).select(F.col("adoc").alias("doc"), F.col("aline_no").alias("line_no")).distinct()
+
+
+def _quick_pairs(sets: DataFrame) -> DataFrame:
+    """Each set with the earliest that shares two of its rarest codes, where the filters let the pair pass."""
+    code = lambda k: F.get("codes", F.lit(k))
+    keys = F.array(*(F.xxhash64(code(i), code(j)) for i, j in ((0, 1), (1, 2))))
+    keyed = sets.where(F.col("n") >= _RAREST).select("doc", "line_no", "n", *_SKETCH, F.explode(keys).alias("key"))
+    first = keyed.groupBy("key").agg(F.count("*").alias("of"), F.min(F.struct("doc", "line_no", "n", *_SKETCH)).alias("e"))
+    first = first.where(F.col("of") > 1).select("key", *(F.col(f"e.{c}").alias(f"b{c}") for c in ("doc", "line_no", "n", *_SKETCH)))
+    pairs = _prefixed(keyed, "a").join(first, F.col("akey") == F.col("key"))
+    a, b = _named("a"), _named("b")
+    passed = pairs.where(_near(a, b) & _before(b, a))
+    best = passed.groupBy("adoc", "aline_no").agg(F.min(F.struct(_far(a, b).alias("far"), "bdoc", "bline_no")).alias("e"))
+    return best.select("adoc", "aline_no", "e.bdoc", "e.bline_no")
+
+
+def _open_pairs(sets: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs of an open set and an earlier one that pass prefix, size, position and sketch filters on a common word."""
+    known = sets.join(_prefixed(_small(settled), "__"), _same_place("", "__"), "left")
+    known = known.select("doc", "line_no", "n", F.col("__line_no").isNull().alias("open"), *_SKETCH, "codes")
+
+    def post(df: DataFrame, length: Callable[[Column], Column]) -> DataFrame:
+        """A row for each word of the prefix, with the code before it."""
+        words = df.select("*", F.posexplode(F.slice("codes", F.lit(1), length(F.col("n")))).alias("pos", "code"))
+        return words.withColumn("previous", F.coalesce(F.get("codes", F.col("pos") - 1), F.lit(0))).drop("codes")
+
+    larger = post(known.withColumn("band", _band(F.col("n"))), _prefix_length)
+    bands = F.explode(F.array(_band(F.col("n")), _band(F.col("n")) + 1))
+    smaller = post(known.withColumn("band", bands), _short_prefix_length)
     a, b = _named("a"), _named("b")
-    earlier = (F.col("acode") == F.col("bcode")) & _may_match(a, b) & _before(b, a)
-    lonely = _prefixed(rows.where(F.col("e").isNull() & (F.col("rank") > _LAGS + 2)).drop("e"), "a")
-    found = lonely.join(_prefixed(posted, "b").hint("merge"), earlier).select("adoc", "aline_no", F.struct(_far(a, b).alias("far"), b["doc"].alias("doc"), b["line_no"].alias("line_no")).alias("e"))
-    best = near.union(found).groupBy("adoc", "aline_no").agg(F.min("e").alias("e"))
-    pairs = checkpoint(best.select("adoc", "aline_no", F.col("e.doc").alias("bdoc"), F.col("e.line_no").alias("bline_no")))
-    gone = checkpoint(_matching(pairs, lines))
+    (n, i), (m, j) = ((x["n"], x["pos"]) for x in (a, b))
+    # The first word that two matching sets have in common leaves enough behind it in both.
+    places = F.least(n - i, m - j) * (SHARE + PER) >= (n + m) * SHARE
+    # Where the words before are the same, those meet already.
+    places = places & ((F.col("aprevious") != F.col("bprevious")) | (i == 0) | (j == 0))
+    # Sets of one size meet twice; the later one is then the larger.
+    late = F.when(_before(b, a), F.col("aopen")).otherwise((n > m) & F.col("bopen"))
+    word = (F.col("acode") == F.col("bcode")) & (F.col("aband") == F.col("bband"))
+    met = _prefixed(larger, "a").hint("merge").join(_prefixed(smaller, "b"), word & (n >= m) & places & _near(a, b) & late)
+    first = _before(b, a)
+    order = lambda x, y: (F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for z in (x,))
+    return met.select(*order("adoc", "bdoc"), *order("aline_no", "bline_no"), *order("bdoc", "adoc"), *order("bline_no", "aline_no")).distinct()
+
+
+def kept_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc, line_no of the lines of `least_words` or more that stay."""
+    sets = stored(_sets(documents, id_column, text_column, rarity_classes(documents, text_column), least_words))
+    lines = lines_of(documents, id_column, text_column)
+    quick = checkpoint(_quick_pairs(sets))
+    settled = checkpoint(_matching(quick, lines))
+    pairs = checkpoint(_open_pairs(sets, settled))
+    gone = settled.union(checkpoint(_matching(pairs, lines)))
+    return sets.select("doc", "line_no").join(_prefixed(_small(gone), "__"), _same_place("", "__"), "left_anti")
+
 
-    tested = pairs.select(F.col("adoc").alias("doc"), F.col("aline_no").alias("line_no"))
-    gone_places = _prefixed(gone, "__")
-    open_places = tested.join(gone_places, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("line_no") == F.col("__line_no")), "left_anti")
-    open_posted = checkpoint(_postings(_at_places(singles, open_places), rarity, least_words))
-    few = open_posted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    late = _prefixed(open_posted, "a")
-    more = _prefixed(_postings(singles, rarity, least_words), "b").join(F.broadcast(late) if few else late, earlier)
-    pairs = checkpoint(more.select("adoc", "aline_no", "bdoc", "bline_no").distinct())
-    return hot_gone.union(gone).union(_matching(pairs, lines))
+def _kept_by_document(documents: DataFrame, id_column: str, text_column: str, least_words: int) -> DataFrame:
+    kept = kept_lines(documents, id_column, text_column, least_words)
+    return kept.groupBy(F.col("doc").alias("__doc")).agg(F.sort_array(F.collect_set("line_no")).alias("__kept"))
 
 
-def _removed_by_document(documents: DataFrame, id_column: str, text_column: str, least_words: int) -> DataFrame:
-    removed = removed_lines(documents, id_column, text_column, least_words)
-    return removed.groupBy(F.col("doc").alias("__doc")).agg(F.sort_array(F.collect_set("line_no")).alias("__removed"))
+def _counts(line: Column, least_words: int) -> Column:
+    """The line has so many words that it may go."""
+    return line.rlike(r"[^ \t\x0B\f\r]") if least_words == 1 else F.size(_word_set(line)) >= least_words
 
 
 def report(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """id, n_lines, n_removed and removed (line numbers from 0, in order) of each row."""
-    gone = _removed_by_document(documents, id_column, text_column, least_words)
-    n_lines = F.when(F.col(text_column).isNotNull(), F.size(F.split(F.col(text_column), "\n"))).otherwise(0).cast("long")
-    own = documents.select(F.col(id_column), n_lines.alias("n_lines"))
-    removed = F.coalesce("__removed", F.array().cast("array<int>"))
-    joined = own.join(gone, F.col(id_column).eqNullSafe(F.col("__doc")), "left")
+    kept = _kept_by_document(documents, id_column, text_column, least_words)
+    lines = F.split(F.col(text_column), "\n")
+    n_lines = F.when(F.col(text_column).isNotNull(), F.size(lines)).otherwise(0).cast("long")
+    numbers = F.array_compact(F.transform(lines, lambda x, k: F.when(_counts(x, least_words), k)))
+    own = documents.select(F.col(id_column), n_lines.alias("n_lines"), F.coalesce(numbers, F.array().cast("array<int>")).alias("__numbers"))
+    removed = F.array_except("__numbers", F.coalesce("__kept", F.array().cast("array<int>")))
+    joined = own.join(kept, F.col(id_column).eqNullSafe(F.col("__doc")), "left")
     return joined.select(id_column, "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def dedup(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents, all columns, without the lines that go."""
-    gone = _removed_by_document(documents, id_column, text_column, least_words)
+    kept = _kept_by_document(documents, id_column, text_column, least_words)
     names = documents.columns
     renamed = documents.toDF(*(f"__c{k}" for k in range(len(names))))
     key, text = f"__c{names.index(id_column)}", f"__c{names.index(text_column)}"
-    joined = renamed.join(gone, F.col(key).eqNullSafe(F.col("__doc")), "left")
-    numbered = F.transform(F.split(F.col(text), "\n"), lambda x, k: F.when(~F.array_contains("__removed", k), x))
-    rest = F.array_join(F.filter(numbered, lambda x: x.isNotNull()), "\n")
-    return joined.withColumn(text, F.when(F.col("__removed").isNull(), F.col(text)).otherwise(rest)).select(*renamed.columns).toDF(*names)
+    joined = renamed.join(kept, F.col(key).eqNullSafe(F.col("__doc")), "left")
+    # one flag for each line up to the last that stays
+    numbers = F.coalesce("__kept", F.array().cast("array<int>"))
+    gaps = F.zip_with(numbers, F.concat(F.array(F.lit(-1)), numbers), lambda k, before: k - before - 1)
+    stays = F.flatten(F.transform(F.array_compact(gaps), lambda gap: F.array_append(F.array_repeat(F.lit(False), gap), F.lit(True))))
+    flagged = F.zip_with(F.split(F.col(text), "\n"), stays, lambda x, f: F.when(F.coalesce(f, F.lit(False)) | ~_counts(x, least_words), x))
+    rest = F.array_join(F.array_compact(flagged), "\n")
+    return joined.withColumn(text, F.when(F.col(text).isNotNull(), rest)).select(*renamed.columns).toDF(*names)
