@@ -63,7 +63,9 @@ def bounded_sample(df: DataFrame, n: int, seed: int, *keys: str, by: list[str] |
         raise MixtureError(f"a sample of {n} rows")
     if not by:
         return df.withColumn("__order", order_key(seed, *keys)).orderBy("__order", *keys).limit(n).drop("__order")
-    return shuffled(df, seed, *keys, name="__at", by=by).where(F.col("__at") < n).drop("__at")
+    # rank and bound stand together, so that Spark keeps n rows of a group in each task before the shuffle
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order_key(seed, *keys), *keys))
+    return df.withColumn("__at", rank).where(F.col("__at") <= n).drop("__at")
 
 
 def split(df: DataFrame, ratio: float, seed: int, *keys: str, name: str = "split") -> DataFrame:
@@ -122,10 +124,15 @@ def evenly_spaced(df: DataFrame, k: int, *keys: str) -> DataFrame:
 
 def review_rows(df: DataFrame, subset: str, images: Column, n: int, seed: int, *keys: str) -> DataFrame:
     """Up to n rows of each subset, dealt round robin over image counts, the rarest count first."""
-    counted = df.withColumn("__images", images).withColumn("__size", F.count("*").over(Window.partitionBy(subset, "__images")))
-    numbered = shuffled(counted, seed, *keys, name="__round", by=[subset, "__images"])
+    counted = df.withColumn("__images", images)
+    sizes = counted.groupBy(subset, "__images").agg(F.count("*").alias("__size"))
+    # no subset needs more than n rows of one image count
+    rank = F.row_number().over(Window.partitionBy(subset, "__images").orderBy(order_key(seed, *keys), *keys))
+    first = counted.withColumn("__round", rank).where(F.col("__round") <= n)
+    sizes = sizes.toDF("__subset", "__count", "__size")
+    sized = first.join(sizes, F.col(subset).eqNullSafe(F.col("__subset")) & F.col("__images").eqNullSafe(F.col("__count"))).drop("__subset", "__count")
     dealt = Window.partitionBy(subset).orderBy("__round", "__size", "__images")
-    return numbered.withColumn("pick", F.row_number().over(dealt)).where(F.col("pick") <= n).drop("__round", "__size", "__images")
+    return sized.withColumn("pick", F.row_number().over(dealt)).where(F.col("pick") <= n).drop("__round", "__size", "__images")
 
 
 def leakage(train: DataFrame, validation: DataFrame, text: str) -> DataFrame:
