@@ -3,8 +3,6 @@ segmentation over UTF-8 bytes, checkpoints in the cluster's shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from weft.functions.storage import checkpoint, release, shared_dir, stored  # noqa: F401  for the operators here
+
 #: Bytes of text that are held in numpy arrays at once; one longer text is a chunk of its own.
 CHUNK_BYTES = 2_000_000
 
@@ -26,35 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is
-    unset (tests on one machine) a new local folder, which is then set."""
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(configured)
-        return configured
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="weft-checkpoint-"))
-        current = context._jsc.sc().getCheckpointDir()
-    return current.get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a copy in the shared folder, which outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The table written to the shared folder as compressed Parquet, and read from there."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -34,24 +34,31 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._common import checkpoint, stored
+from weft.llm._common import checkpoint, release, stored
 
 SHARE, PER = 80, 100
 LEAST_WORDS = 5
 #: What the registered query and the pipeline take: every line that has a word.
 ALL_LINES = 1
-SLOTS = 131_072
+SLOTS = 262_144
 #: Rows (id, line number) that are sent to all executors at most; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 _HASH_BITS = 56
+#: Bits of a code's hash that are kept for prefixes.
+_SHORT_BITS = 32
+#: Sizes of one band differ by this factor at most.
+_BAND = 2.0
 #: Parity sketches of 64 bits: of all words and, for lines of more than LONG words, of the
 #: words in three of four hash classes (the fourth follows from them).
 _SKETCH = ("s0", "s1", "s2", "s3")
 LONG = 112
+#: The postings are joined in so many parts, by code, one after the other: less disk at once.
+_PARTS = 2
 #: Rarest codes of which two that follow each other have to agree for the quick comparison.
 _RAREST = 3
 
@@ -120,8 +127,7 @@ def _short_prefix_length(n: Column) -> Column:
 
 
 def _band(n: Column) -> Column:
-    """Sets of one band and the next differ by PER / SHARE in size at least at their far ends."""
-    return F.floor(F.log(n) / math.log(PER / SHARE)).cast("int")
+    return F.floor(F.log(n) / math.log(_BAND)).cast("int")
 
 
 def _sets(documents: DataFrame, id_column: str, text_column: str, rarity: list[int], least_words: int) -> DataFrame:
@@ -142,6 +148,7 @@ def _sets(documents: DataFrame, id_column: str, text_column: str, rarity: list[i
     parts = [parity("h").alias("s0"), *(F.when(n > LONG, parity(dealt(k))).otherwise(0).alias(f"s{k}") for k in (1, 2, 3))]
     coded = hashed.select("doc", "line_no", n.alias("n"), *parts, F.sort_array(F.transform("h", code)).alias("codes"))
     kept = F.slice("codes", F.lit(1), F.greatest(_prefix_length(F.col("n")), F.lit(_RAREST)))
+    kept = F.transform(kept, lambda c: F.shiftrightunsigned(c, _HASH_BITS - _SHORT_BITS))
     keyed = coded.select("doc", "line_no", "n", *_SKETCH, kept.alias("codes"), F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"))
     first = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line_no", "n", *_SKETCH, "codes")).alias("e"))
     return first.select("e.*")
@@ -164,8 +171,7 @@ def _matching(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """doc, line_no of the later lines of the pairs (a..., b...) whose word sets match."""
     a, b = (pairs.select(F.col(f"{x}doc").alias("doc"), F.col(f"{x}line_no").alias("line_no")) for x in "ab")
     places = _prefixed(_small(checkpoint(a.union(b).distinct())), "__")
-    found = lines.join(places, _same_place("", "__"), "left_semi").select("doc", "line_no", _word_set(F.col("line")).alias("words"))
-    found = checkpoint(found)
+    found = checkpoint(lines.join(places, _same_place("", "__"), "left_semi").select("doc", "line_no", _word_set(F.col("line")).alias("words")))
     both = pairs.join(_prefixed(found, "y"), _same_place("b", "y")).select("adoc", "aline_no", "ywords").join(_prefixed(found, "x"), _same_place("a", "x"))
     shared = F.size(F.array_intersect("xwords", "ywords"))
     match = shared * PER >= (F.size("xwords") + F.size("ywords") - shared) * SHARE
@@ -177,8 +183,11 @@ def _quick_pairs(sets: DataFrame) -> DataFrame:
     code = lambda k: F.get("codes", F.lit(k))
     keys = F.array(*(F.xxhash64(code(i), code(j)) for i, j in ((0, 1), (1, 2))))
     keyed = sets.where(F.col("n") >= _RAREST).select("doc", "line_no", "n", *_SKETCH, F.explode(keys).alias("key"))
-    first = keyed.groupBy("key").agg(F.count("*").alias("of"), F.min(F.struct("doc", "line_no", "n", *_SKETCH)).alias("e"))
-    first = first.where(F.col("of") > 1).select("key", *(F.col(f"e.{c}").alias(f"b{c}") for c in ("doc", "line_no", "n", *_SKETCH)))
+    # most keys are of one set alone: counts go first, rows only where keys are shared
+    shared = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("of")).where(F.col("of") > 1).select(F.col("key").alias("__key")))
+    keyed = keyed.join(_small(shared), F.col("key") == F.col("__key"), "left_semi")
+    first = keyed.groupBy("key").agg(F.min(F.struct("doc", "line_no", "n", *_SKETCH)).alias("e"))
+    first = first.select("key", *(F.col(f"e.{c}").alias(f"b{c}") for c in ("doc", "line_no", "n", *_SKETCH)))
     pairs = _prefixed(keyed, "a").join(first, F.col("akey") == F.col("key"))
     a, b = _named("a"), _named("b")
     passed = pairs.where(_near(a, b) & _before(b, a))
@@ -186,41 +195,56 @@ def _quick_pairs(sets: DataFrame) -> DataFrame:
     return best.select("adoc", "aline_no", "e.bdoc", "e.bline_no")
 
 
-def _open_pairs(sets: DataFrame, settled: DataFrame) -> DataFrame:
-    """Pairs of an open set and an earlier one that pass prefix, size, position and sketch filters on a common word."""
+def _open_pairs(sets: DataFrame, settled: DataFrame, part: int) -> DataFrame:
+    """Pairs of an open set and an earlier one that pass prefix, size, position and sketch filters on a common word of the part."""
     known = sets.join(_prefixed(_small(settled), "__"), _same_place("", "__"), "left")
-    known = known.select("doc", "line_no", "n", F.col("__line_no").isNull().alias("open"), *_SKETCH, "codes")
+    known = known.select("doc", "line_no", "n", F.col("__line_no").isNull().cast("long").alias("open"), *_SKETCH, "codes")
 
     def post(df: DataFrame, length: Callable[[Column], Column]) -> DataFrame:
-        """A row for each word of the prefix, with the code before it."""
-        words = df.select("*", F.posexplode(F.slice("codes", F.lit(1), length(F.col("n")))).alias("pos", "code"))
-        return words.withColumn("previous", F.coalesce(F.get("codes", F.col("pos") - 1), F.lit(0))).drop("codes")
+        """A row for each word of the prefix: its code and band, the code before it, and the set; small numbers share a column."""
+        words = df.select("*", F.posexplode(F.slice("codes", F.lit(1), length(F.col("n")))).alias("pos", "code")).where(F.col("code") % _PARTS == part)
+        word = F.shiftleft("code", 6).bitwiseOR(F.col("band"))
+        previous = F.coalesce(F.get("codes", F.col("pos") - 1), F.lit(0))
+        line = F.shiftleft(F.col("line_no").cast("long"), 1).bitwiseOR(F.col("open"))
+        size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos"))
+        return words.select(word.alias("word"), previous.alias("previous"), *_SKETCH, "doc", line.alias("line"), size.alias("size"))
+
+    def fields(x: str) -> dict[str, Column]:
+        size, line = F.col(f"{x}size"), F.col(f"{x}line")
+        own = {"n": F.shiftright(size, 32).cast("int"), "pos": size.bitwiseAND((1 << 32) - 1).cast("int"), "line_no": F.shiftright(line, 1).cast("int"), "open": line.bitwiseAND(1) == 1}
+        return own | {c: F.col(f"{x}{c}") for c in ("doc", "previous", *_SKETCH)}
 
     larger = post(known.withColumn("band", _band(F.col("n"))), _prefix_length)
-    bands = F.explode(F.array(_band(F.col("n")), _band(F.col("n")) + 1))
+    # of its own size and of the largest that it can match
+    bands = F.explode(F.array_distinct(F.array(_band(F.col("n")), _band(F.col("n") * PER / SHARE))))
     smaller = post(known.withColumn("band", bands), _short_prefix_length)
-    a, b = _named("a"), _named("b")
+    a, b = fields("a"), fields("b")
     (n, i), (m, j) = ((x["n"], x["pos"]) for x in (a, b))
     # The first word that two matching sets have in common leaves enough behind it in both.
     places = F.least(n - i, m - j) * (SHARE + PER) >= (n + m) * SHARE
     # Where the words before are the same, those meet already.
-    places = places & ((F.col("aprevious") != F.col("bprevious")) | (i == 0) | (j == 0))
+    places = places & ((a["previous"] != b["previous"]) | (i == 0) | (j == 0))
     # Sets of one size meet twice; the later one is then the larger.
-    late = F.when(_before(b, a), F.col("aopen")).otherwise((n > m) & F.col("bopen"))
-    word = (F.col("acode") == F.col("bcode")) & (F.col("aband") == F.col("bband"))
-    met = _prefixed(larger, "a").hint("merge").join(_prefixed(smaller, "b"), word & (n >= m) & places & _near(a, b) & late)
     first = _before(b, a)
-    order = lambda x, y: (F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for z in (x,))
-    return met.select(*order("adoc", "bdoc"), *order("aline_no", "bline_no"), *order("bdoc", "adoc"), *order("bline_no", "aline_no")).distinct()
+    late = F.when(first, a["open"]).otherwise((n > m) & b["open"])
+    met = _prefixed(larger, "a").hint("merge").join(_prefixed(smaller, "b"), (F.col("aword") == F.col("bword")) & (n >= m) & places & _near(a, b) & late)
+    order = lambda x, y, c: (F.when(first, x[c]).otherwise(y[c]))
+    return met.select(*(order(*xy, c).alias(f"{name}{c}") for name, xy in (("a", (a, b)), ("b", (b, a))) for c in ("doc", "line_no"))).distinct()
 
 
 def kept_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """doc, line_no of the lines of `least_words` or more that stay."""
+    spark = documents.sparkSession
     sets = stored(_sets(documents, id_column, text_column, rarity_classes(documents, text_column), least_words))
     lines = lines_of(documents, id_column, text_column)
-    quick = checkpoint(_quick_pairs(sets))
-    settled = checkpoint(_matching(quick, lines))
-    pairs = checkpoint(_open_pairs(sets, settled))
+    release(spark)
+    settled = checkpoint(_matching(checkpoint(_quick_pairs(sets)), lines))
+    release(spark)
+    parts = []
+    for part in range(_PARTS):
+        parts.append(checkpoint(_open_pairs(sets, settled, part)))
+        release(spark)
+    pairs = checkpoint(reduce(DataFrame.union, parts).distinct())
     gone = settled.union(checkpoint(_matching(pairs, lines)))
     return sets.select("doc", "line_no").join(_prefixed(_small(gone), "__"), _same_place("", "__"), "left_anti")
 
