@@ -40,6 +40,8 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that are done. Its cleaner learns of them
-    when the driver collects garbage, which may be long after (spark.cleaner.periodicGC.interval)."""
+    """Lets Spark delete the shuffle files of tables that are stored. Its cleaner learns of them
+    when the driver collects garbage, which may be long after (spark.cleaner.periodicGC.interval),
+    and only once another job has followed."""
+    spark.range(2).repartition(2).count()
     spark.sparkContext._jvm.System.gc()
