@@ -3,7 +3,10 @@
 A page is cut into flat text blocks. Each block has its word count and link
 density, those of the blocks before and after it, and which kind of container
 holds it. A decision tree, trained on the small labelled table in
-`html_labelled.py`, tells article blocks from the rest.
+`html_labelled.py`, tells article blocks from the rest: by words and link densities
+where containers say nothing or hold lists of links, by the container where it says more.
+A class or id that names a layout (`has-sidebar`) says nothing about what is inside an
+article or main element.
 
 Defined results: null or empty html gives an empty text; cut-off or badly nested
 markup is read as far as it goes; pages without blocks give an empty text; rows
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.llm._common import chunks
-from weft.llm.html_labelled import LABELLED_PAGES
+from weft.llm.html_labelled import labelled_pages
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -58,6 +61,10 @@ CHROME_HINTS = frozenset(
     " toolbar rail teaser skip outbrain taboola paywall alert hidden".split()
 )
 CORE_HINTS = frozenset("article content post entry story text".split())
+#: Of these, words that name a part of the layout; an article inside is an article still.
+LAYOUT_HINTS = frozenset("sidebar rail menu nav navbar navigation header masthead topbar toolbar footer banner widget widgets notice notices cookie cookies".split())
+#: What a class name begins with if it tells of something elsewhere: has-sidebar, no-header.
+ELSEWHERE = frozenset("has with without no show hide".split())
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 FEATURES = ("chrome", "core", "heading", "words", "words_before", "words_after", "links", "links_before", "links_after")
@@ -78,6 +85,7 @@ class Block:
 class _Open:
     name: str
     chrome: bool
+    layout: bool  # chrome by names of the layout alone
     core: bool
     unseen: bool
     keep: bool
@@ -99,26 +107,28 @@ def _attributes(source: str) -> dict[str, str]:
 
 def _container(name: str, source: str, parent: _Open) -> _Open:
     attrs = _attributes(source) if source.strip(" /\n\t") else {}
-    hints = {x.lower() for x in _HINT.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
+    named = [[x.lower() for x in _HINT.findall(c)] for c in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()]
+    hints = {x for words in named if words and words[0] not in ELSEWHERE for x in words}
     role = attrs.get("role", "").lower()
-    chrome = name in CHROME_TAGS or role in CHROME_ROLES or (name == "header" and not parent.core)
-    chrome |= bool(hints & CHROME_HINTS) and name not in ("html", "body", "article", "main")
+    own_core = name in CORE_TAGS or role in ("main", "article")
+    named_chrome = hints & CHROME_HINTS if name not in ("html", "body", "article", "main") else set()
+    chrome = name in CHROME_TAGS or role in CHROME_ROLES or (name == "header" and not parent.core) or bool(named_chrome - LAYOUT_HINTS)
     chrome |= "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN_STYLE.search(attrs.get("style", "")))
-    core = name in CORE_TAGS or role in ("main", "article") or bool(hints & CORE_HINTS)
-    return _Open(name, parent.chrome or chrome, parent.core or core, parent.unseen or name in UNSEEN, parent.keep or "data-keep" in attrs)
+    layout = bool(named_chrome) or (parent.layout and not own_core)
+    return _Open(name, parent.chrome or chrome, layout, parent.core or own_core or bool(hints & CORE_HINTS), parent.unseen or name in UNSEEN, parent.keep if "data-drop" not in attrs and "data-keep" not in attrs else "data-keep" in attrs)
 
 
 def blocks(page: str | None) -> list[Block]:
     """The flat text blocks of a page, in page order."""
     page = page or ""
-    root = _Open("", False, False, False, False)
+    root = _Open("", False, False, False, False, False)
     state, out, at, in_link, heading = _State(), [], 0, 0, False
 
     def flush() -> None:
         words = "".join(state.pieces).split()
         if words:
             top = state.stack[-1] if state.stack else root
-            out.append(Block(" ".join(words), len(words), min(1.0, state.linked / len(words)), top.chrome, top.core, heading, top.keep))
+            out.append(Block(" ".join(words), len(words), min(1.0, state.linked / len(words)), top.chrome or top.layout, top.core, heading, top.keep))
         state.pieces.clear()
         state.linked = 0
 
@@ -206,9 +216,10 @@ def classify(tree: list, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(pages: list[str] = LABELLED_PAGES) -> list:
-    """The tree of a labelled table: pages whose article elements carry data-keep."""
-    found = [blocks(p) for p in pages]
+def train(pages: list[str] | None = None) -> list:
+    """The tree of a labelled table: pages whose article elements carry data-keep, and what is
+    no article inside them data-drop."""
+    found = [blocks(p) for p in pages or labelled_pages()]
     return grow_tree(np.vstack([features(b) for b in found]), np.array([b.keep for bs in found for b in bs], float))
 
 

@@ -1,5 +1,13 @@
-"""The labelled table of html_extract: small pages written for training. Elements
-with data-keep hold article text; all other text is to be left out."""
+"""The labelled table of html_extract: small pages written for training, and pages made by
+rule. Elements with data-keep hold article text, but for elements with data-drop inside
+them; all other text is to be left out."""
+
+from __future__ import annotations
+
+import numpy as np
+
+#: Pages made by rule: how many, and the seed of their numbers.
+MADE_PAGES, SEED = 400, 5
 
 LABELLED_PAGES = [
     """<html><head><title>Rivers</title><style>p{color:red}</style></head><body><nav><a href=/a>Home</a> <a href=/b>News</a></nav>
@@ -63,3 +71,64 @@ LABELLED_PAGES = [
     <section id="reader-responses"><p>Thank you for this, I had wondered about the fish in our pond every winter since I was a child and nobody could ever tell me why they did not die.</p></section>
     <div class="popup"><p>Before you go, would you like to get a note from us when the next story about water, ice and snow is ready for you to read?</p></div></body>""",
 ]
+
+
+def _words(rng: np.random.Generator, n: int) -> str:
+    return " ".join("w" * int(k) for k in rng.integers(2, 9, n))
+
+
+def _links(rng: np.random.Generator, n: int, most: int = 3) -> list[str]:
+    return [f"<a href=/{k}>{_words(rng, int(rng.integers(1, most + 1)))}</a>" for k in range(n)]
+
+
+def _paragraph(rng: np.random.Generator, least: int = 1) -> str:
+    """An article's paragraph: long as a rule, a few words at times, with some words linked."""
+    n = max(least, int(rng.integers(1, 8)) if rng.random() < 0.25 else int(rng.integers(8, 120)))
+    linked = int(n * rng.random() * 0.3) if rng.random() < 0.3 else 0
+    return _words(rng, n - linked) + (f" <a href=/x>{_words(rng, linked)}</a>" if linked else "")
+
+
+def _made_page(rng: np.random.Generator) -> str:
+    """Lists of links, an article, and what stands around it. On half of the pages all is plain
+    div and p, so that words and links have to tell; on the rest containers have names."""
+    plain, out = rng.random() < 0.5, []
+
+    def put(content: str, tag: str, attrs: str = "") -> None:
+        out.append(f"<div>{content}</div>" if plain else f"<{tag}{attrs}>{content}</{tag}>")
+
+    def link_list(tag: str, attrs: str = "") -> None:
+        items = _links(rng, int(rng.integers(2, 9)))
+        style = rng.integers(3)
+        put("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if style == 0 else " | ".join(items) if style == 1 else "".join(f"<p>{x}</p>" for x in items), tag, attrs)
+
+    if rng.random() < 0.8:
+        link_list("nav")
+    if rng.random() < 0.3:
+        put(f"<p>{_words(rng, int(rng.integers(1, 5)))}</p>" + "".join(f"<p>{x}</p>" for x in _links(rng, 3)), "header")
+    if not plain and rng.random() < 0.6:
+        put(_words(rng, int(rng.integers(3, 60))), "div", rng.choice([' class="ad"', ' class="cookie-notice"', ' class="sidebar"']))
+    body = [f"<h1>{_words(rng, int(rng.integers(1, 12)))}</h1>"] if rng.random() < 0.8 else []
+    body += [f"<p>{_paragraph(rng, 8 if plain and k == 0 else 1)}</p>" for k in range(int(rng.integers(1, 9)))]
+    if rng.random() < 0.35:  # lists of links inside the article are none of it
+        links = "".join(f"<li>{x}</li>" for x in _links(rng, int(rng.integers(2, 6)), 9))
+        body.insert(int(rng.integers(1, len(body) + 1)), f"<ul data-drop>{links}</ul>")
+    if rng.random() < 0.2:  # a heading that is a link to its own place belongs to it
+        body.insert(int(rng.integers(0, len(body))), f"<h2><a href=#x>{_words(rng, int(rng.integers(1, 6)))}</a></h2>")
+    tag, attrs = ("div", ' class="layout has-sidebar"') if rng.random() < 0.2 else ("div", "")
+    inner = ("div", "") if plain else [("article", ""), ("main", ""), ("div", ' class="post-content"')][int(rng.integers(3))]
+    out.append(f"<{tag}{attrs}><{inner[0]}{inner[1]} data-keep>{''.join(body)}</{inner[0]}></{tag}>")
+    if not plain and rng.random() < 0.5:
+        put("".join(f"<p>{_words(rng, int(rng.integers(2, 50)))}</p>" for _ in range(int(rng.integers(1, 4)))), "section", ' class="comments"')
+    if rng.random() < 0.4:
+        link_list("div", ' class="related"')
+    if not plain and rng.random() < 0.9:
+        put(f"&copy; {_words(rng, int(rng.integers(2, 50)))}", "footer")
+    elif plain and rng.random() < 0.9:
+        put(" &middot; ".join([_words(rng, int(rng.integers(1, 4))), *_links(rng, int(rng.integers(2, 5)))]), "footer")
+    return f"<body>{''.join(out)}</body>"
+
+
+def labelled_pages(made: int = MADE_PAGES, seed: int = SEED) -> list[str]:
+    """The written pages and the made ones."""
+    rng = np.random.default_rng(seed)
+    return LABELLED_PAGES + [_made_page(rng) for _ in range(made)]
