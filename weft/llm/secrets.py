@@ -49,14 +49,14 @@ BASE_RULES = (
 )
 #: Formats of well-known secrets, in the order in which spans that begin together are listed.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("slack", r"xox[abeprs]-[A-Za-z0-9-]{10,250}"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abeprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
-    Rule("stripe", r"[rs]k_live_[0-9A-Za-z]{24,250}"),
+    Rule("stripe", r"[rs]k_live_[0-9A-Za-z]{24,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/-]{20,}", re.A | re.I),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._%-]{1,64}:[^\s:@/\"']{3,128}@"),
+    Rule("url_login", r"(?<![a-z])[a-z][a-z0-9+.-]+://[A-Za-z0-9._%-]+:[^\s:@/\"']{3,}@"),
 )
 
 #: A query is True (any text), a trigram, ("and", queries) or ("or", queries). Strings a piece may stand for, at most.
