@@ -213,3 +213,29 @@ def test_decontaminated_documents(spark, sf_dir):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - bad
     cut = decontaminate.cut_spans(docs, bench)
     assert cut.count() == docs.count() and not any(r.contaminated for r in decontaminate.report(cut, bench).collect())
+
+
+def test_media_with_bad_headers(spark):
+    bad = [b"P6 99999999999999 9999999999999 255\n", b"P5 100000 100000 255\n", b"BM" + b"\xff" * 60, b"P5 3 1 255\nab", b"P2 2 1 10 5 x"]
+    df = spark.createDataFrame(list(enumerate(bad)), "k int, image binary")
+    assert all(r.tile is None for r in media.tiles(df, "k", "image").collect())
+    assert media.decode(b"P3 2 1 255 300 0 7 1 2 999").tolist() == [[[255, 0, 7], [1, 2, 255]]]
+
+
+def test_area_resize_where_sizes_do_not_divide():
+    rng = np.random.default_rng(1)
+    plane = rng.integers(0, 256, (7, 11))
+    fine = np.kron(plane, np.ones((5, 4)))  # 35 x 44: areas of 7 x 11 fine pixels are whole
+    want = fine.reshape(5, 7, 4, 11).mean((1, 3))
+    assert np.allclose(media.area_resize(plane, 5, 4), want)
+
+
+def test_more_rules_take_whole_secrets(spark):
+    token = "ghp_" + "Ab1" * 200
+    text = f"x {token} y https://user.name%40x:" + "p" * 300 + "@host/ -----BEGIN " + "VERY " * 20 + "PRIVATE KEY----- xoxb-" + "1a-" * 150 + "z"
+    df = spark.createDataFrame([(1, text), (2, "z" * 300_000 + "://")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(df).collect()}
+    spans = [x.split(":") for x in got[1].split(",")]
+    found = {kind: text[int(a) : int(b)] for kind, a, b in spans}
+    assert found["github"] == token and found["slack"].endswith("-z") and found["private_key"].endswith("VERY PRIVATE KEY-----")
+    assert found["url_login"].startswith("https://user") and found["url_login"].endswith("p@") and got[2] == ""

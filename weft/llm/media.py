@@ -5,8 +5,9 @@ integral images, written as NPY tiles with difference hashes.
 a binary PPM, and reads that PPM back for all that it reports.
 
 Defined results: a null text counts as empty and gives one row of pixels; equal
-texts give equal values; a null or unreadable image gives null tile and hash from
-`tiles`; rows that repeat are each answered; other columns are ignored.
+texts give equal values; a null or unreadable image, one of more than MOST_PIXELS or with
+fewer samples than its header says, gives null tile and hash from `tiles`; samples above
+the top value count as it; rows that repeat are each answered; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from weft.llm._common import chunks
 
 WIDTH = 64
 UNIT = WIDTH * 3
+#: Pixels that an image's header may name; an array of more would not fit a worker.
+MOST_PIXELS = 1 << 28
 _TOKEN = re.compile(rb"(?:\s*#[^\n]*\n|\s)*([^\s#]+)")
 _BINARY = {b"P4": (1, 1), b"P5": (1, None), b"P6": (3, None)}
 
@@ -48,7 +51,7 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
         numbers.append(int(token[1]))
         at = token.end()
     width, height, top = *numbers[:2], 1 if bitmap else numbers[2]
-    if width <= 0 or height <= 0 or not 0 < top < 65536:
+    if width <= 0 or height <= 0 or not 0 < top < 65536 or width * height > MOST_PIXELS:
         raise ValueError("no image size")
     channels = 3 if kind in (b"P3", b"P6") else 1
     if kind == b"P4":
@@ -64,14 +67,14 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
         samples = 1 - samples if kind == b"P1" else samples
     else:
         raise ValueError("no Netpbm image")
-    samples = samples.reshape(height, width, channels)
+    samples = np.minimum(samples, top).reshape(height, width, channels) if top != 255 or kind not in _BINARY else samples.reshape(height, width, channels)
     return samples if top == 255 and samples.dtype == np.uint8 else (samples.astype(np.uint32) * 255 // top).astype(np.uint8)
 
 
 def _decode_bmp(data: bytes) -> np.ndarray:
     """Uncompressed BMP of 8 (palette or grey), 24 or 32 bits."""
     start, header, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if packed not in (0, 3) or bits not in (8, 24, 32) or width <= 0 or height == 0:
+    if packed not in (0, 3) or bits not in (8, 24, 32) or width <= 0 or height == 0 or width * abs(height) > MOST_PIXELS:
         raise ValueError("no BMP of 8, 24 or 32 bits without compression")
     stride = -(-width * bits // 32) * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(height), start).reshape(abs(height), stride)[:: 1 if height < 0 else -1]
@@ -129,7 +132,7 @@ def tiles(images: DataFrame, id_column: str, image_column: str, size: int = 32)
     def one(data: bytes | None) -> tuple:
         try:
             pixels = decode(data) if data else None
-        except (ValueError, struct.error, IndexError):
+        except (ValueError, OverflowError, struct.error, IndexError):
             pixels = None
         if pixels is None:
             return None, None, None, None
