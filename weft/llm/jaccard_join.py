@@ -10,14 +10,15 @@
 3. Connected candidates are verified together with signature trees: leaves hold token
    bitmaps, inner nodes the OR of their children with the range of set sizes; two nodes
    are compared only if sizes and the most that their bitmaps can overlap allow a link.
-   Exact intersections decide. Nodes that are linked already are passed over. More than
+   Exact intersections decide. For components, nodes that are linked already are passed over;
+   `pairs` passes over none and gives every link between different sets. More than
    `MOST_IN_TREE` connected candidates are dealt over pairs of blocks, one task each, so
    that no group is gathered in one task.
 
 Defined results: null texts and texts without words have no shingles, no links and their
 own id as component; a text of one to four words has its whole sequence as one shingle;
-rows that repeat are each answered; ids that are null are never a component id; other
-columns are ignored. Shingles and classes are told apart by 64-bit hashes.
+rows that repeat are each answered; rows of a null id link like all others, but null is
+never a component id where another id is reached; other columns are ignored. Shingles and classes are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -58,15 +59,15 @@ def class_keys(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def set_keys(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """id, n_shingles and the class keys k1, k2 of each row."""
-    chosen = documents.select(F.col(id_column), F.col(text_column).alias("__text"))
-    schema = T.StructType([chosen.schema[0], *(T.StructField(x, T.LongType()) for x in ("n_shingles", "k1", "k2"))])
+    """id, text_key, n_shingles and the class keys k1, k2 of each row."""
+    chosen = documents.select(F.col(id_column), F.xxhash64(F.col(text_column)).alias("text_key"), F.col(text_column).alias("__text"))
+    schema = T.StructType([*chosen.schema[:2], *(T.StructField(x, T.LongType()) for x in ("n_shingles", "k1", "k2"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "__text"):
             hashes, first = shingle_sets(Words(texts, NOT_SPACE), WIDTH)
             k1, k2 = class_keys(hashes, first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (np.diff(first), k1.view(np.int64), k2.view(np.int64)))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (np.diff(first), k1.view(np.int64), k2.view(np.int64)))], names=schema.names)
 
     return chosen.mapInArrow(run, schema)
 
@@ -263,7 +264,7 @@ class SignatureTree:
         need = max(_least_overlap(max(low)), -(-SHARE * sum(low) // (PER + SHARE)))
         return int(np.bitwise_count(bitmaps[a] & bitmaps[b]).sum()) + min(int(excess[a]), int(excess[b])) >= need
 
-    def _leaves(self, a: int, b: int) -> None:
+    def _leaves(self, a: int, b: int, links: list[tuple[int, int]] | None) -> None:
         i, j = np.arange(a * _LEAF, min((a + 1) * _LEAF, len(self.sets))), np.arange(b * _LEAF, min((b + 1) * _LEAF, len(self.sets)))
         x, y = self.sizes[i][:, None], self.sizes[j][None, :]
         bound = np.bitwise_count(self.bitmaps[i][:, None, :] & self.bitmaps[j][None, :, :]).sum(2, dtype=np.int64) + np.minimum(self.excess[i][:, None], self.excess[j][None, :])
@@ -273,24 +274,28 @@ class SignatureTree:
             ok &= i[:, None] < j[None, :]
         for p, q in np.argwhere(ok).tolist():
             p, q = int(i[p]), int(j[q])
-            if self.label[p] != self.label[q] and linked(self.sets[p], self.sets[q]):
+            if links is not None:
+                if linked(self.sets[p], self.sets[q]):
+                    links.append((int(self.order[p]), int(self.order[q])))
+            elif self.label[p] != self.label[q] and linked(self.sets[p], self.sets[q]):
                 low, high = sorted((self.label[p], self.label[q]))
                 self.label[self.label == high] = low
 
-    def link(self) -> np.ndarray:
-        """The component of each set, as the place of one of its sets."""
+    def link(self, links: list[tuple[int, int]] | None = None) -> np.ndarray:
+        """The component of each set, as the place of one of its sets; or, where a list is given,
+        all links go into it."""
         stack = [(len(self.levels) - 1, 0, 0)]
         while stack:
             level, a, b = stack.pop()
             width = self.levels[level][0]
-            if a != b:
+            if a != b and links is None:
                 one, other = self.label[a * width : (a + 1) * width], self.label[b * width : (b + 1) * width]
                 if (one == one[0]).all() and (other == one[0]).all():
                     continue
             if not self._fits(level, a, b):
                 continue
             if level == 0:
-                self._leaves(a, b)
+                self._leaves(a, b, links)
                 continue
             n = len(self.levels[level - 1][2])
             below = [(level - 1, x, y) for x in range(a * _FAN, min((a + 1) * _FAN, n)) for y in range(b * _FAN, min((b + 1) * _FAN, n)) if a != b or x <= y]
@@ -309,14 +314,19 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return PER * both >= SHARE * (len(a) + len(b) - both)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], all_links: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by task; all sets of a task go into one tree."""
 
     def links(refs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        root = np.array([0, 0] if linked(*sets) else [0, 1]) if len(sets) == 2 else SignatureTree(sets).link()
         refs_ = np.array(refs, np.int64)
-        keep = root != np.arange(len(refs))
-        return pa.RecordBatch.from_arrays([pa.array(refs_[keep], pa.int64()), pa.array(refs_[root[keep]], pa.int64())], names=["a", "b"])
+        if all_links:
+            SignatureTree(sets).link(found := [])
+            at = np.array(found, np.int64).reshape(-1, 2)
+        else:
+            root = SignatureTree(sets).link()
+            own = np.flatnonzero(root != np.arange(len(refs)))
+            at = np.column_stack([own, root[own]])
+        return pa.RecordBatch.from_arrays([pa.array(refs_[at[:, k]], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     task, refs, sets, seen = None, [], [], set()
     for batch, texts in chunks(batches, "__text"):
@@ -336,11 +346,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(refs, sets)
 
 
-def join(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", most_in_tree: int = MOST_IN_TREE) -> DataFrame:
-    """id, n_shingles and component_id of each row."""
+def _linked(keyed: DataFrame, documents: DataFrame, id_column: str, text_column: str, most_in_tree: int, all_links: bool) -> tuple[DataFrame, DataFrame]:
+    """Classes (k1, k2, rep, n), and edges a, b (k1 of classes) that hold links."""
     spark = documents.sparkSession
-    keyed = checkpoint(set_keys(documents, id_column, text_column))
-    classes = keyed.where(F.col("n_shingles") > 0).groupBy("k1", "k2").agg(F.min(id_column).alias("rep"), F.first("n_shingles").alias("n"))
+    one = F.min(F.struct(F.col(id_column).isNull().alias("unknown"), F.col(id_column).alias("rep"), "text_key")).alias("one")
+    classes = keyed.where(F.col("n_shingles") > 0).groupBy("k1", "k2").agg(one, F.first("n_shingles").alias("n")).select("k1", "k2", "one.rep", "one.text_key", "n")
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions(spark), -(-total // BUCKET_HASHES))
     edge = "a long, b long"
@@ -359,10 +369,18 @@ def join(documents: DataFrame, id_column: str = "doc_id", text_column: str = "te
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     members = members.withColumn("block", block).withColumn("other", other)
     members = members.select("ref", "comp", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("part"))
-    reps = members.join(classes.select(F.col("k1").alias("ref"), "rep"), "ref")
-    texts = documents.select(F.col(id_column).alias("rep"), F.col(text_column).alias("__text")).join(reps, "rep").select("comp", "part", "ref", "__text")
+    reps = members.join(classes.select(F.col("k1").alias("ref"), "rep", F.col("text_key").alias("__key")), "ref")
+    texts = documents.select(F.col(id_column).alias("__id"), F.xxhash64(F.col(text_column)).alias("__own"), F.col(text_column).alias("__text"))
+    texts = texts.join(reps, F.col("__id").eqNullSafe(F.col("rep")) & (F.col("__own") == F.col("__key"))).select("comp", "part", "ref", "__text")
     tasks = max(partitions(spark), -(-total // (4 * BUCKET_HASHES)))
-    verified = texts.repartition(tasks, "comp", "part").sortWithinPartitions("comp", "part", "ref").mapInArrow(_verify, edge)
+    dealt = texts.repartition(tasks, "comp", "part").sortWithinPartitions("comp", "part", "ref")
+    return classes, dealt.mapInArrow(lambda batches: _verify(batches, all_links), edge)
+
+
+def join(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", most_in_tree: int = MOST_IN_TREE) -> DataFrame:
+    """id, n_shingles and component_id of each row."""
+    keyed = checkpoint(set_keys(documents, id_column, text_column))
+    classes, verified = _linked(keyed, documents, id_column, text_column, most_in_tree, False)
     found = connected_components(verified).withColumnRenamed("node", "k1")
 
     by_class = found.join(classes.select("k1", "rep"), "k1")
@@ -373,6 +391,27 @@ def join(documents: DataFrame, id_column: str = "doc_id", text_column: str = "te
     return out.select(id_column, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(id_column)).alias("component_id"))
 
 
+def pairs(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", most_in_tree: int = MOST_IN_TREE) -> tuple[DataFrame, DataFrame]:
+    """The whole join: every link between different sets once, as low and high (smallest ids of
+    the two sets, null for a set that only rows without an id have), and membership: id,
+    class_id (smallest id of the rows with the same set), n_copies (rows with it) and n_links
+    (links of the set to others). Its size is that of the result: a group in which all link has
+    all its pairs."""
+    keyed = checkpoint(set_keys(documents, id_column, text_column))
+    classes, verified = _linked(keyed, documents, id_column, text_column, most_in_tree, True)
+    edges = checkpoint(verified.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = edges.select(F.explode(F.array("a", "b")).alias("k1")).groupBy("k1").agg(F.count("*").alias("links"))
+    copies = keyed.where(F.col("n_shingles") > 0).groupBy("k1", "k2").agg(F.count("*").alias("n_copies"))
+    of_class = classes.select("k1", "k2", F.col("rep").alias("class_id")).join(copies, ["k1", "k2"]).join(ends, "k1", "left")
+    members = keyed.join(of_class, ["k1", "k2"], "left")
+    members = members.select(id_column, F.coalesce("class_id", id_column).alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    named = classes.select("k1", "rep")
+    low = edges.join(named.withColumnRenamed("k1", "a").withColumnRenamed("rep", "x"), "a")
+    both = low.join(named.withColumnRenamed("k1", "b").withColumnRenamed("rep", "y"), "b")
+    found = both.select(F.when(F.col("x").isNull() | (F.col("x") <= F.col("y")), F.col("x")).otherwise(F.col("y")).alias("low"), F.when(F.col("x").isNull() | (F.col("x") <= F.col("y")), F.col("y")).otherwise(F.col("x")).alias("high"))
+    return found, members
+
+
 def deduplicate(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """One document of each component stays: the one with the smallest id (its rows, if the
     id repeats). Documents with a null id or without words stay."""
