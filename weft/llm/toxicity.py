@@ -3,14 +3,17 @@
 Features of a whole text: densities of a fixed lexicon and of a lexicon learned from
 labels, how often lexicon words stand near the second person, capitals, punctuation,
 repeated letters, and words that hide a lexicon word behind digits or signs. The labelled
-rows (at most `most_labelled`, those with the smallest hashes of their ids) are dealt by
-hash into a part that the lexicon is learned from, one for the trees and one for the
-calibration, so that none judges its own work.
+rows (at most `most_labelled`, those with the smallest hashes of their ids, the bound of all
+that the driver gathers for the fit) are dealt by hash into a part that the lexicon is
+learned from, one for the trees and one for the calibration, so that none judges its own
+work. Of the words that `least_texts` texts of that part have, the `most` that tell labels
+apart best are the learned lexicon. A score is 99 % the calibrated probability and 1 % the
+trees' own, so that texts on one step of the calibration keep their order.
 
 Defined results: null and empty texts have no words and get the score of a text with all
 features 0; a row is held out if crc32 of its id as text leaves `held_out` modulo
 `folds`, and a null id is not; labels that are null are left out, of several for one id
-the larger holds; without labels of both kinds the score is a fixed function of the
+the larger holds, and of several texts the smallest; without labels of both kinds the score is a fixed function of the
 lexicon's density; rows that repeat are each answered; other columns are ignored.
 """
 
@@ -28,8 +31,6 @@ from pyspark.sql import types as T
 from weft.llm._common import LOWER, NOT_SPACE, byte_set, chunks, hash_spans, utf8
 
 MOST_LABELLED = 16_000
-#: Longer texts are no training rows (they are scored like all others).
-MOST_BYTES = 200_000
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 
 #: Words that insult, and words of the second person.
@@ -292,8 +293,10 @@ def remainder(ids: Column, folds: int) -> Column:
 def train(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, most_labelled: int = MOST_LABELLED) -> Model:
     usable = labels.where(F.col(label_column).isNotNull() & (remainder(F.col(id_column), folds) != held_out))
     sample = usable.groupBy(F.col(id_column).alias("__id")).agg(F.max(label_column).cast("double").alias("__toxic")).orderBy(F.xxhash64("__id"), "__id").limit(most_labelled)
-    chosen = documents.where(F.octet_length(text_column) <= MOST_BYTES).select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"))
-    rows = chosen.join(F.broadcast(sample), "__id").select("__text", "__toxic", F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(100)).alias("__part"), F.xxhash64("__id").alias("__order"))
+    chosen = documents.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"))
+    # one text for each labelled id, however often its rows repeat
+    labelled = chosen.join(F.broadcast(sample), "__id").groupBy("__id", "__toxic").agg(F.min("__text").alias("__text"))
+    rows = labelled.select("__text", "__toxic", F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(100)).alias("__part"), F.xxhash64("__id").alias("__order"))
     return fit(rows)
 
 
