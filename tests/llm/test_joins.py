@@ -145,3 +145,34 @@ def test_url_filter_oracle(spark, sf_dir):
         want = db.sql(queries.ORACLE_SQL["op8_url_filter"]).fetchall()
         got = url_filter.judge(df).select("page_id", "host", "path", "rule", "verdict").collect()
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_null_ids_link(spark):
+    words = [f"v{k}" for k in range(40)]
+    rows = [(1, " ".join(words)), (None, " ".join([*words, "x"])), (2, " ".join([*words, "x", "y"])), (None, " ".join([*words, "x"])), (None, "all alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.n_shingles, r.component_id) for r in jaccard_join.join(df).collect() if r.component_id) == [(36, 1), (37, 1), (37, 1), (38, 1)]
+
+
+@pytest.mark.parametrize("most", [jaccard_join.MOST_IN_TREE, 25])
+def test_pairs_are_all_links(spark, planted, most):
+    rows = [(k, t) for k, t in planted if k >= 100_000] + [(None, "a b c d e f")]
+    found, members = jaccard_join.pairs(spark.createDataFrame(rows, "doc_id long, text string"), most_in_tree=most)
+    sets = {}
+    for k, t in rows:
+        if k is not None and (own := frozenset(shingles(t))):
+            sets.setdefault(own, []).append(k)
+    want = sorted(tuple(sorted((min(sets[a]), min(sets[b])))) for a, b in combinations(sets, 2) if 100 * len(a & b) >= 80 * len(a | b))
+    assert sorted(map(tuple, found.collect())) == want
+    links = {k: sum(min(own) in p for p in want) for own in sets.values() for k in own}
+    got = {r.doc_id: r for r in members.collect() if r.doc_id is not None}
+    assert {k: (got[k].class_id, got[k].n_copies, got[k].n_links) for k in links} == {k: (min(own), len(own) + (k == 100_007), links[k]) for own in sets.values() for k in own}
+
+
+def test_rules_by_join_judge_like_the_expression(spark, monkeypatch):
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    rules = [*url_filter.RULES, ("block", "org", "/m"), ("allow", "c.org", "/mo"), ("block", "net", "/"), ("allow", "b.net", "/es/y"), ("block", "c.org", "/mo")]
+    want = sorted(map(tuple, url_filter.judge(df, rules).collect()), key=str)
+    assert sorted(map(tuple, url_filter.judge(df, spark.createDataFrame(rules, "verdict string, host string, path string")).collect()), key=str) == want
+    monkeypatch.setattr(url_filter, "MOST_RULES", 3)
+    assert sorted(map(tuple, url_filter.judge(df, rules).collect()), key=str) == want

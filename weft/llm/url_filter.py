@@ -4,8 +4,9 @@ Rules judge a url by host (with its subdomains) and path prefix; the longest fit
 rule wins. Urls that redirect to each other, or name each other as canonical, are
 aliases: connected components over those edges. A url without a rule takes the
 decision of its aliases: allow if any of them is allowed by a rule, else block if any
-is blocked by one, else allow. Edge targets that are no pages are judged as well.
-DataFrame functions only.
+is blocked by one, else allow. Edge targets that are no pages are judged as well. A few
+rules are one expression; more of them, or a table of rules, are joined by the suffixes of
+the host. DataFrame functions only.
 
 Defined results: a null url or one without `://` has an empty host and path, no rule
 and no aliases, and is allowed; null html has no edges; rows that repeat are each
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.components import connected_components
 
-#: Rules that are one expression at most; it is evaluated for each url.
+#: Rules that are one expression, evaluated for each url; more of them are joined.
 MOST_RULES = 1000
 #: Fixed values of the production query: (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -56,12 +57,29 @@ def _fits(host: Column, path: Column, rule: tuple[str, str, str]) -> Column:
 
 
 def _longest(host: Column, path: Column, rules, value) -> Column:
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))
     return reduce(lambda rest, r: F.when(_fits(host, path, r), F.lit(value(r))).otherwise(rest), reversed(ordered), F.lit(None).cast("string"))
 
 
+def _joined(places: DataFrame, rules: DataFrame) -> DataFrame:
+    """__host, __path, __own and __rule of the places (host, path) that a rule (verdict, host, path) fits."""
+    labels = F.split("__host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels) - k + 1), "."))
+    listed = rules.select(F.col("verdict").alias("__verdict"), F.col("host").alias("__suffix"), F.col("path").alias("__start")).distinct()
+    met = places.where(F.col("__host") != "").withColumn("__suffix", F.explode(suffixes)).join(listed, "__suffix").where(F.col("__path").startswith(F.col("__start")))
+    best = F.min(F.struct((-F.length("__suffix") - F.length("__start")).alias("n"), "__verdict", "__suffix", "__start"))
+    return met.groupBy("__host", "__path").agg(best.alias("b")).select("__host", "__path", F.col("b.__verdict").alias("__own"), F.concat("b.__suffix", "b.__start").alias("__rule"))
+
+
+def _decided(df: DataFrame, host: Column, path: Column, rules) -> DataFrame:
+    """The rows with __own and __rule, the verdict and name of the longest rule that fits, or null."""
+    if not isinstance(rules, DataFrame) and len(rules) <= MOST_RULES:
+        return df.withColumns({"__own": _longest(host, path, rules, lambda r: r[0]), "__rule": _longest(host, path, rules, lambda r: r[1] + r[2])})
+    table = rules if isinstance(rules, DataFrame) else df.sparkSession.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    placed = df.withColumns({"__host": host, "__path": path})
+    return placed.join(_joined(placed.select("__host", "__path").distinct(), table), ["__host", "__path"], "left").drop("__host", "__path")
+
+
 def _attribute(tag: Column, name: str) -> Column:
     pattern = rf"(?i)\b{name}{_VALUE}"
     return F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))
@@ -90,22 +108,21 @@ def page_edges(pages: DataFrame, url_column: str = "url", html_column: str = "ht
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """id, host, path, rule and verdict of every page. redirects: more edges (from_url, to_url)."""
+    """id, host, path, rule and verdict of every page. rules: tuples (verdict, host, path), or a
+    table of them; redirects: more edges (from_url, to_url)."""
     edges = page_edges(pages, url_column, html_column)
     if redirects is not None:
         edges = edges.unionByName(redirects.select("from_url", "to_url"))
     ends = edges.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b"))
     members = connected_components(ends.where(F.col("a").isNotNull() & F.col("b").isNotNull()))
     as_url = F.concat(F.lit("http://"), F.col("node"))
-    own = _longest(host_of(as_url), path_of(as_url), rules, lambda r: r[0])
-    decided = members.select("node", "component", own.alias("own"))
+    decided = _decided(members, host_of(as_url), path_of(as_url), rules).select("node", "component", F.col("__own").alias("own"))
     decisions = decided.groupBy("component").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"))
     blocked = decisions.where(F.col("blocked") & ~F.coalesce("allowed", F.lit(False))).select("component")
     aliases = decided.join(blocked, "component", "left_semi").where(F.col("own").isNull()).select(F.col("node").alias("__node")).withColumn("__blocked", F.lit(True))
     host, path = host_of(F.col(url_column)), path_of(F.col(url_column))
-    judged = pages.select(
-        F.col(id_column), host.alias("host"), path.alias("path"),
-        _longest(host, path, rules, lambda r: r[1] + r[2]).alias("rule"), _longest(host, path, rules, lambda r: r[0]).alias("__own"), node_of(F.col(url_column)).alias("__node"),
-    )
+    # urls without a host are no node; a stand-in that no node is spreads them over the tasks of the join
+    node = F.coalesce(node_of(F.col(url_column)), F.concat(F.lit("/"), F.xxhash64(F.col(id_column)).cast("string")))
+    judged = _decided(pages.select(F.col(id_column), host.alias("host"), path.alias("path"), node.alias("__node")), F.col("host"), F.col("path"), rules)
     joined = judged.join(aliases, "__node", "left")
-    return joined.select(id_column, "host", "path", "rule", F.coalesce("__own", F.when(F.col("__blocked"), "block"), F.lit("allow")).alias("verdict"))
+    return joined.select(id_column, "host", "path", F.col("__rule").alias("rule"), F.coalesce("__own", F.when(F.col("__blocked"), "block"), F.lit("allow")).alias("verdict"))
