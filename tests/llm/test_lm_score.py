@@ -89,3 +89,36 @@ def test_rare_words_are_contexts(spark):
     df = spark.createDataFrame([*train, *right, *wrong], "doc_id long, text string")
     got = {r.doc_id: r.score for r in lm_score.score(df, contexts=8).collect()}
     assert all(got[a] > got[b] + 1 for (a, _), (b, _) in zip(right, wrong, strict=True))
+
+
+def test_all_texts_together_have_probability_one(spark):
+    """Over a closed vocabulary the probabilities of all texts of any length add up to one.
+
+    P(b after a) is known up to a factor of each word, from texts of one word and of two;
+    the sum over all texts does not depend on it."""
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(9)]
+    ids = [k for k in range(5_000) if zlib.crc32(str(k).encode()) % 5 != 1]
+    probes = [k for k in range(10_000, 20_000) if zlib.crc32(str(k).encode()) % 5 == 1]
+    train = [(ids[k], " ".join(rng.choice(words, int(rng.integers(0, 7)), p=np.arange(1, 10) / 45))) for k in range(300)]
+    known = sorted({w for _, t in train for w in t.split()})
+    every = [*known, "never"]
+    asked = ["", *every, *(f"{a} {b}" for a in every for b in every)]
+    df = spark.createDataFrame([*train, *zip(probes, asked, strict=False)], "doc_id long, text string")
+    for contexts in (lm_score.CONTEXTS, 4):
+        got = {r.doc_id: 10**r.score for r in lm_score.score(df, contexts=contexts).collect() if r.held_out}
+        p = {t: got[k] for k, t in zip(probes, asked, strict=False)}
+        after = np.array([[p[f"{a} {b}"] / p[a] for b in every] for a in every])
+        rest = np.linalg.solve(np.eye(len(every)) - after, np.ones(len(every)))
+        assert p[""] + np.array([p[a] for a in every]) @ rest == pytest.approx(1, abs=1e-4)
+
+
+def test_seating_against_the_whole_distribution():
+    """Mean tables of three customers of one dish, over all seatings: weight w + v * tables opens one."""
+    d, w, v = 0.4, 0.7, 0.3
+    second = (w + v) / (1 - d + w + v)
+    third = [(w + v * t) / (2 - d * t + w + v * t) for t in (1, 2)]
+    mean = (1 - second) * (1 + third[0]) + second * (2 + third[1])
+    rng = np.random.default_rng(3)
+    t = lm_score.seat(np.full(200_000, 3), np.full(200_000, w), d, rng, np.full(200_000, v))
+    assert abs(t.mean() - mean) < 0.01

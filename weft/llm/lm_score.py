@@ -4,11 +4,14 @@ Every word of the training tokens, and the start of a text, is a context with a
 of its own; all of these share one parent, the restaurant of single words, whose base is
 uniform over the vocabulary and one unknown word. Customers are seated by Chinese
 restaurant processes and reseated by blocked Gibbs sweeps: all customers of a dish in a
-restaurant leave and come back one by one, given the tables elsewhere after the last
-sweep. Each sweep is a sample; predictive probabilities are averaged over the samples
-after the first.
-
-Texts are taken in batches of BATCH_ROWS rows. A batch sends its distinct cells (word and
+restaurant leave and come back one by one, given the tables of all others. BURN_IN sweeps
+from a start with one table a cell are left out; each sweep after them is a sample, and
+predictive probabilities are averaged over the samples. Sweeps run in parallel over
+buckets: what stands in other buckets is as the sweep before left it (the usual
+approximation of distributed Gibbs samplers). Discounts are estimated from how many cells
+were seen once and twice, and stay.
+
+Texts are taken in batches of about BATCH_BYTES. A batch sends its distinct cells (word and
 context) with their training counts, packed, to hash buckets by word, so a dish and its
 cells in all contexts are in one bucket. Only frequent words (1/CONTEXTS of the training
 tokens or more, so CONTEXTS at most) are dealt by word and context; their place in the
@@ -19,9 +22,12 @@ the stored buckets and totals with seeded random numbers, so no state is kept in
 and a lost one costs its bucket's work only. In the end each bucket answers each batch
 with the probabilities of its cells (float32) and the counts of its words; batches read
 their texts again and add up. What is sent grows with the number of distinct cells of the
-batches, and each sweep with the distinct contexts of the buckets.
-Batches are numbered by the order of the scan; if a second scan gave other batches, the
-checksums that travel with the cells would differ and the job would fail.
+batches, and each sweep with the distinct contexts of the buckets. Contexts are told apart
+by 40 bits of hash (of 10^9 words one in a thousand shares its restaurant), words by 64.
+Batches are numbered by the order of the scan, whose splits are fixed for both scans
+(spark.sql.leafNodeDefaultParallelism); if a second scan gave other batches all the same,
+the checksums that travel with the cells would differ and the job would fail. So documents
+have to come from files: store what comes out of a shuffle first.
 
 Defined results: null and empty texts are one `end` token; rows that repeat (same id and
 text) count as often as they stand, and each gets the same answer; a null id is a training
@@ -39,16 +45,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._common import NOT_SPACE, Words, checkpoint, chunks, hash_spans, mix, partitions
+from weft.llm._common import NOT_SPACE, Words, checkpoint, chunks, hash_spans, mix, partitions, release, strings
 
 FOLDS, HELD_OUT = 5, 1
 #: Words of 1/CONTEXTS of the training tokens or more are dealt by word and context.
 CONTEXTS = 16_384
-#: Sweeps after the first seating; each is a sample.
-SWEEPS = 2
+#: Sweeps after the first seating that are left out, and all sweeps; those between are samples.
+BURN_IN, SWEEPS = 1, 4
 CHILD_STRENGTH, ROOT_STRENGTH = 1.0, 10.0
 BUCKET_TOKENS = 1_500_000
-BATCH_ROWS = 1024
+#: Bytes of text in a batch, about; one longer text is a batch of its own.
+BATCH_BYTES = 8_000_000
+#: Low bits of a hash that contexts do without.
+_CONTEXT_SHIFT = np.uint64(24)
 SEED = 11
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,14 +95,14 @@ def _place(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hash, context (hash of the word before) and text of every token, the end tokens last."""
+    """Word hash, context (short hash of the word before) and text of every token, the end tokens last."""
     before = np.empty(len(words.hashes), np.uint64)
     before[1:] = words.hashes[:-1]
     filled = np.flatnonzero(words.counts)
     before[words.first[filled]] = _START
     last = np.full(words.texts, _START)
     last[filled] = words.hashes[words.first[filled + 1] - 1]
-    return np.append(words.hashes, np.full(words.texts, _END)), np.append(before, last), np.append(words.text_of, np.arange(words.texts))
+    return np.append(words.hashes, np.full(words.texts, _END)), np.append(before, last) >> _CONTEXT_SHIFT, np.append(words.text_of, np.arange(words.texts))
 
 
 def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -114,6 +123,15 @@ def _expand(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
 
+def _squeeze_sorted(values: np.ndarray) -> bytes:
+    """Rising numbers by their steps."""
+    return _squeeze(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def _expand_sorted(data: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(_expand(data, kind), dtype=kind)
+
+
 @dataclass
 class Cells:
     """Distinct cells of a batch, by bucket, word and context, and the tokens that are theirs."""
@@ -148,6 +166,18 @@ def _cells(texts: list[pa.Array], frequent: np.ndarray, buckets: int) -> Cells:
     return Cells(bucket[new], h[new], context[new], cell_of, owner)
 
 
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds __batch: rows of a task in the order of the scan, BATCH_BYTES of text and one text at most to each."""
+    before = 0
+    for batch in batches:
+        lengths = pc.binary_length(strings(batch.column("__text"))).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = before + np.cumsum(lengths) - lengths
+        before += int(lengths.sum())
+        place = batch.column("__place").to_numpy()
+        number = (place >> 33 << 33) + starts // BATCH_BYTES
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number)], names=[*batch.schema.names, "__batch"])
+
+
 def _batches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, list[pa.Array], dict[str, np.ndarray]]]:
     """Consecutive rows of one batch: its number, its texts in chunks, and other columns."""
     now, texts, columns = None, [], {n: [] for n in names}
@@ -177,7 +207,7 @@ def _checksum(keys: np.ndarray) -> int:
 
 def _pack(documents: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, texts, columns in _batches(batches, ["__key", "__train"]):
+        for number, texts, columns in _batches(_number(batches), ["__key", "__train"]):
             cells, check = _cells(texts, frequent, buckets), _checksum(columns["__key"])
             counts = np.bincount(cells.cell_of, weights=columns["__train"][cells.text_of], minlength=len(cells.word))
             found, edges = cells.edges()
@@ -185,7 +215,7 @@ def _pack(documents: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 words, index = np.unique(cells.word[a:b], return_inverse=True)
                 contexts, context_index = np.unique(cells.context[a:b], return_inverse=True)
-                own = (words.tobytes(), _squeeze(index.astype(np.uint32)), contexts.tobytes(), _squeeze(context_index.astype(np.uint32)), _squeeze(counts[a:b].astype(np.uint32)))
+                own = (_squeeze_sorted(words), _squeeze_sorted(index.astype(np.uint32)), _squeeze_sorted(contexts), _squeeze(context_index.astype(np.uint32)), _squeeze(counts[a:b].astype(np.uint32)))
                 for column, v in zip(blobs, own, strict=True):
                     column.append(v)
             same = [pa.array(np.full(len(found), x), pa.int64()) for x in (number, check)]
@@ -231,17 +261,20 @@ class Sums:
         return np.maximum(customers - self.root_discount * tables, 0) / (ROOT_STRENGTH + self.root_customers) + self.root_new
 
 
-def seat(customers: np.ndarray, new_table: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after its customers came one by one; new_table: the weight of
-    an empty table. From 64 customers on, an eighth of those present comes at a time."""
+def seat(customers: np.ndarray, new_table: np.ndarray, discount: float, rng: np.random.Generator, per_table: np.ndarray | None = None) -> np.ndarray:
+    """Tables of each dish after its customers came one by one; new_table: the weight of an
+    empty table while the dish has none, per_table: what each of its tables adds to that.
+    From 64 customers on, an eighth of those present comes at a time."""
     order = np.argsort(-customers, kind="stable")
     c, w = customers[order], new_table[order]
+    more = np.zeros(len(c)) if per_table is None else per_table[order]
     t = np.minimum(c, 1).astype(float)
     present = 1
     while len(c) and (active := int(np.searchsorted(-c, -present, "left"))):
         come = max(1, present // 8) if present >= 64 else 1
         group = np.minimum(come, c[:active] - present)
-        p = w[:active] / (present - discount * t[:active] + w[:active])
+        weight = w[:active] + more[:active] * t[:active]
+        p = weight / (present - discount * t[:active] + weight)
         t[:active] += rng.random(active) < p if come == 1 else rng.binomial(group, np.clip(p, 0, 1))
         present += come
     out = np.empty(len(t))
@@ -270,23 +303,25 @@ class Bucket:
         self.often = _place(self.frequent, self.words)
 
     def sweep(self, number: int, rng: np.random.Generator, past: list[Sums]) -> None:
-        """states: tables of cells, customers and tables in the parent of each word."""
+        """states: tables of cells, customers and tables in the parent of each word.
+
+        A dish leaves its restaurant with all its tables, in the parent too, before it comes back."""
         if number == 0:
             tables = np.ones(len(self.cell_key))
-        else:
-            last, (_, customers, root_tables) = past[number - 1], self.states[-1]
-            rare, at = self.often < 0, np.maximum(self.often, 0)
-            p = last.root(np.where(rare, customers, last.frequent_customers[at]), np.where(rare, root_tables, last.frequent_tables[at]))
-            weight = (CHILD_STRENGTH + last.child_discount * self.child_tables[number - 1][self.cell_context]) * p[self.cell_word]
-            tables = seat(self.cell_count, weight, last.child_discount, rng)
+            customers = np.bincount(self.cell_word, weights=tables, minlength=len(self.words))
+            self.states.append((tables, customers, np.minimum(customers, 1)))
+            return
+        last, (own, customers, root_tables) = past[number - 1], self.states[-1]
+        rare, at = self.often < 0, np.maximum(self.often, 0)
+        above = np.where(rare, customers, last.frequent_customers[at])[self.cell_word] - own
+        above_tables = np.minimum(np.where(rare, root_tables, last.frequent_tables[at])[self.cell_word], above)
+        p = last.root(above, above_tables)
+        others = self.child_tables[number - 1][self.cell_context] - own
+        tables = seat(self.cell_count, (CHILD_STRENGTH + last.child_discount * others) * p, last.child_discount, rng, last.child_discount * p)
         customers = np.bincount(self.cell_word, weights=tables, minlength=len(self.words))
-        if number == 0:
-            root_tables = np.minimum(customers, 1)
-        else:
-            last = past[number - 1]
-            weight = np.full(len(customers), (ROOT_STRENGTH + last.root_discount * last.root_tables) / (last.words + 1))
-            root_tables = seat(customers.astype(np.int64), weight, last.root_discount, rng)
-        self.states.append((tables, customers, root_tables))
+        unit = 1 / (last.words + 1)
+        weight = (ROOT_STRENGTH + last.root_discount * (last.root_tables - root_tables)) * unit
+        self.states.append((tables, customers, seat(customers.astype(np.int64), weight, last.root_discount, rng, np.full(len(weight), last.root_discount * unit))))
 
     def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and two numbers each for the driver."""
@@ -307,15 +342,16 @@ class Bucket:
 def _bucket(stored: pa.Table, totals: pa.Table | None, frequent: np.ndarray) -> tuple[Bucket, list[tuple]]:
     """One bucket with its totals, and what its batches sent: (batch, check, places of the words, cell keys)."""
     rows = list(zip(*(stored.column(k).to_pylist() for k in range(1, 8)), strict=True))
-    words, word_at = np.unique(np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows]), return_inverse=True)
-    contexts, context_at = np.unique(np.concatenate([np.frombuffer(r[4], np.uint64) for r in rows]), return_inverse=True)
+    own_words, own_contexts = ([_expand_sorted(r[k], np.uint64) for r in rows] for k in (2, 4))
+    words, word_at = np.unique(np.concatenate(own_words), return_inverse=True)
+    contexts, context_at = np.unique(np.concatenate(own_contexts), return_inverse=True)
     sends, counts, w, c = [], [], 0, 0
-    for batch, check, own, index, own_contexts, context_index, count in rows:
-        places, context_places = word_at[w : w + len(own) // 8], context_at[c : c + len(own_contexts) // 8]
+    for (batch, check, _, index, _, context_index, count), batch_words, batch_contexts in zip(rows, own_words, own_contexts, strict=True):
+        places, context_places = word_at[w : w + len(batch_words)], context_at[c : c + len(batch_contexts)]
         w, c = w + len(places), c + len(context_places)
-        sends.append((batch, check, places, places[_expand(index, np.uint32)] * len(contexts) + context_places[_expand(context_index, np.uint32)]))
+        sends.append((batch, check, places, places[_expand_sorted(index, np.uint32)] * len(contexts) + context_places[_expand(context_index, np.uint32)]))
         counts.append(_expand(count, np.uint32))
-    del rows
+    del rows, own_words, own_contexts
     key, count = np.concatenate([x[3] for x in sends]), np.concatenate(counts)
     key, count = key[count > 0], count[count > 0]
     cells, index = np.unique(key, return_inverse=True)
@@ -345,7 +381,7 @@ def _add_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = sent.column("bucket").to_pylist()
         totals: list[list] = [[], []]
         if buckets:
-            contexts = [np.frombuffer(x, np.uint64) for x in sent.column("contexts").to_pylist()]
+            contexts = [_expand_sorted(x, np.uint64) for x in sent.column("contexts").to_pylist()]
             found, at = np.unique(np.concatenate(contexts), return_inverse=True)
             ends = np.cumsum([len(x) for x in contexts])
             for out, name in zip(totals, ("tables", "customers"), strict=True):
@@ -383,24 +419,28 @@ def _sums(rows: list, frequent: np.ndarray, sweep: int, past: list[Sums], seed:
     else:
         last = past[-1]
         discounts = last.child_discount, last.root_discount
-        weight = np.full(len(customers), (ROOT_STRENGTH + last.root_discount * last.root_tables) / (last.words + 1))
-        tables = seat(customers.astype(np.int64), weight, last.root_discount, np.random.default_rng([seed, sweep]))
+        unit = 1 / (last.words + 1)
+        weight = (ROOT_STRENGTH + last.root_discount * (last.root_tables - last.frequent_tables)) * unit
+        tables = seat(customers.astype(np.int64), weight, last.root_discount, np.random.default_rng([seed, sweep]), np.full(len(weight), last.root_discount * unit))
     return Sums(customers, often[:, 1], tables, float(rare_customers + customers.sum()), float(rare_tables + tables.sum()), int(tokens), words, *discounts)
 
 
-def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, contexts: int = CONTEXTS, sweeps: int = SWEEPS, seed: int = SEED) -> DataFrame:
+def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, contexts: int = CONTEXTS, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = SEED) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row."""
     spark = documents.sparkSession
+    if spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) is None:  # else an executor that comes or goes changes the splits
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(spark.sparkContext.defaultParallelism))
+    samples = range(burn_in + 1, sweeps + 1)
     out = F.coalesce(remainder(F.col(id_column), folds) == held_out, F.lit(False))
     text = F.coalesce(F.col(text_column), F.lit(""))
     chosen = documents.select(F.col(id_column).alias("__id"), text.alias("__text"), out.alias("__held_out"), F.xxhash64(F.lit(seed), id_column, text).alias("__key"))
     frequent = frequent_words(chosen.where(~F.col("__held_out")), "__text", contexts)
     place = F.monotonically_increasing_id()
-    batch = F.shiftright(place, 33) * F.lit(1 << 33) + F.floor(place.bitwiseAND((1 << 33) - 1) / BATCH_ROWS)
-    scanned = chosen.select("__text", "__key", (~F.col("__held_out")).alias("__train"), batch.alias("__batch"))
+    scanned = chosen.select("__text", "__key", (~F.col("__held_out")).alias("__train"), place.alias("__place"))
     size = chosen.agg(F.sum(F.octet_length("__text")), F.count("*")).first()
     buckets = max(partitions(spark), -(-((size[0] or 0) // 6 + size[1]) // BUCKET_TOKENS))
     stored = _dealt(_pack(scanned, frequent, buckets), buckets)
+    release(spark)
 
     parts = max(partitions(spark), buckets // 8)
 
@@ -418,7 +458,7 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
             replay(number, bucket, s, list(past))
             ids, a, b = bucket.sums()
             tables, customers = bucket.by_context()
-            found, start = np.unique(_part(bucket.contexts, parts), return_index=True)
+            found, start = np.unique(_part(bucket.contexts << _CONTEXT_SHIFT, parts), return_index=True)
             cuts = list(zip(start, [*start[1:], bucket.base], strict=True))
             n, m = len(ids), len(found)
             columns = [
@@ -426,7 +466,7 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 pa.array(np.full(n + m, number), pa.int32()),
                 pa.array([*ids.tolist(), *[None] * m], pa.int64()),
                 *(pa.array([*x.tolist(), *[None] * m], pa.float64()) for x in (a, b)),
-                pa.array([None] * n + [bucket.contexts[i:j].tobytes() for i, j in cuts], pa.binary()),
+                pa.array([None] * n + [_squeeze_sorted(bucket.contexts[i:j]) for i, j in cuts], pa.binary()),
                 pa.array([None] * n + [_squeeze(tables[i:j]) for i, j in cuts], pa.binary()),
                 pa.array([None] * n + [_squeeze(customers[i:j]) if s == 0 else None for i, j in cuts], pa.binary()),
             ]
@@ -442,6 +482,8 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
         past.append(_sums(rows, frequent, s, past, seed))
         own = added.where(F.col("id").isNull()).select("bucket", F.lit(s).alias("sweep"), "part", "tables", "customers")
         totals = own if totals is None else totals.union(own)
+        del sent, added
+        release(spark)
 
     def answer(rows: pa.Table, known: pa.Table) -> pa.Table:
         """For each batch: probabilities of its cells, and counts of their words."""
@@ -451,7 +493,7 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
         often, at = bucket.often >= 0, np.maximum(bucket.often, 0)
         counts = np.where(often, past[0].frequent_counts[at], bucket.counts).astype(np.uint64)
         roots = []
-        for s in range(1, sweeps + 1):
+        for s in samples:
             _, customers, tables = bucket.states[s]
             roots.append(past[s].root(np.where(often, past[s].frequent_customers[at], customers), np.where(often, past[s].frequent_tables[at], tables)))
         replies = []
@@ -459,12 +501,12 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
             word, context = key // bucket.base, key % bucket.base
             cell = _place(bucket.cell_key, key)
             p = np.zeros(len(key))
-            for s in range(1, sweeps + 1):
-                sums, root = past[s], roots[s - 1][word]
+            for s, root in zip(samples, (r[word] for r in roots), strict=True):
+                sums = past[s]
                 own = np.where(cell >= 0, np.maximum(bucket.cell_count[cell] - sums.child_discount * bucket.states[s][0][cell], 0), 0) if len(bucket.cell_key) else np.zeros(len(key))
                 customers = bucket.child_customers[context]
                 child = (own + (CHILD_STRENGTH + sums.child_discount * bucket.child_tables[s][context]) * root) / (CHILD_STRENGTH + customers)
-                p += np.where(customers > 0, child, root) / sweeps
+                p += np.where(customers > 0, child, root) / len(samples)
             replies.append((batch_number, number, check, np.log10(p).astype(np.float32).tobytes(), _squeeze(counts[places])))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*replies, strict=True), kinds, strict=True)], names=["__batch", "__order", "check", "p", "counts"])
@@ -496,7 +538,8 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(p)], names=["__key", "n", "known", "base", "p"])
 
     replies = stored.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(answer, "__batch long, __order long, check long, p binary, counts binary")
-    texts = chosen.select(batch.alias("__batch"), place.alias("__order"), "__key", "__text")
+    numbered = scanned.drop("__train").mapInArrow(_number, "__text string, __key long, __place long, __batch long")
+    texts = numbered.withColumnRenamed("__place", "__order")
     nothing = lambda kind: F.lit(None).cast(kind)
     replies = replies.select("__batch", nothing("long").alias("__key"), "__order", nothing("string").alias("__text"), "check", "p", "counts")
     texts = texts.select("__batch", "__key", "__order", "__text", nothing("long").alias("check"), nothing("binary").alias("p"), nothing("binary").alias("counts"))
