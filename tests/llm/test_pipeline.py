@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from tests.llm.test_blocks_1_5 import plain_hits, words_of
 from tests.llm.test_joins import plain_join
-from tests.llm.test_line_dedup import plain
+from tests.llm.test_line_dedup import plain_whole
 from weft.llm import toxicity
 from weft.llm._common import table
 
@@ -27,7 +27,7 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in clean.collect()} == set(rows) - rejected
 
     lined = keep("line_dedup", clean)
-    gone = {d: which for d, _, _, which in plain([(r.doc_id, r.text) for r in clean.collect()])}
+    gone = {d: which for d, _, which in plain_whole([(r.doc_id, r.text) for r in clean.collect()])}
     assert {r.doc_id: r.text for r in lined.collect()} == {d: "\n".join(x for k, x in enumerate(rows[d].text.split("\n")) if k not in gone[d]) for d in gone}
     assert all(r.n_chars == len(r.text) for r in lined.collect())
 

@@ -39,7 +39,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._common import checkpoint, release, stored
+from weft.llm._common import release, stored
 
 SHARE, PER = 80, 100
 LEAST_WORDS = 5
@@ -170,8 +170,8 @@ def _small(places: DataFrame) -> DataFrame:
 def _matching(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """doc, line_no of the later lines of the pairs (a..., b...) whose word sets match."""
     a, b = (pairs.select(F.col(f"{x}doc").alias("doc"), F.col(f"{x}line_no").alias("line_no")) for x in "ab")
-    places = _prefixed(_small(checkpoint(a.union(b).distinct())), "__")
-    found = checkpoint(lines.join(places, _same_place("", "__"), "left_semi").select("doc", "line_no", _word_set(F.col("line")).alias("words")))
+    places = _prefixed(_small(stored(a.union(b).distinct())), "__")
+    found = stored(lines.join(places, _same_place("", "__"), "left_semi").select("doc", "line_no", _word_set(F.col("line")).alias("words")))
     both = pairs.join(_prefixed(found, "y"), _same_place("b", "y")).select("adoc", "aline_no", "ywords").join(_prefixed(found, "x"), _same_place("a", "x"))
     shared = F.size(F.array_intersect("xwords", "ywords"))
     match = shared * PER >= (F.size("xwords") + F.size("ywords") - shared) * SHARE
@@ -184,7 +184,7 @@ def _quick_pairs(sets: DataFrame) -> DataFrame:
     keys = F.array(*(F.xxhash64(code(i), code(j)) for i, j in ((0, 1), (1, 2))))
     keyed = sets.where(F.col("n") >= _RAREST).select("doc", "line_no", "n", *_SKETCH, F.explode(keys).alias("key"))
     # most keys are of one set alone: counts go first, rows only where keys are shared
-    shared = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("of")).where(F.col("of") > 1).select(F.col("key").alias("__key")))
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("of")).where(F.col("of") > 1).select(F.col("key").alias("__key")))
     keyed = keyed.join(_small(shared), F.col("key") == F.col("__key"), "left_semi")
     first = keyed.groupBy("key").agg(F.min(F.struct("doc", "line_no", "n", *_SKETCH)).alias("e"))
     first = first.select("key", *(F.col(f"e.{c}").alias(f"b{c}") for c in ("doc", "line_no", "n", *_SKETCH)))
@@ -238,14 +238,15 @@ def kept_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str
     sets = stored(_sets(documents, id_column, text_column, rarity_classes(documents, text_column), least_words))
     lines = lines_of(documents, id_column, text_column)
     release(spark)
-    settled = checkpoint(_matching(checkpoint(_quick_pairs(sets)), lines))
+    settled = stored(_matching(stored(_quick_pairs(sets)), lines))
     release(spark)
     parts = []
     for part in range(_PARTS):
-        parts.append(checkpoint(_open_pairs(sets, settled, part)))
+        parts.append(stored(_open_pairs(sets, settled, part)))
         release(spark)
-    pairs = checkpoint(reduce(DataFrame.union, parts).distinct())
-    gone = settled.union(checkpoint(_matching(pairs, lines)))
+    pairs = stored(reduce(DataFrame.union, parts).distinct())
+    gone = settled.union(stored(_matching(pairs, lines)))
+    release(spark)
     return sets.select("doc", "line_no").join(_prefixed(_small(gone), "__"), _same_place("", "__"), "left_anti")
 
 
