@@ -31,7 +31,6 @@ ignored elsewhere.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Callable
 from functools import reduce
@@ -45,7 +44,7 @@ SHARE, PER = 80, 100
 LEAST_WORDS = 5
 #: What the registered query and the pipeline take: every line that has a word.
 ALL_LINES = 1
-SLOTS = 262_144
+SLOTS = 131_072
 #: Rows (id, line number) that are sent to all executors at most; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 _HASH_BITS = 56
@@ -81,12 +80,14 @@ def _slot(hashed: Column) -> Column:
     return hashed.bitwiseAND(SLOTS - 1).cast("int")
 
 
-def rarity_classes(documents: DataFrame, text_column: str) -> list[int]:
-    """A class for each slot: four times the binary logarithm of its word count."""
+def rarity_classes(documents: DataFrame, text_column: str) -> str:
+    """A class for each slot, four times the binary logarithm of its word count, as a JSON array of SLOTS numbers."""
     words = documents.select(F.explode(F.split(F.replace(_plain(F.col(text_column)), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counted = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).count()
-    counts = dict(counted.toPandas().to_numpy().tolist())  # at most SLOTS rows
-    return [min(127, int(4 * math.log2(counts.get(k, 0) + 1))) for k in range(SLOTS)]
+    slots = documents.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(counted, "slot", "left")
+    of_slot = F.least(F.lit(127), F.floor(4 * F.log2(F.coalesce("count", F.lit(0)) + 1))).cast("int")
+    listed = F.sort_array(F.collect_list(F.struct("slot", of_slot.alias("class"))))  # SLOTS rows, whatever the input
+    return slots.agg(F.to_json(F.transform(listed, lambda s: s["class"])).alias("classes")).first()["classes"]
 
 
 def _far(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -130,15 +131,15 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n) / math.log(_BAND)).cast("int")
 
 
-def _sets(documents: DataFrame, id_column: str, text_column: str, rarity: list[int], least_words: int) -> DataFrame:
+def _sets(documents: DataFrame, id_column: str, text_column: str, rarity: str, least_words: int) -> DataFrame:
     """doc, line_no, n, sketch and rarest codes of every different set of words, at its earliest place."""
-    classes = F.from_json(F.lit(json.dumps([c << _HASH_BITS for c in rarity])), "array<bigint>")
+    classes = F.from_json(F.lit(rarity), "array<int>")
     lines = documents.select(F.col(id_column).alias("doc"), F.posexplode(F.split(_plain(F.col(text_column)), "\n")).alias("line_no", "line"))
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     hashed = lines.select("doc", "line_no", hashes.alias("h")).where(F.size("h") >= least_words)
 
     def code(h: Column) -> Column:
-        return F.coalesce(F.get(classes, _slot(h)), F.lit(0)).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
+        return F.shiftleft(F.coalesce(F.get(classes, _slot(h)), F.lit(0)).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
 
     def parity(values: Column | str) -> Column:
         return F.aggregate(values, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))))
