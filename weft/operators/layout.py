@@ -183,7 +183,8 @@ def run_lengths(df: DataFrame, most: int) -> DataFrame:
 
 
 def random_strings(spark, rows: int, groups: int, letters: int, seed: int) -> DataFrame:
-    """row_id and target: groups of letters a to z from hashes of seed, row and place."""
-    place = lambda g, k: F.chr((F.pmod(F.xxhash64(F.lit(seed), "id", g, k), F.lit(26)) + 97).cast("long"))
+    """row_id and target: groups of letters a to z from md5 hashes of seed, row and place."""
+    digest = lambda g, k: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"), g.cast("string"), k.cast("string")).cast("binary"))
+    place = lambda g, k: F.chr(F.conv(F.substring(digest(g, k), 1, 8), 16, 10).cast("long") % 26 + 97)
     group = lambda g: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(letters)), lambda k: place(g, k)), "")
     return spark.range(rows).select(F.col("id").cast("string").alias("row_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(groups)), group), " ").alias("target"))

@@ -134,11 +134,6 @@ def word_boxes(spark, sf_dir):
     return L.word_boxes(L.wrapped(docs, "item_id", "text", page), "item_id", page)
 
 
-@query(None)
-def random_strings(spark, sf_dir):
-    return L.random_strings(spark, 100, 4, 6, 42)
-
-
 @query(
     """with p as (select p_partkey, row_number() over (order by p_partkey) - 1 as k, p_name from part), b as (select k // 5 as block, string_agg(p_name, ' ' order by k) as whole from p group by 1), f as (select k // 5 as block, p_name from p where k % 5 = 0)
 select block, starts_with(whole, p_name) as shared from b join f using (block)"""

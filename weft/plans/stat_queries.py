@@ -108,11 +108,6 @@ def sign_counts(spark, sf_dir):
     return S.row_signs(scores(spark, sf_dir), ["lane"]).drop("p")
 
 
-@query(None)
-def sign_test(spark, sf_dir):
-    return S.row_signs(scores(spark, sf_dir), ["lane"])
-
-
 @query(
     f"""with {_SCORES}, a as (select lane, count(*) as n, avg(b_ce - a_ce) as d, (avg(b_ce) - avg(a_ce)) / avg(a_ce) as rel, stddev_samp(b_ce - a_ce) / sqrt(count(*)) as se from scores group by lane)
 select lane, n, round(d, 6) as delta, round(rel, 6) as relative, round(d - 1.959963985 * se, 6) as ci_low, round(d + 1.959963985 * se, 6) as ci_high, case when rel is null then 'n/a' when abs(rel) < 0.05 then '<5%' when abs(rel) < 0.2 then '<20%' else 'grounded' end as flag from a"""
