@@ -45,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm._common import NOT_SPACE, Words, checkpoint, chunks, hash_spans, mix, partitions, release, strings
+from weft.llm._common import NOT_SPACE, Words, checkpoint, chunks, hash_spans, mix, partitions, release, strings, utf8
 
 FOLDS, HELD_OUT = 5, 1
 #: Words of 1/CONTEXTS of the training tokens or more are dealt by word and context.
@@ -178,6 +178,25 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number)], names=[*batch.schema.names, "__batch"])
 
 
+def _send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one batch that stand together as one row: keys, ends of the texts and the compressed texts."""
+    for batch in _number(batches):
+        numbers, places = (batch.column(c).to_numpy() for c in ("__batch", "__place"))
+        cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)] if len(numbers) else [0]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            data, offsets = utf8(strings(batch.column("__text").slice(a, b - a)))
+            blobs = (batch.column("__key").slice(a, b - a).to_numpy().tobytes(), _squeeze_sorted(offsets[1:].astype(np.int64)), _squeeze(data))
+            columns = [pa.array([int(x)], pa.int64()) for x in (numbers[a], places[a])]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x], pa.binary()) for x in blobs)], names=["__batch", "__order", "keys", "ends", "texts"])
+
+
+def _read_texts(row: dict) -> pa.RecordBatch:
+    keys, ends, data = np.frombuffer(row["keys"], np.int64), _expand_sorted(row["ends"], np.int64), _expand(row["texts"], np.uint8)
+    offsets = np.concatenate([np.zeros(1, np.int64), ends])
+    texts = pa.LargeStringArray.from_buffers(len(keys), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["__batch"])), pa.array(keys), texts], names=["__batch", "__key", "__text"])
+
+
 def _batches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, list[pa.Array], dict[str, np.ndarray]]]:
     """Consecutive rows of one batch: its number, its texts in chunks, and other columns."""
     now, texts, columns = None, [], {n: [] for n in names}
@@ -507,7 +526,7 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 customers = bucket.child_customers[context]
                 child = (own + (CHILD_STRENGTH + sums.child_discount * bucket.child_tables[s][context]) * root) / (CHILD_STRENGTH + customers)
                 p += np.where(customers > 0, child, root) / len(samples)
-            replies.append((batch_number, number, check, np.log10(p).astype(np.float32).tobytes(), _squeeze(counts[places])))
+            replies.append((batch_number, number, check, _squeeze(np.log10(p).astype(np.float32)), _squeeze(counts[places])))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*replies, strict=True), kinds, strict=True)], names=["__batch", "__order", "check", "p", "counts"])
 
@@ -520,10 +539,12 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
         def texts_only() -> Iterator[pa.RecordBatch]:
             for part in batches:
-                is_text = part.column("__key").is_valid()
-                for r in part.filter(pc.invert(is_text)).select(["__batch", "check", "p", "counts"]).to_pylist():
-                    answers.setdefault(r["__batch"], []).append((r["check"], np.frombuffer(r["p"], np.float32), _expand(r["counts"], np.uint64)))
-                yield part.filter(is_text).select(["__batch", "__key", "__text"])
+                for k in range(len(part)):
+                    r = part.slice(k, 1).to_pylist()[0]
+                    if r["keys"] is None:
+                        answers.setdefault(r["__batch"], []).append((r["check"], _expand(r["p"], np.float32), _expand(r["counts"], np.uint64)))
+                    else:
+                        yield _read_texts(r)
 
         for number, texts, columns in _batches(texts_only(), ["__key"]):
             got = answers.pop(number)
@@ -538,12 +559,10 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(p)], names=["__key", "n", "known", "base", "p"])
 
     replies = stored.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(answer, "__batch long, __order long, check long, p binary, counts binary")
-    numbered = scanned.drop("__train").mapInArrow(_number, "__text string, __key long, __place long, __batch long")
-    texts = numbered.withColumnRenamed("__place", "__order")
-    nothing = lambda kind: F.lit(None).cast(kind)
-    replies = replies.select("__batch", nothing("long").alias("__key"), "__order", nothing("string").alias("__text"), "check", "p", "counts")
-    texts = texts.select("__batch", "__key", "__order", "__text", nothing("long").alias("check"), nothing("binary").alias("p"), nothing("binary").alias("counts"))
-    together = replies.union(texts).repartition(max(partitions(spark), buckets // 2), "__batch").sortWithinPartitions("__batch", F.col("__key").isNotNull(), "__order")
+    texts = scanned.drop("__train").mapInArrow(_send_texts, "__batch long, __order long, keys binary, ends binary, texts binary")
+    replies = replies.withColumn("is_text", F.lit(False))
+    together = replies.unionByName(texts.withColumn("is_text", F.lit(True)), allowMissingColumns=True)
+    together = together.repartition(max(partitions(spark), buckets // 2), "__batch").sortWithinPartitions("__batch", "is_text", "__order")
     sums_of = together.mapInArrow(add_up, schema).dropDuplicates(["__key"])
     joined = chosen.drop("__text").join(sums_of, "__key")
     return joined.select(
