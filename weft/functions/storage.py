@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,5 +44,6 @@ def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of tables that are stored. Its cleaner learns of them
     when the driver collects garbage, which may be long after (spark.cleaner.periodicGC.interval),
     and only once another job has followed."""
+    gc.collect()  # DataFrames in reference cycles keep their plans alive
     spark.range(2).repartition(2).count()
     spark.sparkContext._jvm.System.gc()

@@ -153,9 +153,10 @@ def length_candidates(df: DataFrame, tokens: Column, images: Column, per_image:
     return out.withColumn("chosen", F.coalesce(F.col("max_length") == best, F.lit(False)))
 
 
-def greedy_pack(df: DataFrame, length: str, max_length: int, *keys: str, shards: int = 8) -> DataFrame:
-    """Sequential first-come packing within shards (hash of the keys): a pack is closed when
-    the next row does not fit; rows longer than max_length are left out."""
+def greedy_pack(df: DataFrame, length: str, max_length: int, *keys: str, shards: int | None = None, shard_rows: int = 50_000) -> DataFrame:
+    """Sequential first-come packing within shards (digits of the keys' md5): a pack is closed when
+    the next row does not fit; rows longer than max_length are left out. There are as many
+    shards as keep each at about `shard_rows` rows, unless a number is given; a shard is one task's."""
     import pandas as pd
 
     added = ("shard", T.IntegerType()), ("pack", T.IntegerType()), ("segment", T.IntegerType()), ("start", T.LongType())
@@ -171,5 +172,7 @@ def greedy_pack(df: DataFrame, length: str, max_length: int, *keys: str, shards:
         pdf[["pack", "segment", "start"]] = pd.DataFrame(out, index=pdf.index, columns=["pack", "segment", "start"])
         return pdf
 
-    dealt = df.where((F.col(length) > 0) & (F.col(length) <= max_length)).withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int"))
+    fitting = df.where((F.col(length) > 0) & (F.col(length) <= max_length))
+    n = shards or max(1, -(-fitting.count() // shard_rows))
+    dealt = fitting.withColumn("shard", (F.conv(F.substring(order_key(0, *keys), 1, 8), 16, 10).cast("long") % n).cast("int"))
     return dealt.groupBy("shard").applyInPandas(lambda p: fold(p.sort_values(list(keys)).reset_index(drop=True)), schema)

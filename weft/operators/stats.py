@@ -187,31 +187,36 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str], *ties: str) -> DataFr
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), rounded(F.when(varies, F.corr("rx", "ry"))).alias("rho"))
 
 
+def poisson_weights(rows: DataFrame, row: str, n_boot: int, seed: int) -> DataFrame:
+    """A row for each replicate b with `times`, a Poisson number of mean 1 from 16 bits of
+    md5(seed|block|row); a digest serves the eight replicates of its block. Rows that count 0
+    times in a replicate are left out of it."""
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)]).tolist()
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__block").cast("string"), F.col(row).cast("string")).cast("binary"))
+    blocked = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // 8)))).withColumn("__digest", digest)
+    each = blocked.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("b", F.col("__block") * 8 + F.col("__k") + 1)
+    u = F.conv(F.substring(F.col("__digest"), F.col("__k") * 4 + 1, F.lit(4)), 16, 10).cast("double") / 65536.0
+    counted = each.withColumn("__u", u).withColumn("times", sum((F.col("__u") >= s).cast("int") for s in steps))
+    return counted.where((F.col("times") > 0) & (F.col("b") <= n_boot)).drop("__block", "__digest", "__k", "__u")
+
+
 def bootstrap_rate(rows: DataFrame, hits: str, tokens: str, by: list[str], n_boot: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
     """Pooled rate with a percentile interval over resampled rows.
 
-    Each row counts in each replicate as often as a Poisson number of mean 1, drawn from
-    a hash of seed, replicate and row key: sums are made where the rows are, so replicates
-    cost no shuffle of rows. rows: by, row, hits, tokens."""
-    steps, total, p = [], 0.0, math.exp(-1)
-    for k in range(8):
-        total += p / math.factorial(k)
-        steps.append(total)
-    replicate = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "b", "row"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    times = sum((u >= s).cast("int") for s in steps)
-    each = replicate.groupBy(*by, "b").agg(F.sum(times * F.col(hits)).alias("h"), F.sum(times * F.col(tokens)).alias("t")).where(F.col("t") > 0)
+    Rows count as often as a keyed Poisson number says instead of being drawn n of n with
+    replacement: the number of rows of a replicate varies, and its rate is a ratio of sums
+    either way. Sums are made where the rows are, so replicates cost no shuffle of rows.
+    rows: by, row, hits, tokens."""
+    replicate = poisson_weights(rows, "row", n_boot, seed)
+    each = replicate.groupBy(*by, "b").agg(F.sum(F.col("times") * F.col(hits)).alias("h"), F.sum(F.col("times") * F.col(tokens)).alias("t")).where(F.col("t") > 0)
     ends = each.groupBy(*by).agg(F.percentile(F.col("h") / F.col("t"), (1 - level) / 2).alias("ci_low"), F.percentile(F.col("h") / F.col("t"), (1 + level) / 2).alias("ci_high"))
     return rows.groupBy(*by).agg((F.sum(hits) / F.sum(tokens)).alias("rate"), F.count("*").alias("n_rows")).join(ends, by)
 
 
 def bootstrap_collapse(per_row: DataFrame, by: list[str], width: int, baseline: int, least: int, n_boot: int = 50, seed: int = 42) -> DataFrame:
     """Interval of the collapse point and how often each status came up; per_row: bucket_table with `by`."""
-    replicate = per_row.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "b", "row"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)]).tolist()
-    times = sum((u >= s).cast("int") for s in steps)
-    sums = replicate.groupBy(*by, "b", "bucket").agg(F.sum(times * F.col("sum_d")).alias("sum_d"), F.sum(times * F.col("cnt")).alias("cnt"))
+    replicate = poisson_weights(per_row, "row", n_boot, seed)
+    sums = replicate.groupBy(*by, "b", "bucket").agg(F.sum(F.col("times") * F.col("sum_d")).alias("sum_d"), F.sum(F.col("times") * F.col("cnt")).alias("cnt"))
     found = collapse_point(sums, [*by, "b"], width, baseline, least)
     return found.groupBy(*by).agg(
         F.count("*").alias("n_boot"), F.count("k_chars").alias("n_resolved"), F.count_if("at_floor").alias("n_at_floor"),

@@ -27,7 +27,25 @@ def benchmark_pairs(spark, sf_dir):
     return items.join(after, "item_id").withColumnRenamed("text", "reference")
 
 
-@query(None)
+def _dp(best: str, step: str) -> str:
+    """The last number of the last row of a table over word codes a (lists of one) and b: `best` from
+    the row before (prev) and whether the words are the same, then `step` along the row."""
+    row = f"list_reduce(list_prepend([prev[1] + {{first}}], list_transform(range(1, len(b) + 1), lambda j: [{best}])), lambda acc, y: list_append(acc, {step}))"
+    return "list_reduce(list_prepend({start}, a), lambda prev, x: " + row + ")[-1]"
+
+
+_EDITS = _dp("least(prev[j + 1] + 1, prev[j] + (b[j] <> x[1])::int)", "least(y[1], acc[-1] + 1)").format(start="range(0, len(b) + 1)", first=1)
+_COMMON = _dp("case when b[j] = x[1] then prev[j] + 1 else prev[j + 1] end", "greatest(y[1], acc[-1])").format(start="list_transform(range(0, len(b) + 1), lambda z: 0::bigint)", first=0)
+_CODES = """list_transform(u, lambda w: [list_position(u || v, w)::bigint]) as a, list_transform(v, lambda w: list_position(u || v, w)::bigint) as b"""
+_SPLIT = lambda c: f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> '')"
+
+
+@query(
+    f"""with p as (select a.item_id, a.text as r, b.text as h from benchmark a join benchmark b on b.item_id = a.item_id + 1),
+m as (select 'plain' as mode, r, h from p union all select 'lower', lower(r), lower(h) from p union all select 'letters', regexp_replace(lower(r), '[^a-z0-9 ]+', ' ', 'g'), regexp_replace(lower(h), '[^a-z0-9 ]+', ' ', 'g') from p),
+w as (select mode, {_SPLIT("r")} as u, {_SPLIT("h")} as v from m), c as (select mode, {_CODES} from w), e as (select mode, {_EDITS} as edits, len(a) as words from c)
+select mode, round(sum(edits) / sum(words), 6) as micro, round(avg(edits / words), 6) as macro from e group by mode"""
+)
 def word_wer(spark, sf_dir):
     pairs = benchmark_pairs(spark, sf_dir)
     rows = []
@@ -38,7 +56,10 @@ def word_wer(spark, sf_dir):
     return union.groupBy("mode").agg(F.round(F.sum("edits") / F.sum("words"), 6).alias("micro"), F.round(F.avg("wer"), 6).alias("macro"))
 
 
-@query(None)
+@query(
+    f"""with p as (select a.item_id, a.text as r, b.text as h from benchmark a join benchmark b on b.item_id = a.item_id + 1), w as (select item_id, {_SPLIT("r")} as u, {_SPLIT("h")} as v from p), c as (select item_id, {_CODES} from w)
+select item_id, round(2.0 * {_COMMON} / (len(a) + len(b)), 6) as rouge_l from c"""
+)
 def rouge_l(spark, sf_dir):
     return benchmark_pairs(spark, sf_dir).select("item_id", F.round(X.rouge_l(F.col("reference"), F.col("hypothesis")), 6).alias("rouge_l"))
 
@@ -94,7 +115,12 @@ def poison_text(spark, sf_dir):
     return docs.select("doc_id", out.alias("poisoned"), F.size(places).cast("long").alias("n_hit"))
 
 
-@query(None)
+@query(
+    """with k as (select doc_id, unnest(string_split(text, '')) as c, unnest(range(1, length(text) + 1)) as k from documents where length(text) > 0),
+h as (select doc_id, k, c, ('0x' || substr(md5('9|' || doc_id || '|' || k), 1, 8))::bigint / 4294967296.0 as u, ('0x' || substr(md5('9|' || doc_id || '|letter|' || k), 1, 8))::bigint / 4294967296.0 as v from k),
+p as (select *, regexp_matches(c, '^\\p{L}$') and u < 0.3 as hit from h), g as (select doc_id, string_agg(case when hit then chr(cast(97 + floor(v * 26) as integer)) else c end, '' order by k) as poisoned, count(*) filter (where hit) as n_hit from p group by doc_id)
+select doc_id, coalesce(poisoned, '') as poisoned, coalesce(n_hit, 0) as n_hit from documents left join g using (doc_id)"""
+)
 def poison_text_whole(spark, sf_dir):
     """Every document, and all of its letters."""
     docs = table(spark, sf_dir, "documents")

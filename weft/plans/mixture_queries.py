@@ -184,10 +184,15 @@ def token_share_plan(spark, sf_dir):
     return M.token_share_plan(wanted, 400, "share", "mean_tokens", "n_rows").select("lang", "planned", "rows", "clamped", "realised_share")
 
 
-@query(None)
+@query(
+    """with recursive d as (select doc_id, n_chars as length, ('0x' || substr(md5('0|' || doc_id), 1, 8))::bigint % 16 as shard, row_number() over (partition by ('0x' || substr(md5('0|' || doc_id), 1, 8))::bigint % 16 order by doc_id) as k from documents where n_chars between 1 and 4096),
+p as (select shard, k, doc_id, length, 0 as pack, 0 as segment, cast(0 as bigint) as start from d where k = 1
+union all select d.shard, d.k, d.doc_id, d.length, case when start + p.length + d.length > 4096 then pack + 1 else pack end, case when start + p.length + d.length > 4096 then 0 else segment + 1 end, case when start + p.length + d.length > 4096 then 0 else start + p.length end from p join d on d.shard = p.shard and d.k = p.k + 1)
+select doc_id, length, cast(shard as integer) as shard, pack, segment, start from p"""
+)
 def greedy_pack(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("length"))
-    return M.greedy_pack(docs, "length", 4096, "doc_id")
+    return M.greedy_pack(docs, "length", 4096, "doc_id", shards=16)
 
 
 @query(

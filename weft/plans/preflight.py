@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.conversation import schema_errors
-from weft.operators.mixture import review_rows
+from weft.operators.mixture import bounded_sample, review_rows
 from weft.plans.governance import run_manifest, save_manifest
 
 
@@ -22,13 +22,14 @@ def review_markdown(rows: list) -> str:
 
 
 def run(mixture: DataFrame, config: dict, folder: str, most_rows: int = 10_000, per_subset: int = 8, seed: int = 42) -> dict:
-    """Summary of at most `most_rows` rows by subset; writes summary, failures, review and manifest."""
+    """Summary of at most `most_rows` rows by subset, those that come first in the order of a hash of
+    their keys; writes summary, all of their failures, review and manifest."""
     os.makedirs(folder, exist_ok=True)
-    rows = mixture.limit(most_rows).withColumn("errors", schema_errors(F.col("messages"), F.col("images")))
+    rows = bounded_sample(mixture, most_rows, seed, "source_dataset_id", "source_split", "row_id").withColumn("errors", schema_errors(F.col("messages"), F.col("images")))
     counts = rows.groupBy("source_dataset_id").agg(F.count("*").alias("raw_rows"), F.count_if(F.size("errors") == 0).alias("valid_rows"), F.count_if(F.size("errors") > 0).alias("failed_rows"))
     by_subset = {r["source_dataset_id"]: {k: r[k] for k in ("raw_rows", "valid_rows", "failed_rows")} for r in counts.collect()}
     total = {k: sum(v[k] for v in by_subset.values()) for k in ("raw_rows", "valid_rows", "failed_rows")}
-    failed = rows.where(F.size("errors") > 0).select("source_dataset_id", "row_id", "errors").orderBy("source_dataset_id", "row_id").limit(1000).collect()
+    failed = rows.where(F.size("errors") > 0).select("source_dataset_id", "row_id", "errors").orderBy("source_dataset_id", "row_id").collect()  # most_rows at most
     Path(f"{folder}/failures.jsonl").write_text("".join(json.dumps(r.asDict(), ensure_ascii=False) + "\n" for r in failed))
     text = lambda role: F.array_join(F.flatten(F.transform(F.filter("messages", lambda m: m["role"] == role), lambda m: F.transform(F.filter(m["content"], lambda p: p["type"] == "text"), lambda p: p["text"]))), " ")
     shown = rows.where(F.size("errors") == 0).select("source_dataset_id", "source_split", "row_id", F.size("images").alias("n_images"), text("user").alias("instruction"), text("assistant").alias("target"))

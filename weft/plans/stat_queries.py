@@ -137,10 +137,18 @@ def spearman_untied(spark, sf_dir):
     return S.spearman(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", ["l_returnflag"], "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_discount", "l_tax")
 
 
-@query(None)
+_WEIGHTS = """w as (select r.*, k * 8 + j + 1 as b, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999898032315826], lambda s: ('0x' || substr(md5('42|' || k || '|' || "row"), cast(j * 4 + 1 as integer), 4))::bigint / 65536.0 >= s)) as times
+  from r, range(0, {blocks}) a(k), range(0, 8) c(j))"""
+
+
+@query(
+    f"""with {_SCORES}, r as (select lane, "row", sum(a_c) as hits, count(*) as tokens from scores group by all), {_WEIGHTS.format(blocks=25)},
+e as (select lane, b, sum(times * hits) / sum(times * tokens) as q from w where b <= 200 group by all having sum(times * tokens) > 0), i as (select lane, round(quantile_cont(q, 0.025), 6) as ci_low, round(quantile_cont(q, 0.975), 6) as ci_high from e group by lane)
+select lane, round(sum(hits) / sum(tokens), 6) as rate, count(*) as n_rows, ci_low, ci_high from r join i using (lane) group by lane, ci_low, ci_high"""
+)
 def bootstrap_rate(spark, sf_dir):
     rows = scores(spark, sf_dir).groupBy("lane", "row").agg(F.sum("a_c").alias("hits"), F.count("*").alias("tokens"))
-    return S.bootstrap_rate(rows, "hits", "tokens", ["lane"])
+    return S.bootstrap_rate(rows, "hits", "tokens", ["lane"]).withColumns({c: F.round(c, 6) for c in ("rate", "ci_low", "ci_high")})
 
 
 @query(None)
@@ -181,24 +189,25 @@ def cyclic_donor(spark, sf_dir):
     return P.cyclic_donor(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("c_custkey", "donor")
 
 
-@query("with a as (select row_number() over (order by doc_id) - 1 as k, text from documents where doc_id % 2 = 0), b as (select row_number() over (order by doc_id) - 1 as k, substr(text, 1, 60) as text from documents where doc_id % 4 <> 1 and doc_id % 2 = 0) select count(*) as pairs, count(*) filter (where starts_with(a.text, b.text) or starts_with(b.text, a.text)) as same from a join b using (k)")
-def verified_pairs(spark, sf_dir):
-    from weft.functions.determinism import with_ordinal
-
-    docs = table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
-    a = with_ordinal(docs.select("doc_id", "text"), "doc_id")
-    b = with_ordinal(docs.where("doc_id % 4 <> 1").select("doc_id", F.substring("text", 1, 60).alias("text")), "doc_id")
-    return P.verified_pairs(a, b, "ordinal", "text", prefix=True).agg(F.count("*").alias("pairs"), F.count_if("same").alias("same"))
+_NEXT = "with a as (select row_number() over (order by text, doc_id) - 1 as k, text from documents) select count(*) as pairs, count(*) filter (where starts_with(a.text, b.text) or starts_with(b.text, a.text)) as same from a join a b on b.k = a.k + 1"
 
 
-@query(None)
-def verified_pairs_whole(spark, sf_dir):
+def _next_in_text_order(spark, sf_dir):
     """Every document, whole, with the next in the order of texts, so that copies and prefixes meet."""
     from weft.functions.determinism import with_ordinal
 
     a = with_ordinal(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
-    b = a.withColumn("ordinal", F.col("ordinal") - 1)
-    return P.verified_pairs(a, b, "ordinal", "text", prefix=True).agg(F.count("*").alias("pairs"), F.count_if("same").alias("same"))
+    return P.verified_pairs(a, a.withColumn("ordinal", F.col("ordinal") - 1), "ordinal", "text", prefix=True).agg(F.count("*").alias("pairs"), F.count_if("same").alias("same"))
+
+
+@query(_NEXT)
+def verified_pairs(spark, sf_dir):
+    return _next_in_text_order(spark, sf_dir)
+
+
+@query(_NEXT)
+def verified_pairs_whole(spark, sf_dir):
+    return _next_in_text_order(spark, sf_dir)
 
 
 _SPANS = """w as (select doc_id, unnest(string_split(text, ' ')) as word, generate_subscripts(string_split(text, ' '), 1) - 1 as word_idx from documents),
@@ -239,11 +248,15 @@ def mask_rects(spark, sf_dir):
 select count(*) as n, count(*) filter (where label = nearest) as hits from d"""
 )
 def one_nn_probe(spark, sf_dir):
-    found = P.nearest_labels(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
-    return found.where("vec_id % 50 = 0").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("nearest")).alias("hits"))
+    vectors = table(spark, sf_dir, "embeddings")
+    found = P.nearest_labels(vectors, "vec_id", "embedding", "label", probes=vectors.where("vec_id % 50 = 0"))
+    return found.agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("nearest")).alias("hits"))
 
 
-@query(None)
+@query(
+    """with d as (select a.vec_id, a.label, arg_min(b.label, (list_distance(a.embedding::double[], b.embedding::double[]), b.vec_id)) as nearest from embeddings a join embeddings b on a.vec_id <> b.vec_id group by all)
+select label, count(*) as n, count(*) filter (where label = nearest) as hits from d group by label"""
+)
 def one_nn_loo(spark, sf_dir):
     found = P.nearest_labels(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
     return found.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("nearest")).alias("hits"))

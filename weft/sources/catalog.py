@@ -37,26 +37,42 @@ class Catalog:
         return self._exists(f"{self.path(lane, split)}/_SUCCESS")
 
     def manifest(self) -> dict:
-        if not self._exists(f"{self.root}/manifest.json"):
+        # an interrupted swap leaves the manifest under its old name
+        found = next((p for p in (f"{self.root}/manifest.json", f"{self.root}/.manifest.json.old") if self._exists(p)), None)
+        if found is None:
             return {"subsets": []}
-        return json.loads("\n".join(r["value"] for r in self.spark.read.text(f"{self.root}/manifest.json").collect()))
+        stream = self._fs.open(self._path(found))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
     def _write_manifest(self, manifest: dict) -> None:
         out = self._fs.create(self._path(f"{self.root}/.manifest.json"), True)
         out.write(bytearray(json.dumps(manifest, sort_keys=True, indent=1).encode()))
         out.close()
-        self._fs.delete(self._path(f"{self.root}/manifest.json"), False)
-        self._fs.rename(self._path(f"{self.root}/.manifest.json"), self._path(f"{self.root}/manifest.json"))
+        self._swap(f"{self.root}/.manifest.json", f"{self.root}/manifest.json")
+
+    def _swap(self, staged: str, final: str) -> None:
+        """Puts what is staged in its place; what stood there goes last, and comes back if the rename fails."""
+        old = f"{final.rpartition('/')[0]}/.{final.rpartition('/')[2]}.old"
+        self._fs.delete(self._path(old), True)
+        had = self._exists(final) and self._fs.rename(self._path(final), self._path(old))
+        if not self._fs.rename(self._path(staged), self._path(final)):
+            if had:
+                self._fs.rename(self._path(old), self._path(final))
+            raise CatalogError("rename", f"{staged} could not take the place of {final}")
+        if had:
+            self._fs.delete(self._path(old), True)
 
     def commit(self, df: DataFrame, lane: str, split: str, *, source: str, training: bool, force: bool = False, rows_per_file: int = 1_000_000) -> dict:
-        """Writes beside the final place and renames; the manifest entry of the split is replaced, others stay."""
+        """Writes beside the final place and swaps, so that a write that fails leaves what was there,
+        and a split can be made from itself; the manifest entry of the split is replaced, others stay."""
         final, staged = self.path(lane, split), f"{self.root}/lane={lane}/.{split}.incomplete"
-        if self._exists(final):
-            if not force:
-                raise CatalogError("exists", f"{final} is there already")
-            self._fs.delete(self._path(final), True)
+        if self._exists(final) and not force:
+            raise CatalogError("exists", f"{final} is there already")
         df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(staged)
-        self._fs.rename(self._path(staged), self._path(final))
+        self._swap(staged, final)
         entry = {"config_name": lane, "split": split, "path": f"lane={lane}/split={split}", "rows": self.spark.read.parquet(final).count(), "source_dataset_id": source, "is_training_split": training}
         manifest = self.manifest()
         manifest["subsets"] = [e for e in manifest["subsets"] if (e["config_name"], e["split"]) != (lane, split)] + [entry]
