@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.functions import text as X
 from weft.operators.conversation import message
@@ -145,18 +147,28 @@ def trimmed_mask(mask: Column, kept_chars: Column) -> Column:
     return F.filter(mask, lambda k: k < kept_chars)
 
 
+_PIECES = T.StructType([T.StructField(c, T.IntegerType()) for c in ("n_reference", "n_hypothesis", "positional", "recalled", "invented")])
+
+
 def sentinel_score(df: DataFrame, reference: str, hypothesis: str, sentinel: str) -> DataFrame:
     """The rows with numbers of white-space pieces of both texts without the sentinel: n_reference,
     n_hypothesis, how many agree place by place (positional), how many of the reference's the
-    other holds at all (recalled), and how many of the other's the reference does not (invented)."""
-    pieces = lambda c: F.filter(X.words(F.col(c)), lambda w: w != sentinel)
-    cut = df.withColumns({"__a": pieces(reference), "__b": pieces(hypothesis)})
-    sets = cut.withColumns({"__common": F.array_intersect("__a", "__b"), "__other": F.array_except("__b", "__a")})
-    same = F.filter(F.zip_with("__a", "__b", lambda x, y: x.eqNullSafe(y)), lambda s: s)
-    return sets.select(
-        *df.columns, F.size("__a").alias("n_reference"), F.size("__b").alias("n_hypothesis"), F.size(same).alias("positional"),
-        F.size(F.filter("__a", lambda w: F.array_contains(F.col("__common"), w))).alias("recalled"), F.size(F.filter("__b", lambda w: F.array_contains(F.col("__other"), w))).alias("invented"),
-    )
+    other holds at all (recalled), and how many of the other's the reference does not (invented).
+
+    Counts with repeats need a hash set of each text, which no built-in has; arrays of pieces go
+    to Python by Arrow."""
+
+    @F.pandas_udf(_PIECES)
+    def count(own: pd.Series, other: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(own, other, strict=True):
+            a, b = ([w for w in z if w != sentinel] if z is not None else [] for z in (x, y))
+            in_a, in_b = set(a), set(b)
+            rows.append((len(a), len(b), sum(v == w for v, w in zip(a, b, strict=False)), sum(w in in_b for w in a), sum(w not in in_a for w in b)))
+        return pd.DataFrame(rows, columns=_PIECES.fieldNames())
+
+    counted = df.withColumn("__counts", count(X.words(F.col(reference)), X.words(F.col(hypothesis))))
+    return counted.select(*df.columns, *(F.col(f"__counts.{c}").alias(c) for c in _PIECES.fieldNames()))
 
 
 def text_predicates(target: Column, prompt: Column) -> dict[str, Column]:

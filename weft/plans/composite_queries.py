@@ -96,14 +96,14 @@ def masked_report(spark, sf_dir):
 
 
 @query(
-    f"""with p as (select a.item_id, a.text as r, b.text as h from benchmark a join benchmark b on b.item_id = a.item_id + 1), v as (select 'control' as variant, r, h from p union all select 'native', r, h || ' ' || r from p union all select 'gate', r, upper(r) from p),
+    f"""with p as (select a.item_id, a.text as r, b.text as h from benchmark a join benchmark b on b.item_id = a.item_id + 1), v as (select 'control' as variant, r, h from p union all select 'native', r, h || ' ' || r from p union all select 'gate', r, replace(r, ' ', '  ') from p),
 m as (select variant, regexp_replace(lower(r), '[^a-z0-9 ]+', ' ', 'g') as r, regexp_replace(lower(h), '[^a-z0-9 ]+', ' ', 'g') as h from v), w as (select variant, {_SPLIT("r")} as u, {_SPLIT("h")} as v from m), c as (select variant, {_CODES} from w), e as (select variant, {_EDITS} as edits, len(a) as words from c),
 g as (select variant, count(*) as rows, cast(sum(edits) as bigint) as edits, cast(sum(words) as bigint) as words, round(sum(edits) / sum(words), 6) as wer from e group by 1)
 select *, case when wer - (select wer from g where variant = 'control') <= 0.01 then 'PASS' else 'FAIL' end as gate from g"""
 )
 def wer_gate(spark, sf_dir):
     pairs = benchmark_pairs(spark, sf_dir).select("reference", "hypothesis")
-    variants = [("control", F.col("hypothesis")), ("native", F.concat_ws(" ", "hypothesis", "reference")), ("gate", F.upper("reference"))]
+    variants = [("control", F.col("hypothesis")), ("native", F.concat_ws(" ", "hypothesis", "reference")), ("gate", F.replace("reference", F.lit(" "), F.lit("  ")))]
     rows = F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), h.alias("heard")) for v, h in variants)))
     return K.wer_gate(pairs.select("reference", rows.alias("v")).select("reference", "v.variant", "v.heard"), "variant", "reference", "heard", "control", 0.01)
 
