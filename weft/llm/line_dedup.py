@@ -9,8 +9,8 @@ of fewer than `least_words` distinct words stay.
 2. Lines are reduced to sets: one row for each different set of words, at its earliest
    place, with the rarest codes, the size and a parity sketch. All later lines of a set go.
    Partial aggregates keep a line that makes up a third of the corpus out of any one task.
-3. Near copies at once: sets that share the first two or the next two of their rarest codes
-   are compared with the earliest of them. This is linear in the size of a group, and settles most lines that
+3. Near copies at once: sets that share two neighbours among the first or the last codes of
+   their prefix are compared with the first and the few before them. This is linear in the size of a group, and settles most lines that
    have a match, so that no group of near copies meets in all its pairs below.
 4. Prefix filter: each set posts the rarest words that a match of no more words cannot avoid,
    and the rarest that one of no fewer cannot avoid, which are half as many. The join of both
@@ -35,7 +35,7 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm._common import release, stored
@@ -55,10 +55,12 @@ _BAND = 2.0
 #: Parity sketches of 64 bits: of all words and, for lines of more than LONG words, of the
 #: words in three of four hash classes (the fourth follows from them).
 _SKETCH = ("s0", "s1", "s2", "s3")
-LONG = 112
+LONG = 56
 #: The postings are joined in so many parts, by code, one after the other: less disk at once.
 _PARTS = 2
-#: Rarest codes of which two that follow each other have to agree for the quick comparison.
+#: Sets of one key are compared with the first and so many before them, in groups of about so many.
+_BACK, _MOST_MET = 16, 2000
+#: Codes that are kept of every set, for the quick comparison.
 _RAREST = 3
 
 
@@ -106,10 +108,6 @@ def _near(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return sizes & (F.bit_count(a["s0"].bitwiseXOR(b["s0"])) * both <= (n + m) * few) & (_far(a, b) * both <= (n + m) * few)
 
 
-def _named(prefix: str) -> dict[str, Column]:
-    return {c: F.col(f"{prefix}{c}") for c in ("doc", "line_no", "n", "pos", *_SKETCH)}
-
-
 def _before(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """a stands before b; a null id before all others."""
     doc, other = a["doc"], b["doc"]
@@ -180,19 +178,25 @@ def _matching(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _quick_pairs(sets: DataFrame) -> DataFrame:
-    """Each set with the earliest that shares two of its rarest codes, where the filters let the pair pass."""
-    code = lambda k: F.get("codes", F.lit(k))
-    keys = F.array(*(F.xxhash64(code(i), code(j)) for i, j in ((0, 1), (1, 2))))
+    """Each set with the nearest, by sketches, of the first and the last before it that share two
+    neighbouring codes of its prefix, where the filters let the pair pass."""
+    code = lambda k: F.get("codes", k)
+    last = F.size("codes") - 1
+    firsts = [F.lit(0), F.lit(1), *(F.greatest(last - k, F.lit(0)) for k in (4, 3, 2, 1))]  # edits bring rare words to the front, and leave the last of the prefix
+    keys = F.array_distinct(F.array(*(F.xxhash64(code(i), code(i + 1)) for i in firsts)))
     keyed = sets.where(F.col("n") >= _RAREST).select("doc", "line_no", "n", *_SKETCH, F.explode(keys).alias("key"))
     # most keys are of one set alone: counts go first, rows only where keys are shared
-    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("of")).where(F.col("of") > 1).select(F.col("key").alias("__key")))
-    keyed = keyed.join(_small(shared), F.col("key") == F.col("__key"), "left_semi")
-    first = keyed.groupBy("key").agg(F.min(F.struct("doc", "line_no", "n", *_SKETCH)).alias("e"))
-    first = first.select("key", *(F.col(f"e.{c}").alias(f"b{c}") for c in ("doc", "line_no", "n", *_SKETCH)))
-    pairs = _prefixed(keyed, "a").join(first, F.col("akey") == F.col("key"))
-    a, b = _named("a"), _named("b")
-    passed = pairs.where(_near(a, b) & _before(b, a))
-    best = passed.groupBy("adoc", "aline_no").agg(F.min(F.struct(_far(a, b).alias("far"), "bdoc", "bline_no")).alias("e"))
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("of")).where(F.col("of") > 1).select(F.col("key").alias("__key"), "of"))
+    met = keyed.join(_small(shared), F.col("key") == F.col("__key"))
+    # a large group is dealt over several, so that none is one task's
+    part = F.pmod(F.xxhash64("doc", "line_no"), F.ceil(F.col("of") / _MOST_MET)).cast("int")
+    place = Window.partitionBy("key", "part").orderBy("doc", "line_no")
+    own = F.struct("doc", "line_no", "n", *_SKETCH)
+    seen = met.withColumn("part", part).select(own.alias("a"), F.first(own).over(place).alias("e"), F.collect_list(own).over(place.rowsBetween(-_BACK, -1)).alias("before"))
+    pairs = seen.select("a", F.explode(F.array_append("before", F.col("e"))).alias("b"))
+    a, b = ({c: F.col(f"{x}.{c}") for c in ("doc", "line_no", "n", *_SKETCH)} for x in "ab")
+    passed = pairs.where(_near(a, b) & _before(b, a)).select(a["doc"].alias("adoc"), a["line_no"].alias("aline_no"), F.struct(_far(a, b).alias("far"), b["doc"].alias("bdoc"), b["line_no"].alias("bline_no")).alias("e"))
+    best = passed.groupBy("adoc", "aline_no").agg(F.min("e").alias("e"))
     return best.select("adoc", "aline_no", "e.bdoc", "e.bline_no")
 
 
