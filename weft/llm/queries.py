@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weft.llm import decontaminate, html_extract, jaccard_join, line_dedup, lm_score, media, packing, secrets, toxicity, url_filter
+from weft.llm import decontaminate, hard_negatives, html_extract, importance, jaccard_join, license_scan, line_dedup, lm_score, media, packing, secrets, toxicity, url_filter
 from weft.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +59,19 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_secret_scan": op2_secret_scan,
@@ -69,6 +83,9 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_line_dedup": op9_line_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_license_scan": op13_license_scan,
 }
 
 _OP8_SQL = r"""
@@ -130,4 +147,77 @@ select page_id, ruled.host, ruled.path, coalesce(r1, r2, r3, r4) as rule,
 from ruled left join nodes on nodes.u = ruled.url left join method on method.node = nodes.node
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": _OP8_SQL}
+_OP11_SQL = """
+with whole as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), scores as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+  from whole a join whole b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), positives as (
+  select anchor_id, id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select p.anchor_id, p.positive_id, row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.id)::int as rank, s.id as negative_id, p.positive_score, s.score as negative_score
+from positives p join scores s on s.anchor_id = p.anchor_id and not s.same and 80 * p.positive_score <= 100 * s.score and 100 * s.score <= 100 * p.positive_score
+qualify rank <= 5
+"""
+
+#: crc32 by a table of 256 numbers that SQL makes itself, byte after byte.
+_OP12_SQL = r"""
+with steps as (
+  select list(c order by b) as t from (select b, list_reduce(list_prepend(b, range(8)), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select unnest(range(256)) as b))
+), words as (
+  select 's' as side, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all select 't', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark
+), features as (
+  select side, id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as f from words
+), hexed as (
+  select f, hex(encode(f)) as h from (select distinct f from features)
+), buckets as (
+  select f, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::int, 2))::bigint)), lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])), 4294967295) % 10000 as bucket
+  from hexed, steps
+), counted as (
+  select bucket, count(*) filter (side = 's')::double as s, count(*) filter (side = 't')::double as t from features join buckets using (f) group by bucket
+), gains as (
+  select bucket, floor(1000 * ln((t + 1) * (sum(s) over () + 10000) / ((s + 1) * (sum(t) over () + 10000)))) as gain from counted
+), weights as (
+  select id, count(*) as n_features, floor(sum(gain) / count(*))::bigint as weight from features join buckets using (f) join gains using (bucket) where side = 's' group by id
+), scored as (
+  select id as doc_id, len(w) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::bigint + 0.5::double) / 4294967296))))::bigint as score
+  from words left join weights using (id) where side = 's'
+), ranked as (
+  select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from scored where n_words >= 20
+)
+select scored.doc_id, n_features, weight, score, case when rank <= 25 * n // 100 then rank end as rank from scored left join ranked using (doc_id)
+"""
+
+
+def _op13_sql() -> str:
+    """The same templates, all pairs of blocks and templates."""
+    words = lambda x: f"regexp_extract_all(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    notices = ", ".join("('{}', '{}')".format(label, text.replace("'", "''")) for label, text in license_scan.TEMPLATES)
+    return rf"""
+with notices as (select label, list_distinct({words("text")}) as own from (values {notices}) n(label, text)
+), docs as (select doc_id, coalesce(text, '') as text, {words("coalesce(text, '')")} as w from documents
+), blocks as (
+  select doc_id, block from (select doc_id, unnest(string_split(text, chr(10))) as block from docs)
+  union all select doc_id, block from (select doc_id, unnest(regexp_split_to_array(text, '\n[ \t\v\f\r]*\n')) as block from docs) where contains(trim(block, chr(10)), chr(10))
+), sets as (select distinct doc_id, list_distinct({words("block")}) as words from blocks
+), shares as (
+  select doc_id, label, len(own) as n, len(list_intersect(own, words)) as shared from sets join notices on len(words) * 100 >= 90 * len(own)
+), held as (select doc_id, list(distinct label) as found, max(shared / n) as score from shares where 100 * shared >= 90 * n group by doc_id
+), places as (
+  select doc_id, unnest(range(len(w))) as k, w from docs
+), phrases as (
+  select doc_id, case when w[k + 1] = 'mit' and w[k + 2] = 'license' then 'mit' when w[k + 1] = 'apache' and w[k + 2] = 'license' then 'apache' when w[k + 1] = 'general' and w[k + 2] = 'public' and w[k + 3] = 'license' then 'gpl' end as label, k from places
+), base as (select doc_id, count(*) as n_base, min(k) as first_word, max(k) as last_word, list(distinct label) as found from phrases where label is not null group by doc_id)
+select docs.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.found), ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(coalesce(base.found, []) || coalesce(held.found, []))), ','), '') as labels, coalesce(score, 0)::double as score
+from docs left join base using (doc_id) left join held using (doc_id)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": _OP8_SQL, "op11_hard_negatives": _OP11_SQL, "op12_importance_resampling": _OP12_SQL, "op13_license_scan": _op13_sql()}
