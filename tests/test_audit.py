@@ -81,13 +81,3 @@ def test_mask_and_sentinels(spark):
     row = A.sentinel_score(df, "r", "h", "[gap]").first()
     assert (row.n_reference, row.n_hypothesis, row.positional, row.recalled, row.invented) == (4, 3, 2, 3, 1)
     assert df.select(A.trimmed_mask(F.col("mask"), F.lit(5)).alias("m")).first().m == [0, 4]
-
-
-def test_bins_of_the_poisson_bootstrap(spark):
-    from weft.operators.stats import poisson_weights
-
-    rows = spark.range(2000).select(F.col("id").alias("row"))
-    drawn = poisson_weights(rows, "row", 20, 3)
-    per = drawn.groupBy("b").agg(F.sum("times").alias("n")).collect()
-    assert len(per) == 20 and abs(sum(r.n for r in per) / 20 - 2000) < 60
-    assert 0.9 < drawn.agg(F.sum(F.col("times") * F.col("times")) / 40_000 - 1).first()[0] < 1.1  # variance 1

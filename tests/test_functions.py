@@ -138,7 +138,11 @@ def test_bootstrap_intervals_hold_the_rate(spark):
     rows = spark.range(400).select(F.lit("x").alias("lane"), F.col("id").alias("row"), (F.col("id") % 4 == 0).cast("int").alias("hits"), F.lit(1).alias("tokens"))
     r = S.bootstrap_rate(rows, "hits", "tokens", ["lane"], 100).first()
     assert r.rate == 0.25 and 0.19 < r.ci_low < 0.25 < r.ci_high < 0.31
-    assert tuple(S.bootstrap_rate(rows.repartition(5), "hits", "tokens", ["lane"], 100).first()) == tuple(r)
+    again = S.bootstrap_rate(rows.repartition(5), "hits", "tokens", ["lane"], 100).first()
+    assert (again.rate, again.n_rows, again.rate_rowmean, again.ci_low, again.ci_high) == (r.rate, r.n_rows, r.rate_rowmean, r.ci_low, r.ci_high)
+    assert again.se_cluster == pytest.approx(r.se_cluster) and r.se_cluster == pytest.approx(0.0217, abs=1e-4)
+    one = S.bootstrap_rate(rows.limit(1), "hits", "tokens", ["lane"], 100).first()
+    assert (one.n_rows, one.ci_low, one.ci_high, one.se_cluster) == (1, None, None, None)
 
 
 def test_wrapping():

@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that are sent to all executors at most.
+MOST_BROADCAST = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +44,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """The table, to be sent to all executors if it has at most `most` rows (narrow ones)."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of tables that are stored. Its cleaner learns of them
     when the driver collects garbage, which may be long after (spark.cleaner.periodicGC.interval),

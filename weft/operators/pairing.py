@@ -45,6 +45,18 @@ def word_spans(df: DataFrame, key: str, text: str) -> DataFrame:
     return pieces.withColumn("lo", start).withColumn("hi", F.col("lo") + F.length("word")).where(F.col("word") != "")
 
 
+def pieces_with_places(df: DataFrame, key: str, pieces: Column, index: str, piece: str, gap: int = 0) -> DataFrame:
+    """Pieces of a text that stand one after another, `gap` characters between them: key, index, piece, lo, hi (code points)."""
+    each = df.select(key, F.posexplode(pieces).alias(index, piece))
+    before = Window.partitionBy(key).orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
+    return each.withColumn("lo", F.coalesce(F.sum(F.length(piece) + gap).over(before), F.lit(0)).cast("long")).withColumn("hi", F.col("lo") + F.length(piece))
+
+
+def token_spans(df: DataFrame, key: str, text: str, pattern: str = r"[ \n]*[^ \n]+|[ \n]+") -> DataFrame:
+    """Tokens that tile the text (white space belongs to what follows it): key, token_idx, token, lo, hi."""
+    return pieces_with_places(df, key, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), "token_idx", "token")
+
+
 def overlapping(spans: DataFrame, lo: int | Column, hi: int | Column) -> DataFrame:
     """Spans with a common character with [lo, hi)."""
     low, high = (x if isinstance(x, Column) else F.lit(x) for x in (lo, hi))

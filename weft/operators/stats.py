@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.functions.determinism import with_ordinal
+from weft.operators.quantiles import order_statistics, summarised
+
 #: Fixed values.
 Z95 = 1.959963985
 Z_DETECT = 2.801585
@@ -28,23 +35,21 @@ def rounded(x: Column) -> Column:
 
 def summary(df: DataFrame, value: Column, by: list[str]) -> DataFrame:
     """n, mean, sd, min, max, median, standard error and 95 % interval; what is not finite is dropped."""
-    clean = df.withColumn("__v", finite(value.cast("double"))).where(F.col("__v").isNotNull())
-    se = F.stddev_samp("__v") / F.sqrt(F.count("*"))
-    return clean.groupBy(*by).agg(
-        F.count("*").alias("n"), rounded(F.avg("__v")).alias("mean"), rounded(F.stddev_samp("__v")).alias("sd"), F.min("__v").alias("low"), F.max("__v").alias("high"),
-        rounded(F.percentile("__v", 0.5)).alias("median"), rounded(se).alias("se"), rounded(F.avg("__v") - Z95 * se).alias("ci_low"), rounded(F.avg("__v") + Z95 * se).alias("ci_high"),
+    found = summarised(df, value, by, {"median": 0.5})
+    se = F.col("sd") / F.sqrt("n")
+    return found.select(
+        *by, "n", rounded(F.col("mean")).alias("mean"), rounded(F.col("sd")).alias("sd"), "low", "high", rounded(F.col("median")).alias("median"),
+        rounded(se).alias("se"), rounded(F.col("mean") - Z95 * se).alias("ci_low"), rounded(F.col("mean") + Z95 * se).alias("ci_high"),
     )
 
 
 def percentile_modes(df: DataFrame, value: str, q: float, by: list[str]) -> DataFrame:
     """A quantile by the conventions in use: linear, floor index, rounded index, upper median."""
-    ordered = Window.partitionBy(*by).orderBy(value)
-    numbered = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"), (F.row_number().over(ordered) - 1).alias("k"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
-    at = lambda index: F.max(F.when(F.col("k") == index, F.col("v")))
-    return numbered.groupBy(*by).agg(
-        rounded(F.percentile("v", q)).alias("linear"), at(F.floor(F.lit(q) * (F.col("n") - 1))).alias("floor_index"),
-        at(F.bround(F.lit(q) * (F.col("n") - 1), 0)).alias("rounded_index"), at(F.floor(F.col("n") / 2)).alias("upper_median"),
-    )
+    n, at = F.col("n"), F.lit(q) * (F.col("n") - 1)
+    ranks = {"floor_index": F.floor(at), "__next": F.ceil(at), "rounded_index": F.bround(at, 0), "upper_median": F.floor(n / 2)}
+    found = order_statistics(df, F.col(value), by, ranks)
+    linear = F.col("floor_index") + (F.col("__next") - F.col("floor_index")) * (at - F.floor(at))
+    return found.select(*by, rounded(linear).alias("linear"), "floor_index", "rounded_index", "upper_median")
 
 
 def cluster_stats(df: DataFrame, value: Column, row: str, by: list[str]) -> DataFrame:
@@ -180,47 +185,118 @@ def macro_and_weighted(scores: DataFrame, by: list[str], loss: str, weight: Colu
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str], *ties: str) -> DataFrame:
-    """Correlation of ranks without averaged ties (further keys break them); null below 5 rows or without variance."""
-    wx, wy = Window.partitionBy(*by).orderBy(x, *ties), Window.partitionBy(*by).orderBy(y, *ties)
-    ranked = df.withColumn("rx", F.row_number().over(wx).cast("double")).withColumn("ry", F.row_number().over(wy).cast("double"))
+    """Correlation of ranks without averaged ties (further keys break them); null below 5 rows or
+    without variance. Ranks are numbered over ranges of each group, so no task sorts a whole one."""
+    keys = [c for c in dict.fromkeys([*by, x, y, *ties])]
+    ranked = with_ordinal(with_ordinal(df.select(*keys), x, *ties, name="__rx", by=by), y, *ties, name="__ry", by=by)
     varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)) & (F.count("*") >= 5)
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), rounded(F.when(varies, F.corr("rx", "ry"))).alias("rho"))
-
-
-def poisson_weights(rows: DataFrame, row: str, n_boot: int, seed: int) -> DataFrame:
-    """A row for each replicate b with `times`, a Poisson number of mean 1 from 16 bits of
-    md5(seed|block|row); a digest serves the eight replicates of its block. Rows that count 0
-    times in a replicate are left out of it."""
-    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)]).tolist()
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__block").cast("string"), F.col(row).cast("string")).cast("binary"))
-    blocked = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // 8)))).withColumn("__digest", digest)
-    each = blocked.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("b", F.col("__block") * 8 + F.col("__k") + 1)
-    u = F.conv(F.substring(F.col("__digest"), F.col("__k") * 4 + 1, F.lit(4)), 16, 10).cast("double") / 65536.0
-    counted = each.withColumn("__u", u).withColumn("times", sum((F.col("__u") >= s).cast("int") for s in steps))
-    return counted.where((F.col("times") > 0) & (F.col("b") <= n_boot)).drop("__block", "__digest", "__k", "__u")
-
-
-def bootstrap_rate(rows: DataFrame, hits: str, tokens: str, by: list[str], n_boot: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """Pooled rate with a percentile interval over resampled rows.
+    rho = F.corr(F.col("__rx").cast("double"), F.col("__ry").cast("double"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), rounded(F.when(varies, rho)).alias("rho"))
+
+
+#: Groups whose sums a task holds before it sends them on.
+_GROUPS = 256
+#: Weights that a task holds at once.
+_WEIGHTS = 2_000_000
+#: Partial sums that are merged in the first of two steps.
+_MERGED = 64
+
+
+def poisson_times(keys: list[str], n_boot: int, seed: int) -> np.ndarray:
+    """How often each row counts in replicates 1 to n_boot: Poisson numbers of mean 1 from 16 bits
+    of sha256(seed|block|row), where a digest serves the sixteen replicates of its block."""
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    times = np.searchsorted(steps, np.arange(65536) / 65536.0, "right").astype(np.uint8)  # of each 16 bits
+    blocks = [f"{seed}|{k}|".encode() for k in range(-(-n_boot // 16))]
+    out = np.empty((len(keys), len(blocks) * 16), np.uint8)
+    for i, key in enumerate(keys):
+        raw = key.encode()
+        out[i] = times[np.frombuffer(b"".join(hashlib.sha256(b + raw).digest() for b in blocks), ">u2")]
+    return out[:, :n_boot]
+
+
+def replicate_sums(rows: DataFrame, row: str, by: list[str], sums: list[str], n_boot: int, seed: int) -> DataFrame:
+    """by, and for each of the columns `sums` an array of its sum in every replicate.
+
+    One pass over the rows: a batch's weights are a matrix of rows by replicates, which is
+    multiplied with the columns, group by group, and never becomes rows. A task sends one row
+    of sums for each group it has seen. Rows with a null key count by the key "null"; null
+    numbers count as 0."""
+    keyed = rows.select(*by, F.coalesce(F.col(row).cast("string"), F.lit("null")).alias("__row"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__s{k}") for k, c in enumerate(sums)))
+    schema = T.StructType([*(keyed.schema[c] for c in by), T.StructField("__part", T.IntegerType()), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in sums)])
+    columns = [f"__s{k}" for k in range(len(sums))]
+
+    def frame(held: dict, part: int) -> pd.DataFrame:
+        out = pd.DataFrame([(*key, part, *(list(x) for x in total)) for key, total in held.items()], columns=schema.names, dtype=object)
+        return out
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held = TaskContext.get().partitionId() // _MERGED, {}
+        for whole in batches:
+            for at in range(0, len(whole), step := max(1, _WEIGHTS // n_boot)):
+                pdf = whole.iloc[at : at + step]
+                times = poisson_times(pdf["__row"].tolist(), n_boot, seed).astype(float)
+                values = pdf[columns].to_numpy(float)
+                codes = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(pdf), int)
+                order = np.argsort(codes, kind="stable")
+                for which in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+                    key = tuple(None if x is None or x != x else x for x in (pdf[c].iloc[which[0]] for c in by))
+                    held[key] = held.get(key, 0) + values[which].T @ times[which]
+                if len(held) > _GROUPS:
+                    yield frame(held, part)
+                    held = {}
+        yield frame(held, part)
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf.iloc[:1].copy()
+        for c in sums:
+            out[c] = [np.sum(np.stack(pdf[c].to_numpy()), axis=0)]
+        return out
+
+    partial = keyed.mapInPandas(weigh, schema)
+    merged = partial.groupBy(*by, "__part").applyInPandas(added, schema)
+    return merged.withColumn("__part", F.lit(0)).groupBy(*by, "__part").applyInPandas(added, schema).drop("__part")
+
+
+def array_quantile(values: Column, q: float) -> Column:
+    """The quantile of a sorted array's numbers, linear between two; null of an empty one."""
+    at = F.lit(q) * (F.size(values) - 1)
+    low = F.get(values, F.floor(at).cast("int"))
+    return F.when(F.size(values) > 0, low + (F.get(values, F.ceil(at).cast("int")) - low) * (at - F.floor(at)))
+
+
+def bootstrap_rate(rows: DataFrame, hits: str, tokens: str, by: list[str], n_boot: int = 1000, seed: int = 42, level: float = 0.95, row: str = "row") -> DataFrame:
+    """Pooled rate and mean of the rows' rates, with the cluster's standard error and a percentile
+    interval over resampled rows; the interval is null for a single row.
 
     Rows count as often as a keyed Poisson number says instead of being drawn n of n with
     replacement: the number of rows of a replicate varies, and its rate is a ratio of sums
-    either way. Sums are made where the rows are, so replicates cost no shuffle of rows.
-    rows: by, row, hits, tokens."""
-    replicate = poisson_weights(rows, "row", n_boot, seed)
-    each = replicate.groupBy(*by, "b").agg(F.sum(F.col("times") * F.col(hits)).alias("h"), F.sum(F.col("times") * F.col(tokens)).alias("t")).where(F.col("t") > 0)
-    ends = each.groupBy(*by).agg(F.percentile(F.col("h") / F.col("t"), (1 - level) / 2).alias("ci_low"), F.percentile(F.col("h") / F.col("t"), (1 + level) / 2).alias("ci_high"))
-    return rows.groupBy(*by).agg((F.sum(hits) / F.sum(tokens)).alias("rate"), F.count("*").alias("n_rows")).join(ends, by)
+    either way. rows: by, row, hits, tokens, one for each row of a group."""
+    each = replicate_sums(rows, row, by, [hits, tokens], n_boot, seed)
+    rates = F.sort_array(F.array_compact(F.zip_with(hits, tokens, lambda h, t: F.when(t > 0, h / t))))
+    ends = each.select(*(F.col(c).alias(f"__t{k}") for k, c in enumerate(by)), rates.alias("__r"))
+    own = F.when(F.col(tokens) > 0, F.col(hits) / F.col(tokens))
+    point = rows.groupBy(*by).agg(
+        F.try_divide(F.sum(hits), F.sum(tokens)).alias("rate"), F.count("*").alias("n_rows"), F.avg(own).alias("rate_rowmean"), (F.stddev_samp(own) / F.sqrt(F.count(own))).alias("se_cluster")
+    )
+    joined = point.join(ends, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__t{k}")) for k, c in enumerate(by)), F.lit(True)))
+    several = F.col("n_rows") > 1
+    low, high = (F.when(several, array_quantile(F.col("__r"), (1 + s * level) / 2)) for s in (-1, 1))
+    return joined.select(*by, "rate", "n_rows", "rate_rowmean", "se_cluster", low.alias("ci_low"), high.alias("ci_high"))
 
 
-def bootstrap_collapse(per_row: DataFrame, by: list[str], width: int, baseline: int, least: int, n_boot: int = 50, seed: int = 42) -> DataFrame:
+def bootstrap_collapse(per_row: DataFrame, by: list[str], width: int, baseline: int, least: int, n_boot: int = 1000, seed: int = 42) -> DataFrame:
     """Interval of the collapse point and how often each status came up; per_row: bucket_table with `by`."""
-    replicate = poisson_weights(per_row, "row", n_boot, seed)
-    sums = replicate.groupBy(*by, "b", "bucket").agg(F.sum(F.col("times") * F.col("sum_d")).alias("sum_d"), F.sum(F.col("times") * F.col("cnt")).alias("cnt"))
-    found = collapse_point(sums, [*by, "b"], width, baseline, least)
-    return found.groupBy(*by).agg(
+    each = replicate_sums(per_row, "row", [*by, "bucket"], ["sum_d", "cnt"], n_boot, seed)
+    numbered = each.select(*by, "bucket", F.posexplode(F.arrays_zip("sum_d", "cnt")).alias("b", "z")).select(*by, "bucket", "b", "z.*").where(F.col("cnt") > 0)
+    found = collapse_point(numbered, [*by, "b"], width, baseline, least)
+    statuses = ("ok", "ok_at_structural_floor", "censored_right", "censored_short", "no_reading", "no_baseline_tokens")
+    points = found.groupBy(*by).agg(
         F.count("*").alias("n_boot"), F.count("k_chars").alias("n_resolved"), F.count_if("at_floor").alias("n_at_floor"),
-        F.percentile("k_chars", 0.05).alias("ci_low"), F.percentile("k_chars", 0.5).alias("median"), F.percentile("k_chars", 0.95).alias("ci_high"),
+        *(F.count_if(F.col("status") == s).alias(f"n_{s}") for s in statuses if s != "ok_at_structural_floor"), F.sort_array(F.collect_list("k_chars")).alias("__k"),
+    )
+    return points.select(
+        *(c for c in points.columns if c != "__k"), *(array_quantile(F.col("__k"), q).alias(name) for name, q in (("ci_low", 0.05), ("median", 0.5), ("ci_high", 0.95)))
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -137,21 +140,35 @@ def spearman_untied(spark, sf_dir):
     return S.spearman(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", ["l_returnflag"], "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_discount", "l_tax")
 
 
-_WEIGHTS = """w as (select r.*, k * 8 + j + 1 as b, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999898032315826], lambda s: ('0x' || substr(md5('42|' || k || '|' || "row"), cast(j * 4 + 1 as integer), 4))::bigint / 65536.0 >= s)) as times
-  from r, range(0, {blocks}) a(k), range(0, 8) c(j))"""
+#: How often each row counts in replicates 1 to 1000: Poisson numbers of mean 1.
+_TIMES = " + ".join(f"(u >= {x})::int" for x in np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)]).tolist())
+_WEIGHTS = f"""keys as (select distinct "row" from r), digests as (select "row", k, sha256('42|' || k || '|' || "row") as h from keys, range(0, 63) a(k)),
+times as (select "row", k * 16 + j + 1 as b, ('0x' || substr(h, cast(j * 4 + 1 as integer), 4))::bigint / 65536.0 as u from digests, range(0, 16) c(j)),
+w as (select r.*, b, {_TIMES} as times from r join times using ("row") where b <= 1000)"""
 
 
 @query(
-    f"""with {_SCORES}, r as (select lane, "row", sum(a_c) as hits, count(*) as tokens from scores group by all), {_WEIGHTS.format(blocks=25)},
-e as (select lane, b, sum(times * hits) / sum(times * tokens) as q from w where b <= 200 group by all having sum(times * tokens) > 0), i as (select lane, round(quantile_cont(q, 0.025), 6) as ci_low, round(quantile_cont(q, 0.975), 6) as ci_high from e group by lane)
-select lane, round(sum(hits) / sum(tokens), 6) as rate, count(*) as n_rows, ci_low, ci_high from r join i using (lane) group by lane, ci_low, ci_high"""
+    f"""with {_SCORES}, r as (select lane, "row", sum(a_c) as hits, count(*) as tokens from scores group by all), {_WEIGHTS},
+e as (select lane, b, sum(times * hits) / sum(times * tokens) as q from w group by all having sum(times * tokens) > 0), i as (select lane, round(quantile_cont(q, 0.025), 6) as ci_low, round(quantile_cont(q, 0.975), 6) as ci_high from e group by lane)
+select lane, round(sum(hits) / sum(tokens), 6) as rate, count(*) as n_rows, round(avg(hits / tokens), 6) as rate_rowmean, round(stddev_samp(hits / tokens) / sqrt(count(*)), 6) as se_cluster, ci_low, ci_high from r join i using (lane) group by lane, ci_low, ci_high"""
 )
 def bootstrap_rate(spark, sf_dir):
     rows = scores(spark, sf_dir).groupBy("lane", "row").agg(F.sum("a_c").alias("hits"), F.count("*").alias("tokens"))
-    return S.bootstrap_rate(rows, "hits", "tokens", ["lane"]).withColumns({c: F.round(c, 6) for c in ("rate", "ci_low", "ci_high")})
+    return S.bootstrap_rate(rows, "hits", "tokens", ["lane"]).withColumns({c: F.round(c, 6) for c in ("rate", "rate_rowmean", "se_cluster", "ci_low", "ci_high")})
 
 
-@query(None)
+@query(
+    f"""with {_SCORES}, r as (select lane, "row", least(char_off // 7, 11) as bucket, sum(a_c - b_c) as sum_d, count(*) as cnt from scores group by all), {_WEIGHTS},
+b as (select lane, b, bucket, sum(times * sum_d) as sum_d, sum(times * cnt) as cnt from w group by all having sum(times * cnt) > 0),
+base as (select lane, b, coalesce(sum(cnt) filter (where bucket < 2), 0) as base_n, coalesce(sum(sum_d) filter (where bucket < 2), 0) as base_sum from b group by all),
+e as (select b.lane, b.b, bucket, sum_d / cnt < 0.5 * base_sum / base_n as below from b join base using (lane, b) where bucket >= 2 and cnt >= 5),
+s as (select *, bool_and(below) over (partition by lane, b order by bucket desc rows unbounded preceding) as stays from e),
+f as (select lane, b, count(*) as eligible, min(bucket) filter (where stays) as k from s group by all),
+j as (select base.*, k, case when base_n < 5 then 'no_baseline_tokens' when base_sum <= 0 then 'no_reading' when coalesce(eligible, 0) = 0 then 'censored_short' when k is null then 'censored_right' when k = 2 then 'floor' else 'ok' end as status from base left join f using (lane, b)),
+p as (select *, case when status in ('ok', 'floor') then k * 7 end as k_chars from j)
+select lane, count(*) as n_boot, count(k_chars) as n_resolved, count(*) filter (where k = 2) as n_at_floor, count(*) filter (where status = 'ok') as n_ok, count(*) filter (where status = 'censored_right') as n_censored_right, count(*) filter (where status = 'censored_short') as n_censored_short,
+count(*) filter (where status = 'no_reading') as n_no_reading, count(*) filter (where status = 'no_baseline_tokens') as n_no_baseline_tokens, quantile_cont(k_chars, 0.05) as ci_low, quantile_cont(k_chars, 0.5) as median, quantile_cont(k_chars, 0.95) as ci_high from p group by lane"""
+)
 def bootstrap_collapse(spark, sf_dir):
     each = scores(spark, sf_dir).groupBy("lane", "row", F.least(F.floor(F.col("char_off") / 7), F.lit(11)).cast("int").alias("bucket")).agg(F.sum(F.col("a_c") - F.col("b_c")).alias("sum_d"), F.count("*").alias("cnt"))
     return S.bootstrap_collapse(each, ["lane"], 7, 14, 5)
