@@ -145,7 +145,7 @@ def phrase_places(words: str, phrases: dict[str, str]) -> Column:
                 found.append(F.when(same, F.struct((k - len(own) + 1).cast("long").alias("at"), F.lit(label).alias("label"))))
         return F.array_compact(F.array(*found))
 
-    return F.flatten(F.transform(words, here))
+    return F.flatten(F.transform(words, here)) if phrases else F.array().cast("array<struct<at:bigint,label:string>>")
 
 
 def scan(documents: DataFrame, notices: DataFrame | None = None, id_column: str = "doc_id", text_column: str = "text", *, phrases: dict[str, str] = PHRASES, share: int = SHARE, per: int = PER) -> DataFrame:
