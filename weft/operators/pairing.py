@@ -72,46 +72,3 @@ def grid_cells(boxes: DataFrame, size: int) -> DataFrame:
 def mask_rects(boxes: DataFrame, by: list[str], pad: int) -> DataFrame:
     """One padded rectangle for all boxes of a group."""
     return boxes.groupBy(*by).agg((F.min("x0") - pad).alias("x0"), (F.min("y0") - pad).alias("y0"), (F.max("x1") + pad).alias("x1"), (F.max("y1") + pad).alias("y1"))
-
-
-def nearest_labels(vectors: DataFrame, key: str, vector: str, label: str, block: int = 2000, probes: DataFrame | None = None) -> DataFrame:
-    """Label of the nearest other vector (squared distance, then smaller key) of each probe, all
-    vectors if none are given, in Arrow blocks.
-
-    The vectors that are searched go to the executors in blocks of `block` rows, so this is for
-    tables that pass through the driver; each task keeps the best neighbour so far of its own
-    rows only. Distances are bounded by a matrix product first and computed exactly where they
-    may be the least."""
-    import numpy as np
-    import pandas as pd
-
-    spark = vectors.sparkSession
-    blocks, pending = [], []
-    for r in vectors.select(key, vector, label).toLocalIterator():
-        pending.append((r[0], r[1], r[2]))
-        if len(pending) >= block:
-            blocks.append(spark.sparkContext.broadcast(pending))
-            pending = []
-    if pending:
-        blocks.append(spark.sparkContext.broadcast(pending))
-
-    def run(batches):
-        for whole in batches:
-            for first in range(0, len(whole), 1024):
-                pdf = whole.iloc[first : first + 1024]
-                own = np.array(pdf[vector].tolist(), float)
-                keys = pdf[key].to_numpy()
-                best = [(np.inf, 0, None)] * len(pdf)
-                for b in blocks:
-                    ids, values, labels = zip(*b.value, strict=True)
-                    ids, other = np.array(ids), np.array(values, float)
-                    size = (own**2).sum(1)[:, None] + (other**2).sum(1)
-                    near = size - 2 * own @ other.T
-                    near[keys[:, None] == ids[None, :]] = np.inf
-                    for i, j in zip(*np.nonzero(near <= near.min(1)[:, None] + 1e-9 * size.max()), strict=True):
-                        if keys[i] != ids[j]:
-                            best[i] = min(best[i], (((own[i] - other[j]) ** 2).sum(), ids[j], labels[j]), key=lambda x: x[:2])
-                yield pd.DataFrame({key: keys, label: pdf[label].to_numpy(), "nearest": [b[2] for b in best]})
-
-    asked = vectors if probes is None else probes
-    return asked.select(key, vector, label).mapInPandas(run, f"{key} long, {label} int, nearest int")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators import intervals as I
+from weft.operators import packing as K
 from weft.operators import pairing as P
 from weft.operators import quantiles as Q
 from weft.plans.registry import query, table
@@ -84,3 +85,15 @@ def lane_geometry(spark, sf_dir):
     both = docs.select("lang", F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in ("chars", "per_word")))).alias("m")).select("lang", "m.*")
     found = Q.summarised(both, F.col("v"), ["lang", "measure"], {"p50": 0.5, "p99": 0.99})
     return found.withColumns({c: F.round(c, 6) for c in ("mean", "sd", "low", "high", "p50", "p99")})
+
+
+@query(
+    """with recursive l as (select row_number() over (order by doc_id) as k, doc_id, length(text) // 4 + 1 as n from documents where length(text) // 4 + 1 <= 4096),
+p as (select k, doc_id, n, 0::bigint as pack, 0::bigint as segment, 0::bigint as start from l where k = 1
+  union all select l.k, l.doc_id, l.n, case when start + p.n + l.n > 4096 then pack + 1 else pack end, case when start + p.n + l.n > 4096 then 0 else segment + 1 end, case when start + p.n + l.n > 4096 then 0 else start + p.n end from p join l on l.k = p.k + 1)
+select doc_id, pack, segment, start from p"""
+)
+def sequential_packing(spark, sf_dir):
+    """All documents in one order into sequences of 4096, one after the other."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.floor(F.length("text") / 4) + 1).alias("length"))
+    return K.sequential_pack(docs, "length", 4096, "doc_id").select("doc_id", "pack", "segment", "start")

@@ -12,6 +12,7 @@ from weft.functions import decisions as D
 from weft.operators import pairing as P
 from weft.operators import series as R
 from weft.operators import stats as S
+from weft.operators.neighbours import nearest_labels
 from weft.plans.registry import query, table
 
 _SCORES = """scores as (select l_orderkey as "row", l_returnflag as lane,
@@ -266,7 +267,7 @@ select count(*) as n, count(*) filter (where label = nearest) as hits from d"""
 )
 def one_nn_probe(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    found = P.nearest_labels(vectors, "vec_id", "embedding", "label", probes=vectors.where("vec_id % 50 = 0"))
+    found = nearest_labels(vectors, "vec_id", "embedding", "label", probes=vectors.where("vec_id % 50 = 0"))
     return found.agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("nearest")).alias("hits"))
 
 
@@ -275,7 +276,7 @@ def one_nn_probe(spark, sf_dir):
 select label, count(*) as n, count(*) filter (where label = nearest) as hits from d group by label"""
 )
 def one_nn_loo(spark, sf_dir):
-    found = P.nearest_labels(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    found = nearest_labels(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
     return found.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("nearest")).alias("hits"))
 
 
