@@ -103,31 +103,29 @@ def choice_questions(spark, sf_dir):
     )
 
 
-@query(
-    """with c as (select doc_id, substr(text, 1, 80) as t from documents), k as (select doc_id, t, unnest(range(1, length(t) + 1)) as k from c),
-h as (select doc_id, k, substr(t, cast(k as integer), 1) as c, ('0x' || substr(md5('9|' || doc_id || '|' || k), 1, 8))::bigint / 4294967296.0 as u, ('0x' || substr(md5('9|' || doc_id || '|letter|' || k), 1, 8))::bigint / 4294967296.0 as v from k),
-p as (select *, regexp_matches(c, '^\\p{L}$') and u < 0.3 as hit from h)
-select doc_id, string_agg(case when hit then chr(cast(97 + floor(v * 26) as integer)) else c end, '' order by k) as poisoned, count(*) filter (where hit) as n_hit from p group by doc_id"""
-)
-def poison_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("t")).where(F.length("t") > 0)
-    out, places = X.poisoned(F.col("t"), 0.3, F.lit(9), F.col("doc_id"))
-    return docs.select("doc_id", out.alias("poisoned"), F.size(places).cast("long").alias("n_hit"))
+_POISON = """with k as (select doc_id, unnest(string_split(text, '')) as c, unnest(range(1, length(text) + 1)) as k from documents where length(text) > 0),
+h as (select doc_id, k, c, ('0x' || substr(md5('{seed}|' || doc_id || '|' || k), 1, 8))::bigint / 4294967296.0 as u, ('0x' || substr(md5('{seed}|' || doc_id || '|letter|' || k), 1, 8))::bigint / 4294967296.0 as v from k),
+p as (select *, regexp_matches(c, '^\\p{{L}}$') and u < {rate} as hit from h), g as (select doc_id, string_agg(case when hit then chr(cast(97 + floor(v * 26) as integer)) else c end, '' order by k) as poisoned, count(*) filter (where hit) as n_hit from p group by doc_id)
+select doc_id, coalesce(poisoned, '') as poisoned, coalesce(n_hit, 0) as n_hit from documents left join g using (doc_id)"""
 
 
-@query(
-    """with k as (select doc_id, unnest(string_split(text, '')) as c, unnest(range(1, length(text) + 1)) as k from documents where length(text) > 0),
-h as (select doc_id, k, c, ('0x' || substr(md5('9|' || doc_id || '|' || k), 1, 8))::bigint / 4294967296.0 as u, ('0x' || substr(md5('9|' || doc_id || '|letter|' || k), 1, 8))::bigint / 4294967296.0 as v from k),
-p as (select *, regexp_matches(c, '^\\p{L}$') and u < 0.3 as hit from h), g as (select doc_id, string_agg(case when hit then chr(cast(97 + floor(v * 26) as integer)) else c end, '' order by k) as poisoned, count(*) filter (where hit) as n_hit from p group by doc_id)
-select doc_id, coalesce(poisoned, '') as poisoned, coalesce(n_hit, 0) as n_hit from documents left join g using (doc_id)"""
-)
-def poison_text_whole(spark, sf_dir):
+def _poisoned(spark, sf_dir, rate, seed):
     """Every document, and all of its letters."""
     docs = table(spark, sf_dir, "documents")
-    out, places = X.poisoned(F.col("text"), 0.3, F.lit(9), F.col("doc_id"))
+    out, places = X.poisoned(F.col("text"), rate, F.lit(seed), F.col("doc_id"))
     return docs.select("doc_id", out.alias("poisoned"), F.size(places).cast("long").alias("n_hit"))
 
 
+@query(_POISON.format(rate=0.1, seed=4))
+def poison_text(spark, sf_dir):
+    return _poisoned(spark, sf_dir, 0.1, 4)
+
+
+@query(_POISON.format(rate=0.3, seed=9))
+def poison_text_whole(spark, sf_dir):
+    return _poisoned(spark, sf_dir, 0.3, 9)
+
+
 def _masked(spark, sf_dir):
     return L.masked(table(spark, sf_dir, "documents"), "doc_id", "text", 5)
 
@@ -156,8 +154,7 @@ def wrap_pages(spark, sf_dir):
 @query(None)
 def word_boxes(spark, sf_dir):
     page = L.Page()
-    docs = table(spark, sf_dir, "benchmark")
-    return L.word_boxes(L.wrapped(docs, "item_id", "text", page), "item_id", page)
+    return L.word_boxes(L.wrapped(table(spark, sf_dir, "documents"), "doc_id", "text", page), "doc_id", page)
 
 
 @query(
