@@ -77,3 +77,74 @@ def test_watch_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("select * from watched").collect()] == [(1, 1.0, 2.0)]
+
+
+def test_head_opens_only_the_files_of_the_slice(spark, tmp_path):
+    import os
+
+    folder = tmp_path / "a b+c"
+    spark.range(0, 60, 1, 6).write.parquet(str(folder))
+    files = sorted(f for f in os.listdir(folder) if f.startswith("part"))
+    for f in files[4:]:
+        (folder / f).write_bytes(b"not opened")
+    for f in os.listdir(folder):
+        if f.endswith(".crc"):
+            os.remove(folder / f)
+    head = readers.load(spark, "parquet_slice", str(folder), rows=13, offset=15, schema="id long")
+    for f in (files[0], files[3]):
+        os.remove(folder / f)
+    assert sorted(r.id for r in head.collect()) == list(range(15, 28))
+
+
+@pytest.mark.parametrize(("offset", "rows"), [(0, 0), (0, 1), (0, 20), (19, 2), (20, 20), (55, 50), (60, 1), (7, None), (99, None)])
+def test_head_slices(spark, tmp_path, offset, rows):
+    folder = str(tmp_path / "p")
+    spark.range(0, 60, 1, 3).write.parquet(folder)
+    spark.range(0).write.mode("append").parquet(folder)
+    whole = [r.id for f in sorted(spark.read.parquet(folder).inputFiles()) for r in spark.read.parquet(f).collect()]
+    got = readers.load(spark, "parquet_slice", folder, rows=rows, offset=offset)
+    assert sorted(r.id for r in got.collect()) == sorted(whole[offset:] if rows is None else whole[offset : offset + rows])
+
+
+def test_head_keeps_columns_of_folders_and_refuses_odd_slices(spark, tmp_path):
+    folder = str(tmp_path / "p")
+    spark.range(30).selectExpr("id", "id % 3 as lane").write.partitionBy("lane").parquet(folder)
+    got = readers.load(spark, "parquet_slice", folder, rows=12)
+    assert got.columns == ["id", "lane"] and got.count() == 12 and all(r.id % 3 == r.lane for r in got.collect())
+    with pytest.raises(ValueError, match="slice"):
+        readers.load(spark, "parquet_slice", folder, rows=-1)
+
+
+def watched(spark, tmp_path, batches, name, **options):
+    """What a stream tells of batches that come one after another."""
+    source, schema = tmp_path / "in", "step long, metric string, value double, seq long"
+    spark.createDataFrame([], schema).write.parquet(str(source))
+    stream = spark.readStream.schema(schema).parquet(str(source))
+    q = complete_steps(stream, ["a", "b"], **options).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        for wait, rows in batches:
+            import time
+
+            time.sleep(wait)
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    return sorted(map(tuple, spark.sql(f"select * from {name}").collect()), key=repr)
+
+
+def test_stream_gives_the_first_values_of_the_batch(spark, tmp_path):
+    batches = [(0, [(1, "a", 5.0, 7), (1, "a", 4.0, 3), (2, "b", 1.0, 1), (3, "a", None, 2)]), (0, [(1, "a", 9.0, 1), (1, "b", 2.0, 8), (2, "c", 1.0, 5), (3, "b", 6.0, 9)]), (0, [(1, "b", 3.0, 9), (2, "a", 8.0, 4), (2, "a", 7.0, None)])]
+    got = watched(spark, tmp_path, batches, "firsts")
+    rows = [r for _, b in batches for r in b]
+    df = spark.createDataFrame(rows, "step long, metric string, value double, seq long")
+    assert got == sorted(map(tuple, complete_steps(df, ["a", "b"]).collect())) == [(1, 9.0, 2.0), (2, 8.0, 1.0)]
+    assert (3, None, 6.0) in [tuple(r) for r in complete_steps(df, ["a", "b"], unfinished=True).collect()]
+    with pytest.raises(ValueError, match="arrival"):
+        complete_steps(df.drop("seq"), ["a", "b"])
+
+
+def test_steps_that_never_complete_leave_the_state(spark, tmp_path):
+    batches = [(0, [(1, "a", 5.0, 1), (2, "a", 1.0, 2), (2, "b", 2.0, 3)]), (5, [(8, "a", 1.0, 4)]), (1, [(1, "b", 6.0, 5)])]
+    got = watched(spark, tmp_path, batches, "leaving", keep="1 second", slack="1 second", unfinished=True)
+    assert (2, 1.0, 2.0) in got and (1, 5.0, None) in got and (1, 5.0, 6.0) not in got

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 _PAIR = r"'(eval_[A-Za-z0-9_\-]+)': '?(-?[0-9.]+(?:[eE][-+]?[0-9]+)?|nan|inf|-inf)'?"
@@ -27,10 +27,10 @@ def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(parse_metrics(lines.select("line_no", "value")), "line_no").select("file", "line_no", "metric", "number")
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+def read_transcripts(spark: SparkSession, path: str, reader: DataFrameReader | None = None) -> DataFrame:
     """uid and text of lines `<uid> TEXT`."""
     parts = F.split("value", " ", 2)
-    return spark.read.text(path).where(F.col("value") != "").select(F.get(parts, 0).alias("uid"), F.coalesce(F.get(parts, 1), F.lit("")).alias("text"))
+    return (reader or spark.read).text(path).where(F.col("value") != "").select(F.get(parts, 0).alias("uid"), F.coalesce(F.get(parts, 1), F.lit("")).alias("text"))
 
 
 def rewrite_config(column: str, values: dict[str, object]) -> Column:
