@@ -20,20 +20,82 @@ def png(pixels: np.ndarray, level: int = 1) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, level)) + chunk(b"IEND", b"")
 
 
+#: Samples of a pixel by the colour type.
+_SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+
+
+def _unfiltered(rows: np.ndarray, step: int) -> np.ndarray:
+    """Bytes of rows (height, 1 + bytes), each stored as differences by the filter of its first byte."""
+    kinds, out = rows[:, 0], rows[:, 1:].copy()
+    if (kinds > 4).any():
+        raise ValueError("an unknown row filter")
+    above = np.zeros(out.shape[1], np.uint8)
+    for k, kind in enumerate(kinds.tolist()):
+        row = out[k]
+        if kind == 1:  # left: a running sum of each byte of the pixels
+            for c in range(step):
+                row[c::step] = np.cumsum(row[c::step], dtype=np.uint8)
+        elif kind == 2:  # above
+            row += above
+        elif kind in (3, 4):
+            now, up, left, corner = row.tolist(), above.tolist(), [0] * step, [0] * step
+            for i in range(len(now)):
+                j, b = i % step, up[i]
+                a, c = left[j], corner[j]
+                if kind == 3:
+                    guess = (a + b) >> 1
+                else:
+                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
+                now[i] = left[j] = (now[i] + guess) & 255
+                corner[j] = b
+            row[:] = now
+        above = row
+    return out
+
+
 def read_png(data: bytes) -> np.ndarray:
-    """Pixels of an 8-bit grey PNG whose rows are stored without a filter."""
-    width, height, depth, colour = struct.unpack(">IIBB", data[16:26])
-    if data[:8] != b"\x89PNG\r\n\x1a\n" or (depth, colour) != (8, 0):
-        raise ValueError("no grey PNG of 8 bits")
-    at, body = 8, b""
-    while at < len(data):
+    """Pixels of a PNG, (height, width) or with colours as a third axis: grey, grey and alpha, RGB, RGBA,
+    or a palette's RGB; all bit depths, of 16 bits the upper eight. Interlaced ones are refused."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n" or len(data) < 33:
+        raise ValueError("no PNG")
+    width, height, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", data[16:29])
+    if interlaced or colour not in _SAMPLES or depth not in (1, 2, 4, 8, 16):
+        raise ValueError("an interlaced PNG, or one of no known kind")
+    at, body, palette = 8, [], b""
+    while at + 8 <= len(data):
         size, kind = struct.unpack(">I4s", data[at : at + 8])
-        body += data[at + 8 : at + 8 + size] if kind == b"IDAT" else b""
+        if kind == b"IDAT":
+            body.append(data[at + 8 : at + 8 + size])
+        elif kind == b"PLTE":
+            palette = data[at + 8 : at + 8 + size]
         at += size + 12
-    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, width + 1)
-    if rows[:, 0].any():
-        raise ValueError("a PNG with row filters")
-    return rows[:, 1:]
+    samples = _SAMPLES[colour]
+    length = -(-width * samples * depth // 8)
+    raw = zlib.decompress(b"".join(body))
+    if len(raw) < height * (length + 1):
+        raise ValueError("a PNG that ends too soon")
+    flat = _unfiltered(np.frombuffer(raw, np.uint8)[: height * (length + 1)].reshape(height, length + 1), max(1, samples * depth // 8))
+    if depth == 16:
+        flat = flat[:, ::2]
+    elif depth < 8:
+        bits = np.unpackbits(flat, axis=1)[:, : width * depth].reshape(height, width, depth)
+        flat = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(2).astype(np.uint8)
+        if colour == 0:
+            flat = (flat.astype(int) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+    if colour == 3:
+        return np.frombuffer(palette, np.uint8).reshape(-1, 3)[flat]
+    return flat if samples == 1 else flat.reshape(height, width, samples)
+
+
+def grey(pixels: np.ndarray) -> np.ndarray:
+    """(height, width) of pixels of any kind; colours by their weights for brightness, alpha is left out."""
+    if pixels.ndim == 2:
+        return pixels
+    if pixels.shape[2] < 3:
+        return pixels[:, :, 0]
+    r, g, b = (pixels[:, :, c].astype(int) for c in range(3))
+    return ((r * 19595 + g * 38470 + b * 7471 + 0x8000) >> 16).astype(np.uint8)
 
 
 def blank(pixels: np.ndarray) -> np.ndarray:
@@ -92,6 +154,11 @@ def resize_width(pixels: np.ndarray, width: int) -> np.ndarray:
     return np.clip(np.rint(pixels.astype(float) @ weights.T), 0, 255).astype(np.uint8)
 
 
+def resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Lanczos resampling both ways, rows first; the same size gives the picture itself."""
+    return resize_width(resize_width(pixels, width).T, height).T
+
+
 def mono(samples: np.ndarray) -> np.ndarray:
     """One channel of float32; of two axes the shorter is that of channels, equal ones are refused."""
     samples = np.asarray(samples, np.float32)
@@ -130,15 +197,15 @@ def mel_matrix(rate: int = SAMPLE_RATE, n_fft: int = N_FFT, bands: int = N_MELS)
     return np.maximum(0, np.minimum(up, down)) * (2 / (edges[2:] - edges[:-2]))[:, None]
 
 
-def log_mel(samples: np.ndarray, rate: int = SAMPLE_RATE) -> np.ndarray:
+def log_mel(samples: np.ndarray, rate: int = SAMPLE_RATE, hop: int = HOP) -> np.ndarray:
     """Log-mel values in [0, 1], (bands, frames): power in dB / 10, at most 8 below the largest."""
     if not len(samples):
         raise ValueError("no samples")
     padded = np.pad(samples, N_FFT // 2)
-    frames = np.lib.stride_tricks.sliding_window_view(padded, N_FFT)[::HOP]
+    frames = np.lib.stride_tricks.sliding_window_view(padded, N_FFT)[::hop]
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(N_FFT) / N_FFT)
     power = np.abs(np.fft.rfft(frames * window, axis=1)) ** 2
-    values = np.log10(np.maximum(mel_matrix(rate) @ power.T, 1e-10))[:, : max(1, len(samples) // HOP)]
+    values = np.log10(np.maximum(mel_matrix(rate) @ power.T, 1e-10))[:, : max(1, len(samples) // hop)]
     values = np.maximum(values, values.max() - 8)
     return np.clip(((values + 4) / 4 + 1) / 2, 0, 1)
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,15 +34,48 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get()
 
 
+#: The folder that owns what is stored now, of each thread.
+_OWNER: ContextVar[str | None] = ContextVar("owner", default=None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables that are stored or checkpointed inside go into a folder of their own, which is
+    deleted at the end, also after a failure. What is built from them has to be written inside."""
+    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _OWNER.set(folder)
+    try:
+        yield folder
+    finally:
+        _OWNER.reset(token)
+        _delete(spark, folder)
+
+
+def written(spark: SparkSession, build: Callable[[], DataFrame], path: str, mode: str = "error") -> DataFrame:
+    """The table that `build` makes, written as Parquet and read from there; all that was
+    stored on the way is gone afterwards."""
+    with scratch(spark):
+        out = build()
+        out.write.mode(mode).parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a copy in the shared folder, which outlives lost executors."""
+    if _OWNER.get():
+        return stored(df)
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The table written to the shared folder as compressed Parquet, and read from there."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{_OWNER.get() or shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.functions.tokenizers import Tokenizer, token_count, token_prefix
+
 ANSWER_LETTERS = ("A", "B", "C", "D")
 
 
@@ -23,8 +25,10 @@ def char_prefix(text: Column, n: int) -> Column:
     return F.substring(text, 1, n)
 
 
-def truncate_tokens(text: Column, limit: int | None, tokenizer: str = "char") -> Column:
-    """The text itself if it has no more tokens than the limit; tokenizer: char or whitespace."""
+def truncate_tokens(text: Column, limit: int | None, tokenizer: str | Tokenizer = "char") -> Column:
+    """The text itself if it has no more tokens than the limit; tokenizer: char, whitespace or one of one's own."""
+    if not isinstance(tokenizer, str):
+        return token_prefix(text, tokenizer, limit)
     if limit is None:
         return text
     if limit <= 0:
@@ -34,7 +38,9 @@ def truncate_tokens(text: Column, limit: int | None, tokenizer: str = "char") ->
     return F.when(F.size(words(text)) <= limit, text).otherwise(F.array_join(F.slice(words(text), 1, limit), " "))
 
 
-def token_length(text: Column, tokenizer: str = "char") -> Column:
+def token_length(text: Column, tokenizer: str | Tokenizer = "char") -> Column:
+    if not isinstance(tokenizer, str):
+        return token_count(text, tokenizer)
     return (F.length(text) if tokenizer == "char" else F.size(words(text))).cast("long")
 
 

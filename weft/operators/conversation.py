@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions import text as X
+from weft.functions.tokenizers import Tokenizer
 
 PART = T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())])
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.ArrayType(PART))])
@@ -114,7 +115,7 @@ def choice_rows(df: DataFrame, source: str, split: str, ordinal: Column) -> Data
     return canonical(df, source=source, split=split, instruction=X.question_text(F.col(find_column(df, "question", "query", "prompt")), options), target=answer, identity=row_id(df, ordinal, "id"))
 
 
-def fill_token_length(df: DataFrame, tokenizer: str = "char") -> DataFrame:
+def fill_token_length(df: DataFrame, tokenizer: str | Tokenizer = "char") -> DataFrame:
     """Lengths that are null or -1, from target_text if there is one, else from the first assistant message."""
     parts = F.get(F.filter("messages", lambda m: m["role"] == "assistant"), 0)["content"]
     first = F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"]), "")

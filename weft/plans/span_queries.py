@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions import text as X
+from weft.functions.tokenizers import FileTokenizer
+from weft.operators import fit as T
 from weft.operators import intervals as I
 from weft.operators import packing as K
 from weft.operators import pairing as P
 from weft.operators import quantiles as Q
+from weft.operators.layout import Page
 from weft.plans.registry import query, table
 
 _PIECES = """pieces as (select doc_id, unnest(p) as piece, generate_subscripts(p, 1) - 1 as token_idx from (select doc_id, regexp_extract_all(text, '[ \\n]*[^ \\n]+|[ \\n]+') as p from documents)),
@@ -97,3 +101,58 @@ def sequential_packing(spark, sf_dir):
     """All documents in one order into sequences of 4096, one after the other."""
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.floor(F.length("text") / 4) + 1).alias("length"))
     return K.sequential_pack(docs, "length", 4096, "doc_id").select("doc_id", "pack", "segment", "start")
+
+
+_TALL = """with p as (select doc_id, unnest(string_split(text, chr(10))) as p from documents),
+w as (select doc_id, list_prepend({'n': 1, 'used': 0, 'top': 0}, list_transform(string_split(p, ' '), lambda x: {'n': 0, 'used': length(x), 'top': 0})) as w from p),
+r as (select doc_id, list_reduce(w, lambda a, b: case when a.used = 0 then {'n': a.n, 'used': b.used, 'top': greatest(a.top, b.used)} when b.used = 0 and a.used <= 123 then a
+  when a.used + sign(b.used) + b.used > 123 then {'n': a.n + 1, 'used': b.used, 'top': greatest(a.top, b.used)} else {'n': a.n, 'used': a.used + 1 + b.used, 'top': greatest(a.top, a.used + 1 + b.used)} end) as r from w)
+select doc_id, cast(sum(r.n) as integer) as lines, cast(greatest(40 + sum(r.n) * 17, 64) as integer) as height, cast(max(r.top) as integer) as longest from r group by doc_id"""
+
+
+@query(_TALL)
+def tall_pages(spark, sf_dir):
+    """Every document on one page as high as it needs."""
+    return T.tall_pages(table(spark, sf_dir, "documents"), "doc_id", "text", Page())
+
+
+@query(None)
+def page_fit(spark, sf_dir):
+    """What of every document fits one and three pages, from one index."""
+    index = T.wrap_index(table(spark, sf_dir, "documents"), "doc_id", "text", Page(), 3)
+    one = T.fitting(index, Page(), 1).withColumnsRenamed({c: f"one_{c}" for c in ("lines_fit", "chars_fit", "all_fits")})
+    return T.fitting(one, Page(), 3).drop("starts", "ends", "lengths", "whole")
+
+
+@query(None)
+def bpe_lengths(spark, sf_dir):
+    """Tokens of every document by a public byte-level tokenizer, and of its first 64 tokens' text."""
+    import public_tokenizers
+
+    bpe = FileTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", X.token_length(F.col("text"), bpe).alias("n_tokens"), F.md5(X.truncate_tokens(F.col("text"), 64, bpe)).alias("prefix_md5"))
+
+
+@query(None)
+def page_fidelity(spark, sf_dir):
+    """How near the sound that comes back from each row's page is to the one it was drawn from."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        from weft.functions import media, sound
+
+        for pdf in batches:
+            rows = []
+            for key, v in zip(pdf["vec_id"], pdf["embedding"], strict=True):
+                if v is None or not len(v):
+                    continue
+                signal = np.tile(np.asarray(v, np.float32), -(-8000 // len(v)))[:8000]
+                page = media.log_mel_pages(signal, 0.5)[0]
+                back = sound.sound_of_page(page, 0.5, rounds=16)
+                again = media.log_mel_pages(back.astype(np.float32), 0.5)[0]
+                rows.append((key, *(media.fidelity(media.from_pixels(page), media.from_pixels(again))[c] for c in ("mse", "corr")), sound.round_trip(page, 160, 100)["rmse_over_sd"]))
+            yield pd.DataFrame(rows, columns=["vec_id", "mse", "corr", "resize_loss"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, mse double, corr double, resize_loss double")
