@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.determinism import with_ordinal
+from weft.functions.storage import small
 
 
 def group_donor(df: DataFrame, group: str, key: str) -> DataFrame:
-    """The next row of the same group, the first for the last; null for a group of one."""
-    order = Window.partitionBy(group).orderBy(key)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    donor = F.coalesce(F.lead(key).over(order), F.first(key).over(whole))
-    return df.withColumn("donor", F.when(F.count("*").over(Window.partitionBy(group)) > 1, donor))
+    """The next row of the same group, the first for the last; null for a group of one.
+
+    Rows are numbered over ranges of each group and joined by number, so no task sorts a whole group."""
+    numbered = with_ordinal(df, key, by=[group], name="__at")
+    sizes = numbered.groupBy(F.col(group).alias("__s")).agg(F.count("*").alias("__n"))
+    sized = numbered.join(small(sizes), F.col(group).eqNullSafe(F.col("__s"))).drop("__s")
+    after = sized.where(F.col("__n") > 1).select(F.col(group).alias("__g"), F.pmod(F.col("__at") - 1, F.col("__n")).alias("__before"), F.col(key).alias("donor"))
+    return sized.join(after, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__at") == F.col("__before")), "left").select(*df.columns, "donor")
 
 
 def cyclic_donor(df: DataFrame, key: str) -> DataFrame:

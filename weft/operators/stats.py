@@ -307,6 +307,6 @@ def gap_weights(scores: DataFrame, batch: list[str], beta: float, valid: Column)
     return scores.withColumn("__w", raw).withColumn("weight", rounded(F.coalesce(F.try_divide(F.col("__w"), mean), F.lit(0.0)))).drop("__w")
 
 
-def ci_decision(low: Column, high: Column, bar: float) -> Column:
+def ci_decision(low: Column, high: Column, bar: float | Column) -> Column:
     """PASS or FAIL only if the whole interval is on one side of the bar."""
     return F.when(low.isNull() | high.isNull(), "UNDECIDABLE").when(low >= bar, "PASS").when(high < bar, "FAIL").otherwise("UNDECIDABLE")
