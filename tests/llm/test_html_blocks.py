@@ -85,3 +85,37 @@ def test_long_and_repeated_pages(spark):
     df = spark.createDataFrame([(1, "u", long), (1, "u", long), (2, None, None)], "page_id long, url string, html string")
     got = sorted((r.page_id, r.n_chars) for r in html_extract.extract(df).collect())
     assert got == [(1, 999_999), (1, 999_999), (2, 0)]
+
+
+TEXT = "A first sentence of some length that nobody would take for a menu. And then a second one follows it."
+
+
+def test_wrappers_named_like_chrome_are_none():
+    tree = html_extract.train()
+    menu = "<nav><ul><li><a href=1>Home</a></li><li><a href=2>About us</a></li></ul></nav>"
+    page = f"{menu}<article><p>{TEXT}</p><p>{TEXT}</p></article><footer><p>All rights reserved by nobody at all</p></footer>"
+    for before, after in (("<div class='overflow-hidden'>", "</div>"), ("<div class=post-with-comments>", "</div>"), ("<div class='ad-free legal-news'>", "</div>"), ("<form id=aspnetForm action=x><div>", "</div></form>"), ("<body class=modal><div class=overlay><div>", "</div></div>")):
+        assert html_extract.main_text(before + page + after, tree) == f"{TEXT}\n{TEXT}", before
+        plain_page = f"{menu}<div><p>{TEXT}</p><p>{TEXT}</p></div>"
+        assert html_extract.main_text(before + plain_page + after, tree) == f"{TEXT}\n{TEXT}", before
+    inner = f"<div class=overflow-hidden><article><p>{TEXT}</p></article></div><section class=comments>" + f"<article><p>{TEXT} I think.</p></article>" * 5 + "</section>"
+    assert html_extract.main_text(inner, tree) == TEXT  # many comments are no wrapper
+    hidden = f"<article><p>{TEXT}</p></article><div hidden><p>{TEXT} {TEXT} {TEXT} {TEXT}</p></div>"
+    assert html_extract.main_text(hidden, tree) == TEXT
+
+
+def test_paragraphs_named_like_chrome_go():
+    tree = html_extract.train()
+    page = f"<article><h1>On something</h1><p class='advertisement'>{TEXT}</p><p class=lead>{TEXT}</p><p id=newsletter-signup>{TEXT}</p><p>{TEXT}</p></article>"
+    assert html_extract.main_text(page, tree).split("\n")[-2:] == [TEXT, TEXT]
+    assert html_extract.main_text(page, tree).count(TEXT) == 2
+
+
+def test_bad_markup_takes_linear_time():
+    import time
+
+    tree = html_extract.train()
+    for page in ("<div>" * 20_000 + "</span></i></section>" * 20_000 + f"<p>{TEXT}", "<div><p>" * 20_000 + "</section>" * 20_000 + f"{TEXT}", "<body><head>" * 5000 + "</head>" * 5000 + f"<p>{TEXT}"):
+        began = time.time()
+        html_extract.main_text(page, tree)
+        assert time.time() - began < 3

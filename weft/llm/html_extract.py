@@ -6,7 +6,8 @@ holds it. A decision tree, trained on the small labelled table in
 `html_labelled.py`, tells article blocks from the rest: by words and link densities
 where containers say nothing or hold lists of links, by the container where it says more.
 A class or id that names a layout (`has-sidebar`) says nothing about what is inside an
-article or main element.
+article or main element, and one that names chrome (or a form) nothing about a page that it
+wraps. A paragraph or heading has a name of its own.
 
 Defined results: null or empty html gives an empty text; cut-off or badly nested
 markup is read as far as it goes; pages without blocks give an empty text; rows
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -83,19 +85,40 @@ class Block:
 
 @dataclass
 class _Open:
+    """An element of the page: what it says of itself, and what stands under it."""
+
     name: str
-    chrome: bool
-    layout: bool  # chrome by names of the layout alone
-    core: bool
+    parent: _Open | None
     unseen: bool
     keep: bool
+    hidden: bool = False  # by its tag, role or style, whatever it holds
+    named: bool = False  # chrome by names of other things than the layout, or a form
+    layout: bool = False  # chrome by names of the layout alone
+    core: bool = False  # an article or main, or its role
+    whole: bool = False  # a main
+    other: bool = False  # an article named like chrome
+    near_core: bool = False  # that, or named like one, here or above
+    words: int = 0
+    wraps: bool = False  # it holds the page's article
+    chrome: bool = False
+    in_layout: bool = False
 
 
 @dataclass
 class _State:
     stack: list[_Open] = field(default_factory=list)
+    open_names: Counter = field(default_factory=Counter)
+    nodes: list[_Open] = field(default_factory=list)
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
+    own: bool = False  # the paragraph or heading is named like chrome
+
+
+#: A container named like chrome is none if it holds the page's article or, where no element says
+#: what that is, so much of the page's words.
+WRAPPER = 2 / 3
+#: The first article that has so much of the words of the longest is the page's.
+ARTICLE = 1 / 2
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -105,32 +128,60 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
+def _hints(attrs: dict[str, str]) -> set[str]:
+    named = [[x.lower() for x in _HINT.findall(c)] for c in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()]
+    return {x for words in named if words and words[0] not in ELSEWHERE for x in words}
+
+
+def _unseen_by_style(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN_STYLE.search(attrs.get("style", "")))
+
+
 def _container(name: str, source: str, parent: _Open) -> _Open:
     attrs = _attributes(source) if source.strip(" /\n\t") else {}
-    named = [[x.lower() for x in _HINT.findall(c)] for c in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()]
-    hints = {x for words in named if words and words[0] not in ELSEWHERE for x in words}
-    role = attrs.get("role", "").lower()
-    own_core = name in CORE_TAGS or role in ("main", "article")
-    named_chrome = hints & CHROME_HINTS if name not in ("html", "body", "article", "main") else set()
-    chrome = name in CHROME_TAGS or role in CHROME_ROLES or (name == "header" and not parent.core) or bool(named_chrome - LAYOUT_HINTS)
-    chrome |= "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN_STYLE.search(attrs.get("style", "")))
-    layout = bool(named_chrome) or (parent.layout and not own_core)
-    return _Open(name, parent.chrome or chrome, layout, parent.core or own_core or bool(hints & CORE_HINTS), parent.unseen or name in UNSEEN, parent.keep if "data-drop" not in attrs and "data-keep" not in attrs else "data-keep" in attrs)
+    hints, role = _hints(attrs), attrs.get("role", "").lower()
+    core = name in CORE_TAGS or role in ("main", "article")
+    named = hints & CHROME_HINTS if name not in ("html", "body", "article", "main") else set()
+    hidden = (name in CHROME_TAGS and name != "form") or role in CHROME_ROLES - {"form"} or (name == "header" and not parent.near_core) or _unseen_by_style(attrs)
+    marked = parent.keep if "data-drop" not in attrs and "data-keep" not in attrs else "data-keep" in attrs
+    out = _Open(name, parent, parent.unseen or name in UNSEEN, marked, hidden, bool(named - LAYOUT_HINTS) or name == "form" or role == "form", bool(named), core)
+    out.near_core = parent.near_core or core or bool(hints & CORE_HINTS)
+    out.whole, out.other = name == "main" or role == "main", bool(hints & CHROME_HINTS)
+    return out
+
+
+def _decide(nodes: list[_Open], words: int) -> None:
+    """Which elements are chrome: those that say so, and what stands in them, but for wrappers of the page."""
+    for x in reversed(nodes):
+        x.parent.words += x.words
+    for x in nodes:  # hidden is what stands in a hidden element
+        x.hidden |= x.parent.hidden
+    articles = [x for x in nodes if x.core and x.words and not x.hidden and not x.other]
+    most = max((x.words for x in articles), default=0)
+    article = next((x for x in articles if x.whole), None) or next((x for x in articles if x.words >= ARTICLE * most), None)
+    x = article
+    while x:
+        x.wraps, x = True, x.parent
+    for x in nodes:
+        wrapper = x.wraps if article else x.words > WRAPPER * words
+        x.chrome = x.parent.chrome or x.hidden or (x.named and not wrapper)
+        x.in_layout = (x.layout and not wrapper) or (x.parent.in_layout and not x.core)
 
 
 def blocks(page: str | None) -> list[Block]:
     """The flat text blocks of a page, in page order."""
     page = page or ""
-    root = _Open("", False, False, False, False, False)
+    root = _Open("", None, False, False)
     state, out, at, in_link, heading = _State(), [], 0, 0, False
 
     def flush() -> None:
         words = "".join(state.pieces).split()
         if words:
             top = state.stack[-1] if state.stack else root
-            out.append(Block(" ".join(words), len(words), min(1.0, state.linked / len(words)), top.chrome or top.layout, top.core, heading, top.keep))
+            top.words += len(words)
+            out.append((Block(" ".join(words), len(words), min(1.0, state.linked / len(words)), state.own, top.near_core, heading, top.keep), top))
         state.pieces.clear()
-        state.linked = 0
+        state.linked, state.own = 0, False
 
     def text(piece: str) -> None:
         if piece and not (state.stack and state.stack[-1].unseen):
@@ -150,6 +201,7 @@ def blocks(page: str | None) -> list[Block]:
         if not name:
             continue
         closing, source = bool(tag["close"] or tag["close2"]), tag["attrs"] if tag["name"] else tag["attrs2"]
+        title = len(name) == 2 and name[0] == "h" and name[1] in "123456"
         if name == "br":
             state.pieces.append(" ")
         elif name == "a":
@@ -157,24 +209,34 @@ def blocks(page: str | None) -> list[Block]:
         if name in BLOCK or name in UNSEEN or name in RAW:
             flush()
             in_link = in_link if name in ("p",) else 0
-            heading = not closing and len(name) == 2 and name[0] == "h" and name[1] in "123456"
+            heading = not closing and title
+            if not closing and (title or name == "p") and source and "=" in source:
+                attrs = _attributes(source)
+                state.own = bool(_hints(attrs) & CHROME_HINTS) or _unseen_by_style(attrs)
         if name in RAW and not closing:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else len(page)
         elif name in VOID or name in RAW or name == "p":
             continue
         elif closing:
-            for k in range(len(state.stack) - 1, -1, -1):
-                if state.stack[k].name == name:
-                    del state.stack[k:]
+            while state.open_names[name]:  # else it closes nothing
+                last = state.stack.pop()
+                state.open_names[last.name] -= 1
+                if last.name == name:
                     break
-        elif (name in BLOCK or name in UNSEEN) and not (len(name) == 2 and name[0] == "h"):
-            if name == "body":
+        elif (name in BLOCK or name in UNSEEN) and not title:
+            if name == "body" and state.open_names["head"]:
                 state.stack = [x for x in state.stack if x.name != "head"]
+                state.open_names["head"] = 0
             parent = state.stack[-1] if state.stack else root
             state.stack.append(_container(name, source or "", parent))
+            state.open_names[name] += 1
+            state.nodes.append(state.stack[-1])
     flush()
-    return out
+    _decide(state.nodes, sum(b.words for b, _ in out))
+    for block, top in out:
+        block.chrome |= top.chrome or top.in_layout
+    return [block for block, _ in out]
 
 
 def features(found: list[Block]) -> np.ndarray:
