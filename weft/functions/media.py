@@ -141,6 +141,21 @@ def patches(pixels: np.ndarray, side: int, merge: int = 1) -> np.ndarray:
     return pixels[:h, :w].reshape(h // side, side, w // side, side).swapaxes(1, 2).reshape(-1, side * side)
 
 
+def occupancy(pixels: np.ndarray, side: int, page_ms: float, sound_ms: float) -> dict[str, float]:
+    """How much of a page without blank paper is used, by cells of side x side pixels.
+
+    active: cells darker in the mean than the page's silence (the first percentile of darkness) by
+    0.02, 0.05 and 0.10; structured: cells that vary by more than one level; over_sound: cells whose
+    time overlaps the part of the page that is no padding."""
+    cells = patches(1 - pixels.astype(float) / 255, side)
+    across = pixels.shape[1] // side
+    floor = float(np.percentile(1 - pixels.astype(float) / 255, 1))
+    mean, spread = cells.mean(1), cells.std(1)
+    heard = min(across, int(np.ceil(sound_ms / (page_ms / across)))) if sound_ms > 0 else 0
+    over = (np.arange(len(cells)) % across < heard).mean()
+    return {"cells": len(cells), "floor": floor, **{f"active_{m}": float((mean > floor + m / 100).mean()) for m in (2, 5, 10)}, "structured": float((spread > 1 / 255).mean()), "over_sound": float(over)}
+
+
 def resize_width(pixels: np.ndarray, width: int) -> np.ndarray:
     """Lanczos resampling (window 3) along rows; the same width gives the picture itself."""
     old = pixels.shape[1]

@@ -35,10 +35,15 @@ def verified_pairs(a: DataFrame, b: DataFrame, ordinal: str, text: str, prefix:
     return joined.select(ordinal, same.alias("same"))
 
 
-def merge_placeholders(parts: Column, images: Column) -> Column:
-    """Parts (struct<type, text>) with the k-th image in the k-th image part."""
+def merge_placeholders(parts: Column, images: Column, strict: bool = False) -> Column:
+    """Parts (struct<type, text>) with the k-th image in the k-th image part. Where their numbers
+    differ the rest is null, or, if `strict`, the job fails."""
     number = lambda k: F.size(F.filter(F.slice(parts, 1, k + 1), lambda p: p["type"] == "image"))
-    return F.transform(parts, lambda p, k: F.struct(p["type"].alias("type"), p["text"].alias("text"), F.when(p["type"] == "image", F.get(images, number(k) - 1)).alias("image")))
+    merged = F.transform(parts, lambda p, k: F.struct(p["type"].alias("type"), p["text"].alias("text"), F.when(p["type"] == "image", F.get(images, number(k) - 1)).alias("image")))
+    if not strict:
+        return merged
+    places, given = F.size(F.filter(parts, lambda p: p["type"] == "image")), F.coalesce(F.size(images), F.lit(0))
+    return F.when(places == given, merged).otherwise(F.raise_error(F.concat(places.cast("string"), F.lit(" image parts for "), given.cast("string"), F.lit(" images"))))
 
 
 def word_spans(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -12,6 +12,7 @@ from weft.operators import intervals as I
 from weft.operators import packing as K
 from weft.operators import pairing as P
 from weft.operators import quantiles as Q
+from weft.operators import sequences as Z
 from weft.operators.layout import Page
 from weft.plans.registry import query, table
 
@@ -156,3 +157,41 @@ def page_fidelity(spark, sf_dir):
             yield pd.DataFrame(rows, columns=["vec_id", "mse", "corr", "resize_loss"])
 
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, mse double, corr double, resize_loss double")
+
+
+@query(
+    """with s as (select pack, list(n order by segment) as segments, sum(n) as used from (with recursive l as (select row_number() over (order by doc_id) as k, doc_id, length(text) // 4 + 1 as n from documents where length(text) // 4 + 1 <= 4096),
+p as (select k, n, 0::bigint as pack, 0::bigint as segment, 0::bigint as start from l where k = 1
+  union all select l.k, l.n, case when start + p.n + l.n > 4096 then pack + 1 else pack end, case when start + p.n + l.n > 4096 then 0 else segment + 1 end, case when start + p.n + l.n > 4096 then 0 else start + p.n end from p join l on l.k = p.k + 1) select * from p) group by pack)
+select pack, len(segments) as segments, cast(used as bigint) as used, cast(list_sum(list_transform(segments, lambda n: n * (n - 1) // 2)) as bigint) as position_sum from s"""
+)
+def packed_positions(spark, sf_dir):
+    """Position ids of every pack, from 0 in each of its segments."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.floor(F.length("text") / 4) + 1).alias("length"))
+    packs = Z.packed_segments(K.sequential_pack(docs, "length", 4096, "doc_id"), "length")
+    total = F.aggregate(Z.position_ids(F.col("segments"), 4096), F.lit(0).cast("long"), lambda a, x: a + x)
+    return packs.select("pack", F.size("segments").alias("segments"), "used", total.alias("position_sum"))
+
+
+@query(
+    """with d as (select lang, length(text) * 60.0 as ms from documents where length(text) > 0), p as (select lang, ms / (ceil(ms / 10000) * 10000) as share from d)
+select lang, count(*) as n, round(avg(share), 6) as mean, round(stddev_samp(share), 6) as sd, round(min(share), 6) as low, round(max(share), 6) as high, round(median(share), 6) as median from p group by lang"""
+)
+def time_coverage(spark, sf_dir):
+    """Share of their pages' time that documents take if read at 60 ms a character."""
+    ms = F.length("text") * 60.0
+    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    found = Z.time_coverage(docs, ["lang"], ms, F.ceil(ms / 10000), 10000.0)
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "sd", "low", "high", "median")})
+
+
+@query(None)
+def labelled_ids(spark, sf_dir):
+    """Ids and labels of every conversation: what its assistant says is learned."""
+    import public_tokenizers
+
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    part = lambda t: F.array(F.struct(F.lit("text").alias("type"), t["text"].alias("text")))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t")).select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), part(t).alias("content"))).alias("messages"))
+    made = Z.labelled_ids(rows, FileTokenizer(public_tokenizers.path("byte_bpe_50k.json")), 0)
+    return made.select("conv_id", F.size("input_ids").alias("n_ids"), "learned", F.md5(F.array_join("labels", ",")).alias("labels_md5"))
