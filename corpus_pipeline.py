@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet in the cluster's shared folder and read again as the next stage's docs. All but
 the last return the columns of documents.
+
+Defined results: null texts stay null through all stages and are packed as the end id alone;
+empty texts and texts without words stay; rows that repeat are kept or left out together, line
+dedup takes them for one document; rows with a null id are kept by the Jaccard join, and come
+before all others in line dedup; of texts that tie the smallest id stays; other columns, whatever
+their names, pass unchanged up to packing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
