@@ -25,9 +25,9 @@ def uniform(*parts: Column) -> Column:
 def _numbered(df: DataFrame, bucket: str, keys: list[str], name: str, by: list[str]) -> DataFrame:
     """Ordinals from the rows before each bucket and the place in it; the bucket is a column of
     the row, so both counts see the same buckets whatever the plan."""
-    sizes = df.groupBy(*by, bucket).agg(F.count("*").alias("__n"))
+    sizes = df.groupBy(*by, bucket).agg(F.count("*").alias("__rows_in"))
     before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)  # one row for each bucket
-    starts = sizes.select(*by, bucket, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    starts = sizes.select(*by, bucket, F.coalesce(F.sum("__rows_in").over(before), F.lit(0)).alias("__start"))
     starts = starts.toDF(*(f"__s{k}" for k in range(len(by) + 1)), "__start")
     same = F.lit(True)
     for k, c in enumerate([*by, bucket]):

@@ -13,11 +13,11 @@ def group_donor(df: DataFrame, group: str, key: str) -> DataFrame:
     """The next row of the same group, the first for the last; null for a group of one.
 
     Rows are numbered over ranges of each group and joined by number, so no task sorts a whole group."""
-    numbered = with_ordinal(df, key, by=[group], name="__at")
-    sizes = numbered.groupBy(F.col(group).alias("__s")).agg(F.count("*").alias("__n"))
-    sized = numbered.join(small(sizes), F.col(group).eqNullSafe(F.col("__s"))).drop("__s")
-    after = sized.where(F.col("__n") > 1).select(F.col(group).alias("__g"), F.pmod(F.col("__at") - 1, F.col("__n")).alias("__before"), F.col(key).alias("donor"))
-    return sized.join(after, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__at") == F.col("__before")), "left").select(*df.columns, "donor")
+    numbered = with_ordinal(df, key, by=[group], name="__donor_at")
+    sizes = numbered.groupBy(F.col(group).alias("__donor_s")).agg(F.count("*").alias("__donor_n"))
+    sized = numbered.join(small(sizes), F.col(group).eqNullSafe(F.col("__donor_s"))).drop("__donor_s")
+    after = sized.where(F.col("__donor_n") > 1).select(F.col(group).alias("__donor_g"), F.pmod(F.col("__donor_at") - 1, F.col("__donor_n")).alias("__donor_before"), F.col(key).alias("__donor"))
+    return sized.join(after, F.col(group).eqNullSafe(F.col("__donor_g")) & (F.col("__donor_at") == F.col("__donor_before")), "left").select(*df.columns, F.col("__donor").alias("donor"))
 
 
 def cyclic_donor(df: DataFrame, key: str) -> DataFrame:
