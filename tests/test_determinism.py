@@ -39,3 +39,13 @@ def test_null_groups_and_ties(spark):
     got = sorted((r.g or "", r.ordinal) for r in with_ordinal(df, "k", by=["g"]).collect())
     assert got == [("", 0), ("", 1), ("a", 0), ("a", 1), ("a", 2)]
     assert with_ordinal(df.limit(0), "k").count() == 0 and shuffled(df.limit(0), 1, "k", by=["g"]).count() == 0
+
+
+def test_below_is_uniform_below(spark):
+    from weft.functions.determinism import below, uniform
+
+    df = spark.range(3000)
+    for rate in (0.0, 1e-12, 0.1, 0.3, 0.5, 1 - 1e-12, 1.0):
+        assert df.where(below(rate, F.lit(3), F.col("id")) != (uniform(F.lit(3), F.col("id")) < rate)).count() == 0
+    exact = df.select(uniform(F.lit(3), F.col("id")).alias("u")).first().u
+    assert df.where("id = 0").where(below(exact, F.lit(3), F.col("id"))).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +18,19 @@ def order_key(seed: int, *keys: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys)).cast("binary"))
 
 
+def _digest(*parts: Column) -> Column:
+    return F.md5(F.concat_ws("|", *(p.cast("string") for p in parts)).cast("binary"))
+
+
+def below(rate: float, *parts: Column) -> Column:
+    """uniform(...) < rate, told from the digits without making the number."""
+    bound = math.ceil(rate * 4294967296.0)
+    return F.lit(rate > 0) if not 0 < bound < 1 << 32 else _digest(*parts) < f"{bound:08x}"
+
+
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the first 32 bits of an md5."""
-    digest = F.md5(F.concat_ws("|", *(p.cast("string") for p in parts)).cast("binary"))
+    digest = _digest(*parts)
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 

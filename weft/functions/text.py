@@ -216,9 +216,9 @@ def fixed_frames(frames: Column, k: int) -> Column:
 
 def poisoned(text: Column, rate: float, *key: Column) -> tuple[Column, Column]:
     """The text with each letter replaced at this rate by a keyed letter a to z, and the places of those."""
-    from weft.functions.determinism import uniform
+    from weft.functions.determinism import below, uniform
 
-    hit = lambda c, k: c.rlike(r"^\p{L}$") & (uniform(*key, k + 1) < rate)
+    hit = lambda c, k: c.rlike(r"^\p{L}$") & below(rate, *key, k + 1)
     # one array for both results, in linear time, so that each letter is hashed once
     chars = F.transform(F.split(F.coalesce(text, F.lit("")), ""), lambda c, k: F.struct(c.alias("c"), (k + 1).alias("k"), hit(c, k).alias("hit")))
     letter = lambda x: F.chr((F.lit(97) + F.floor(uniform(*key, F.lit("letter"), x["k"]) * 26)).cast("long"))
