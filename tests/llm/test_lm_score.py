@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from weft.llm import lm_score
-from weft.llm._common import table
+from weft.llm._common import stored, table
 
 
 def tokens(text):
@@ -66,7 +66,7 @@ def test_probabilities_sum_to_one(spark):
 def test_seating():
     rng = np.random.default_rng(0)
     customers = np.array([0, 1, 2, 50, 100_000])
-    t = np.mean([lm_score.seat(customers, np.full(5, 0.5), 0.5, rng) for _ in range(300)], 0)
+    t = np.mean([lm_score.seat(customers, np.full(5, 0.5), 0.5, rng.integers(1 << 63, size=5, dtype=np.uint64)) for _ in range(300)], 0)
     assert t[0] == 0 and t[1] == 1 and abs(t[2] - 1.5) < 0.1 and 1 < t[3] < 50 and t[3] < t[4] < 1000
 
 
@@ -120,5 +120,29 @@ def test_seating_against_the_whole_distribution():
     third = [(w + v * t) / (2 - d * t + w + v * t) for t in (1, 2)]
     mean = (1 - second) * (1 + third[0]) + second * (2 + third[1])
     rng = np.random.default_rng(3)
-    t = lm_score.seat(np.full(200_000, 3), np.full(200_000, w), d, rng, np.full(200_000, v))
+    t = lm_score.seat(np.full(200_000, 3), np.full(200_000, w), d, rng.integers(1 << 63, size=200_000, dtype=np.uint64), np.full(200_000, v))
     assert abs(t.mean() - mean) < 0.01
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n, order in ((4, "doc_id"), (9, "text")):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            rows = stored(documents.orderBy(order))
+            got.append({r.doc_id: r.score for r in lm_score.score(rows, contexts=500).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0].keys() == got[1].keys()
+    assert max(abs(got[0][d] - got[1][d]) for d in got[0]) < 1e-6
+
+
+def test_binomial_draws():
+    rng = np.random.default_rng(6)
+    keys = rng.integers(1 << 63, size=100_000, dtype=np.uint64)
+    for n, p in ((8, 0.01), (8, 0.5), (60, 0.97), (1000, 0.02), (5000, 0.3), (40, 0.0), (40, 1.0)):
+        k = lm_score._binomial(np.full(len(keys), n), np.full(len(keys), p), lm_score._uniform(keys, 1), lm_score._uniform(keys, 2))
+        assert k.min() >= 0 and k.max() <= n
+        spread = math.sqrt(n * p * (1 - p))
+        assert abs(k.mean() - n * p) <= 5 * spread / math.sqrt(len(k)) + 1e-9 and abs(k.std() - spread) <= 0.02 * spread + 1e-9

@@ -18,8 +18,9 @@ tokens or more, so CONTEXTS at most) are dealt by word and context; their place
 parent is kept on the driver. After each sweep a bucket sends the tables and customers of
 its contexts to parts by the context's hash, which add them up and answer each bucket for
 its own contexts; so no task and no driver holds all contexts. Sweeps are replayed from
-the stored buckets and totals with seeded random numbers, so no state is kept in workers
-and a lost one costs its bucket's work only. In the end each bucket answers each batch
+the stored buckets and totals with random numbers drawn by cell and word, so no state is kept
+in workers, a lost one costs its bucket's work only, and scores are the same for any number
+of partitions and any order of the rows. In the end each bucket answers each batch
 with the probabilities of its cells (float32) and the counts of its words; batches read
 their texts again and add up. What is sent grows with the number of distinct cells of the
 batches, and each sweep with the distinct contexts of the buckets. Contexts are told apart
@@ -280,12 +281,39 @@ class Sums:
         return np.maximum(customers - self.root_discount * tables, 0) / (ROOT_STRENGTH + self.root_customers) + self.root_new
 
 
-def seat(customers: np.ndarray, new_table: np.ndarray, discount: float, rng: np.random.Generator, per_table: np.ndarray | None = None) -> np.ndarray:
+def _draw_keys(hashes: np.ndarray, seed: int, sweep: int) -> np.ndarray:
+    """What the random numbers of each cell or word are drawn by: the same in every bucket and order."""
+    with np.errstate(over="ignore"):
+        return mix(hashes + np.uint64(mix(np.array([seed * 1_000_003 + sweep], np.uint64))[0]))
+
+
+def _uniform(keys: np.ndarray, number: int) -> np.ndarray:
+    """The number-th random number of each key, above 0 and below 1."""
+    with np.errstate(over="ignore"):
+        return ((mix(keys + np.uint64(number) * _STEP) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def _binomial(trials: np.ndarray, p: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Successes by the inverted distribution at u; the normal one of u and v from a mean of 50 on."""
+    q = np.minimum(p, 1 - p)
+    mean = trials * q
+    normal = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v) * np.sqrt(mean * (1 - q)) + mean
+    few = mean < 50
+    odds, term = q / (1 - q), np.where(few, (1 - q) ** np.where(few, trials, 0), 1)
+    total, out, k = term.copy(), np.zeros(len(q)), 0
+    while (above := few & (u > total) & (out < trials)).any() and k < 400:
+        term = term * np.maximum(trials - k, 0) / (k + 1) * odds
+        total, out, k = total + term, out + above, k + 1
+    out = np.where(few, out, np.clip(np.rint(normal), 0, trials))
+    return np.where(p > 0.5, trials - out, out)
+
+
+def seat(customers: np.ndarray, new_table: np.ndarray, discount: float, keys: np.ndarray, per_table: np.ndarray | None = None) -> np.ndarray:
     """Tables of each dish after its customers came one by one; new_table: the weight of an
     empty table while the dish has none, per_table: what each of its tables adds to that.
-    From 64 customers on, an eighth of those present comes at a time."""
+    From 64 customers on, an eighth of those present comes at a time. keys: of each dish's draws."""
     order = np.argsort(-customers, kind="stable")
-    c, w = customers[order], new_table[order]
+    c, w, drawn = customers[order], new_table[order], keys[order]
     more = np.zeros(len(c)) if per_table is None else per_table[order]
     t = np.minimum(c, 1).astype(float)
     present = 1
@@ -294,7 +322,8 @@ def seat(customers: np.ndarray, new_table: np.ndarray, discount: float, rng: np.
         group = np.minimum(come, c[:active] - present)
         weight = w[:active] + more[:active] * t[:active]
         p = weight / (present - discount * t[:active] + weight)
-        t[:active] += rng.random(active) < p if come == 1 else rng.binomial(group, np.clip(p, 0, 1))
+        u = _uniform(drawn[:active], 2 * present)
+        t[:active] += u < p if come == 1 else _binomial(group, np.clip(p, 0, 1), u, _uniform(drawn[:active], 2 * present + 1))
         present += come
     out = np.empty(len(t))
     out[order] = t
@@ -321,7 +350,7 @@ class Bucket:
         self.cell_word, self.cell_context = self.cell_key // self.base, self.cell_key % self.base
         self.often = _place(self.frequent, self.words)
 
-    def sweep(self, number: int, rng: np.random.Generator, past: list[Sums]) -> None:
+    def sweep(self, number: int, seed: int, past: list[Sums]) -> None:
         """states: tables of cells, customers and tables in the parent of each word.
 
         A dish leaves its restaurant with all its tables, in the parent too, before it comes back."""
@@ -336,11 +365,13 @@ class Bucket:
         above_tables = np.minimum(np.where(rare, root_tables, last.frequent_tables[at])[self.cell_word], above)
         p = last.root(above, above_tables)
         others = self.child_tables[number - 1][self.cell_context] - own
-        tables = seat(self.cell_count, (CHILD_STRENGTH + last.child_discount * others) * p, last.child_discount, rng, last.child_discount * p)
+        with np.errstate(over="ignore"):
+            cells = _draw_keys(mix(self.words)[self.cell_word] + self.contexts[self.cell_context] * _STEP, seed, number)
+        tables = seat(self.cell_count, (CHILD_STRENGTH + last.child_discount * others) * p, last.child_discount, cells, last.child_discount * p)
         customers = np.bincount(self.cell_word, weights=tables, minlength=len(self.words))
         unit = 1 / (last.words + 1)
         weight = (ROOT_STRENGTH + last.root_discount * (last.root_tables - root_tables)) * unit
-        self.states.append((tables, customers, seat(customers.astype(np.int64), weight, last.root_discount, rng, np.full(len(weight), last.root_discount * unit))))
+        self.states.append((tables, customers, seat(customers.astype(np.int64), weight, last.root_discount, _draw_keys(self.words, seed, number), np.full(len(weight), last.root_discount * unit))))
 
     def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and two numbers each for the driver."""
@@ -440,7 +471,7 @@ def _sums(rows: list, frequent: np.ndarray, sweep: int, past: list[Sums], seed:
         discounts = last.child_discount, last.root_discount
         unit = 1 / (last.words + 1)
         weight = (ROOT_STRENGTH + last.root_discount * (last.root_tables - last.frequent_tables)) * unit
-        tables = seat(customers.astype(np.int64), weight, last.root_discount, np.random.default_rng([seed, sweep]), np.full(len(weight), last.root_discount * unit))
+        tables = seat(customers.astype(np.int64), weight, last.root_discount, _draw_keys(frequent, seed, sweep), np.full(len(weight), last.root_discount * unit))
     return Sums(customers, often[:, 1], tables, float(rare_customers + customers.sum()), float(rare_tables + tables.sum()), int(tokens), words, *discounts)
 
 
@@ -463,9 +494,9 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     parts = max(partitions(spark), buckets // 8)
 
-    def replay(number: int, bucket: Bucket, upto: int, past: list[Sums]) -> None:
+    def replay(bucket: Bucket, upto: int, past: list[Sums]) -> None:
         for s in range(upto + 1):
-            bucket.sweep(s, np.random.default_rng([seed, s, number]), past)
+            bucket.sweep(s, seed, past)
 
     past: list[Sums] = []
     totals: DataFrame | None = None
@@ -474,7 +505,7 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
         def one(rows: pa.Table, known: pa.Table | None, s: int, past: tuple[Sums, ...]) -> pa.Table:
             number = rows.column("bucket")[0].as_py()
             bucket, _ = _bucket(rows, known, frequent)
-            replay(number, bucket, s, list(past))
+            replay(bucket, s, list(past))
             ids, a, b = bucket.sums()
             tables, customers = bucket.by_context()
             found, start = np.unique(_part(bucket.contexts << _CONTEXT_SHIFT, parts), return_index=True)
@@ -508,7 +539,7 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
         """For each batch: probabilities of its cells, and counts of their words."""
         number = rows.column("bucket")[0].as_py()
         bucket, sends = _bucket(rows, known, frequent)
-        replay(number, bucket, sweeps, past)
+        replay(bucket, sweeps, past)
         often, at = bucket.often >= 0, np.maximum(bucket.often, 0)
         counts = np.where(often, past[0].frequent_counts[at], bucket.counts).astype(np.uint64)
         roots = []
