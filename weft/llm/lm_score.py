@@ -17,10 +17,10 @@ cells in all contexts are in one bucket. Only frequent words (1/CONTEXTS of the
 tokens or more, so CONTEXTS at most) are dealt by word and context; their place in the
 parent is kept on the driver. After each sweep a bucket sends the tables and customers of
 its contexts to parts by the context's hash, which add them up and answer each bucket for
-its own contexts; so no task and no driver holds all contexts. Sweeps are replayed from
-the stored buckets and totals with random numbers drawn by cell and word, so no state is kept
-in workers, a lost one costs its bucket's work only, and scores are the same for any number
-of partitions and any order of the rows. In the end each bucket answers each batch
+its own contexts; so no task and no driver holds all contexts. Each sweep stores the tables of
+every bucket and starts from those of the sweep before, with random numbers drawn by cell and
+word; so no state is kept in workers, a lost one costs its bucket's work only, and scores are
+the same for any number of partitions and any order of the rows. In the end each bucket answers each batch
 with the probabilities of its cells (float32) and the counts of its words; batches read
 their texts again and add up. What is sent grows with the number of distinct cells of the
 batches, and each sweep with the distinct contexts of the buckets. Contexts are told apart
@@ -38,7 +38,7 @@ row; without training rows every probability is 1; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +65,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _END, _START = np.uint64(0x5BD1E995A3C4F0D7), np.uint64(0xB492B66FBE98F273)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _PACKED = "bucket int, batch long, check long, words binary, cell_words binary, contexts binary, cell_contexts binary, counts binary"
-_SUMS = "part int, bucket int, id long, a double, b double, contexts binary, tables binary, customers binary"
+_SUMS = "part int, bucket int, ids binary, a binary, b binary, contexts binary, tables binary, customers binary, cells binary, roots binary"
+_NAMES = [x.split()[0] for x in _SUMS.split(", ")]
 #: Ids of the sums for the driver: frequent words have their number.
 _ROOT, _SIZE, _CHILD_ONES, _ROOT_ONES = -1, -2, -3, -4
 
@@ -332,7 +333,7 @@ def seat(customers: np.ndarray, new_table: np.ndarray, discount: float, keys: np
 
 @dataclass
 class Bucket:
-    """Training cells of one bucket, and its sweeps."""
+    """Training cells of one bucket; `state`: tables of cells, customers and tables in the parent of each word."""
 
     frequent: np.ndarray
     words: np.ndarray
@@ -340,42 +341,42 @@ class Bucket:
     cell_key: np.ndarray
     cell_count: np.ndarray
     counts: np.ndarray
-    #: For each sweep the tables of its contexts in all buckets, and the customers.
-    child_tables: list[np.ndarray]
-    child_customers: np.ndarray | None
-    states: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    state: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def __post_init__(self) -> None:
         self.base = len(self.contexts)
         self.cell_word, self.cell_context = self.cell_key // self.base, self.cell_key % self.base
         self.often = _place(self.frequent, self.words)
 
-    def sweep(self, number: int, seed: int, past: list[Sums]) -> None:
-        """states: tables of cells, customers and tables in the parent of each word.
+    def take(self, tables: np.ndarray, root_tables: np.ndarray) -> None:
+        self.state = tables, np.bincount(self.cell_word, weights=tables, minlength=len(self.words)), root_tables
+
+    def start(self) -> None:
+        """One table a cell, and one a word in the parent."""
+        tables = np.ones(len(self.cell_key))
+        self.take(tables, np.minimum(np.bincount(self.cell_word, weights=tables, minlength=len(self.words)), 1))
+
+    def sweep(self, number: int, seed: int, last: Sums, child_tables: np.ndarray) -> None:
+        """From the state of the sweep before; child_tables: of its contexts in all buckets, then.
 
         A dish leaves its restaurant with all its tables, in the parent too, before it comes back."""
-        if number == 0:
-            tables = np.ones(len(self.cell_key))
-            customers = np.bincount(self.cell_word, weights=tables, minlength=len(self.words))
-            self.states.append((tables, customers, np.minimum(customers, 1)))
-            return
-        last, (own, customers, root_tables) = past[number - 1], self.states[-1]
+        own, customers, root_tables = self.state
         rare, at = self.often < 0, np.maximum(self.often, 0)
         above = np.where(rare, customers, last.frequent_customers[at])[self.cell_word] - own
         above_tables = np.minimum(np.where(rare, root_tables, last.frequent_tables[at])[self.cell_word], above)
         p = last.root(above, above_tables)
-        others = self.child_tables[number - 1][self.cell_context] - own
+        others = child_tables[self.cell_context] - own
         with np.errstate(over="ignore"):
             cells = _draw_keys(mix(self.words)[self.cell_word] + self.contexts[self.cell_context] * _STEP, seed, number)
         tables = seat(self.cell_count, (CHILD_STRENGTH + last.child_discount * others) * p, last.child_discount, cells, last.child_discount * p)
         customers = np.bincount(self.cell_word, weights=tables, minlength=len(self.words))
         unit = 1 / (last.words + 1)
         weight = (ROOT_STRENGTH + last.root_discount * (last.root_tables - root_tables)) * unit
-        self.states.append((tables, customers, seat(customers.astype(np.int64), weight, last.root_discount, _draw_keys(self.words, seed, number), np.full(len(weight), last.root_discount * unit))))
+        self.take(tables, seat(customers.astype(np.int64), weight, last.root_discount, _draw_keys(self.words, seed, number), np.full(len(weight), last.root_discount * unit)))
 
     def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and two numbers each for the driver."""
-        _, customers, root_tables = self.states[-1]
+        _, customers, root_tables = self.state
         rare = (self.often < 0) & (self.counts > 0)
         often = np.flatnonzero((self.often >= 0) & (self.counts > 0))
         ones = [[(x == k).sum() for k in (1, 2)] for x in (self.cell_count, customers[rare])]
@@ -386,11 +387,11 @@ class Bucket:
 
     def by_context(self) -> tuple[np.ndarray, np.ndarray]:
         """Tables and customers of its own cells by context."""
-        return tuple(np.bincount(self.cell_context, weights=w, minlength=self.base).astype(np.uint64) for w in (self.states[-1][0], self.cell_count))
+        return tuple(np.bincount(self.cell_context, weights=w, minlength=self.base).astype(np.uint64) for w in (self.state[0], self.cell_count))
 
 
-def _bucket(stored: pa.Table, totals: pa.Table | None, frequent: np.ndarray) -> tuple[Bucket, list[tuple]]:
-    """One bucket with its totals, and what its batches sent: (batch, check, places of the words, cell keys)."""
+def _bucket(stored: pa.Table, frequent: np.ndarray) -> tuple[Bucket, list[tuple]]:
+    """One bucket, and what its batches sent: (batch, check, places of the words, cell keys)."""
     rows = list(zip(*(stored.column(k).to_pylist() for k in range(1, 8)), strict=True))
     own_words, own_contexts = ([_expand_sorted(r[k], np.uint64) for r in rows] for k in (2, 4))
     words, word_at = np.unique(np.concatenate(own_words), return_inverse=True)
@@ -407,49 +408,70 @@ def _bucket(stored: pa.Table, totals: pa.Table | None, frequent: np.ndarray) ->
     cells, index = np.unique(key, return_inverse=True)
     count = np.bincount(index, weights=count, minlength=len(cells)).astype(np.int64)
     total = np.bincount(cells // len(contexts), weights=count, minlength=len(words))
-    tables, customers = [], None
-    for _, part in sorted(_by(totals, "sweep").items()) if totals is not None else ():
-        part = part.sort_by("part")
-        tables.append(np.concatenate([_expand(x, np.uint64) for x in part.column("tables").to_pylist()]).astype(float))
-        if len(tables) == 1:
-            customers = np.concatenate([_expand(x, np.uint64) for x in part.column("customers").to_pylist()]).astype(float)
-        if len(tables[-1]) != len(contexts):
-            raise RuntimeError("totals of other contexts")
-    return Bucket(frequent, words, contexts, cells, count, total, tables, customers), sends
+    return Bucket(frequent, words, contexts, cells, count, total), sends
+
+
+@dataclass
+class Known:
+    """What a bucket has stored of one sweep: its state, and the totals of its contexts over all buckets."""
+
+    cells: np.ndarray
+    roots: np.ndarray
+    child_tables: np.ndarray | None
+    child_customers: np.ndarray | None
+
+
+def _known(rows: pa.Table, contexts: int) -> Known:
+    def joined(name: str) -> np.ndarray | None:
+        own = rows.filter(pc.is_valid(rows.column(name))).sort_by("part").column(name).to_pylist()
+        return np.concatenate([_expand(x, np.uint64) for x in own]).astype(float) if own else None
+
+    out = Known(*(joined(name) for name in ("cells", "roots", "tables", "customers")))
+    if any(x is not None and len(x) != contexts for x in (out.child_tables, out.child_customers)):
+        raise RuntimeError("totals of other contexts")
+    return out
 
 
 def _by(rows: pa.Table, column: str) -> dict[int, pa.Table]:
     return {k: rows.filter(pc.equal(rows.column(column), k)) for k in pc.unique(rows.column(column)).to_pylist()}
 
 
+def _row(part: int, bucket: int | None, **values: bytes | None) -> dict:
+    return dict.fromkeys(_NAMES) | {"part": part, "bucket": bucket} | values
+
+
+_SUMS_ARROW = pa.schema([(n, pa.int32() if n in ("part", "bucket") else pa.binary()) for n in _NAMES])
+
+
 def _add_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of a part over all buckets: each id once, and for each bucket the totals of the contexts that it sent."""
+    """Sums of a part over all buckets: one row with each id once, and for each bucket the totals
+    of the contexts that it sent. States pass."""
     held = list(batches)
     for part, own in _by(pa.Table.from_batches(held), "part").items() if held else ():
-        numbers = own.filter(pc.is_valid(own.column("id"))).group_by("id").aggregate([("a", "sum"), ("b", "sum")])
+        yield from own.filter(pc.is_valid(own.column("cells"))).to_batches()
+        numbers = own.filter(pc.is_valid(own.column("ids")))
+        rows = []
+        if len(numbers):
+            ids, a, b = (np.concatenate([np.frombuffer(x, kind) for x in numbers.column(n).to_pylist()]) for n, kind in (("ids", np.int64), ("a", float), ("b", float)))
+            found, at = np.unique(ids, return_inverse=True)
+            rows.append(_row(part, None, ids=found.tobytes(), **{n: np.bincount(at, weights=x, minlength=len(found)).tobytes() for n, x in (("a", a), ("b", b))}))
         sent = own.filter(pc.is_valid(own.column("contexts")))
         buckets = sent.column("bucket").to_pylist()
-        totals: list[list] = [[], []]
         if buckets:
             contexts = [_expand_sorted(x, np.uint64) for x in sent.column("contexts").to_pylist()]
             found, at = np.unique(np.concatenate(contexts), return_inverse=True)
             ends = np.cumsum([len(x) for x in contexts])
-            for out, name in zip(totals, ("tables", "customers"), strict=True):
+            totals = {}
+            for name in ("tables", "customers"):
                 values = sent.column(name).to_pylist()
                 if values[0] is None:
-                    out += values
+                    totals[name] = values
                     continue
                 total = np.bincount(at, weights=np.concatenate([_expand(x, np.uint64) for x in values]), minlength=len(found)).astype(np.uint64)
-                out += [_squeeze(total[at[e - len(x) : e]]) for x, e in zip(contexts, ends, strict=True)]
-        n, m = len(numbers), len(buckets)
-        columns = [
-            pa.array([part] * (n + m), pa.int32()),
-            pa.array([None] * n + buckets, pa.int32()),
-            *(pa.array(numbers.column(c).to_pylist() + [None] * m, t) for c, t in (("id", pa.int64()), ("a_sum", pa.float64()), ("b_sum", pa.float64()))),
-            pa.nulls(n + m, pa.binary()),
-            *(pa.array([None] * n + x, pa.binary()) for x in totals),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=["part", "bucket", "id", "a", "b", "contexts", "tables", "customers"])
+                totals[name] = [_squeeze(total[at[e - len(x) : e]]) for x, e in zip(contexts, ends, strict=True)]
+            rows += [_row(part, k, tables=t, customers=c) for k, t, c in zip(buckets, totals["tables"], totals["customers"], strict=True)]
+        if rows:
+            yield from pa.Table.from_pylist(rows, _SUMS_ARROW).to_batches()
 
 
 def _discount(ones: float, twos: float) -> float:
@@ -458,7 +480,8 @@ def _discount(ones: float, twos: float) -> float:
 
 
 def _sums(rows: list, frequent: np.ndarray, sweep: int, past: list[Sums], seed: int) -> Sums:
-    found = {r["id"]: (r["a"], r["b"]) for r in rows}
+    numbers = [np.concatenate([np.frombuffer(r[n], kind) for r in rows]).tolist() if rows else [] for n, kind in (("ids", np.int64), ("a", float), ("b", float))]
+    found = {k: (a, b) for k, a, b in zip(*numbers, strict=True)}
     often = np.array([found.get(k, (0.0, 0.0)) for k in range(len(frequent))])
     (rare_customers, rare_tables), (tokens, rare_words) = found.get(_ROOT, (0.0, 0.0)), found.get(_SIZE, (0.0, 0.0))
     customers = often[:, 0]
@@ -494,57 +517,57 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     parts = max(partitions(spark), buckets // 8)
 
-    def replay(bucket: Bucket, upto: int, past: list[Sums]) -> None:
-        for s in range(upto + 1):
-            bucket.sweep(s, seed, past)
-
     past: list[Sums] = []
-    totals: DataFrame | None = None
+    kept: list[DataFrame] = []
     for s in range(sweeps + 1):
 
-        def one(rows: pa.Table, known: pa.Table | None, s: int, past: tuple[Sums, ...]) -> pa.Table:
+        def one(rows: pa.Table, known: pa.Table | None, s: int, last: Sums | None) -> pa.Table:
             number = rows.column("bucket")[0].as_py()
-            bucket, _ = _bucket(rows, known, frequent)
-            replay(bucket, s, list(past))
-            ids, a, b = bucket.sums()
+            bucket, _ = _bucket(rows, frequent)
+            if known is None:
+                bucket.start()
+            else:
+                before = _known(known, bucket.base)
+                bucket.take(before.cells, before.roots)
+                bucket.sweep(s, seed, last, before.child_tables)
+            ids, *numbers = bucket.sums()
             tables, customers = bucket.by_context()
-            found, start = np.unique(_part(bucket.contexts << _CONTEXT_SHIFT, parts), return_index=True)
-            cuts = list(zip(start, [*start[1:], bucket.base], strict=True))
-            n, m = len(ids), len(found)
-            columns = [
-                pa.array(np.append(ids % parts, found), pa.int32()),
-                pa.array(np.full(n + m, number), pa.int32()),
-                pa.array([*ids.tolist(), *[None] * m], pa.int64()),
-                *(pa.array([*x.tolist(), *[None] * m], pa.float64()) for x in (a, b)),
-                pa.array([None] * n + [_squeeze_sorted(bucket.contexts[i:j]) for i, j in cuts], pa.binary()),
-                pa.array([None] * n + [_squeeze(tables[i:j]) for i, j in cuts], pa.binary()),
-                pa.array([None] * n + [_squeeze(customers[i:j]) if s == 0 else None for i, j in cuts], pa.binary()),
-            ]
-            return pa.Table.from_arrays(columns, names=["part", "bucket", "id", "a", "b", "contexts", "tables", "customers"])
-
-        grouped, now, then = stored.groupBy("bucket"), s, tuple(past)
-        if totals is None:
+            part_of = _part(bucket.contexts << _CONTEXT_SHIFT, parts)
+            out = []
+            for part in np.union1d(ids % parts, part_of).tolist():
+                i, j = np.searchsorted(part_of, [part, part + 1])
+                mine = ids % parts == part
+                values = {n: x[mine].tobytes() for n, x in zip(("ids", "a", "b"), (ids.astype(np.int64), *(x.astype(float) for x in numbers)), strict=True)} if mine.any() else {}
+                if i < j:
+                    values |= {"contexts": _squeeze_sorted(bucket.contexts[i:j]), "tables": _squeeze(tables[i:j]), "customers": _squeeze(customers[i:j]) if s == 0 else None}
+                out.append(_row(part, number, **values))
+            cells, _, roots = bucket.state
+            out.append(_row(number % parts, number, cells=_squeeze(cells.astype(np.uint64)), roots=_squeeze(roots.astype(np.uint64))))
+            return pa.Table.from_pylist(out, _SUMS_ARROW)
+
+        grouped, now, then = stored.groupBy("bucket"), s, past[-1] if past else None
+        if not kept:
             sent = grouped.applyInArrow(lambda rows: one(rows, None, now, then), _SUMS)
         else:
-            sent = grouped.cogroup(totals.groupBy("bucket")).applyInArrow(lambda rows, known: one(rows, known, now, then), _SUMS)
+            sent = grouped.cogroup(kept[-1].groupBy("bucket")).applyInArrow(lambda rows, known: one(rows, known, now, then), _SUMS)
         added = checkpoint(sent.repartitionById(parts, F.col("part")).mapInArrow(_add_sums, _SUMS))
-        rows = added.where(F.col("id").isNotNull()).select("id", "a", "b").collect()  # contexts + 4 rows at most
+        rows = added.where(F.col("bucket").isNull()).select("ids", "a", "b").collect()  # contexts + 4 ids at most
         past.append(_sums(rows, frequent, s, past, seed))
-        own = added.where(F.col("id").isNull()).select("bucket", F.lit(s).alias("sweep"), "part", "tables", "customers")
-        totals = own if totals is None else totals.union(own)
+        kept.append(added.where(F.col("bucket").isNotNull()).select("bucket", F.lit(s).alias("sweep"), "part", "tables", "customers", "cells", "roots"))
         del sent, added
         release(spark)
 
     def answer(rows: pa.Table, known: pa.Table) -> pa.Table:
         """For each batch: probabilities of its cells, and counts of their words."""
         number = rows.column("bucket")[0].as_py()
-        bucket, sends = _bucket(rows, known, frequent)
-        replay(bucket, sweeps, past)
+        bucket, sends = _bucket(rows, frequent)
+        states = {s: _known(own, bucket.base) for s, own in _by(known, "sweep").items()}
         often, at = bucket.often >= 0, np.maximum(bucket.often, 0)
         counts = np.where(often, past[0].frequent_counts[at], bucket.counts).astype(np.uint64)
-        roots = []
+        context_customers, roots = states[0].child_customers, []
         for s in samples:
-            _, customers, tables = bucket.states[s]
+            bucket.take(states[s].cells, states[s].roots)
+            _, customers, tables = bucket.state
             roots.append(past[s].root(np.where(often, past[s].frequent_customers[at], customers), np.where(often, past[s].frequent_tables[at], tables)))
         replies = []
         for batch_number, check, places, key in sends:
@@ -553,9 +576,9 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
             p = np.zeros(len(key))
             for s, root in zip(samples, (r[word] for r in roots), strict=True):
                 sums = past[s]
-                own = np.where(cell >= 0, np.maximum(bucket.cell_count[cell] - sums.child_discount * bucket.states[s][0][cell], 0), 0) if len(bucket.cell_key) else np.zeros(len(key))
-                customers = bucket.child_customers[context]
-                child = (own + (CHILD_STRENGTH + sums.child_discount * bucket.child_tables[s][context]) * root) / (CHILD_STRENGTH + customers)
+                own = np.where(cell >= 0, np.maximum(bucket.cell_count[cell] - sums.child_discount * states[s].cells[cell], 0), 0) if len(bucket.cell_key) else np.zeros(len(key))
+                customers = context_customers[context]
+                child = (own + (CHILD_STRENGTH + sums.child_discount * states[s].child_tables[context]) * root) / (CHILD_STRENGTH + customers)
                 p += np.where(customers > 0, child, root) / len(samples)
             replies.append((batch_number, number, check, _squeeze(np.log10(p).astype(np.float32)), _squeeze(counts[places])))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
@@ -589,6 +612,9 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
             n = np.bincount(cells.text_of, minlength=len(keys))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(p)], names=["__key", "n", "known", "base", "p"])
 
+    totals = kept[0]
+    for s in samples:
+        totals = totals.union(kept[s])
     replies = stored.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(answer, "__batch long, __order long, check long, p binary, counts binary")
     texts = scanned.drop("__train").mapInArrow(_send_texts, "__batch long, __order long, keys binary, ends binary, texts binary")
     replies = replies.withColumn("is_text", F.lit(False))
