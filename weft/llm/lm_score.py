@@ -76,9 +76,10 @@ def remainder(ids: Column, folds: int) -> Column:
 
 
 def frequent_words(training: DataFrame, text_column: str, contexts: int) -> np.ndarray:
-    """Sorted hashes of the words that are 1/contexts of all words or more."""
+    """Sorted hashes of the words that are 1/contexts of all words or more, at six bytes a word;
+    as a word and its space have two bytes or more, 3 * contexts at most."""
     text = F.translate(F.col(text_column), _UPPER + "\t\n\x0b\x0c\r", _LOWER + "     ")
-    total = training.agg(F.sum(F.size(F.split(text, " ")))).first()[0] or 0
+    total = (training.agg(F.sum(F.octet_length(text_column) + 1)).first()[0] or 0) / 6
     words = training.select(F.explode(F.split(text, " ")).alias("w")).where(F.col("w") != "")
     rows = words.groupBy("w").count().where(F.col("count") * contexts >= total).select("w").collect()
     raw = [r["w"].encode() for r in rows]
@@ -156,16 +157,17 @@ def _cells(texts: list[pa.Array], frequent: np.ndarray, buckets: int) -> Cells:
         parts.append((h, context, owner + base))
         base += len(t)
     h, context, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
-    often = _place(frequent, h) >= 0
+    words, word_of = np.unique(h, return_inverse=True)
+    found_contexts, context_of = np.unique(context, return_inverse=True)
+    cells, cell_of = np.unique(word_of * len(found_contexts) + context_of, return_inverse=True)
+    word, context = cells // len(found_contexts), found_contexts[cells % len(found_contexts)]
     with np.errstate(over="ignore"):
-        bucket = _part(np.where(often, mix(h + context * _STEP), mix(h)), buckets)
-    order = np.lexsort((context, h, bucket))
-    h, context, bucket = h[order], context[order], bucket[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1])
-    cell_of = np.empty(len(order), np.int64)
-    cell_of[order] = np.cumsum(new) - 1
-    return Cells(bucket[new], h[new], context[new], cell_of, owner)
+        mixed = mix(words)
+        bucket = _part(np.where((_place(frequent, words) >= 0)[word], mix(words[word] + context * _STEP), mixed[word]), buckets)
+    order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return Cells(bucket[order], words[word[order]], context[order], place[cell_of], owner)
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,10 +315,12 @@ def seat(customers: np.ndarray, new_table: np.ndarray, discount: float, keys: np
     """Tables of each dish after its customers came one by one; new_table: the weight of an
     empty table while the dish has none, per_table: what each of its tables adds to that.
     From 64 customers on, an eighth of those present comes at a time. keys: of each dish's draws."""
-    order = np.argsort(-customers, kind="stable")
+    out = np.minimum(customers, 1).astype(float)
+    more_than_one = np.flatnonzero(customers > 1)
+    order = more_than_one[np.argsort(-customers[more_than_one], kind="stable")]
     c, w, drawn = customers[order], new_table[order], keys[order]
     more = np.zeros(len(c)) if per_table is None else per_table[order]
-    t = np.minimum(c, 1).astype(float)
+    t = np.ones(len(c))
     present = 1
     while len(c) and (active := int(np.searchsorted(-c, -present, "left"))):
         come = max(1, present // 8) if present >= 64 else 1
@@ -326,7 +330,6 @@ def seat(customers: np.ndarray, new_table: np.ndarray, discount: float, keys: np
         u = _uniform(drawn[:active], 2 * present)
         t[:active] += u < p if come == 1 else _binomial(group, np.clip(p, 0, 1), u, _uniform(drawn[:active], 2 * present + 1))
         present += come
-    out = np.empty(len(t))
     out[order] = t
     return out
 
@@ -360,15 +363,18 @@ class Bucket:
         """From the state of the sweep before; child_tables: of its contexts in all buckets, then.
 
         A dish leaves its restaurant with all its tables, in the parent too, before it comes back."""
-        own, customers, root_tables = self.state
+        tables, customers, root_tables = self.state
+        several = np.flatnonzero(self.cell_count > 1)  # the others have one table
+        tables, own = tables.copy(), tables[several]
+        cell_word, cell_context = self.cell_word[several], self.cell_context[several]
         rare, at = self.often < 0, np.maximum(self.often, 0)
-        above = np.where(rare, customers, last.frequent_customers[at])[self.cell_word] - own
-        above_tables = np.minimum(np.where(rare, root_tables, last.frequent_tables[at])[self.cell_word], above)
+        above = np.where(rare, customers, last.frequent_customers[at])[cell_word] - own
+        above_tables = np.minimum(np.where(rare, root_tables, last.frequent_tables[at])[cell_word], above)
         p = last.root(above, above_tables)
-        others = child_tables[self.cell_context] - own
+        others = child_tables[cell_context] - own
         with np.errstate(over="ignore"):
-            cells = _draw_keys(mix(self.words)[self.cell_word] + self.contexts[self.cell_context] * _STEP, seed, number)
-        tables = seat(self.cell_count, (CHILD_STRENGTH + last.child_discount * others) * p, last.child_discount, cells, last.child_discount * p)
+            cells = _draw_keys(mix(self.words)[cell_word] + self.contexts[cell_context] * _STEP, seed, number)
+        tables[several] = seat(self.cell_count[several], (CHILD_STRENGTH + last.child_discount * others) * p, last.child_discount, cells, last.child_discount * p)
         customers = np.bincount(self.cell_word, weights=tables, minlength=len(self.words))
         unit = 1 / (last.words + 1)
         weight = (ROOT_STRENGTH + last.root_discount * (last.root_tables - root_tables)) * unit
