@@ -14,8 +14,8 @@ were seen once and twice, and stay.
 Texts are taken in batches of about BATCH_BYTES. A batch sends its distinct cells (word and
 context) with their training counts, packed, to hash buckets by word, so a dish and its
 cells in all contexts are in one bucket. Only frequent words (1/CONTEXTS of the training
-tokens or more, so CONTEXTS at most) are dealt by word and context; their place in the
-parent is kept on the driver. After each sweep a bucket sends the tables and customers of
+tokens or more, taken at six bytes each, so 3 * CONTEXTS at most) are dealt by word and
+context; their place in the parent is kept on the driver. After each sweep a bucket sends the tables and customers of
 its contexts to parts by the context's hash, which add them up and answer each bucket for
 its own contexts; so no task and no driver holds all contexts. Each sweep stores the tables of
 every bucket and starts from those of the sweep before, with random numbers drawn by cell and
@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from weft.llm._common import NOT_SPACE, Words, checkpoint, chunks, hash_spans, mix, partitions, release, strings, utf8
 
 FOLDS, HELD_OUT = 5, 1
-#: Words of 1/CONTEXTS of the training tokens or more are dealt by word and context.
+#: Words of 1/CONTEXTS of the training tokens or more, at six bytes each, are dealt by word and context.
 CONTEXTS = 16_384
 #: Sweeps after the first seating that are left out, and all sweeps; those between are samples.
 BURN_IN, SWEEPS = 1, 4
@@ -557,7 +557,7 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
         else:
             sent = grouped.cogroup(kept[-1].groupBy("bucket")).applyInArrow(lambda rows, known: one(rows, known, now, then), _SUMS)
         added = checkpoint(sent.repartitionById(parts, F.col("part")).mapInArrow(_add_sums, _SUMS))
-        rows = added.where(F.col("bucket").isNull()).select("ids", "a", "b").collect()  # contexts + 4 ids at most
+        rows = added.where(F.col("bucket").isNull()).select("ids", "a", "b").collect()  # 3 * contexts + 5 ids at most
         past.append(_sums(rows, frequent, s, past, seed))
         kept.append(added.where(F.col("bucket").isNotNull()).select("bucket", F.lit(s).alias("sweep"), "part", "tables", "customers", "cells", "roots"))
         del sent, added
