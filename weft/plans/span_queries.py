@@ -156,7 +156,10 @@ def page_fidelity(spark, sf_dir):
                 rows.append((key, *(media.fidelity(media.from_pixels(page), media.from_pixels(again))[c] for c in ("mse", "corr")), sound.round_trip(page, 160, 100)["rmse_over_sd"]))
             yield pd.DataFrame(rows, columns=["vec_id", "mse", "corr", "resize_loss"])
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, mse double, corr double, resize_loss double")
+    # a row is some 20 ms of work, so rows are dealt evenly over many tasks, whatever the files are
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    dealt = rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "vec_id")
+    return dealt.mapInPandas(run, "vec_id long, mse double, corr double, resize_loss double")
 
 
 @query(
