@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 from weft.functions import sound
+from weft.operators import stats as S
 from weft.plans import QUERIES
+from weft.plans import reports as R
 
 
 def test_page_fidelity_deals_its_rows(spark, sf_dir):
@@ -18,3 +20,20 @@ def test_overlapping_frames_add_up():
         frames, want = draw.random((n, size)), np.zeros((n - 1) * hop + size)
         np.add.at(want, (np.arange(n) * hop)[:, None] + np.arange(size), frames)
         assert np.array_equal(sound._added(frames, hop), want)
+
+
+def test_rated_checks_reads_its_observations_once(spark):
+    seen = spark.range(200).selectExpr("'a' as lane", "'span' as check", "id % 40 as row", "cast(id % 2 as int) as hit")
+    found = R.rated_checks(seen, ["lane"], {"span": (R.AT_LEAST, 0.1)}, n_boot=50)
+    assert "Range (" not in found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert [(r.n, r.n_rows, r.rate, r.decision) for r in found.collect()] == [(200, 40, 0.5, "PASS")]
+
+
+def test_sums_of_many_groups_are_those_of_each(spark):
+    rows = [(g, k, float((g * k) % 7), 1.0) for g in range(70) for k in range(12)] + [(None, 3, 2.0, 1.0)]
+    df = spark.createDataFrame(rows, "g int, row long, a double, b double").repartition(2, "row")
+    got = {r.g: (r.a, r.b) for r in S.replicate_sums(df, "row", ["g"], ["a", "b"], 20, 5).collect()}
+    times = S.poisson_times([str(k) for k in range(12)], 20, 5).astype(float)
+    assert len(got) == 71 and list(got[None][0]) == list(2 * times[3])
+    for g in range(70):
+        assert list(got[g][0]) == list(np.array([(g * k) % 7 for k in range(12)]) @ times) and list(got[g][1]) == list(times.sum(0))

@@ -196,8 +196,8 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str], *ties: str) -> DataFr
 
 #: Groups whose sums a task holds before it sends them on.
 _GROUPS = 256
-#: Weights that a task holds at once.
-_WEIGHTS = 2_000_000
+#: Weights that a task holds at once, and columns of all groups that are multiplied with them in one go.
+_WEIGHTS, _WIDE = 2_000_000, 128
 #: Partial sums that are merged in the first of two steps.
 _MERGED = 64
 
@@ -208,21 +208,20 @@ def poisson_times(keys: list[str], n_boot: int, seed: int) -> np.ndarray:
     steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
     times = np.searchsorted(steps, np.arange(65536) / 65536.0, "right").astype(np.uint8)  # of each 16 bits
     blocks = [f"{seed}|{k}|".encode() for k in range(-(-n_boot // 16))]
-    out = np.empty((len(keys), len(blocks) * 16), np.uint8)
-    for i, key in enumerate(keys):
-        raw = key.encode()
-        out[i] = times[np.frombuffer(b"".join(hashlib.sha256(b + raw).digest() for b in blocks), ">u2")]
-    return out[:, :n_boot]
+    sha = hashlib.sha256
+    digests = b"".join([sha(b + raw).digest() for raw in (key.encode() for key in keys) for b in blocks])
+    return times[np.frombuffer(digests, ">u2")].reshape(len(keys), len(blocks) * 16)[:, :n_boot]
 
 
 def replicate_sums(rows: DataFrame, row: str, by: list[str], sums: list[str], n_boot: int, seed: int) -> DataFrame:
     """by, and for each of the columns `sums` an array of its sum in every replicate.
 
-    One pass over the rows: a batch's weights are a matrix of rows by replicates, which is
-    multiplied with the columns, group by group, and never becomes rows. A task sends one row
-    of sums for each group it has seen. Rows with a null key count by the key "null"; null
-    numbers count as 0."""
-    keyed = rows.select(*by, F.coalesce(F.col(row).cast("string"), F.lit("null")).alias("__row"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__s{k}") for k, c in enumerate(sums)))
+    One pass over the rows: a batch's weights are a matrix of keys by replicates, which is
+    multiplied with the columns of all groups and never becomes rows. Rows of one key that are
+    in one partition are next to one another, so a key's weights, which are most of the work,
+    are made once for all of its groups. A task sends one row of sums for each group it has
+    seen. Rows with a null key count by the key "null"; null numbers count as 0."""
+    keyed = rows.sortWithinPartitions(row).select(*by, F.coalesce(F.col(row).cast("string"), F.lit("null")).alias("__row"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__s{k}") for k, c in enumerate(sums)))
     schema = T.StructType([*(keyed.schema[c] for c in by), T.StructField("__part", T.IntegerType()), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in sums)])
     columns = [f"__s{k}" for k in range(len(sums))]
 
@@ -235,13 +234,21 @@ def replicate_sums(rows: DataFrame, row: str, by: list[str], sums: list[str], n_
         for whole in batches:
             for at in range(0, len(whole), step := max(1, _WEIGHTS // n_boot)):
                 pdf = whole.iloc[at : at + step]
-                times = poisson_times(pdf["__row"].tolist(), n_boot, seed).astype(float)
+                key_of, keys = pd.factorize(pdf["__row"])
+                times = poisson_times(keys.tolist(), n_boot, seed).astype(float)
                 values = pdf[columns].to_numpy(float)
                 codes = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(pdf), int)
-                order = np.argsort(codes, kind="stable")
-                for which in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
-                    key = tuple(None if x is None or x != x else x for x in (pdf[c].iloc[which[0]] for c in by))
-                    held[key] = held.get(key, 0) + values[which].T @ times[which]
+                _, firsts = np.unique(codes, return_index=True)
+                wide = max(1, _WIDE // len(columns))
+                for group in range(0, len(firsts), wide):
+                    of = firsts[group : group + wide]
+                    inside = slice(None) if len(firsts) <= wide else (codes >= group) & (codes < group + len(of))
+                    spread = np.zeros((len(keys), len(of), len(columns)))
+                    np.add.at(spread, (key_of[inside], codes[inside] - group), values[inside])
+                    summed = (spread.reshape(len(keys), -1).T @ times).reshape(len(of), len(columns), -1)
+                    for first, own in zip(of, summed, strict=True):
+                        key = tuple(None if x is None or x != x else x for x in (pdf[c].iloc[first] for c in by))
+                        held[key] = held.get(key, 0) + own
                 if len(held) > _GROUPS:
                     yield frame(held, part)
                     held = {}

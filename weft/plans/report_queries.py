@@ -50,9 +50,11 @@ c as (select lane, "check", cast(sum(tokens) as bigint) as n, count(*) as n_rows
 
 def _checks(spark, sf_dir):
     s = scores(spark, sf_dir)
-    kinds = (("span", "a_c", "pos = 0"), ("visible", "b_c", "pos > 0"), ("changed", "p_c", "true"))
-    parts = [s.where(which).select("lane", F.lit(name).alias("check"), "row", F.col(c).alias("hit")) for name, c, which in kinds]
-    return R.rated_checks(parts[0].union(parts[1]).union(parts[2]), ["lane"], _BARS)
+    # one pass over the scores: each is an observation of up to three checks
+    kinds = (("span", "a_c", F.col("pos") == 0), ("visible", "b_c", F.col("pos") > 0), ("changed", "p_c", F.lit(True)))
+    seen = F.array_compact(F.array(*(F.when(which, F.struct(F.lit(name).alias("check"), F.col(c).alias("hit"))) for name, c, which in kinds)))
+    observations = s.select("lane", "row", F.explode(seen).alias("o")).select("lane", "o.check", "row", "o.hit")
+    return R.rated_checks(observations, ["lane"], _BARS)
 
 
 @query(f'with {_CHECKS} select lane, "check", n, n_rows, rate, rate_rowmean, se_cluster, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high, direction, bar, decision from c')

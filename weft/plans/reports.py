@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.storage import stored
 from weft.operators import stats as S
 
 AT_LEAST, AT_MOST = ">=", "<="
@@ -53,13 +54,16 @@ def rated_checks(observations: DataFrame, by: list[str], bars: dict[str, tuple[s
     `bars`: observations, rows, pooled rate and mean of rows with its standard error, interval over
     resampled rows, and PASS or FAIL only if the whole interval is on one side of the bar.
 
-    A check without an observation in a group is UNDECIDABLE there and has no rate."""
+    A check without an observation in a group is UNDECIDABLE there and has no rate. Observations
+    are read once: what they add up to by row is stored, rows of one name beside one another."""
     spark = observations.sparkSession
     asked = F.broadcast(spark.createDataFrame([(c, d, float(b)) for c, (d, b) in bars.items()], "check string, direction string, bar double"))
-    rows = observations.where(F.col("hit").isNotNull()).groupBy(*by, "check", row).agg(F.sum(F.col("hit").cast("double")).alias("hits"), F.count("*").alias("tokens"))
+    added = observations.groupBy(*by, "check", row).agg(F.sum(F.col("hit").cast("double")).alias("hits"), F.count("hit").alias("tokens"))
+    added = stored(added.sortWithinPartitions(row))
+    rows = added.where(F.col("tokens") > 0)
     rates = S.bootstrap_rate(rows, "hits", "tokens", [*by, "check"], n_boot, seed, row=row)
     sizes = rows.groupBy(*by, "check").agg(F.sum("tokens").alias("n"))
-    wanted = observations.select(*by).distinct().join(asked)
+    wanted = added.select(*by).distinct().join(asked)
     joined = wanted.join(rates.join(sizes, [*by, "check"]), [*by, "check"], "left")
     above = S.ci_decision(F.col("ci_low"), F.col("ci_high"), F.col("bar"))
     undecided = F.col("ci_low").isNull() | F.col("ci_high").isNull()
