@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 from weft.functions import sound
+from weft.operators import intervals, layout
 from weft.operators import stats as S
 from weft.plans import QUERIES
 from weft.plans import reports as R
@@ -37,3 +39,30 @@ def test_sums_of_many_groups_are_those_of_each(spark):
     assert len(got) == 71 and list(got[None][0]) == list(2 * times[3])
     for g in range(70):
         assert list(got[g][0]) == list(np.array([(g * k) % 7 for k in range(12)]) @ times) and list(got[g][1]) == list(times.sum(0))
+
+
+def test_shipments_meet_as_different_spans(spark, sf_dir, monkeypatch):
+    met = []
+    join = intervals.interval_join
+    monkeypatch.setattr(intervals, "interval_join", lambda a, b, by: met.append((a, b)) or join(a, b, by))
+    QUERIES["shipments_around"](spark, sf_dir)
+    (a, b), span = met[0], ["k", "lo", "hi"]
+    assert a.count() == a.select(*span).distinct().count() and b.count() == b.select(*span).distinct().count()
+
+
+def test_masked_rows_are_handed_on_in_small_frames(spark, monkeypatch):
+    caught = []
+
+    class Frame:
+        schema = spark.createDataFrame([("a", "b c")], "k string, t string").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):  # noqa: N802
+            caught.append(run)
+
+    layout.masked(Frame(), "k", "t", 5)
+    texts = pd.DataFrame({"k": [str(k) for k in range(40)], "t": ["word " * 40_000] * 39 + [None]})
+    frames = list(caught[0](iter([texts])))
+    assert len(frames) >= 7 and [k for f in frames for k in f["k"]] == texts["k"].tolist()
