@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 MARGIN = 40
 LEAST_FONT = 14
+#: Characters of the texts whose masked rows a task holds at once, about.
+_LETTERS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -135,18 +137,27 @@ def mask_target(words: list[str], runs: list[tuple[int, int]], spec: MaskSpec) -
 
 
 def masked(df: DataFrame, key: str, text: str, seed: int, spec: MaskSpec | None = None) -> DataFrame:
-    """key, target, run starts and sizes, masked words, sentinel places of each text's words."""
+    """key, target, run starts and sizes, masked words, sentinel places of each text's words.
+
+    Rows are handed on whenever their texts have `_LETTERS` characters: a word is an object of
+    its own here, many times as large as in its text."""
     spec = spec or MaskSpec()
+    names = [key, "target", "run_start", "run_size", "masked", "visible", "sentinel_starts", "sentinel_visible", "n_words"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
+            rows, letters = [], 0
             for k, t in zip(pdf[key], pdf[text], strict=True):
                 words = (t or "").split()
                 runs = mask_runs(keyed_random(seed, k), len(words), spec)
                 made = mask_target(words, runs, spec)
                 rows.append((k, made["target"], [r[0] for r in runs], [r[1] for r in runs], [words[i] for i in made["masked"]], made["visible"], made["sentinel_starts"], made["sentinel_visible"], len(words)))
-            yield pd.DataFrame(rows, columns=[key, "target", "run_start", "run_size", "masked", "visible", "sentinel_starts", "sentinel_visible", "n_words"])
+                letters += len(t or "")
+                if letters >= _LETTERS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, letters = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, target string, run_start array<int>, run_size array<int>, masked array<string>, visible array<string>, sentinel_starts array<int>, sentinel_visible array<int>, n_words int")
