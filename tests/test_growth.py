@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from weft.functions import sound
+from weft.functions import text as X
+from weft.functions.tokenizers import Characters, token_count_and_prefix
 from weft.operators import intervals, layout
 from weft.operators import stats as S
 from weft.plans import QUERIES
@@ -66,3 +71,23 @@ def test_masked_rows_are_handed_on_in_small_frames(spark, monkeypatch):
     texts = pd.DataFrame({"k": [str(k) for k in range(40)], "t": ["word " * 40_000] * 39 + [None]})
     frames = list(caught[0](iter([texts])))
     assert len(frames) >= 7 and [k for f in frames for k in f["k"]] == texts["k"].tolist()
+
+
+def test_one_encoding_gives_length_and_prefix(spark, sf_dir):
+    df = spark.createDataFrame([(1, "abcdef"), (2, ""), (3, None), (4, "abc")], "k int, t string")
+    got = df.select("k", token_count_and_prefix(F.col("t"), Characters(), 3).alias("x")).select("k", "x.*").orderBy("k").collect()
+    assert [(r.n, r.prefix) for r in got] == [(6, "abc"), (0, ""), (None, None), (3, "abc")]
+    plan = QUERIES["bpe_lengths"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("run(text") == 1
+
+
+def test_poison_hashes_in_one_pass(spark):
+    df = spark.createDataFrame([("x1", "Grüße, 12 Wörter! 𝒜b"), ("x2", None), (None, "abc def")], "k string, t string")
+    out, places = X.poisoned(F.col("t"), 0.5, F.lit(4), F.col("k"))
+    found = df.select("k", "t", out.alias("o"), places.alias("p"))
+    assert "regexp" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()).lower() and "RLIKE" not in plan
+    for r in found.collect():
+        key, text = "|".join(x for x in ("4", r.k) if x is not None), r.t or ""
+        number = lambda *x: int(hashlib.md5("|".join((key, *x)).encode()).hexdigest()[:8], 16) / 2**32
+        hits = [i for i, c in enumerate(text) if c.isalpha() and number(str(i + 1)) < 0.5]
+        assert r.p == hits and r.o == "".join(chr(97 + int(number("letter", str(i + 1)) * 26)) if i in hits else c for i, c in enumerate(text))

@@ -84,3 +84,21 @@ def token_prefix(text: Column, tokenizer: Tokenizer, limit: int | None) -> Colum
         return t if len(ids) <= limit else tokenizer.decode(ids[:limit])
 
     return _column(T.StringType(), cut)(text)
+
+
+def token_count_and_prefix(text: Column, tokenizer: Tokenizer, limit: int) -> Column:
+    """token_count as n and token_prefix as prefix, from one encoding of the text."""
+    if limit <= 0:
+        raise ValueError(f"a limit of {limit} tokens")
+
+    @F.pandas_udf("n long, prefix string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            n, prefix = [], []
+            for t in texts:
+                ids = None if t is None else tokenizer.encode(t)
+                n.append(None if t is None else len(ids))
+                prefix.append(t if t is None or len(ids) <= limit else tokenizer.decode(ids[:limit]))
+            yield pd.DataFrame({"n": pd.Series(n, dtype="Int64"), "prefix": pd.Series(prefix, dtype=object)})
+
+    return run(text)

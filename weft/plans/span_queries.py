@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions import text as X
-from weft.functions.tokenizers import FileTokenizer
+from weft.functions.tokenizers import FileTokenizer, token_count_and_prefix
 from weft.operators import fit as T
 from weft.operators import intervals as I
 from weft.operators import packing as K
@@ -135,7 +134,8 @@ def bpe_lengths(spark, sf_dir):
 
     bpe = FileTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", X.token_length(F.col("text"), bpe).alias("n_tokens"), F.md5(X.truncate_tokens(F.col("text"), 64, bpe)).alias("prefix_md5"))
+    both = docs.select("doc_id", token_count_and_prefix(F.col("text"), bpe, 64).alias("t"))
+    return both.select("doc_id", F.col("t.n").alias("n_tokens"), F.md5(F.col("t.prefix")).alias("prefix_md5"))
 
 
 @query(None)
