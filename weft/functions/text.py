@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -215,12 +217,28 @@ def fixed_frames(frames: Column, k: int) -> Column:
 
 
 def poisoned(text: Column, rate: float, *key: Column) -> tuple[Column, Column]:
-    """The text with each letter replaced at this rate by a keyed letter a to z, and the places of those."""
-    from weft.functions.determinism import below, uniform
-
-    hit = lambda c, k: c.rlike(r"^\p{L}$") & below(rate, *key, k + 1)
-    # one array for both results, in linear time, so that each letter is hashed once
-    chars = F.transform(F.split(F.coalesce(text, F.lit("")), ""), lambda c, k: F.struct(c.alias("c"), (k + 1).alias("k"), hit(c, k).alias("hit")))
-    letter = lambda x: F.chr((F.lit(97) + F.floor(uniform(*key, F.lit("letter"), x["k"]) * 26)).cast("long"))
-    out = F.array_join(F.transform(chars, lambda x: F.when(x["hit"], letter(x)).otherwise(x["c"])), "")
-    return out, F.transform(F.filter(chars, lambda x: x["hit"]), lambda x: x["k"] - 1)
+    """The text with each letter replaced at this rate by a keyed letter a to z, and the places of those.
+
+    The numbers are those of determinism.below and uniform for (key, place from 1) and (key, "letter",
+    place), whose md5 a loop over the letters makes at a fraction of what expressions take."""
+    bound = math.ceil(rate * 4294967296.0)
+    all_hit, least = bound >= 1 << 32, max(0, min(bound, (1 << 32) - 1)).to_bytes(4, "big")
+
+    @F.pandas_udf("text string, places array<int>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        md5, numbers = hashlib.md5, []
+        for texts, keys in batches:
+            out, places = [], []
+            for t, k in zip(texts, keys, strict=True):
+                own, letters = k.encode(), list(t)
+                numbers += [b"%d" % n for n in range(len(numbers) + 1, len(t) + 1)]
+                hits = [i for i, c in enumerate(letters) if c.isalpha() and (all_hit or md5(own + numbers[i]).digest() < least)]
+                for i in hits:
+                    first = int.from_bytes(md5(own + b"letter|" + numbers[i]).digest()[:4], "big")
+                    letters[i] = chr(97 + (first * 26 >> 32))
+                out.append("".join(letters))
+                places.append(np.array(hits, np.int32))
+            yield pd.DataFrame({"text": pd.Series(out, dtype=object), "places": pd.Series(places, dtype=object)})
+
+    found = run(F.coalesce(text, F.lit("")), F.concat_ws("|", *(k.cast("string") for k in key), F.lit("")))
+    return found["text"], found["places"]
