@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weft.functions import sound
 from weft.functions import text as X
 from weft.functions.tokenizers import Characters, token_count_and_prefix
-from weft.operators import intervals, layout
+from weft.operators import audit, intervals, layout
 from weft.operators import stats as S
 from weft.plans import QUERIES
 from weft.plans import reports as R
@@ -91,3 +91,28 @@ def test_poison_hashes_in_one_pass(spark):
         number = lambda *x: int(hashlib.md5("|".join((key, *x)).encode()).hexdigest()[:8], 16) / 2**32
         hits = [i for i, c in enumerate(text) if c.isalpha() and number(str(i + 1)) < 0.5]
         assert r.p == hits and r.o == "".join(chr(97 + int(number("letter", str(i + 1)) * 26)) if i in hits else c for i, c in enumerate(text))
+
+
+def plan_of(spark, df):
+    return df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
+def test_tokens_meet_blocks_of_marks(spark):
+    spans = [(0, 0, 10), (1, 10, 64), (2, 64, 128), (3, 60, 300), (4, 130, 130), (5, -70, -3), (6, None, 5), (0, 0, 10)]
+    tokens = spark.createDataFrame([(row, *s) for row in (1, 2, None) for s in spans], "row int, pos int, lo int, hi int")
+    at = [-64, -5, -4, 3, 3, 63, *range(64, 128), 128, 299, 300]
+    found = audit.token_exposure(tokens, spark.createDataFrame([(1, c) for c in at] + [(None, 3)], "row int, char_idx int"), "row")
+    inside = lambda lo, hi: len({c for c in at if lo <= c < hi}) if lo is not None else 0
+    want = []
+    for row in (1, 2, None):
+        for pos, lo, hi in spans:
+            n = (row == 1) * inside(lo, hi) * (2 if pos == 0 else 1)  # rows of one token are counted together
+            want.append((row or 0, pos, n, n > 0, pos == 2 and row == 1))
+    assert plan_of(spark, found).count("Join") == 1
+    assert sorted((r.row or 0, r.pos, r.n_marked, r.touching, r.pure) for r in found.collect()) == sorted(want)
+
+
+def test_exposed_scores_are_not_joined_again(spark, sf_dir):
+    plan = plan_of(spark, QUERIES["exposed_delta"](spark, sf_dir))
+    assert (plan.count("Join"), plan.count("+- Window ")) == (1, 1)
+    assert plan_of(spark, QUERIES["exposure_by_bin"](spark, sf_dir)).count("+- Window ") == 1

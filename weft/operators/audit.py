@@ -21,16 +21,28 @@ class AuditError(ValueError):
 # --- tokens and characters
 
 
-def token_exposure(tokens: DataFrame, marked: DataFrame, key: str, pos: str = "pos", lo: str = "lo", hi: str = "hi", char: str = "char_idx") -> DataFrame:
-    """key, pos, n_marked, touching (a marked character in [lo, hi)) and pure (all of them are).
-
-    Tokens are exploded to characters and joined by equality; an empty token is neither."""
-    chars = tokens.where(F.col(hi) > F.col(lo)).select(key, pos, F.explode(F.sequence(lo, F.col(hi) - 1)).alias("__char"))
-    hits = marked.select(F.col(key).alias("__key"), F.col(char).alias("__at")).distinct()
-    joined = chars.join(hits, (F.col(key) == F.col("__key")) & (F.col("__char") == F.col("__at")), "left")
-    counted = joined.groupBy(key, pos).agg(F.count("__at").alias("n_marked"), F.count("*").alias("__n"))
-    own = tokens.select(key, pos).join(counted, [key, pos], "left").withColumn("n_marked", F.coalesce("n_marked", F.lit(0)))
-    return own.select(key, pos, "n_marked", (F.col("n_marked") > 0).alias("touching"), F.coalesce((F.col("n_marked") == F.col("__n")), F.lit(False)).alias("pure"))
+def token_exposure(tokens: DataFrame, marked: DataFrame, key: str, pos: str = "pos", lo: str = "lo", hi: str = "hi", char: str = "char_idx", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, pos, kept columns, n_marked, touching (a marked character in [lo, hi)) and pure (all of them are).
+
+    Marks are bits of blocks of 64 characters: a token meets one row for each block that it reaches
+    into, not one for each character. Tokens of one key, pos and kept columns are
+    counted together; an empty one is neither."""
+    shift = lambda x, by, way="right": F.call_function(f"shift{way}", x, F.lit(by) if isinstance(by, int) else by.cast("int"))
+    low, high, at, block = F.col(lo).cast("long"), F.col(hi).cast("long"), F.col(char).cast("long"), F.col("__block")
+    own = [key, pos, *keep]
+    bit = shift(F.lit(1).cast("long"), at.bitwiseAND(63), "left")
+    hits = marked.groupBy(F.col(key).alias("__key"), shift(at, 6).alias("__at")).agg(F.bit_or(bit).alias("__bits"))
+    reached = F.when(high > low, F.sequence(shift(low, 6), shift(high - 1, 6)))
+    pieces = tokens.select(*own, low.alias("__lo"), high.alias("__hi"), F.explode_outer(reached).alias("__block"))
+    low, high = F.greatest(F.col("__lo") - block * 64, F.lit(0)), F.least(F.col("__hi") - block * 64, F.lit(64))
+    mask = shift(shift(F.lit(-1).cast("long"), 64 - (high - low), "rightunsigned"), low, "left")
+    part = pieces.select(*own, "__block", (high - low).alias("__n"), mask.alias("__mask"), (block.isNull() | (block == shift(F.col("__lo"), 6))).alias("__first"))
+    joined = part.join(hits, (F.col(key) == F.col("__key")) & (block == F.col("__at")), "left")
+    counted = joined.groupBy(*own).agg(
+        F.coalesce(F.sum(F.bit_count(F.col("__bits").bitwiseAND(F.col("__mask")))), F.lit(0).cast("long")).alias("n_marked"), F.sum("__n").alias("__n"), F.count_if("__first").alias("__rows")
+    )
+    each = counted.select(*own, "n_marked", "__n", F.explode(F.array_repeat(F.lit(0), F.col("__rows").cast("int"))))  # tokens that repeat stay
+    return each.select(*own, "n_marked", (F.col("n_marked") > 0).alias("touching"), F.coalesce(F.col("n_marked") == F.col("__n"), F.lit(False)).alias("pure"))
 
 
 def exposure_by_bin(exposed: DataFrame, key: str, pos: str = "pos", bins=None) -> DataFrame:

@@ -106,9 +106,10 @@ def cliff_table(df: DataFrame, lane: str, index: str, value: str, gate: DataFram
     return falls.join(gate.select(lane, F.col("status").alias("gate")), lane).select(lane, "largest_drop", "at_step", "shape", "gate", branch.alias("branch"))
 
 
-def exposed_delta(scores: DataFrame, exposed: DataFrame, by: list[str], lo: int, hi: int) -> DataFrame:
-    """Loss added by permutation on tokens at lo to hi - 1, by whether they touch a marked character."""
-    window = scores.where((F.col("pos") >= lo) & (F.col("pos") < hi)).join(exposed.select("row", "pos", "touching"), ["row", "pos"])
+def exposed_delta(exposed: DataFrame, by: list[str], lo: int, hi: int) -> DataFrame:
+    """Loss added by permutation on tokens at lo to hi - 1, by whether they touch a marked character.
+    exposed: row, pos, touching and the scores that `token_exposure` kept, so that scores are not joined again."""
+    window = exposed.where((F.col("pos") >= lo) & (F.col("pos") < hi))
     return window.groupBy(*by, "touching").agg(F.count("*").alias("n"), F.count_distinct("row").alias("rows"), S.rounded(F.avg(F.col("p_ce") - F.col("a_ce"))).alias("delta"))
 
 
