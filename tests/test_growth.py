@@ -116,3 +116,17 @@ def test_exposed_scores_are_not_joined_again(spark, sf_dir):
     plan = plan_of(spark, QUERIES["exposed_delta"](spark, sf_dir))
     assert (plan.count("Join"), plan.count("+- Window ")) == (1, 1)
     assert plan_of(spark, QUERIES["exposure_by_bin"](spark, sf_dir)).count("+- Window ") == 1
+
+
+def test_boxes_are_made_text_by_text(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(layout, "_LETTERS", 40)
+    page = layout.Page(width=120, height=100)
+    texts = ["one two  three\n\nfour", "\n \n", "", None, "a\t b  \tc " * 9, "é\U0001f600" * 30 + " end", "x" * 40 + "\t y", "last"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(9, "same key twice " * 5), (None, "no key"), (10, " lead")]
+    df = spark.createDataFrame(rows, "doc long, t string").coalesce(1)
+    for repeated in (df, df.union(spark.createDataFrame([(9, "again\nand again\n\n")], df.schema))):
+        got = [tuple(r) for r in layout.text_boxes(repeated, "doc", "t", page).collect()]
+        want = layout.word_boxes(layout.wrapped(repeated, "doc", "t", page), "doc", page)
+        assert sorted(map(repr, got)) == sorted(repr(tuple(r)) for r in want.collect()) and len(got) > 40
+    assert layout.text_boxes(df, "doc", "t", page).dtypes == want.dtypes
+    assert not any(x in plan_of(spark, QUERIES["word_boxes"](spark, sf_dir)) for x in ("Window", "Exchange", "Sort"))

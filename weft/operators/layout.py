@@ -8,10 +8,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.storage import small
+
 MARGIN = 40
 LEAST_FONT = 14
 #: Characters of the texts whose masked rows a task holds at once, about.
@@ -72,7 +77,7 @@ def wrapped(df: DataFrame, key: str, text: str, page: Page) -> DataFrame:
 def word_boxes(lines: DataFrame, key: str, page: Page) -> DataFrame:
     """Boxes of the words on wrapped lines, numbered in reading order."""
     found = lines.select(key, "page", "line", F.posexplode(F.split("text", " ")).alias("k", "word"), F.split("text", " ").alias("all"))
-    before = F.aggregate(F.slice("all", 1, F.col("k")), F.lit(0), lambda s, w: s + F.length(w) + 1)
+    before = F.length(F.array_join(F.slice("all", 1, F.col("k")), " ")) + (F.col("k") > 0).cast("int")
     left = F.lit(page.margin) + before * page.advance
     top = F.lit(page.margin) + F.col("line") * page.line_height
     boxes = found.where(F.col("word") != "").select(key, "page", "line", "k", "word", left.alias("x0"), top.alias("y0"), (left + F.length("word") * page.advance).alias("x1"), (top + page.line_height).alias("y1"))
@@ -82,6 +87,55 @@ def word_boxes(lines: DataFrame, key: str, page: Page) -> DataFrame:
     return boxes.withColumn("index", F.row_number().over(order) - 1).drop("k")
 
 
+def _boxes(rows: list[int], texts: list[str], page: Page) -> tuple[np.ndarray, list[pa.Array]]:
+    """Of every word of the texts: its row, and page, line, word, box and index."""
+    shown = [(row, n, line) for row, text in zip(rows, texts, strict=True) for n, line in enumerate(wrap(text, page)) if line]
+    row, number = (np.array([s[k] for s in shown], np.int32) for k in (0, 1))
+    words = pc.split_pattern(pa.array([s[2] for s in shown], pa.string()), " ")
+    of = np.diff(words.offsets.to_numpy())
+    words = words.flatten()
+    size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    row, number = np.repeat(row, of), np.repeat(number, of)
+    ends = np.cumsum(size + 1)
+    left = ends - size - 1
+    first = np.cumsum(of) - of
+    left -= np.repeat(left[first], of)
+    if not size.all():  # empty words have a place, but no box
+        full = size > 0
+        row, number, left, size, words = row[full], number[full], left[full], size[full], words.filter(pa.array(full))
+    index = np.arange(len(row)) - np.searchsorted(row, row)
+    x0, y0 = page.margin + left * page.advance, page.margin + number % page.lines * page.line_height
+    numbers = [number // page.lines, number % page.lines, x0, y0, x0 + size * page.advance, y0 + page.line_height, index]
+    made = [pa.array(n.astype(np.int32)) for n in numbers]
+    return row, [*made[:2], words, *made[2:]]
+
+
+def text_boxes(df: DataFrame, key: str, text: str, page: Page) -> DataFrame:
+    """`word_boxes` of the lines of each text, made text by text: words are neither sorted nor shuffled.
+
+    Only texts that share a key are numbered together, by `word_boxes`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, rows, letters = batch.column(1).to_pylist(), [], 0
+            for k, t in enumerate(texts):
+                if t:
+                    rows.append(k)
+                    letters += len(t)
+                if rows and (letters >= _LETTERS or k == len(texts) - 1):
+                    row, made = _boxes(rows, [texts[r] for r in rows], page)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *made], names=[key, "page", "line", "word", "x0", "y0", "x1", "y1", "index"])
+                    rows, letters = [], 0
+
+    own = df.select(key, text)
+    shared = own.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).where(F.col("__n") > 1).select("__key")
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, page int, line int, word string, x0 int, y0 int, x1 int, y1 int, index int"
+    if shared.isEmpty():
+        return own.mapInArrow(run, schema)
+    shared, same = small(shared), F.col(key).eqNullSafe(F.col("__key"))
+    return own.join(shared, same, "left_anti").mapInArrow(run, schema).union(word_boxes(wrapped(own.join(shared, same, "left_semi"), key, text, page), key, page))
+
+
 def visible_prefix(lines: list[str], page: Page, max_pages: int) -> list[str]:
     """Lines of the first pages, without empty ones at the end."""
     shown = lines[: page.lines * max_pages]

@@ -153,8 +153,7 @@ def wrap_pages(spark, sf_dir):
 
 @query(None)
 def word_boxes(spark, sf_dir):
-    page = L.Page()
-    return L.word_boxes(L.wrapped(table(spark, sf_dir, "documents"), "doc_id", "text", page), "doc_id", page)
+    return L.text_boxes(table(spark, sf_dir, "documents"), "doc_id", "text", L.Page())
 
 
 @query(
