@@ -130,3 +130,8 @@ def test_boxes_are_made_text_by_text(spark, sf_dir, monkeypatch):
         assert sorted(map(repr, got)) == sorted(repr(tuple(r)) for r in want.collect()) and len(got) > 40
     assert layout.text_boxes(df, "doc", "t", page).dtypes == want.dtypes
     assert not any(x in plan_of(spark, QUERIES["word_boxes"](spark, sf_dir)) for x in ("Window", "Exchange", "Sort"))
+
+
+def test_only_documents_with_marks_are_cut_into_tokens(spark, sf_dir):
+    scans = [x for x in plan_of(spark, QUERIES["interval_tokens"](spark, sf_dir)).splitlines() if "FileScan" in x]
+    assert scans and all("StringContains(text,@)" in x for x in scans)

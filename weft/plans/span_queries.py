@@ -35,7 +35,7 @@ from met join n using (doc_id) group by doc_id, line_no, n"""
 )
 def interval_tokens(spark, sf_dir):
     """Tokens of every marked line of every document, and the five behind them."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("@")))  # others have no marked line
     return I.marked_tokens(P.token_spans(docs, "doc_id", "text"), marked_lines(docs, "@"), ["doc_id"], "line_no", 5)
 
 
