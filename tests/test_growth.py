@@ -14,6 +14,7 @@ from weft.functions.tokenizers import Characters, token_count_and_prefix
 from weft.operators import audit, intervals, layout
 from weft.operators import stats as S
 from weft.plans import QUERIES
+from weft.plans import evaluate as E
 from weft.plans import reports as R
 
 
@@ -135,3 +136,16 @@ def test_boxes_are_made_text_by_text(spark, sf_dir, monkeypatch):
 def test_only_documents_with_marks_are_cut_into_tokens(spark, sf_dir):
     scans = [x for x in plan_of(spark, QUERIES["interval_tokens"](spark, sf_dir)).splitlines() if "FileScan" in x]
     assert scans and all("StringContains(text,@)" in x for x in scans)
+
+
+def test_variants_stay_side_by_side(spark, sf_dir):
+    for name in ("grounding_ablation", "prefix_ablation"):
+        plan = plan_of(spark, QUERIES[name](spark, sf_dir))
+        assert "Generate" not in plan and plan.count("Exchange") == 2
+
+
+def test_wide_and_long_scores_have_one_ablation(spark):
+    rows = [("a", k, k * 0.5 if k % 5 else None, k + 1.0 if k % 3 else None, 2.0 * k if k % 4 else None) for k in range(40)] + [("b", 1, None, 1.0, 2.0)]
+    wide = spark.createDataFrame(rows, "s string, k int, aligned double, permuted double, blank double")
+    long = wide.selectExpr("s", "k", "stack(3, 'aligned', aligned, 'permuted', permuted, 'blank', blank) as (variant, score)")
+    assert E.ablation_of_wide(wide, ["s"]).collect() == E.ablation(long, "k", ["s"]).collect()

@@ -26,7 +26,11 @@ def variants(rows: DataFrame, key: str, images: str) -> DataFrame:
 
 def ablation(scores: DataFrame, key: str, by: list[str]) -> DataFrame:
     """Differences to aligned on rows that have both; a row without its aligned score counts nowhere."""
-    wide = scores.groupBy(*by, key).pivot("variant", ["aligned", "permuted", "blank"]).agg(F.first("score"))
+    return ablation_of_wide(scores.groupBy(*by, key).pivot("variant", ["aligned", "permuted", "blank"]).agg(F.first("score")), by)
+
+
+def ablation_of_wide(wide: DataFrame, by: list[str]) -> DataFrame:
+    """`ablation` of rows that have their aligned, permuted and blank scores side by side: no row per variant, no second grouping."""
     out = wide.where(F.col("aligned").isNotNull()).groupBy(*by)
     columns = [F.count("*").alias("n"), rounded(F.avg("aligned")).alias("aligned")]
     for v in ("permuted", "blank"):
