@@ -97,3 +97,11 @@ def test_short_lines_of_the_query_and_the_pipeline(spark, tmp_path):
     assert sorted((r.doc_id, r.n_removed, r.removed) for r in got) == want
     left = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, df, str(tmp_path)).collect()}
     assert left == {d: "\n".join(x for k, x in enumerate(texts[d].split("\n")) if k not in gone) for d, _, gone in want}
+
+
+def test_words_are_hashed_once(spark):
+    df = spark.createDataFrame([(1, "a b\n \n\t\nc"), (2, None), (3, "")], "doc_id long, text string")
+    sets = line_dedup._sets(df, "doc_id", "text", line_dedup.rarity_classes(df, "text"), 1)
+    plan = sets._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert not any("xxhash64" in x for x in plan.splitlines() if "- Filter" in x)
+    assert sorted((r.doc, r.line_no, r.n) for r in sets.collect()) == [(1, 0, 2), (1, 3, 1)]

@@ -133,8 +133,12 @@ def _sets(documents: DataFrame, id_column: str, text_column: str, rarity: str, l
     """doc, line_no, n, sketch and rarest codes of every different set of words, at its earliest place."""
     classes = F.from_json(F.lit(rarity), "array<int>")
     lines = documents.select(F.col(id_column).alias("doc"), F.posexplode(F.split(_plain(F.col(text_column)), "\n")).alias("line_no", "line"))
+    if least_words == 1:  # a condition on the hashes would have Spark make them twice
+        lines, enough = lines.where(F.trim("line") != ""), F.lit(True)
+    else:
+        enough = F.size("h") >= least_words
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    hashed = lines.select("doc", "line_no", hashes.alias("h")).where(F.size("h") >= least_words)
+    hashed = lines.select("doc", "line_no", hashes.alias("h")).where(enough)
 
     def code(h: Column) -> Column:
         return F.shiftleft(F.coalesce(F.get(classes, _slot(h)), F.lit(0)).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
