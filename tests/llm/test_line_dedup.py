@@ -105,3 +105,26 @@ def test_words_are_hashed_once(spark):
     plan = sets._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
     assert not any("xxhash64" in x for x in plan.splitlines() if "- Filter" in x)
     assert sorted((r.doc, r.line_no, r.n) for r in sets.collect()) == [(1, 0, 2), (1, 3, 1)]
+
+
+def test_texts_are_cut_into_words_once(spark):
+    """Counts come from the sets' hashes; sketches are those of all words and of three of four classes of hashes."""
+    long = [" ".join(f"w{x}" for x in range(k)) for k in (57, 64, 200)]
+    texts = ["a b\n \n\t\nc\tA", "B  a\nb a c", *long, " ".join(f"w{x}" for x in range(199, -1, -1))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashed = line_dedup._hashed(df, "doc_id", "text", 1)
+    classes = line_dedup._classes(hashed.select("h"))  # needs no text
+    hashes = {(r.doc, r.line_no): r.h for r in hashed.collect()}
+    assert sorted(hashes) == [(0, 0), (0, 3), (1, 1), (2, 0), (3, 0), (4, 0)]
+
+    def parity(values):
+        out = 0
+        for x in values:
+            out ^= 1 << (x & 63)
+        return out - (1 << 64) if out >> 63 else out
+
+    for r in line_dedup._coded(hashed, classes).collect():
+        h = hashes[r.doc, r.line_no]
+        split = [parity([x for x in h if (x >> 30) & 3 == k]) if len(h) > line_dedup.LONG else 0 for k in (3, 0, 1)]
+        assert (r.n, r.s0, [r.s1, r.s2, r.s3]) == (len(h), parity(h), split)
+        assert r.codes == sorted(r.codes) and len(r.codes) == min(len(h), max(3, len(h) - -(-len(h) * 4 // 5) + 1))

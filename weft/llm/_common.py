@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.functions.storage import checkpoint, release, shared_dir, stored  # noqa: F401  for the operators here
+from weft.functions.storage import checkpoint, owned_dir, release, shared_dir, stored, written  # noqa: F401  for the operators here
 
 #: Bytes of text that are held in numpy arrays at once; one longer text is a chunk of its own.
 CHUNK_BYTES = 2_000_000

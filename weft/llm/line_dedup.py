@@ -4,11 +4,12 @@ A line is the set of its lower-cased words. A line goes when an earlier line (sm
 id, then smaller line number) has a Jaccard similarity of SHARE % or more to it; lines
 of fewer than `least_words` distinct words stay.
 
-1. Rarity: words of all texts are counted in SLOTS hashed slots. A word's code has its
-   slot's frequency class above its hash, so sorted codes run from rare to common.
-2. Lines are reduced to sets: one row for each different set of words, at its earliest
-   place, with the rarest codes, the size and a parity sketch. All later lines of a set go.
-   Partial aggregates keep a line that makes up a third of the corpus out of any one task.
+1. Lines are reduced to sets: one row for each different set of words, at its earliest
+   place, with 32 bits of each word's hash. All later lines of a set go. Partial aggregates
+   keep a line that makes up a third of the corpus out of any one task.
+2. Rarity: words of all sets are counted in SLOTS hashed slots. A word's code has its
+   slot's frequency class above its hash, so sorted codes run from rare to common. A set
+   goes on with its rarest codes, its size and a parity sketch.
 3. Near copies at once: sets that share two neighbours among the first or the last codes of
    their prefix are compared with the first and the few before them. This is linear in the size of a group, and settles most lines that
    have a match, so that no group of near copies meets in all its pairs below.
@@ -32,13 +33,14 @@ ignored elsewhere.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm._common import release, stored
+from weft.llm._common import owned_dir, release, stored, written
 
 SHARE, PER = 80, 100
 LEAST_WORDS = 5
@@ -47,9 +49,8 @@ ALL_LINES = 1
 SLOTS = 131_072
 #: Rows (id, line number) that are sent to all executors at most; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
-_HASH_BITS = 56
-#: Bits of a code's hash that are kept for prefixes.
-_SHORT_BITS = 32
+#: A code is a number of 31 bits: 7 of its class above so many of its hash.
+_HASH_BITS = 24
 #: Sizes of one band differ by this factor at most.
 _BAND = 2.0
 #: Parity sketches of 64 bits: of all words and, for lines of more than LONG words, of the
@@ -62,11 +63,14 @@ _PARTS = 2
 _BACK, _MOST_MET = 16, 2000
 #: Codes that are kept of every set, for the quick comparison.
 _RAREST = 3
+#: White space inside lines.
+_WHITE = " \t\x0b\x0c\r"
 
 
 def _plain(text: Column) -> Column:
     """Lower case, with spaces as the only white space inside lines."""
-    return F.lower(F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text))
+    other = reduce(Column.__or__, (text.contains(c) for c in _WHITE[1:]))
+    return F.lower(F.when(other, F.translate(text, _WHITE[1:], "    ")).otherwise(text))
 
 
 def _word_set(line: Column) -> Column:
@@ -78,18 +82,23 @@ def lines_of(documents: DataFrame, id_column: str, text_column: str) -> DataFram
     return documents.select(F.col(id_column).alias("doc"), F.posexplode(F.split(F.col(text_column), "\n")).alias("line_no", "line"))
 
 
+def _classes(hashed: DataFrame) -> str:
+    """A class for each slot, four times the binary logarithm of its count in the sets' hashes, as a
+    JSON array of SLOTS numbers that stand above the hash of a code."""
+    counted = hashed.select(F.explode("h").alias("h")).groupBy(_slot(F.col("h")).alias("slot")).count()
+    slots = hashed.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(counted, "slot", "left")
+    of_slot = F.least(F.lit(127), F.floor(4 * F.log2(F.coalesce("count", F.lit(0)) + 1))).cast("int")
+    listed = F.sort_array(F.collect_list(F.struct("slot", F.shiftleft(of_slot, _HASH_BITS).alias("class"))))  # SLOTS rows, whatever the input
+    return slots.agg(F.to_json(F.transform(listed, lambda s: s["class"])).alias("classes")).first()["classes"]
+
+
 def _slot(hashed: Column) -> Column:
-    return hashed.bitwiseAND(SLOTS - 1).cast("int")
+    return hashed.bitwiseAND(SLOTS - 1)
 
 
 def rarity_classes(documents: DataFrame, text_column: str) -> str:
-    """A class for each slot, four times the binary logarithm of its word count, as a JSON array of SLOTS numbers."""
-    words = documents.select(F.explode(F.split(F.replace(_plain(F.col(text_column)), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counted = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).count()
-    slots = documents.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(counted, "slot", "left")
-    of_slot = F.least(F.lit(127), F.floor(4 * F.log2(F.coalesce("count", F.lit(0)) + 1))).cast("int")
-    listed = F.sort_array(F.collect_list(F.struct("slot", of_slot.alias("class"))))  # SLOTS rows, whatever the input
-    return slots.agg(F.to_json(F.transform(listed, lambda s: s["class"])).alias("classes")).first()["classes"]
+    """The classes of the words of a table's lines."""
+    return _classes(_hashed(documents, text_column, text_column, ALL_LINES))
 
 
 def _far(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -129,32 +138,62 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n) / math.log(_BAND)).cast("int")
 
 
-def _sets(documents: DataFrame, id_column: str, text_column: str, rarity: str, least_words: int) -> DataFrame:
-    """doc, line_no, n, sketch and rarest codes of every different set of words, at its earliest place."""
-    classes = F.from_json(F.lit(rarity), "array<int>")
+def _hashed(documents: DataFrame, id_column: str, text_column: str, least_words: int) -> DataFrame:
+    """doc, line_no and 32 bits of the words' hashes (h, in order) of every different set of words, at
+    its earliest place; ends: where the first three of four classes of hashes end, if it is long."""
     lines = documents.select(F.col(id_column).alias("doc"), F.posexplode(F.split(_plain(F.col(text_column)), "\n")).alias("line_no", "line"))
     if least_words == 1:  # a condition on the hashes would have Spark make them twice
         lines, enough = lines.where(F.trim("line") != ""), F.lit(True)
     else:
         enough = F.size("h") >= least_words
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    hashed = lines.select("doc", "line_no", hashes.alias("h")).where(enough)
+    whole = lines.select("doc", "line_no", F.sort_array(hashes).alias("h")).where(enough)
+    # sets are told apart by all bits
+    halves = F.transform("h", lambda h: F.shiftright(h, 32).cast("int"))
+    first = [F.lit(k << 62) for k in (-1, 0, 1)]  # of each class but the lowest
+    mixed = F.when(F.size("h") > LONG, F.sort_array(F.concat("h", F.array(*first))))
+    ends = F.array(*(F.coalesce(F.array_position("mixed", x).cast("int") - (k + 1), F.size("h")) for k, x in enumerate(first)))
+    keyed = whole.withColumn("mixed", mixed).select("doc", "line_no", halves.alias("h"), ends.alias("ends"), F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"))
+    return keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line_no", "h", "ends")).alias("e")).select("e.*")
+
+
+def _coded(hashed: DataFrame, rarity: str) -> DataFrame:
+    """doc, line_no, n, sketch and rarest codes of every set."""
+    classes = F.from_json(F.lit(rarity), "array<int>")
 
     def code(h: Column) -> Column:
-        return F.shiftleft(F.coalesce(F.get(classes, _slot(h)), F.lit(0)).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
+        # never null, which lets Spark sort plain numbers
+        return F.coalesce(F.get(classes, _slot(h)).bitwiseOR(F.shiftrightunsigned(h, 32 - _HASH_BITS)), F.lit(0))
 
-    def parity(values: Column | str) -> Column:
-        return F.aggregate(values, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))))
+    def parity(values: Column) -> Column:
+        # a shift takes the last six bits of its number
+        return F.aggregate(values, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h)))
 
     n = F.size("h")
-    dealt = lambda k: F.filter("h", lambda h: F.shiftrightunsigned(h, 62) == k)
-    parts = [parity("h").alias("s0"), *(F.when(n > LONG, parity(dealt(k))).otherwise(0).alias(f"s{k}") for k in (1, 2, 3))]
-    coded = hashed.select("doc", "line_no", n.alias("n"), *parts, F.sort_array(F.transform("h", code)).alias("codes"))
-    kept = F.slice("codes", F.lit(1), F.greatest(_prefix_length(F.col("n")), F.lit(_RAREST)))
-    kept = F.transform(kept, lambda c: F.shiftrightunsigned(c, _HASH_BITS - _SHORT_BITS))
-    keyed = coded.select("doc", "line_no", "n", *_SKETCH, kept.alias("codes"), F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"))
-    first = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line_no", "n", *_SKETCH, "codes")).alias("e"))
-    return first.select("e.*")
+    bounds = [F.lit(0), *(F.get("ends", k) for k in range(3)), n]
+    parts = [parity(F.slice("h", a + 1, b - a)).alias(f"p{k}") for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
+    codes = F.slice(F.sort_array(F.transform("h", code)), F.lit(1), F.greatest(_prefix_length(n), F.lit(_RAREST)))
+    coded = hashed.select("doc", "line_no", n.alias("n"), *parts, codes.alias("codes"))
+    whole = reduce(Column.bitwiseXOR, (F.col(f"p{k}") for k in range(4)))
+    return coded.select("doc", "line_no", "n", whole.alias("s0"), *(F.col(f"p{k}").alias(f"s{k}") for k in (1, 2, 3)), "codes")
+
+
+def _sets(documents: DataFrame, id_column: str, text_column: str, rarity: str, least_words: int) -> DataFrame:
+    """doc, line_no, n, sketch and rarest codes of every different set of words, at its earliest place."""
+    return _coded(_hashed(documents, id_column, text_column, least_words), rarity)
+
+
+def _stored_sets(documents: DataFrame, id_column: str, text_column: str, least_words: int) -> DataFrame:
+    """The sets, stored; their hashes, from which words are counted, are stored on the way only."""
+    spark = documents.sparkSession
+
+    def build() -> DataFrame:
+        # hashes do not compress
+        hashed = stored(_hashed(documents, id_column, text_column, least_words), compression="snappy", **{"parquet.enable.dictionary": "false"})
+        release(spark)
+        return _coded(hashed, _classes(hashed))
+
+    return written(spark, build, f"{owned_dir(spark)}/line-sets-{uuid.uuid4().hex}")
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -165,15 +204,23 @@ def _same_place(a: str, b: str) -> Column:
     return F.col(f"{a}doc").eqNullSafe(F.col(f"{b}doc")) & (F.col(f"{a}line_no") == F.col(f"{b}line_no"))
 
 
+def _few(places: DataFrame) -> bool:
+    return places.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+
+
 def _small(places: DataFrame) -> DataFrame:
     """Few places are sent to all executors."""
-    return F.broadcast(places) if places.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else places
+    return F.broadcast(places) if _few(places) else places
 
 
-def _matching(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def _matching(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """doc, line_no of the later lines of the pairs (a..., b...) whose word sets match."""
     a, b = (pairs.select(F.col(f"{x}doc").alias("doc"), F.col(f"{x}line_no").alias("line_no")) for x in "ab")
-    places = _prefixed(_small(stored(a.union(b).distinct())), "__")
+    places = stored(a.union(b).distinct())
+    if _few(places):  # only texts that have one are cut into lines
+        named = _prefixed(places.select("doc").distinct(), "__")
+        documents, places = documents.join(F.broadcast(named), F.col("doc").eqNullSafe(F.col("__doc")), "left_semi"), F.broadcast(places)
+    lines, places = lines_of(documents, "doc", "text"), _prefixed(places, "__")
     found = stored(lines.join(places, _same_place("", "__"), "left_semi").select("doc", "line_no", _word_set(F.col("line")).alias("words")))
     both = pairs.join(_prefixed(found, "y"), _same_place("b", "y")).select("adoc", "aline_no", "ywords").join(_prefixed(found, "x"), _same_place("a", "x"))
     shared = F.size(F.array_intersect("xwords", "ywords"))
@@ -212,7 +259,7 @@ def _open_pairs(sets: DataFrame, settled: DataFrame, part: int) -> DataFrame:
     def post(df: DataFrame, length: Callable[[Column], Column]) -> DataFrame:
         """A row for each word of the prefix: its code and band, the code before it, and the set; small numbers share a column."""
         words = df.select("*", F.posexplode(F.slice("codes", F.lit(1), length(F.col("n")))).alias("pos", "code")).where(F.col("code") % _PARTS == part)
-        word = F.shiftleft("code", 6).bitwiseOR(F.col("band"))
+        word = F.shiftleft(F.col("code").cast("long"), 6).bitwiseOR(F.col("band"))
         previous = F.coalesce(F.get("codes", F.col("pos") - 1), F.lit(0))
         line = F.shiftleft(F.col("line_no").cast("long"), 1).bitwiseOR(F.col("open"))
         size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos"))
@@ -244,17 +291,17 @@ def _open_pairs(sets: DataFrame, settled: DataFrame, part: int) -> DataFrame:
 def kept_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """doc, line_no of the lines of `least_words` or more that stay."""
     spark = documents.sparkSession
-    sets = stored(_sets(documents, id_column, text_column, rarity_classes(documents, text_column), least_words))
-    lines = lines_of(documents, id_column, text_column)
+    sets = _stored_sets(documents, id_column, text_column, least_words)
+    own = documents.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text"))
     release(spark)
-    settled = stored(_matching(stored(_quick_pairs(sets)), lines))
+    settled = stored(_matching(stored(_quick_pairs(sets)), own))
     release(spark)
     parts = []
     for part in range(_PARTS):
         parts.append(stored(_open_pairs(sets, settled, part)))
         release(spark)
     pairs = stored(reduce(DataFrame.union, parts).distinct())
-    gone = settled.union(stored(_matching(pairs, lines)))
+    gone = settled.union(stored(_matching(pairs, own)))
     release(spark)
     return sets.select("doc", "line_no").join(_prefixed(_small(gone), "__"), _same_place("", "__"), "left_anti")
 
