@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
+import pyarrow.parquet as pq
 
 import corpus_pipeline
 from weft.llm import line_dedup, queries
@@ -128,3 +131,25 @@ def test_texts_are_cut_into_words_once(spark):
         split = [parity([x for x in h if (x >> 30) & 3 == k]) if len(h) > line_dedup.LONG else 0 for k in (3, 0, 1)]
         assert (r.n, r.s0, [r.s1, r.s2, r.s3]) == (len(h), parity(h), split)
         assert r.codes == sorted(r.codes) and len(r.codes) == min(len(h), max(3, len(h) - -(-len(h) * 4 // 5) + 1))
+
+
+def test_words_pass_few_interpreted_functions(spark, tmp_path):
+    """Slices are columns, texts are cut once for the report, and sets are stored without dictionaries."""
+    df = spark.createDataFrame([(1, " ".join(f"w{x}" for x in range(70)) + "\na b\n\nA  b"), (2, None)], "doc_id long, text string")
+
+    def plan(frame):
+        return frame._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+    hashed = line_dedup._hashed(df, "doc_id", "text", 1)
+    classes = line_dedup._classes(hashed)
+    assert len(json.loads(classes)) == line_dedup.SLOTS and set(json.loads(classes)) == {0, 4}
+    coded = line_dedup._coded(hashed, classes)
+    assert "aggregate(slice(" not in plan(coded) and sorted(r.n for r in coded.collect()) == [2, 70]
+    report = line_dedup.report(df, least_words=1)
+    assert plan(report).count("split(") == 1
+    assert sorted((r.doc_id, r.n_lines, r.removed) for r in report.collect()) == [(1, 4, [3]), (2, 0, [])]
+    sets = line_dedup._stored_sets(df, "doc_id", "text", 1)
+    for path in sets.inputFiles():
+        group = pq.ParquetFile(path.removeprefix("file:")).metadata
+        for k in range(group.num_row_groups):
+            assert not any(group.row_group(k).column(c).has_dictionary_page for c in range(group.num_columns))

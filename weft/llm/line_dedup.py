@@ -63,6 +63,8 @@ _PARTS = 2
 _BACK, _MOST_MET = 16, 2000
 #: Codes that are kept of every set, for the quick comparison.
 _RAREST = 3
+#: How tables that are mostly hashes are stored: Parquet would look for repeats that they do not have.
+_NO_REPEATS = {"parquet.enable.dictionary": "false"}
 #: White space inside lines.
 _WHITE = " \t\x0b\x0c\r"
 
@@ -84,12 +86,18 @@ def lines_of(documents: DataFrame, id_column: str, text_column: str) -> DataFram
 
 def _classes(hashed: DataFrame) -> str:
     """A class for each slot, four times the binary logarithm of its count in the sets' hashes, as a
-    JSON array of SLOTS numbers that stand above the hash of a code."""
-    counted = hashed.select(F.explode("h").alias("h")).groupBy(_slot(F.col("h")).alias("slot")).count()
-    slots = hashed.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(counted, "slot", "left")
-    of_slot = F.least(F.lit(127), F.floor(4 * F.log2(F.coalesce("count", F.lit(0)) + 1))).cast("int")
-    listed = F.sort_array(F.collect_list(F.struct("slot", F.shiftleft(of_slot, _HASH_BITS).alias("class"))))  # SLOTS rows, whatever the input
-    return slots.agg(F.to_json(F.transform(listed, lambda s: s["class"])).alias("classes")).first()["classes"]
+    JSON array of SLOTS small numbers: Java keeps one object for each of these."""
+    h = F.col("h")
+    # a row for two slots: half the keys stay in the small, fast table of Spark's aggregates
+    counted = hashed.select(F.explode("h").alias("h")).groupBy(F.shiftright(_slot(h), 1).alias("pair")).agg(F.count("*").alias("both"), F.sum(h.bitwiseAND(1)).alias("odd"))
+    pairs = hashed.sparkSession.range(SLOTS // 2).select(F.col("id").cast("int").alias("pair")).join(counted, "pair", "left")
+
+    def of_slot(count: Column) -> Column:
+        return F.least(F.lit(127), F.floor(4 * F.log2(F.coalesce(count, F.lit(0)) + 1))).cast("int")
+
+    two = F.array(of_slot(F.col("both") - F.col("odd")), of_slot(F.col("odd")))
+    listed = F.sort_array(F.collect_list(F.struct("pair", two.alias("classes"))))  # SLOTS / 2 rows, whatever the input
+    return pairs.agg(F.to_json(F.flatten(F.transform(listed, lambda s: s["classes"]))).alias("classes")).first()["classes"]
 
 
 def _slot(hashed: Column) -> Column:
@@ -163,7 +171,7 @@ def _coded(hashed: DataFrame, rarity: str) -> DataFrame:
 
     def code(h: Column) -> Column:
         # never null, which lets Spark sort plain numbers
-        return F.coalesce(F.get(classes, _slot(h)).bitwiseOR(F.shiftrightunsigned(h, 32 - _HASH_BITS)), F.lit(0))
+        return F.coalesce(F.shiftleft(F.get(classes, _slot(h)), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 32 - _HASH_BITS)), F.lit(0))
 
     def parity(values: Column) -> Column:
         # a shift takes the last six bits of its number
@@ -171,9 +179,13 @@ def _coded(hashed: DataFrame, rarity: str) -> DataFrame:
 
     n = F.size("h")
     bounds = [F.lit(0), *(F.get("ends", k) for k in range(3)), n]
-    parts = [parity(F.slice("h", a + 1, b - a)).alias(f"p{k}") for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
+    # Only long sets are sliced, and each slice is used twice, so that Spark keeps it as a column: inside
+    # of an aggregate it would be interpreted, a boxed number for each word.
+    slices = [F.when(n > LONG, F.slice("h", a + 1, b - a)).alias(f"q{k}") for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
+    short = [parity(F.col("h")), *[F.lit(0).cast("long")] * 3]
+    parts = [F.when(F.col(f"q{k}").isNotNull(), parity(F.col(f"q{k}"))).otherwise(x).alias(f"p{k}") for k, x in enumerate(short)]
     codes = F.slice(F.sort_array(F.transform("h", code)), F.lit(1), F.greatest(_prefix_length(n), F.lit(_RAREST)))
-    coded = hashed.select("doc", "line_no", n.alias("n"), *parts, codes.alias("codes"))
+    coded = hashed.select("doc", "line_no", "h", *slices).select("doc", "line_no", n.alias("n"), *parts, codes.alias("codes"))
     whole = reduce(Column.bitwiseXOR, (F.col(f"p{k}") for k in range(4)))
     return coded.select("doc", "line_no", "n", whole.alias("s0"), *(F.col(f"p{k}").alias(f"s{k}") for k in (1, 2, 3)), "codes")
 
@@ -189,11 +201,11 @@ def _stored_sets(documents: DataFrame, id_column: str, text_column: str, least_w
 
     def build() -> DataFrame:
         # hashes do not compress
-        hashed = stored(_hashed(documents, id_column, text_column, least_words), compression="snappy", **{"parquet.enable.dictionary": "false"})
+        hashed = stored(_hashed(documents, id_column, text_column, least_words), compression="snappy", **_NO_REPEATS)
         release(spark)
         return _coded(hashed, _classes(hashed))
 
-    return written(spark, build, f"{owned_dir(spark)}/line-sets-{uuid.uuid4().hex}")
+    return written(spark, build, f"{owned_dir(spark)}/line-sets-{uuid.uuid4().hex}", compression="zstd", **_NO_REPEATS)
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -237,7 +249,7 @@ def _quick_pairs(sets: DataFrame) -> DataFrame:
     keys = F.array_distinct(F.array(*(F.xxhash64(code(i), code(i + 1)) for i in firsts)))
     keyed = sets.where(F.col("n") >= _RAREST).select("doc", "line_no", "n", *_SKETCH, F.explode(keys).alias("key"))
     # most keys are of one set alone: counts go first, rows only where keys are shared
-    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("of")).where(F.col("of") > 1).select(F.col("key").alias("__key"), "of"))
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("of")).where(F.col("of") > 1).select(F.col("key").alias("__key"), "of"), **_NO_REPEATS)
     met = keyed.join(_small(shared), F.col("key") == F.col("__key"))
     # a large group is dealt over several, so that none is one task's
     part = F.pmod(F.xxhash64("doc", "line_no"), F.ceil(F.col("of") / _MOST_MET)).cast("int")
@@ -260,15 +272,15 @@ def _open_pairs(sets: DataFrame, settled: DataFrame, part: int) -> DataFrame:
         """A row for each word of the prefix: its code and band, the code before it, and the set; small numbers share a column."""
         words = df.select("*", F.posexplode(F.slice("codes", F.lit(1), length(F.col("n")))).alias("pos", "code")).where(F.col("code") % _PARTS == part)
         word = F.shiftleft(F.col("code").cast("long"), 6).bitwiseOR(F.col("band"))
-        previous = F.coalesce(F.get("codes", F.col("pos") - 1), F.lit(0))
-        line = F.shiftleft(F.col("line_no").cast("long"), 1).bitwiseOR(F.col("open"))
+        previous = F.coalesce(F.get("codes", F.col("pos") - 1), F.lit(0)).cast("long")
+        line = F.shiftleft(previous, 32).bitwiseOR(F.shiftleft(F.col("line_no").cast("long"), 1)).bitwiseOR(F.col("open"))
         size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos"))
-        return words.select(word.alias("word"), previous.alias("previous"), *_SKETCH, "doc", line.alias("line"), size.alias("size"))
+        return words.select(word.alias("word"), *_SKETCH, "doc", line.alias("line"), size.alias("size"))
 
     def fields(x: str) -> dict[str, Column]:
         size, line = F.col(f"{x}size"), F.col(f"{x}line")
-        own = {"n": F.shiftright(size, 32).cast("int"), "pos": size.bitwiseAND((1 << 32) - 1).cast("int"), "line_no": F.shiftright(line, 1).cast("int"), "open": line.bitwiseAND(1) == 1}
-        return own | {c: F.col(f"{x}{c}") for c in ("doc", "previous", *_SKETCH)}
+        own = {"n": F.shiftright(size, 32).cast("int"), "pos": size.bitwiseAND((1 << 32) - 1).cast("int"), "previous": F.shiftright(line, 32), "line_no": F.shiftright(line, 1).bitwiseAND((1 << 31) - 1).cast("int"), "open": line.bitwiseAND(1) == 1}
+        return own | {c: F.col(f"{x}{c}") for c in ("doc", *_SKETCH)}
 
     larger = post(known.withColumn("band", _band(F.col("n"))), _prefix_length)
     # of its own size and of the largest that it can match
@@ -319,10 +331,11 @@ def _counts(line: Column, least_words: int) -> Column:
 def report(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """id, n_lines, n_removed and removed (line numbers from 0, in order) of each row."""
     kept = _kept_by_document(documents, id_column, text_column, least_words)
-    lines = F.split(F.col(text_column), "\n")
-    n_lines = F.when(F.col(text_column).isNotNull(), F.size(lines)).otherwise(0).cast("long")
-    numbers = F.array_compact(F.transform(lines, lambda x, k: F.when(_counts(x, least_words), k)))
-    own = documents.select(F.col(id_column), n_lines.alias("n_lines"), F.coalesce(numbers, F.array().cast("array<int>")).alias("__numbers"))
+    # lines are used twice, so Spark keeps them as a column and cuts a text once
+    cut = documents.select(F.col(id_column), F.split(F.col(text_column), "\n").alias("__lines"))
+    n_lines = F.when(F.col("__lines").isNotNull(), F.size("__lines")).otherwise(0).cast("long")
+    numbers = F.array_compact(F.transform("__lines", lambda x, k: F.when(_counts(x, least_words), k)))
+    own = cut.select(F.col(id_column), n_lines.alias("n_lines"), F.coalesce(numbers, F.array().cast("array<int>")).alias("__numbers"))
     removed = F.array_except("__numbers", F.coalesce("__kept", F.array().cast("array<int>")))
     joined = own.join(kept, F.col(id_column).eqNullSafe(F.col("__doc")), "left")
     return joined.select(id_column, "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
