@@ -80,3 +80,14 @@ def test_bootstraps_take_the_replicates_of_their_operators(spark, sf_dir, monkey
     monkeypatch.setattr(stats, name, lambda *args, **options: asked.append(options) or operator(*args, **options))
     assert QUERIES[name](spark, sf_dir).count() > 0
     assert "n_boot" not in asked[0]
+
+
+def test_caps_of_empty_documents(spark, tmp_path):
+    lengths = [0, 250, 500, 1000, 3000, 9000, None, -4]
+    spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = connection.sql(ORACLES["duration_cap_whatif"])
+    got = QUERIES["duration_cap_whatif"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+    assert len(got) == 4 and all(math.isnan(r.readable) for r in got) and {r.cap: r.rows_kept for r in got} == {500: 4, 1000: 5, 2000: 5, 4000: 6}

@@ -98,7 +98,8 @@ def duration_cap_whatif(spark, sf_dir):
     caps = [500, 1000, 2000, 4000]
     kept = F.col("n_chars") <= F.col("cap")
     crossed = docs.withColumn("cap", F.explode(F.array(*map(F.lit, caps))))
-    return crossed.groupBy("cap").agg(F.count_if(kept).alias("rows_kept"), F.round(F.count_if(kept) / F.count("*"), 6).alias("fraction"), F.round(F.avg(F.when(kept, F.least("n_chars", F.lit(500)) / F.col("n_chars"))), 6).alias("readable"))
+    share = F.coalesce(F.try_divide(F.least("n_chars", F.lit(500)), F.col("n_chars")), F.lit(float("nan")))  # NaN for an empty text, as in SQL
+    return crossed.groupBy("cap").agg(F.count_if(kept).alias("rows_kept"), F.round(F.count_if(kept) / F.count("*"), 6).alias("fraction"), F.round(F.avg(F.when(kept, share)), 6).alias("readable"))
 
 
 @query("select doc_id from (select doc_id, row_number() over (order by doc_id) - 1 as k from documents) where k >= 37 and k < 87")
