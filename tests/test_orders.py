@@ -91,3 +91,52 @@ def test_cells_prune_what_is_far(spark, monkeypatch):
     monkeypatch.setattr(N, "stored", counted)
     assert N.nearest_labels(df, "k", "v", "y").agg(F.count("nearest")).first()[0] == 300
     assert sent[0] == 300 and sent[1] < 300 * 17 / 3  # of 17 cells
+
+
+def test_vectors_without_clusters_are_not_copied_for_their_cells(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    values = draw.normal(size=(900, 24)).astype(np.float32).astype(float)
+    values[40:52] = values[3]  # copies, in several blocks
+    rows = [(k, [float(x) for x in values[k]], k % 7) for k in range(900)]
+    df = spark.createDataFrame(rows, "k long, v array<float>, y int")
+    monkeypatch.setattr(N, "GROUP", 64)
+    kept, stored = [], N.stored
+
+    def counted(table):
+        out = stored(table)
+        if out.columns == ["key", "v", "cell"]:
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "stored", counted)
+    got = {r.k: (r.y, r.nearest) for r in N.nearest_labels(df, "k", "v", "y").collect()}
+    assert got == plain_nearest(rows, rows)
+    assert sum(kept) <= 2 * 900  # 30 cells, nearly all of them open to each
+    some = N.nearest_labels(df, "k", "v", "y", probes=df.where("k % 5 = 0"))
+    assert {r.k: (r.y, r.nearest) for r in some.collect()} == plain_nearest(rows, [r for r in rows if r[0] % 5 == 0])
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6, 1e15])
+def test_blocks_find_what_all_pairs_find(offset):
+    import pyarrow as pa
+
+    draw = np.random.default_rng(2)
+    v = draw.integers(-3, 4, (300, 5)) + offset
+    index = N.Pivots(list(range(9)), v[:9])
+    cell, away = index.nearest(v)
+    index.far, index.near = (np.array([f(away[cell == k], initial=i) for k in range(9)]) for f, i in ((np.max, -np.inf), (np.min, np.inf)))
+
+    def block(ids):
+        ids = ids[np.lexsort((ids, cell[ids]))]
+        known = index.known(ids, v[ids])
+        return N._Block(np.float64, pa.array(ids), pa.array(ids % 4), v[ids].tobytes(), cell[ids].tobytes(), known.tobytes())
+
+    a, b = block(np.arange(0, 140)), block(np.arange(140, 300))
+    N._meet(a, b, index, True)
+    N._meet(a, block(np.arange(0, 140)), index, False)
+    N._meet(b, block(np.arange(140, 300)), index, False)
+    for one in (a, b):
+        for k, d, near in zip(one.keys, one.best, one.near, strict=True):
+            squares = ((v - v[k]) ** 2).sum(1)
+            squares[k] = np.inf
+            assert (d, near) == (squares.min(), squares.argmin())
