@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,27 @@ def test_sums_of_many_groups_are_those_of_each(spark):
         assert list(got[g][0]) == list(np.array([(g * k) % 7 for k in range(12)]) @ times) and list(got[g][1]) == list(times.sum(0))
 
 
+def test_bootstraps_deal_rows_by_key_over_several_tasks_for_each_core(spark):
+    rows = spark.range(60).selectExpr("id % 3 as g", "id % 20 as row", "1.0D as a").repartition(3, "g")
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    assert re.search(rf"hashpartitioning\(row#\d+L?, {tasks}\), REPARTITION_BY_NUM", plan_of(spark, S.replicate_sums(rows, "row", ["g"], ["a"], 20, 5)))
+
+
+def test_bootstraps_of_fractions_and_large_numbers(spark):
+    draw = np.random.default_rng(4)
+    values = [[float(x) for x in draw.random(30)], [float(x) for x in draw.integers(1 << 40, 1 << 41, 30)]]
+    df = spark.createDataFrame([(k, values[0][k], values[1][k]) for k in range(30)], "row long, a double, b double")
+    got, times = S.replicate_sums(df, "row", [], ["a", "b"], 40, 5).first(), S.poisson_times([str(k) for k in range(30)], 40, 5).astype(float)
+    for have, each in zip((got.a, got.b), values, strict=True):
+        np.testing.assert_allclose(have, np.array(each) @ times, rtol=1e-14)
+
+
+def test_scores_of_a_row_need_one_exchange(spark, sf_dir):
+    from weft.plans.stat_queries import scores
+
+    assert plan_of(spark, scores(spark, sf_dir).groupBy("lane", "row").agg(F.max("pos"))).count("Exchange") == 1
+
+
 def test_shipments_meet_as_different_spans(spark, sf_dir, monkeypatch):
     met = []
     join = intervals.interval_join

@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,6 +201,10 @@ _GROUPS = 256
 _WEIGHTS, _WIDE = 2_000_000, 128
 #: Partial sums that are merged in the first of two steps.
 _MERGED = 64
+#: Tasks of a bootstrap by core: as many as cores and a few would take two rounds.
+_TASKS = 4
+#: The greatest of a row's Poisson numbers, as its 16 bits can tell.
+_MOST_TIMES = 8
 
 
 def poisson_times(keys: list[str], n_boot: int, seed: int) -> np.ndarray:
@@ -217,42 +222,54 @@ def replicate_sums(rows: DataFrame, row: str, by: list[str], sums: list[str], n_
     """by, and for each of the columns `sums` an array of its sum in every replicate.
 
     One pass over the rows: a batch's weights are a matrix of keys by replicates, which is
-    multiplied with the columns of all groups and never becomes rows. Rows of one key that are
-    in one partition are next to one another, so a key's weights, which are most of the work,
-    are made once for all of its groups. A task sends one row of sums for each group it has
-    seen. Rows with a null key count by the key "null"; null numbers count as 0."""
-    keyed = rows.sortWithinPartitions(row).select(*by, F.coalesce(F.col(row).cast("string"), F.lit("null")).alias("__row"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__s{k}") for k, c in enumerate(sums)))
+    multiplied with the columns of all groups and never becomes rows. Rows are dealt out by their
+    key and rows of one key are next to one another, so a key's weights, which are most of the work,
+    are made once for all of its groups, in several tasks for each core. A task sends one row of sums
+    for each group it has seen. Rows with a null key count by the key "null"; null numbers count as 0."""
+    context = rows.sparkSession.sparkContext
+    dealt = rows.select(*dict.fromkeys([*by, row, *sums])).repartition(_TASKS * context.defaultParallelism, row).sortWithinPartitions(row)
+    keyed = dealt.select(*by, F.coalesce(F.col(row).cast("string"), F.lit("null")).alias("__row"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__s{k}") for k, c in enumerate(sums)))
     schema = T.StructType([*(keyed.schema[c] for c in by), T.StructField("__part", T.IntegerType()), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in sums)])
-    columns = [f"__s{k}" for k in range(len(sums))]
+    n_sums = len(sums)
 
-    def frame(held: dict, part: int) -> pd.DataFrame:
-        out = pd.DataFrame([(*key, part, *(list(x) for x in total)) for key, total in held.items()], columns=schema.names, dtype=object)
-        return out
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, kinds = TaskContext.get().partitionId() // _MERGED, {}, []
+
+        def frame() -> pa.RecordBatch:
+            keys = [pa.array([key[k] for key in held], kind) for k, kind in enumerate(kinds)]
+            totals = [pa.array([total[k] for total in held.values()], pa.list_(pa.float64())) for k in range(n_sums)]
+            return pa.record_batch([*keys, pa.array([part] * len(held), pa.int32()), *totals], names=schema.names)
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, held = TaskContext.get().partitionId() // _MERGED, {}
         for whole in batches:
-            for at in range(0, len(whole), step := max(1, _WEIGHTS // n_boot)):
-                pdf = whole.iloc[at : at + step]
-                key_of, keys = pd.factorize(pdf["__row"])
-                times = poisson_times(keys.tolist(), n_boot, seed).astype(float)
-                values = pdf[columns].to_numpy(float)
-                codes = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(pdf), int)
+            kinds = whole.schema.types[: len(by)]
+            for at in range(0, whole.num_rows, step := max(1, _WEIGHTS // n_boot)):
+                some = whole.slice(at, step)
+                coded = [c.dictionary_encode(null_encoding="encode") for c in some.columns[: len(by) + 1]]
+                key_of, keys = coded[-1].indices.to_numpy(), coded[-1].dictionary.to_pylist()
+                values = np.array([c.to_numpy() for c in some.columns[len(by) + 1 :]])
+                codes = np.zeros(some.num_rows, np.int64)
+                for c in coded[:-1]:
+                    _, codes = np.unique(codes * len(c.dictionary) + c.indices.to_numpy(), return_inverse=True)
                 _, firsts = np.unique(codes, return_index=True)
-                wide = max(1, _WIDE // len(columns))
+                exact = (values == np.floor(values)).all() and np.abs(values).sum() * _MOST_TIMES < 1 << 24  # in single precision
+                kind = np.float32 if exact else np.float64
+                times = poisson_times(keys, n_boot, seed).astype(kind)
+                wide = max(1, _WIDE // n_sums)
                 for group in range(0, len(firsts), wide):
                     of = firsts[group : group + wide]
                     inside = slice(None) if len(firsts) <= wide else (codes >= group) & (codes < group + len(of))
-                    spread = np.zeros((len(keys), len(of), len(columns)))
-                    np.add.at(spread, (key_of[inside], codes[inside] - group), values[inside])
-                    summed = (spread.reshape(len(keys), -1).T @ times).reshape(len(of), len(columns), -1)
-                    for first, own in zip(of, summed, strict=True):
-                        key = tuple(None if x is None or x != x else x for x in (pdf[c].iloc[first] for c in by))
-                        held[key] = held.get(key, 0) + own
+                    cell = (codes[inside] - group) * len(keys) + key_of[inside]
+                    spread = np.array([np.bincount(cell, v[inside], len(of) * len(keys)) for v in values]).reshape(n_sums * len(of), -1)
+                    summed = (spread.astype(kind) @ times).astype(float).reshape(n_sums, len(of), -1)
+                    for k, first in enumerate(of):
+                        key = tuple(c.dictionary[c.indices[first].as_py()].as_py() for c in coded[:-1])
+                        key = tuple(None if x is None or x != x else x for x in key)
+                        held[key] = held.get(key, 0) + summed[:, k]
                 if len(held) > _GROUPS:
-                    yield frame(held, part)
+                    yield frame()
                     held = {}
-        yield frame(held, part)
+        if held:
+            yield frame()
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf.iloc[:1].copy()
@@ -260,7 +277,7 @@ def replicate_sums(rows: DataFrame, row: str, by: list[str], sums: list[str], n_
             out[c] = [np.sum(np.stack(pdf[c].to_numpy()), axis=0)]
         return out
 
-    partial = keyed.mapInPandas(weigh, schema)
+    partial = keyed.mapInArrow(weigh, schema)
     merged = partial.groupBy(*by, "__part").applyInPandas(added, schema)
     return merged.withColumn("__part", F.lit(0)).groupBy(*by, "__part").applyInPandas(added, schema).drop("__part")
 
